@@ -5,7 +5,8 @@ the documents' winnowed grams joined to the items' find each shared window. A hi
 windows around it, which are compared word by word.
 
 The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK_WORDS`` words, each small enough to be
-broadcast, so documents are never shuffled and a passage that a third of all documents hold costs no hot key.
+broadcast, so documents are never shuffled and a passage that a third of all documents hold costs no hot key. A Bloom
+filter of the block's fingerprints spares most grams of a document the look at their windows.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read_table
+from .common import ascii_lower, materialise, read_table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, once A-Z are lower-cased.
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 GRAM = 5
-#: Words of benchmark in a broadcast block: some 20 MB of window strings.
-BLOCK_WORDS = 200_000
+#: Words of benchmark in a broadcast block: some 10 MB of window strings.
+BLOCK_WORDS = 100_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def _gram_at(words: Column, i: Column, k: int) -> Column:
@@ -34,38 +36,52 @@ def _gram_at(words: Column, i: Column, k: int) -> Column:
     return F.xxhash64(F.slice(words, i, k)).bitwiseAND(F.lit(-16)).bitwiseOR(i.bitwiseAND(F.lit(15)).cast("long"))
 
 
-def _picked(grams: Column, size: Column, length: int, k: int) -> Column:
-    """Ascending positions of the grams that are the least of some window (winnowing)."""
+def _points(words: Column, size: Column, length: int, bits: Column | None = None, n_bits: int = 0) -> Column:
+    """The winnowed grams: those that are the least of some window of ``length`` words, as structs of length, gram hash
+    and, with ``bits``, the words that windows around the gram can hold and the position of the first.
+
+    ``bits`` is a one-hash Bloom filter of the hashes that matter. Only for grams in it is it looked up whether they are
+    the least of a window; the result is as if all grams were winnowed and then filtered.
+    """
+    k = min(GRAM, length)
     reach = length - k + 1
 
-    def least(i: Column) -> Column:
-        low = F.array_min(F.slice(grams, i, reach)).bitwiseAND(F.lit(15)).cast("int")
-        return i + F.pmod(low - i.bitwiseAND(F.lit(15)), F.lit(16))
+    def points(gs: Column) -> Column:
+        def first(p: Column) -> Column:
+            return F.greatest(F.lit(1), p - (reach - 1))
 
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), size - length + 1), least))
+        def last(p: Column) -> Column:
+            return F.least(p, size - length + 1)
 
+        def wanted(p: Column) -> Column:
+            g = F.element_at(gs, p)
+            least = F.exists(F.sequence(first(p), last(p)), lambda i: F.array_min(F.slice(gs, i, reach)) == g)
+            if bits is None:
+                return least
+            at = F.shiftright(g, 4).bitwiseAND(F.lit(n_bits - 1))
+            return (F.getbit(F.element_at(bits, (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1) & least
 
-def _points(words: Column, size: Column, length: int, context: bool) -> Column:
-    """Structs of length, position, gram hash and (for documents) the words that windows around the gram can hold."""
-    k = min(GRAM, length)
-    reach = length - k + 1
-    grams = F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: _gram_at(words, i, k))
+        def point(p: Column) -> Column:
+            held = F.slice(words, first(p), last(p) - first(p) + length) if bits is not None else F.lit(None).cast("array<string>")
+            return F.struct(F.lit(length).alias("len"), first(p).alias("first"), F.shiftright(F.element_at(gs, p), 4).alias("h"), held.alias("held"))
 
-    def point(gs: Column):
-        def make(p: Column) -> Column:
-            first = F.greatest(F.lit(1), p - (reach - 1))
-            last = F.least(p, size - length + 1)
-            held = F.slice(words, first, last - first + length) if context else F.lit(None).cast("array<string>")
-            return F.struct(F.lit(length).alias("len"), first.alias("first"), F.shiftright(F.element_at(gs, p), 4).alias("h"), held.alias("held"))
-
-        return make
+        return F.transform(F.filter(F.sequence(F.lit(1), F.size(gs)), wanted), point)
 
+    grams = F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: _gram_at(words, i, k))
     # binding the grams by a one-element transform evaluates them once
-    bound = F.element_at(F.transform(F.array(grams), lambda gs: F.transform(_picked(gs, size, length, k), point(gs))), 1)
+    bound = F.element_at(F.transform(F.array(grams), points), 1)
     none = F.array().cast("array<struct<len:int,first:int,h:bigint,held:array<string>>>")
     return F.when(size >= length, bound).otherwise(none)
 
 
+def _bloom(marks: DataFrame, count: int) -> tuple[Column, int]:
+    """A bit array of 32 bits or more for each of ``count`` marks, as a literal. Its size is bounded by the block's."""
+    n_bits = 1 << max(10, (32 * count).bit_length())
+    at = F.col("h").bitwiseAND(F.lit(n_bits - 1))
+    set_bits = {r["word"]: r["bits"] for r in marks.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect()}
+    return F.from_json(F.lit(str([set_bits.get(i, 0) for i in range(n_bits // 64)])), "array<bigint>"), n_bits
+
+
 def _joined(words: Column, i, length) -> Column:
     return F.array_join(F.slice(words, i, length), " ")
 
@@ -92,12 +108,13 @@ def decontamination_report(docs: DataFrame, items: DataFrame, window: int = WIND
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     marker = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("held")))
-    points = base.select("doc_id", "n", F.explode(F.concat(marker, *[_points(F.col("w"), F.col("n"), x, True) for x in lengths])).alias("p")).select("doc_id", "n", "p.*")
-
     parts = []
     for block in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        marks = reduce(DataFrame.unionByName, [own.filter(F.col("n") >= x if x == window else F.col("n") == x).select(F.explode(_points(F.col("w"), F.col("n"), x, False)).alias("p")).select("p.len", "p.h") for x in lengths]).distinct()
+        marks = reduce(DataFrame.unionByName, [own.filter(F.col("n") >= x if x == window else F.col("n") == x).select(F.explode(_points(F.col("w"), F.col("n"), x)).alias("p")).select("p.len", "p.h") for x in lengths]).distinct()
+        marks = materialise(marks)
+        bits, n_bits = _bloom(marks, marks.count())
+        points = base.select("doc_id", "n", F.explode(F.concat(marker, *[_points(F.col("w"), F.col("n"), x, bits, n_bits) for x in lengths])).alias("p")).select("doc_id", "n", "p.*")
         windows = (
             own.withColumn("len", F.least("n", F.lit(window)))
             .select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("len") + 1), lambda i: _joined(F.col("w"), i, F.col("len")))).alias("gram"))
