@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -21,8 +22,51 @@ _UNSURE = re.compile(f"[^\t-\r -~{_L}]")
 _BYTE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
 #: Distinct pre-tokens kept in a worker before it starts afresh.
-CACHE = 400_000
+CACHE = 1_000_000
 _LOADED: dict[str, Encoder] = {}
+#: Byte-level BPE writes each byte as a printable character: itself, or the next one from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_MAPPED = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512), strict=False))
+
+
+class _Ranked(dict):
+    """Ids by pre-token for a vocabulary whose ids are the order of its merges: the same merges in tiktoken's core."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        import tiktoken
+
+        super().__init__()
+        self.merge = tiktoken.Encoding("ranked", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, w: str) -> bytes:
+        self[w] = ids = array("I", self.merge(w)).tobytes()
+        return ids
+
+
+class _Known(dict):
+    """Ids by pre-token; a new one goes through the model's own merges, without the pipeline around them."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.merge = model.tokenize
+
+    def __missing__(self, w: str) -> bytes:
+        rest = w[1:] if w[0] == " " else w
+        plain = w.isascii() and " " not in rest and rest.isprintable()
+        printed = ("Ġ" + rest if rest is not w else w) if plain else w.encode().decode("latin-1").translate(_MAPPED)
+        self[w] = ids = array("I", [t.id for t in self.merge(printed)]).tobytes()
+        return ids
+
+
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """The vocabulary as ranked bytes, if each id but the first 256, those of bytes, is its merge's place."""
+    model = spec["model"]
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    vocab = {t: i for t, i in model["vocab"].items() if t not in {a["content"] for a in spec["added_tokens"]}}
+    if model["end_of_word_suffix"] or model["continuing_subword_prefix"] or len(vocab) != 256 + len(merges) or any(vocab.get(m) != 256 + i for i, m in enumerate(merges)):
+        return None
+    byte_of = {c: b for b, c in _MAPPED.items()} | {b: b for b in _PRINTED}
+    return {bytes(byte_of[ord(c)] for c in t): i for t, i in vocab.items()}
 
 
 class Encoder:
@@ -32,7 +76,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        ranks = _ranks(spec)
+        self.known = _Ranked(ranks) if ranks else _Known(self.tokenizer.model)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"]
         self.lower = spec["normalizer"] is not None
@@ -53,16 +98,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        pieces: list[list[str] | None] = [self.split.findall(t.lower() if self.lower else t) if self._plain(t) else None for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        fresh = list({w for p in pieces if p is not None for w in p}.difference(self.cache))
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) if p is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p in zip(texts, pieces, strict=True)]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known = self.known.__getitem__
+        return [b"".join(map(known, self.split.findall(t.lower() if self.lower else t))) if self._plain(t) else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def small_batches(sizes, most: int = 4_000_000):

@@ -147,15 +147,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
             queue = batch["queue"].map(number).to_numpy("i8")
             run, first, size, sequence, offset = mixture.pieces(queue, (batch["base"] + batch["within"]).to_numpy("i8"), batch["n"].to_numpy("i8"))
             raw, parts_of, crc, at = batch["ids"].tolist(), [], [], -1
-            for r, f, n in zip(run.tolist(), first.tolist(), size.tolist(), strict=True):
+            for r, f, n in zip(run.tolist(), (4 * first).tolist(), (4 * (first + size)).tolist(), strict=True):
                 if r != at:
-                    at, ids = r, _wide(raw[r])
-                own = ids[f : f + n]
-                crc.append(zlib.crc32(own))
+                    at, ids = r, memoryview(_wide(raw[r])).cast("B")
+                crc.append(zlib.crc32(ids[f:n]))
                 if with_ids:
-                    parts_of.append(own.tolist())
-            out = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(dtype=object)[run], "start": first, "length": size, "ids_crc32": crc, "doc_tokens": batch["n"].to_numpy()[run], "sequence_id": sequence, "offset": offset})
-            out["doc_id"] = out["doc_id"].astype("Int64")
+                    parts_of.append(ids[f:n].cast("I").tolist())
+            docs_of = batch["doc_id"]
+            docs_of = docs_of.to_numpy("i8")[run] if docs_of.notna().all() else docs_of.astype("Int64").to_numpy(dtype=object)[run]
+            out = pd.DataFrame({"doc_id": docs_of, "start": first, "length": size, "ids_crc32": np.array(crc, "i8"), "doc_tokens": batch["n"].to_numpy()[run], "sequence_id": sequence, "offset": offset})
             yield out.assign(ids=parts_of) if with_ids else out
 
     placed = encoded.join(F.broadcast(bases) if parts.count() <= 1_000_000 else bases, ["queue", "part"])
