@@ -64,7 +64,7 @@ def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each document beside the next one in descending doc_id (after the last: the first): adds next_text and next_fp.
+    """Each document beside the next one in descending doc_id (after the last: the first): adds fp, next_text and next_fp.
 
     Documents are dealt to ranges of doc_id; each range also gets the first row of the range below it (the lowest one:
     of the highest), so that a window inside the range sees every successor. Rows of equal doc_id go by text,
@@ -76,7 +76,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("bucket")
     heads = tops.select(F.coalesce(F.lag("top").over(order), F.max("top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("doc_id"), "bucket")
     ghosts = docs.join(F.broadcast(heads), "doc_id").withColumn("ghost", F.lit(1))
-    rows = placed.withColumn("ghost", F.lit(0)).unionByName(ghosts)
+    rows = placed.withColumn("ghost", F.lit(0)).unionByName(ghosts).withColumn("fp", fingerprint(F.col("text")))
     down = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc(), F.col("text").desc())
     follow = rows.withColumn("next_text", F.lead("text").over(down)).withColumn("next_fp", F.lead("fp").over(down))
     return follow.filter("ghost = 0").withColumns({"next_text": F.coalesce("next_text", "text"), "next_fp": F.coalesce("next_fp", "fp")}).drop("ghost", "bucket")
@@ -88,10 +88,9 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next. A null text is
     empty; empty texts have empty fingerprints; a table of one row is followed by itself; an empty one gives no rows.
     """
-    fps = texts(docs).withColumn("fp", fingerprint(F.col("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    paired = with_next(fps).select(
+    paired = with_next(texts(docs)).select(
         "doc_id", n.cast("long").alias("n_chars"), F.col("fp").alias("fingerprint"), "next_fp",
         F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited_text"),
     ).withColumn("edited_fingerprint", fingerprint(F.col("edited_text")))
