@@ -11,6 +11,7 @@ import json
 import os
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 
@@ -21,8 +22,6 @@ _L = "A-Za-zÀ-ÖØ-öø-ſ"
 _UNSURE = re.compile(f"[^\t-\r -~{_L}]")
 _BYTE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
-#: Distinct pre-tokens kept in a worker before it starts afresh.
-CACHE = 1_000_000
 _LOADED: dict[str, Encoder] = {}
 #: Byte-level BPE writes each byte as a printable character: itself, or the next one from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -32,6 +31,9 @@ _MAPPED = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512)
 class _Ranked(dict):
     """Ids by pre-token for a vocabulary whose ids are the order of its merges: the same merges in tiktoken's core."""
 
+    #: Distinct pre-tokens kept in a worker before it starts afresh.
+    most = 100_000
+
     def __init__(self, ranks: dict[bytes, int]) -> None:
         import tiktoken
 
@@ -46,6 +48,8 @@ class _Ranked(dict):
 class _Known(dict):
     """Ids by pre-token; a new one goes through the model's own merges, without the pipeline around them."""
 
+    most = 400_000
+
     def __init__(self, model) -> None:
         super().__init__()
         self.merge = model.tokenize
@@ -71,11 +75,9 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
 
 class Encoder:
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         ranks = _ranks(spec)
         self.known = _Ranked(ranks) if ranks else _Known(self.tokenizer.model)
         self.specials = [t["content"] for t in spec["added_tokens"]]
@@ -87,6 +89,12 @@ class Encoder:
         elif pre["type"] == "Sequence" and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.split = _WORD
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in _LOADED:
@@ -98,7 +106,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.known.most:
             self.known.clear()
         known = self.known.__getitem__
         return [b"".join(map(known, self.split.findall(t.lower() if self.lower else t))) if self._plain(t) else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

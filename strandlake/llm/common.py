@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+ARROW_ROWS = 1000
 #: The white space that the contracts strip or split at: space, \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -19,8 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Whole texts cross to Python: at most ARROW_ROWS of them at once, so that long ones fit in memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone (other columns, whatever their names, go); a null text reads as empty."""
+    small_arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -17,13 +17,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     steps are joins and pre-aggregated minima; each is written to the shared folder, so no lost executor costs lineage.
     """
     both = links.select("a", "b").filter("a <> b")
-    edges = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    parts = 1 + links.count() // 1_000_000  # few links, few files
+
+    def stored(df: DataFrame) -> DataFrame:
+        return materialise(df.coalesce(parts))
+
+    edges = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     mapping = None
     while True:
-        up = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+        up = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
         while True:
             end = up.select(F.col("node").alias("root"), F.col("root").alias("end"))
-            further = materialise(up.join(end, "root").select("node", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")))
+            further = stored(up.join(end, "root").select("node", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")))
             up = further.select("node", "root")
             if not further.filter("moved").limit(1).count():
                 break
@@ -31,8 +36,8 @@ def connected_components(links: DataFrame) -> DataFrame:
             mapping = up
         else:
             onward = up.select(F.col("node").alias("root"), F.col("root").alias("end"))
-            mapping = materialise(mapping.join(onward, "root", "left").select("node", F.coalesce("end", "root").alias("root")))
+            mapping = stored(mapping.join(onward, "root", "left").select("node", F.coalesce("end", "root").alias("root")))
         to_a, to_b = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = materialise(edges.join(to_a, "a").join(to_b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        edges = stored(edges.join(to_a, "a").join(to_b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         if not edges.limit(1).count():
             return mapping

@@ -29,6 +29,8 @@ DEPTH = 3
 DEEPEST = 12
 NEIGHBOURS = 3
 PERCENT = 80
+#: Sort keys of a range partition, about (40 MB).
+RANGE_ROWS = 500_000
 #: doc_ids that may be broadcast (8 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -43,7 +45,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -136,15 +138,16 @@ def _sorted_candidates(part_of: bool):
 _PAIR = "a long, b long, hub boolean, key binary, n long"
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b, hub) of documents of ``reps`` (doc, n, sig) that one of the orders puts side by side."""
-    parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def candidates(reps: DataFrame, count: int) -> DataFrame:
+    """Pairs (a, b, hub) of documents of ``reps`` (doc, n, sig) that one of the orders puts side by side. ``count`` bounds
+    the number of representatives."""
+    parts = 1 + TREES * count // RANGE_ROWS
     rows = reps.mapInPandas(_rotated, "key binary, doc long, n long")
     first = materialise(rows.repartitionByRange(parts, "key", "doc").sortWithinPartitions("key", "doc").mapInPandas(_sorted_candidates(True), _PAIR))
     # a few rows from each end of each partition: these are read in one task
     ends = first.filter("b IS NULL").select("key", F.col("a").alias("doc"), "n").distinct().repartition(1).sortWithinPartitions("key", "doc")
     across = ends.mapInPandas(_sorted_candidates(False), _PAIR)
-    return first.filter("b IS NOT NULL").select("a", "b", "hub").unionByName(across.select("a", "b", "hub"))
+    return first.filter("b IS NOT NULL").select("a", "b", "hub").unionByName(materialise(across.select("a", "b", "hub")))
 
 
 def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +172,8 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose full sets are similar."""
     left, right = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return materialise(pairs.join(left, "a").join(right, "b").mapInPandas(_confirmed, "a long, b long"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return materialise(pairs.join(left, "a").join(right, "b").mapInPandas(_confirmed, "a long, b long").repartition(parts, "a"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -185,7 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = texts(docs)
     described = materialise(rows.mapInPandas(_described, "doc_id long, n long, same binary, sig binary"))
     classes = materialise(described.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.first("sig").alias("sig")))
-    pairs = materialise(candidates(classes.select("doc", "n", "sig")))
+    pairs = candidates(classes.select("doc", "n", "sig"), described.count())
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = materialise(wanted)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, small_arrow_batches
 
 LENGTH = 2048
 END_ID = 1
@@ -128,7 +128,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     Null and empty texts are the end id alone. A null source is a source like any other. Rows that repeat a doc_id are
     packed each on its own. An empty table gives no rows. Queues go by the order of the rows in the table.
     """
-    spark = docs.sparkSession
+    small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("queue"))
     if rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, texts
+from .common import read_table, small_arrow_batches, texts
 
 #: Labelled rows to learn from, at most: those of least hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -178,6 +178,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, with their own columns, that the classifier predicts 1."""
     model = train(docs if corpus is None else corpus, labels)
+    small_arrow_batches(docs.sparkSession)
     names = docs.columns
     types = docs.schema
 

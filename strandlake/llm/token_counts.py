@@ -22,7 +22,7 @@ from .common import read_table, texts
 LIMIT = 4096
 SPACE = "▁"
 #: Distinct pre-tokens kept in a worker before it starts afresh.
-CACHE = 1_000_000
+CACHE = 250_000
 _PRE = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 _LOADED: dict[str, PieceCounter] = {}
 
