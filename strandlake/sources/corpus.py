@@ -52,11 +52,11 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 def parse_a3m(texts: DataFrame) -> DataFrame:
     """(msa_id, row_ord, name, seq) of (msa_id, text): lines before the first > are ignored, body lines are trimmed and
     joined, empty lines skipped. One row-local expression; nothing is shuffled."""
-    body = F.regexp_replace("text", r"^[^>][^\n]*(\n[^>][^\n]*|\n)*(?=\n>|$)", "")
-    records = F.filter(F.split(F.concat(F.lit("\n"), body), "\n>"), lambda r: F.trim(r) != "")
+    records = F.slice(F.split(F.concat(F.lit("\n"), "text"), "\n>"), 2, 10**9)
+    blanks = F.lit(" \t\r\x0b\x0c")
     rows = texts.select("msa_id", F.posexplode(records).alias("row_ord", "record"))
     lines = F.split("record", "\n")
-    return rows.select("msa_id", "row_ord", F.trim(F.element_at(lines, 1)).alias("name"), F.array_join(F.transform(F.slice(lines, 2, 10**9), lambda x: F.trim(x)), "").alias("seq"))
+    return rows.select("msa_id", "row_ord", F.btrim(F.element_at(lines, 1), blanks).alias("name"), F.array_join(F.transform(F.slice(lines, 2, 10**9), lambda x: F.btrim(x, blanks)), "").alias("seq"))
 
 
 def format_a3m(rows: DataFrame, wrap: int = 0) -> DataFrame:
