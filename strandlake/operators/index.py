@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seeding import K, TARGET, seed_rows, seeds
+from ..functions.seeding import K, TARGET, seed_arrays, seed_rows
 from ..sources.corpus import MAX_LEN, MIN_LEN
 
 BUCKET_BITS = 25
@@ -20,7 +20,7 @@ def build_counters(corpus: DataFrame) -> DataFrame:
     """One row: n_seq, n_post, too_short, too_long, bad_chars of an unfiltered corpus (id, seq)."""
     n = F.length("seq")
     inside = n.between(MIN_LEN, MAX_LEN)
-    rows = corpus.select(n.alias("n"), F.when(inside, F.size(seeds("seq"))).alias("k"))
+    rows = corpus.select("seq", seed_arrays("seq").alias("found")).select(n.alias("n"), F.when(inside, F.size("found")).alias("k"))
     return rows.agg(F.count_if(F.col("k") > 0).alias("n_seq"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_post"), F.count_if(F.col("n") < MIN_LEN).alias("too_short"), F.count_if(F.col("n") > MAX_LEN).alias("too_long"), F.count_if(F.col("k") == 0).alias("bad_chars"))
 
 

@@ -1,11 +1,13 @@
 """Golden values and properties of seeding, alignment, transfer, folds and readers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions import frames, headers
+from strandlake.functions import frames, headers, seeding
 from strandlake.functions.align import local_alignments
-from strandlake.functions.seeding import seeds
+from strandlake.functions.seeding import seed_arrays, seeds
 from strandlake.operators import evaluation, index, search
 from strandlake.sources import corpus as src
 from strandlake.streaming.chains import stream_hits
@@ -27,6 +29,20 @@ def test_seeds(spark):
     assert set(got[6]) == {814564, 12585602} and len(got[7]) == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"w": 11}, {"target": 20}, {"k": 6}])
+def test_batched_seeds_equal_the_native_ones(spark, options):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choices("ACDEFGHIKLMNPQRSTVWY" + "X" * (i % 3 == 0) + "é" * (i % 7 == 0), k=r.choice([0, 3, 9, 10, 11, 12, 13, 40, 100, 700])))) for i in range(300)]
+    df = spark.createDataFrame([*rows, (9999, None)], "id long, seq string").repartition(3)
+    assert df.filter(~seeds("seq", **options).eqNullSafe(seed_arrays("seq", **options))).count() == 0
+
+
+def test_batches_are_cut_between_sequences():
+    texts = [HBA.encode(), b"", b"ACD", HBB.encode(), HBA.encode()]
+    assert [x.tolist() for x in seeding._chunk_seeds(texts, 10, 12, None)] == [HBA_SEEDS, [], [], HBB_SEEDS, HBA_SEEDS]
+    assert [x.tolist() for x in seeding._chunk_seeds([b"", b"A"], 10, 12, None)] == [[], []]
+
+
 @pytest.mark.parametrize("query,target,want", [
     (HBA, HBA, (733, 1, 142, 1, 142, 142, 100.0, 1.0)),
     (HBA, HBB, (288, 3, 141, 4, 146, 145, 43.448, 0.979)),
