@@ -41,8 +41,39 @@ def paired_header(lengths: Column) -> Column:
     return F.concat(F.lit("#"), F.array_join(F.transform(lengths, lambda n: n.cast("string")), ","), F.lit("\t"), F.array_join(F.transform(lengths, lambda n: F.lit("1")), ","))
 
 
+def pure_residues(seq) -> Column:
+    """Whether a sequence holds standard residues only, and some."""
+    return F.rlike(seq, F.lit("^[ACDEFGHIKLMNPQRSTVWY]+$"))
+
+
+def file_name(name: Column) -> Column:
+    return F.regexp_replace(name, "[^a-zA-Z0-9_.-]", "_")
+
+
+def hit_warnings(identity: Column, coverage: Column) -> list[Column]:
+    """Flags of a hit: identity below 90 %, coverage below 0.8."""
+    return [(identity < 90).alias("low_identity"), (coverage < 0.8).alias("low_coverage")]
+
+
+def mutated(seq: str, key: str, rate: float, seed: int = 1) -> Column:
+    """A sequence with each standard residue replaced by another one with chance ``rate``, by a hash of key, place and
+    seed. Other letters stay."""
+    h = f"((pmod({key}, 65536) * 40503 + i * 2654435761L + {seed * 97}) % 4294967296L)"
+    mixed = f"((({h} ^ shiftright({h}, 15)) * 1103515245L) & 4294967295L)"
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    other = f"substr('{letters}', cast((instr('{letters}', c) + shiftright({mixed}, 16) % 19) % 20 + 1 as int), 1)"
+    return F.expr(f"array_join(transform(split({seq}, ''), (c, i) -> CASE WHEN instr('{letters}', c) > 0 AND {mixed} % 10000 < {round(rate * 10000)} THEN {other} ELSE c END), '')")
+
+
 def register(spark: SparkSession) -> None:
-    """The functions that SQL queries can call by name."""
+    """The functions that SQL queries can call by name: those below, seeds(seq) and sw_align(query, target)."""
+    from .align import align_udf
+    from .seeding import seeds_udf
+
+    spark.udf.register("seeds", seeds_udf())
+    spark.udf.register("sw_align", align_udf)
+    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION organism_of(h STRING) RETURNS STRING RETURN nullif(trim(regexp_extract(h, '(?i)Tax=([^=]*?)\\s+TaxID=', 1)), '')")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION paired_header(n ARRAY<INT>) RETURNS STRING RETURN concat('#', array_join(n, ','), '\t', array_join(array_repeat('1', size(n)), ','))")
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION taxid_of(h STRING) RETURNS STRING RETURN nullif(regexp_extract(h, '(?i)TaxID[=:](\\d+)', 1), '')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION match_states(s STRING) RETURNS INT RETURN length(regexp_replace(s, '[a-z]', ''))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION member_id_of(h STRING) RETURNS STRING RETURN coalesce(nullif(regexp_extract(h, '^(\\\\S+)', 1), ''), h)")

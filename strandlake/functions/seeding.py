@@ -102,7 +102,7 @@ def _chunk_seeds(texts: list[bytes], k: int, target: int, w: int | None) -> list
     return np.split(least[once], np.searchsorted(owner[once], np.arange(1, len(texts))))
 
 
-def seed_arrays(seq: str, k: int = K, target: int = TARGET, w: int | None = None) -> Column:
+def seeds_udf(k: int = K, target: int = TARGET, w: int | None = None):
     """What ``seeds`` gives, by NumPy over Arrow batches. A null sequence has no seeds."""
 
     @F.pandas_udf("array<bigint>")
@@ -121,7 +121,11 @@ def seed_arrays(seq: str, k: int = K, target: int = TARGET, w: int | None = None
                 out += _chunk_seeds(held, k, target, w)
             yield pd.Series(out, dtype=object)
 
-    return run(F.col(seq))
+    return run
+
+
+def seed_arrays(seq: str, **options) -> Column:
+    return seeds_udf(**options)(F.col(seq))
 
 
 def seed_rows(corpus, seq: str = "seq", **options):

@@ -17,6 +17,13 @@ def hits(query_seeds: DataFrame, posted: DataFrame, cap: int = MAX_POSTINGS) ->
     return wanted.join(posted.select("bucket", "residual", "id"), ["bucket", "residual"]).select("query", "ord", "id")
 
 
+def hits_by_seed(query_seeds: DataFrame, posted: DataFrame, cap: int = 2000) -> DataFrame:
+    """As ``hits``, on whole seeds: those with more than ``cap`` postings are passed over."""
+    sizes = posted.groupBy("seed").agg(F.count("*").alias("c")).filter(F.col("c") <= cap).select("seed")
+    wanted = query_seeds.select(F.col("id").alias("query"), "ord", "seed").join(sizes, "seed", "left_semi")
+    return wanted.join(posted.select("seed", "id"), "seed").select("query", "ord", "id")
+
+
 def shared_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("query", "id").agg(F.count("*").alias("shared"), F.min("ord").alias("first_ord"))
 

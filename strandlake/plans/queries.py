@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import headers
+from ..functions.ranges import numbered
 from ..functions.seeding import seed_rows, window_for
 from ..operators import evaluation, index, msa, pairing, search
 from ..sources import corpus as src
 
 TOP = 5
-BITS, CAP = 16, 60
+BITS, CAP, SEED_CAP = 16, 60, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,7 +139,7 @@ def residue_map(spark, d):
 def _chains(spark, d):
     """Halves of every document's letters as rows of two chains, in the columns of their language's first document."""
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("query_id"), src.letters(F.col("text")).alias("s"), F.regexp_extract("source", "[0-9]+", 0).alias("taxid"))
-    rows = docs.withColumn("row_ord", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1)
+    rows = numbered(docs, "query_id", "doc_id", "row_ord").withColumn("row_ord", F.col("row_ord").cast("int"))
     half = F.floor(F.length("s") / 2).cast("int")
     rows = rows.select("query_id", "row_ord", F.concat(F.lit("D"), "doc_id", F.lit(" TaxID="), "taxid").alias("name"), "taxid", F.posexplode(F.array(F.left("s", half), F.right("s", F.length("s") - half))).alias("chain", "s"))
     first = rows.filter("row_ord = 0").select("query_id", "chain", F.col("s").alias("q"))
@@ -258,10 +259,59 @@ def json_output(spark, d):
     return named
 
 
+def _packed(spark, d):
+    """Letters without five that are no residues; an x stays, and its document goes."""
+    return src.packed_scan(whole_corpus(spark, d).withColumn("seq", F.regexp_replace("seq", "[BJOUZ]", "")))
+
+
+def sampled_queries(spark, d):
+    return src.sample_rows(_packed(spark, d), "id", 50).select("id", "seq")
+
+
+def packed_scan(spark, d):
+    return _packed(spark, d).select("id", F.length("seq").alias("n"))
+
+
+def exact_seed_hits(spark, d):
+    p = _posted(spark, d)
+    return search.shared_counts(search.hits_by_seed(p, p, SEED_CAP).filter("query <> id")).select("query", "id", "shared")
+
+
+def point_mutations(spark, d):
+    return turns(spark, d).select("id", headers.mutated("seq", "id", 0.05).alias("seq"))
+
+
+def mutant_recall(spark, d):
+    """Turns with 5 % of their residues replaced: the share whose seeds still find their turn."""
+    t = turns(spark, d)
+    wanted = index.postings(t.select("id", headers.mutated("seq", "id", 0.05).alias("seq")))
+    found = search.hits_by_seed(wanted, index.postings(t)).filter("query = id").select(F.col("query").alias("id")).distinct()
+    return t.select("id").join(found.withColumn("found", F.lit(True)), "id", "left").agg(F.count("*").alias("n"), F.count_if("found").alias("hits"))
+
+
+def quota_sample(spark, d):
+    rows = row_identity(spark, d).select(F.col("msa_id").alias("family"), F.col("row_ord").alias("member"), (100 * F.col("identity")).alias("identity"))
+    return evaluation.quota_per_band(rows, 2, 3).select("family", "member", "band")
+
+
+def depth_summary(spark, d):
+    return evaluation.depth_summary(select_entries(spark, d))
+
+
+def match_state_check(spark, d):
+    rows = _rows(spark, d)
+    return evaluation.bad_rows(rows, rows.filter("row_ord = 0").select("msa_id", headers.match_states(F.col("seq")).alias("q_len")))
+
+
+def hit_warnings(spark, d):
+    return _aligned(spark, d).select("query", "id", *headers.hit_warnings(F.col("identity"), F.col("query_coverage")))
+
+
 QUERIES = [
     corpus_filter, build_counters, seed_windows, minimizers, bucket_histogram, bucket_offsets, posting_plan, dense_ids, shared_counts, topk_candidates, hot_bucket_skip, lookup_stats, resolved_candidates,
     a3m_text, a3m_round_trip, row_metadata, row_identity, query_chains, residue_map, best_per_taxon, paired_block, unpaired_block, paired_header, depth_histogram, select_entries, upper_median, coverage_pct,
     recall_by_band, sw_align, donor_pick, diverse_hits, transfer_rows, greedy_dedup, merge_stats, build_msa, json_output,
+    sampled_queries, packed_scan, exact_seed_hits, point_mutations, mutant_recall, quota_sample, depth_summary, match_state_check, hit_warnings,
 ]
 
 
@@ -303,6 +353,13 @@ pa AS (SELECT a.query_id, CAST(row_number() OVER (PARTITION BY a.query_id ORDER
 _DEPTHS = "dp AS (SELECT CAST(l_partkey AS VARCHAR) AS acc, CAST(count(*) AS DOUBLE) AS depth FROM lineitem GROUP BY 1)"
 _GAPS = "SELECT conv_id * 1000 + turn AS id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM conversations WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 40"
 
+_PACKED = f"SELECT * FROM (SELECT id, regexp_replace(seq, '[BJOUZ]', '', 'g') AS seq FROM ({_DOCS}) WHERE length(seq) >= 40) WHERE length(seq) BETWEEN 50 AND 1500 AND regexp_full_match(seq, '[ACDEFGHIKLMNPQRSTVWY]+')"
+_H = "((((id % 65536) * 40503 + (i - 1) * 2654435761 + 97) % 4294967296))"
+_MIX = f"(((xor({_H}, {_H} >> 15)) * 1103515245) % 4294967296)"
+_MUTANTS = f"SELECT id, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN strpos('ACDEFGHIKLMNPQRSTVWY', seq[i]) > 0 AND {_MIX} % 10000 < 500 THEN substr('ACDEFGHIKLMNPQRSTVWY', (strpos('ACDEFGHIKLMNPQRSTVWY', seq[i]) + ({_MIX} >> 16) % 19) % 20 + 1, 1) ELSE seq[i] END), '') AS seq FROM ({_GAPS})"
+_SELECTED = f"WITH {_DEPTHS}, de AS (SELECT * FROM dp WHERE depth >= 20), mb AS (SELECT CAST(p_partkey AS VARCHAR) AS acc, p_brand AS rep FROM part WHERE CAST(p_partkey AS VARCHAR) NOT LIKE '%7'), pl AS (SELECT acc, depth, rep FROM de LEFT JOIN mb USING (acc)), pk AS (SELECT acc, depth FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY depth DESC, acc) AS n FROM pl WHERE rep IS NOT NULL) WHERE n = 1), al AS (SELECT acc, depth FROM pl WHERE rep IS NULL), st AS (SELECT depth, sum(count(*)) OVER (ORDER BY depth DESC) AS upto FROM al GROUP BY depth), un AS (SELECT * FROM pk UNION ALL SELECT acc, depth FROM al WHERE depth IN (SELECT depth FROM st WHERE upto <= (SELECT greatest(0, 60 - count(*)) FROM pk))) SELECT acc, depth, CAST(row_number() OVER (ORDER BY depth DESC, acc) AS INTEGER) AS rank FROM un QUALIFY rank <= 60"
+_BAND = "CAST(CASE WHEN identity < 30 THEN 0 WHEN identity < 50 THEN 1 WHEN identity < 70 THEN 2 WHEN identity < 80 THEN 3 WHEN identity < 90 THEN 4 WHEN identity < 95 THEN 5 ELSE 6 END AS INTEGER)"
+
 ORACLE = {
     "corpus_filter": f"SELECT id, CAST(length(seq) AS INTEGER) AS n FROM ({_DOCS}) WHERE length(seq) BETWEEN 40 AND 2000",
     "build_counters": f"WITH {_seed_cte(_DOCS)}, q AS (SELECT c.id, n, count(seed) AS k FROM c LEFT JOIN s USING (id) GROUP BY 1, 2) SELECT count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k > 0) AS n_seq, CAST(coalesce(sum(k) FILTER (WHERE n BETWEEN 40 AND 2000), 0) AS BIGINT) AS n_post, count(*) FILTER (WHERE n < 40) AS too_short, count(*) FILTER (WHERE n > 2000) AS too_long, count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k = 0) AS bad_chars FROM q",
@@ -328,7 +385,14 @@ ORACLE = {
     "unpaired_block": f"WITH {_CHAINS}, us AS (SELECT be.query_id, be.chain, be.name FROM be JOIN pa USING (query_id, taxid)), ln AS (SELECT query_id, max(ql) FILTER (WHERE chain = 0) AS l0, max(ql) FILTER (WHERE chain = 1) AS l1 FROM fq GROUP BY 1) SELECT r3.query_id, r3.chain, r3.row_ord, r3.name, CASE WHEN chain = 0 THEN seq || repeat('-', l1) ELSE repeat('-', l0) || seq END AS seq FROM r3 JOIN ln USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM us WHERE us.query_id = r3.query_id AND us.chain = r3.chain AND us.name = r3.name)",
     "paired_header": f"WITH {_CHAINS} SELECT query_id, '#' || string_agg(CAST(ql AS VARCHAR), ',' ORDER BY chain) || chr(9) || string_agg('1', ',') AS header FROM fq GROUP BY 1",
     "depth_histogram": f"WITH {_DEPTHS} SELECT CAST(least(depth, 1048576) AS BIGINT) AS depth_bin, count(*) AS n FROM dp GROUP BY 1",
-    "select_entries": f"WITH {_DEPTHS}, de AS (SELECT * FROM dp WHERE depth >= 20), mb AS (SELECT CAST(p_partkey AS VARCHAR) AS acc, p_brand AS rep FROM part WHERE CAST(p_partkey AS VARCHAR) NOT LIKE '%7'), pl AS (SELECT acc, depth, rep FROM de LEFT JOIN mb USING (acc)), pk AS (SELECT acc, depth FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY depth DESC, acc) AS n FROM pl WHERE rep IS NOT NULL) WHERE n = 1), al AS (SELECT acc, depth FROM pl WHERE rep IS NULL), st AS (SELECT depth, sum(count(*)) OVER (ORDER BY depth DESC) AS upto FROM al GROUP BY depth), un AS (SELECT * FROM pk UNION ALL SELECT acc, depth FROM al WHERE depth IN (SELECT depth FROM st WHERE upto <= (SELECT greatest(0, 60 - count(*)) FROM pk))) SELECT acc, depth, CAST(row_number() OVER (ORDER BY depth DESC, acc) AS INTEGER) AS rank FROM un QUALIFY rank <= 60",
+    "select_entries": _SELECTED,
+    "depth_summary": f"SELECT count(*) AS n, max(depth) AS most, max(depth) FILTER (WHERE rank = n // 2 + 1) AS median, min(depth) AS least FROM (SELECT *, count(*) OVER () AS n FROM ({_SELECTED}))",
+    "sampled_queries": f"SELECT * FROM ({_PACKED}) ORDER BY md5('1:' || id), id LIMIT 50",
+    "packed_scan": f"SELECT id, CAST(length(seq) AS INTEGER) AS n FROM ({_PACKED})",
+    "exact_seed_hits": f"WITH {_SEEDS}, sz AS (SELECT seed FROM s GROUP BY 1 HAVING count(*) <= {SEED_CAP}) SELECT x.id AS query, y.id AS id, count(*) AS shared FROM s x JOIN sz USING (seed) JOIN s y ON x.seed = y.seed AND x.id <> y.id GROUP BY 1, 2",
+    "point_mutations": _MUTANTS,
+    "quota_sample": f"WITH rows_ AS ({_TURN_ROWS}), it AS (SELECT msa_id AS family, row_ord AS member, 100 * identity AS identity FROM ({_IDENT})), b AS (SELECT *, {_BAND} AS band, md5('1:' || family || ':' || member) AS h FROM it), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY family, band ORDER BY h) <= 2) SELECT family, member, band FROM f QUALIFY row_number() OVER (PARTITION BY family ORDER BY h) <= 3",
+    "match_state_check": f"WITH r AS ({_TURN_ROWS}), m AS (SELECT msa_id, row_ord, length(regexp_replace(seq, '[a-z]', '', 'g')) AS k FROM r) SELECT x.msa_id, count(*) AS n, count(*) FILTER (WHERE x.k <> q.k) AS bad FROM m x JOIN m q ON q.msa_id = x.msa_id AND q.row_ord = 0 GROUP BY 1",
     "upper_median": "SELECT l_returnflag AS flag, count(*) AS n, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY 1",
     "coverage_pct": f"WITH {_SEEDS}, {_PAIRS}, m AS (SELECT query, max(shared) AS shared FROM p GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE shared >= 9) AS at_9, count(*) FILTER (WHERE shared >= 6) AS at_6, count(*) FILTER (WHERE shared >= 3) AS at_3 FROM m",
     "recall_by_band": f"WITH rows_ AS ({_TURN_ROWS}), {_seed_cte("SELECT msa_id * 1000 + row_ord AS id, upper(replace(seq, '-', '')) AS seq FROM rows_")}, {_PAIRS}, fo AS (SELECT query, count(*) AS candidates, bool_or(id = (query // 1000) * 1000) AS found FROM p GROUP BY 1), it AS ({_IDENT}), j AS (SELECT msa_id AS family, 100 * identity AS identity, coalesce(found, FALSE) AS found, coalesce(candidates, 0) AS candidates FROM it LEFT JOIN fo ON fo.query = msa_id * 1000 + row_ord) SELECT CAST(CASE WHEN identity < 30 THEN 0 WHEN identity < 50 THEN 1 WHEN identity < 70 THEN 2 WHEN identity < 80 THEN 3 WHEN identity < 90 THEN 4 WHEN identity < 95 THEN 5 ELSE 6 END AS INTEGER) AS band, count(*) AS n, count(DISTINCT family) AS families, count(*) FILTER (WHERE found) AS hits, CAST(sum(candidates) AS BIGINT) AS candidates FROM j GROUP BY 1",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.headers import pure_residues
+from ..functions.ranges import numbered
+
 MIN_LEN, MAX_LEN = 40, 2000
 
 
@@ -80,8 +83,32 @@ def parse_query_input(queries: DataFrame) -> DataFrame:
 
 
 def dense_ids(corpus: DataFrame, shard: str, order: str) -> DataFrame:
-    """Dense 0-based ids: by shard, then order inside it; each window sees one shard, and one the shard totals."""
-    base = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    totals = corpus.groupBy(shard).agg(F.count("*").alias("n")).select(shard, F.coalesce(F.sum("n").over(base), F.lit(0)).alias("base"))
-    local = corpus.withColumn("local", F.row_number().over(Window.partitionBy(shard).orderBy(order)) - 1)
-    return local.join(totals, shard).withColumn("dense_id", F.col("base") + F.col("local")).drop("base", "local")
+    """Dense 0-based ids: by shard, then order inside it; a window sees one range of one shard, and one the shard totals."""
+    base = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = corpus.groupBy(F.col(shard).alias("_shard")).agg(F.count("*").alias("n")).select("_shard", F.coalesce(F.sum("n").over(base), F.lit(0)).alias("base"))
+    local = numbered(corpus, shard, order, "local")
+    return local.join(totals, F.col(shard).eqNullSafe(F.col("_shard"))).withColumn("dense_id", F.col("base") + F.col("local")).drop("_shard", "base", "local")
+
+
+def sample_rows(corpus: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
+    """The n rows of least seeded hash of ``key``: the same ones however the corpus is dealt out."""
+    return corpus.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
+def packed_scan(corpus: DataFrame, low: int = 50, high: int = 1500, most: int = 0) -> DataFrame:
+    """Sequences of low to high residues, all standard; the first ``most`` by id, or all."""
+    kept = length_filter(corpus, low, high).filter(pure_residues("seq"))
+    return kept.orderBy("id").limit(most) if most else kept
+
+
+def write_entry_list(ranked: DataFrame, path: str) -> None:
+    """One accession a line in the order of rank, in one file: the list is bounded by its budget."""
+    ranked.repartition(1).sortWithinPartitions("rank").select("acc").write.text(path)
+
+
+def format_paired_a3m(headers: DataFrame, paired: DataFrame, unpaired: DataFrame, wrap: int = 0) -> DataFrame:
+    """(msa_id, text): the header line (query_id, header), the paired rows in order, then each chain's unpaired ones."""
+    first = paired.select(F.col("query_id").alias("msa_id"), F.struct(F.lit(-1).alias("chain"), F.col("paired_ord").cast("int").alias("ord")).alias("row_ord"), "name", "seq")
+    rest = unpaired.select(F.col("query_id").alias("msa_id"), F.struct(F.col("chain").cast("int").alias("chain"), F.col("row_ord").cast("int").alias("ord")).alias("row_ord"), "name", "seq")
+    bodies = format_a3m(first.unionByName(rest), wrap)
+    return headers.select(F.col("query_id").alias("msa_id"), "header").join(bodies, "msa_id", "left").select("msa_id", F.concat("header", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))

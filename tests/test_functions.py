@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions import frames, headers, seeding
+from strandlake.functions import frames, headers, ranges, seeding
 from strandlake.functions.align import local_alignments
 from strandlake.functions.seeding import seed_arrays, seeds
-from strandlake.operators import evaluation, index, search
+from strandlake.operators import evaluation, index, pairing, search
 from strandlake.sources import corpus as src
 from strandlake.streaming.chains import stream_hits
 
@@ -130,3 +130,49 @@ def test_selection_and_medians(spark):
     clusters = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "c")], "rep string, entry string")
     assert [r.acc for r in evaluation.select_entries(depths, clusters, 3).orderBy("rank").collect()] == ["b", "c", "d"]
     assert evaluation.upper_median(spark.createDataFrame([("x", 1), ("x", 2), ("x", 3), ("x", 4)], "k string, v int"), "k", "v").first().upper_median == 3
+    many = spark.createDataFrame([(None if i % 3 else "x", float(i * 37 % 101)) for i in range(500)], "k string, v double")
+    got = {r.k: (r.n, r.upper_median) for r in evaluation.upper_median(many, "k", "v").collect()}
+    assert got == {k: (len(v), sorted(v)[len(v) // 2]) for k in ("x", None) for v in [[float(i * 37 % 101) for i in range(500) if (i % 3 == 0) == (k == "x")]]}
+
+
+def test_numbering_of_a_hot_group(spark):
+    rows = [("hot" if i % 5 else None, i * 7919 % 1009) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, o long")
+    got = {(r.g, r.o): r.n for r in ranges.numbered(df, "g", "o", "n").collect()}
+    want = {(g, o): n for g in ("hot", None) for n, o in enumerate(sorted(o for k, o in rows if k == g))}
+    assert got == want
+    ids = {(r.g, r.o): r.dense_id for r in src.dense_ids(df, "g", "o").collect()}
+    assert ids == {k: n for n, k in enumerate(sorted(want, key=lambda k: (k[0] is not None, k[0] or "", k[1])))}
+    assert ranges.numbered(df.limit(0), "g", "o", "n").count() == 0
+
+
+def test_best_of_each_taxon(spark):
+    rows = [("q", 0, 1, "a", "AA", "9", 0.5), ("q", 0, 2, "b", "BB", "9", 0.7), ("q", 0, 3, "c", "CC", "9", 0.7), ("q", 0, 4, "d", "DD", None, 1.0)]
+    got = pairing.best_per_taxon(spark.createDataFrame(rows, "query_id string, chain int, row_ord int, name string, seq string, taxid string, identity double")).collect()
+    assert [(r.row_ord, r.name, r.seq, r.seen) for r in got] == [(2, "b", "BB", 1)]
+
+
+def test_study_helpers(spark, tmp_path):
+    df = spark.createDataFrame([(i, HBA) for i in range(60)] + [(99, "ACDX" * 20)], "id long, seq string")
+    moved = df.select("id", "seq", headers.mutated("seq", "id", 0.05).alias("m")).collect()
+    share = sum(a != b for r in moved for a, b in zip(r.seq, r.m, strict=True)) / sum(len(r.seq) for r in moved)
+    assert 0.03 < share < 0.07 and all(len(r.seq) == len(r.m) and r.seq.count("X") == r.m.count("X") for r in moved)
+    assert src.packed_scan(df).count() == 60 and src.packed_scan(df, most=5).count() == 5
+    assert src.sample_rows(df, "id", 7).exceptAll(src.sample_rows(df.repartition(5), "id", 7)).count() == 0
+    ranked = spark.createDataFrame([("a", 9.0, 1), ("b", 5.0, 2), ("c", 4.0, 3), ("d", 1.0, 4)], "acc string, depth double, rank int")
+    assert evaluation.depth_summary(ranked).first()[:] == (4, 9.0, 4.0, 1.0)
+    src.write_entry_list(ranked, str(tmp_path / "list"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "list")).collect()] == ["a", "b", "c", "d"]
+    flags = spark.createDataFrame([(95.0, 0.9), (80.0, 0.7)], "i double, c double").select(*headers.hit_warnings(F.col("i"), F.col("c"))).collect()
+    assert [tuple(r) for r in flags] == [(False, False), (True, True)]
+    assert spark.range(1).select(headers.file_name(F.lit("a b/c"))).first()[0] == "a_b_c"
+    few = evaluation.quota_per_band(spark.createDataFrame([("f", i, 95.0 + i % 2 - 20 * (i % 3)) for i in range(30)], "family string, member int, identity double"), 2, 3)
+    assert few.count() == 3
+    heads, paired = spark.createDataFrame([("q", "#2,2\t1,1")], "query_id string, header string"), spark.createDataFrame([("q", 2, "n", "CC"), ("q", 1, "m", "AA")], "query_id string, paired_ord int, name string, seq string")
+    rest = spark.createDataFrame([("q", 1, 3, "z", "--DD"), ("q", 0, 5, "y", "DD--")], "query_id string, chain int, row_ord int, name string, seq string")
+    assert src.format_paired_a3m(heads, paired, rest).first().text == "#2,2\t1,1\n>m\nAA\n>n\nCC\n>y\nDD--\n>z\n--DD\n"
+    wanted, posted = index.postings(df.filter("id = 3")), index.postings(df)
+    assert search.hits_by_seed(wanted, posted, 60).count() == 720 and search.hits_by_seed(wanted, posted, 59).count() == 0
+    headers.register(spark)
+    got = spark.sql(f"SELECT size(seeds('{HBA}')), sw_align('{HBA}', '{HBB}').score, organism_of('x Tax=A b TaxID=1'), paired_header(array(3, 4))").first()
+    assert got[:] == (12, 288, "A b", "#3,4\t1,1")
