@@ -3,11 +3,12 @@
 Texts with equal shingle sets are joined to one representative first. Each representative's MinHash signature is sorted
 in TREES orders (rotations of the signature). Where signatures agree in their first DEPTH values they form a region;
 inside it, neighbours in the order are those of longest common prefix, so a crowded region is read at the depth at
-which its members differ, and a sparse one at DEPTH. Candidates are a representative's next NEIGHBOURS in each order and
-the least doc_id of its region; every candidate is confirmed on the full shingle sets.
+which its members differ, and a sparse one at DEPTH. Candidates are the least doc_id of a representative's region and its next
+neighbours in each order; every candidate is confirmed on the full shingle sets.
 
-Links with the region's least member are confirmed first. Most of a large group is one component after that, and only
-neighbours in different components remain to be compared.
+Links with the region's least member are confirmed first. Most of a large group is one component after that. The orders
+are then read again, WIDE neighbours deep, for neighbours that are still in different components: a large group costs
+pairs only for those of its members that no link has reached.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ TREES = 24
 DEPTH = 3
 #: Signature values in a sort key.
 DEEPEST = 12
+#: Neighbours in an order on the first reading, which finds the documents with candidates, and on the second.
 NEIGHBOURS = 3
+WIDE = 10
 PERCENT = 80
 #: Sort keys of a range partition, about (40 MB).
 RANGE_ROWS = 500_000
@@ -89,64 +92,64 @@ def _rotated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             order = (np.arange(DEEPEST) + tree * DEPTH) % _VALUES
             keys = np.ascontiguousarray(sig[:, order]).tobytes()
             step = 2 * DEEPEST
-            yield pd.DataFrame({"key": [bytes([tree]) + keys[i : i + step] for i in range(0, len(keys), step)], "doc": batch["doc"], "n": batch["n"]})
+            yield pd.DataFrame({"key": [bytes([tree]) + keys[i : i + step] for i in range(0, len(keys), step)], "doc": batch["doc"], "n": batch["n"], "root": batch["root"]})
 
 
-def _sorted_candidates(part_of: bool):
-    """Over rows in the order of key and doc: each row beside its neighbours and its region's least doc so far. The first
-    and last rows of a partition also go out as they are (b null), to be read once more across partitions."""
+def _sorted_candidates(part_of: bool, width: int):
+    """Over rows in the order of key and doc: each row beside those of its ``width`` neighbours that have another root, and
+    its region's least doc so far. The first and last rows of a partition also go out as they are (b null), to be read once more across partitions."""
     head = 1 + 2 * DEPTH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: list[tuple[bytes, int, int]] = []
+        last: list[tuple[bytes, int, int, int]] = []
         region, least, edge = None, None, []
         count = 0
         for batch in batches:
             a, b, hub = [], [], []
-            for key, doc, n in zip(batch["key"], batch["doc"].tolist(), batch["n"].tolist(), strict=True):
+            for key, doc, n, root in zip(batch["key"], batch["doc"].tolist(), batch["n"].tolist(), batch["root"].tolist(), strict=True):
                 here = key[:head]
                 if here != region:
-                    region, least, last = here, (doc, n), []
+                    region, least, last = here, (doc, n, root), []
                 else:
                     low, high = sorted((n, least[1]))
-                    if least[0] != doc and 100 * low >= PERCENT * high:
+                    if least[2] != root and 100 * low >= PERCENT * high:
                         a.append(doc)
                         b.append(least[0])
                         hub.append(True)
                     if doc < least[0]:
-                        least = (doc, n)
-                for _, other, m in last:
-                    if other != doc and 100 * min(n, m) >= PERCENT * max(n, m):
+                        least = (doc, n, root)
+                for _, other, m, its in last:
+                    if its != root and 100 * min(n, m) >= PERCENT * max(n, m):
                         a.append(doc)
                         b.append(other)
                         hub.append(False)
-                last = [*last, (key, doc, n)][-NEIGHBOURS:]
+                last = [*last, (key, doc, n, root)][-width:]
                 if part_of:
-                    if count < NEIGHBOURS:
-                        edge.append((key, doc, n))
+                    if count < width:
+                        edge.append((key, doc, n, root))
                     count += 1
             if a:
-                yield pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "hub": hub, "key": None, "n": 0})
+                yield pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "hub": hub, "key": None, "n": 0, "root": 0})
         if edge or last:
             ends = {*edge, *last}
             if part_of and ends:
-                yield pd.DataFrame({"a": [e[1] for e in ends], "b": pd.array([None] * len(ends), "Int64"), "hub": False, "key": [e[0] for e in ends], "n": [e[2] for e in ends]})
+                yield pd.DataFrame({"a": [e[1] for e in ends], "b": pd.array([None] * len(ends), "Int64"), "hub": False, "key": [e[0] for e in ends], "n": [e[2] for e in ends], "root": [e[3] for e in ends]})
 
     return run
 
 
-_PAIR = "a long, b long, hub boolean, key binary, n long"
+_PAIR = "a long, b long, hub boolean, key binary, n long, root long"
 
 
-def candidates(reps: DataFrame, count: int) -> DataFrame:
-    """Pairs (a, b, hub) of documents of ``reps`` (doc, n, sig) that one of the orders puts side by side. ``count`` bounds
-    the number of representatives."""
+def candidates(reps: DataFrame, count: int, width: int) -> DataFrame:
+    """Pairs (a, b, hub) of documents of ``reps`` (doc, n, sig, root) with different roots that one of the orders puts
+    within ``width`` places of each other. ``count`` bounds the number of representatives."""
     parts = 1 + TREES * count // RANGE_ROWS
-    rows = reps.mapInPandas(_rotated, "key binary, doc long, n long")
-    first = materialise(rows.repartitionByRange(parts, "key", "doc").sortWithinPartitions("key", "doc").mapInPandas(_sorted_candidates(True), _PAIR))
+    rows = reps.mapInPandas(_rotated, "key binary, doc long, n long, root long")
+    first = materialise(rows.repartitionByRange(parts, "key", "doc").sortWithinPartitions("key", "doc").mapInPandas(_sorted_candidates(True, width), _PAIR))
     # a few rows from each end of each partition: these are read in one task
-    ends = first.filter("b IS NULL").select("key", F.col("a").alias("doc"), "n").distinct().repartition(1).sortWithinPartitions("key", "doc")
-    across = ends.mapInPandas(_sorted_candidates(False), _PAIR)
+    ends = first.filter("b IS NULL").select("key", F.col("a").alias("doc"), "n", "root").distinct().repartition(1).sortWithinPartitions("key", "doc")
+    across = ends.mapInPandas(_sorted_candidates(False, width), _PAIR)
     return first.filter("b IS NOT NULL").select("a", "b", "hub").unionByName(materialise(across.select("a", "b", "hub")))
 
 
@@ -189,7 +192,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = texts(docs)
     described = materialise(rows.mapInPandas(_described, "doc_id long, n long, same binary, sig binary"))
     classes = materialise(described.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.first("sig").alias("sig")))
-    pairs = candidates(classes.select("doc", "n", "sig"), described.count())
+    pairs = candidates(classes.select("doc", "n", "sig", F.col("doc").alias("root")), count := described.count(), NEIGHBOURS)
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = materialise(wanted)
@@ -200,12 +203,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = times.groupBy("a").agg(F.min_by("b", F.struct(-F.col("trees"), "b")).alias("b"))
     first = confirm(best, bodies)
     roots = connected_components(first)
-    root_a, root_b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = (
-        pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        .join(root_a, "a", "left").join(root_b, "b", "left")
-        .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    )
+    sought = classes.join(needed.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "sig", F.coalesce("root", "doc").alias("root"))
+    apart = candidates(sought, count, WIDE).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = first.unionByName(confirm(materialise(apart), bodies))
     final = connected_components(links)
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("n_links"))
