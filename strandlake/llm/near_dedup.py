@@ -30,7 +30,7 @@ DEPTH = 3
 DEEPEST = 12
 #: Neighbours in an order on the first reading, which finds the documents with candidates, and on the second.
 NEIGHBOURS = 3
-WIDE = 10
+WIDE = 24
 PERCENT = 80
 #: Sort keys of a range partition, about (40 MB).
 RANGE_ROWS = 500_000
