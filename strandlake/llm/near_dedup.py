@@ -7,8 +7,8 @@ which its members differ, and a sparse one at DEPTH. Candidates are the least do
 neighbours in each order; every candidate is confirmed on the full shingle sets.
 
 Links with the region's least member are confirmed first. Most of a large group is one component after that. The orders
-are then read again, WIDE neighbours deep, for neighbours that are still in different components: a large group costs
-pairs only for those of its members that no link has reached.
+are then read again, WIDE neighbours deep, for neighbours that are still in different components, each document's
+likeliest one first: a large group costs pairs only for those of its members that no link has reached.
 """
 
 from __future__ import annotations
@@ -204,8 +204,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = confirm(best, bodies)
     roots = connected_components(first)
     sought = classes.join(needed.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "sig", F.coalesce("root", "doc").alias("root"))
-    apart = candidates(sought, count, WIDE).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = first.unionByName(confirm(materialise(apart), bodies))
+    apart = materialise(candidates(sought, count, WIDE).groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("trees")))
+    # each document's likeliest neighbour first: what that links needs none of its other pairs
+    ends = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "trees"))
+    likely = ends.groupBy("a").agg(F.min_by("b", F.struct(-F.col("trees"), "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    linked = first.unionByName(confirm(likely, bodies))
+    roots = connected_components(linked)
+    root_a, root_b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    rest = apart.join(root_a, "a", "left").join(root_b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(likely, ["a", "b"], "left_anti")
+    links = linked.unionByName(confirm(materialise(rest), bodies))
     final = connected_components(links)
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("n_links"))
 
