@@ -1,14 +1,15 @@
-"""MinHash near-duplicates by an LSH forest.
+"""MinHash near-duplicates: an LSH forest links most of each group, an exact set join finds the rest.
 
 Texts with equal shingle sets are joined to one representative first. Each representative's MinHash signature is sorted
 in TREES orders (rotations of the signature). Where signatures agree in their first DEPTH values they form a region;
 inside it, neighbours in the order are those of longest common prefix, so a crowded region is read at the depth at
-which its members differ, and a sparse one at DEPTH. Candidates are the least doc_id of a representative's region and its next
-neighbours in each order; every candidate is confirmed on the full shingle sets.
+which its members differ, and a sparse one at DEPTH. Each document's likeliest neighbour and the likeliest of its regions'
+least members are confirmed on the full shingle sets. Most of a large group is one component after that.
 
-Links with the region's least member are confirmed first. Most of a large group is one component after that. The orders
-are then read again, WIDE neighbours deep, for neighbours that are still in different components, each document's
-likeliest one first: a large group costs pairs only for those of its members that no link has reached.
+The rest is exact. Each set is put in one order, rare shingles first, and two sets of a similarity of PERCENT share one
+of their first shingles (n - ceil(0.8 n) + 1 of n), at places that leave enough behind them for the overlap. All pairs
+of documents in different components that do so are found by a join on these shingles; a pair is left unconfirmed
+only where other links have put both in one component already.
 """
 
 from __future__ import annotations
@@ -28,10 +29,23 @@ TREES = 24
 DEPTH = 3
 #: Signature values in a sort key.
 DEEPEST = 12
-#: Neighbours in an order on the first reading, which finds the documents with candidates, and on the second.
+#: Neighbours in an order that may be linked ahead of the exact join.
 NEIGHBOURS = 3
-WIDE = 24
 PERCENT = 80
+#: Documents whose shingles are counted to put the rare ones first, about, and the slots of the counts.
+SAMPLE = 4000
+SLOTS = 1 << 20
+#: Counts below this in the sample are noise.
+COMMON = 4
+#: Groups of a shingle up to this many rows are compared offset by offset, others row by row.
+SMALL = 64
+#: Words of 64 parity bits of a set: two sets differ in at least as many members as bits.
+PARITY = 8
+#: Words of a larger set, which has both, and the members from which it is one.
+LONG_PARITY = 64
+LONG = 500
+#: Documents of a block when pairs are confirmed, about.
+BLOCK = 256
 #: Sort keys of a range partition, about (40 MB).
 RANGE_ROWS = 500_000
 #: doc_ids that may be broadcast (8 bytes each); beyond, Spark joins by shuffle.
@@ -74,13 +88,48 @@ def signature(found: np.ndarray) -> np.ndarray:
     return ((low ^ (low >> np.uint64(17)) ^ (low >> np.uint64(40))) & np.uint64(0xFFFF)).astype(">u2")
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slots(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(7)) % np.uint64(SLOTS)
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(SLOTS, "i8")
     for batch in batches:
-        out = []
         for text in batch["text"]:
-            found = shingles(text)
-            out.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None, signature(found).tobytes() if len(found) else None))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [x[0] for x in out], "same": [x[1] for x in out], "sig": [x[2] for x in out]})
+            total[np.unique(_slots(shingles(text)))] += 1
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"slot": at, "n": total[at]})
+
+
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """How common the shingles of each slot are, 0 to 255, in a sample. Any values give right results; these put shingles
+    that many documents share last, so that few documents meet at one."""
+    share = max(1, rows.count() // SAMPLE)
+    counted = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").mapInPandas(_counted, "slot long, n long")
+    found = counted.groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).toPandas()
+    out = np.zeros(SLOTS, "u1")
+    out[found["slot"].to_numpy("i8")] = np.minimum(found["n"].to_numpy("i8"), 255)
+    return out
+
+
+def _describing(common: np.ndarray):
+    def prefix(found: np.ndarray) -> np.ndarray:
+        size = len(found) - (PERCENT * len(found) + 99) // 100 + 1
+        return found[np.argsort(common[_slots(found)], kind="stable")[:size]].view("i8")
+
+    def parity(found: np.ndarray, words: int) -> np.ndarray:
+        bits = np.bincount((found >> np.uint64(33)).astype("i8") % (64 * words), minlength=64 * words) & 1
+        return np.packbits(bits.astype("u1")).view("i8")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                found = shingles(text)
+                out.append((len(found), *((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found).tobytes(), prefix(found), parity(found, PARITY), parity(found, LONG_PARITY) if len(found) >= LONG else None) if len(found) else (None,) * 5)))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [x[0] for x in out], "same": [x[1] for x in out], "sig": [x[2] for x in out], "prefix": [x[3] for x in out], "bits": [x[4] for x in out], "more": [x[5] for x in out]})
+
+    return run
 
 
 def _rotated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,30 +202,109 @@ def candidates(reps: DataFrame, count: int, width: int) -> DataFrame:
     return first.filter("b IS NOT NULL").select("a", "b", "hub").unionByName(materialise(across.select("a", "b", "hub")))
 
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[int, np.ndarray] = {}
-
-    def of(doc: int, text: str) -> np.ndarray:
-        if doc not in held:
-            if len(held) >= 256:
-                held.clear()
-            held[doc] = shingles(text)
-        return held[doc]
+def _sharing(rows: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of documents with different roots that share a key where their sets can still be similar. Rows (key, root,
+    doc, n, pos) are in the order of key and root."""
+    first = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+    size = np.diff(np.r_[first, len(rows[0])])
+    mixed = rows[1][first] != rows[1][first + size - 1]
+
+    def able(k, i, j):
+        _, root, doc, n, pos = k
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        fits = (root[i] != root[j]) & (100 * low >= PERCENT * high) & ((100 + PERCENT) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= PERCENT * (n[i] + n[j]))
+        return np.broadcast_to(doc[i], fits.shape)[fits], np.broadcast_to(doc[j], fits.shape)[fits]
+
+    small = tuple(x[np.repeat(mixed & (size <= SMALL), size)] for x in rows)
+    i, step = np.arange(len(small[0])), 1
+    while len(i := i[i + step < len(small[0])]) and len(i := i[small[0][i] == small[0][i + step]]):
+        yield able(small, i, i + step)
+        step += 1
+    for g in np.flatnonzero(mixed & (size > SMALL)):
+        group = tuple(x[first[g] : first[g] + size[g]] for x in rows)
+        runs = np.flatnonzero(np.r_[True, group[1][1:] != group[1][:-1]])
+        widths = np.diff(np.r_[runs, size[g]])
+        # the largest root's members come last: they are compared with all others, but not with each other
+        order = np.concatenate([np.flatnonzero(group[1] != group[1][runs[widths.argmax()]]), np.flatnonzero(group[1] == group[1][runs[widths.argmax()]])])
+        group = tuple(x[order] for x in group)
+        for at in range(size[g] - widths.max()):
+            yield able(group, np.array([at]), np.arange(at + 1, size[g]))
+
+
+def _sets_sharing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def found(rows):
+        a, b, count = [], [], 0
+        for x, y in _sharing(rows):
+            a.append(np.maximum(x, y))
+            b.append(np.minimum(x, y))
+            count += len(x)
+            if count >= 100_000 or len(a) >= 10_000:
+                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+                a, b, count = [], [], 0
+        if count:
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     for batch in batches:
-        keep = []
-        for a, b, s, t in zip(batch["a"].tolist(), batch["b"].tolist(), batch["text_a"], batch["text_b"], strict=True):
-            x, y = of(a, s), of(b, t)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.loc[keep, ["a", "b"]]
+        if not len(batch):
+            continue
+        rows = tuple(batch[c].to_numpy("i8") for c in ("key", "root", "doc", "n", "pos"))
+        held.append(rows)
+        if rows[0][-1] == held[0][0][-1]:  # the last key goes on
+            continue
+        whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))
+        yield from found(tuple(x[:cut] for x in whole))
+        held = [tuple(x[cut:] for x in whole)]
+    if held:
+        yield from found(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def similar_sets(sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of documents of ``sets`` (doc, n, prefix, bits, more, root) with different roots whose sets may have a
+    similarity of PERCENT, a > b: they meet at a key, and their parity bits do not differ too often for it."""
+    rows = sets.select(F.posexplode("prefix").alias("pos", "key"), "root", "doc", "n").select("key", "root", "doc", "n", "pos")
+    pairs = rows.repartition("key").sortWithinPartitions("key", "root").mapInPandas(_sets_sharing, "a long, b long")
+    pairs = pairs.distinct()
+    for bits, words in (("bits", PARITY), ("more", LONG_PARITY)):
+        of = sets.filter(F.col(bits).isNotNull())
+        for x in "ab":
+            pairs = pairs.join(of.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col(bits).alias(f"bits_{x}")), x, "left")
+        differ = [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(words)]
+        fits = (100 + PERCENT) * sum(differ[1:], differ[0]) <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
+        pairs = materialise(pairs.filter(F.coalesce(fits, F.lit(True))).select("a", "b"))
+    return pairs
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose full sets are similar."""
-    left, right = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    return materialise(pairs.join(left, "a").join(right, "b").mapInPandas(_confirmed, "a long, b long").repartition(parts, "a"))
+def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cell, held = None, {}
+    for batch in batches:
+        keep_a, keep_b = [], []
+        for x, y, a, b, text in zip(batch["x"].tolist(), batch["y"].tolist(), batch["a"].tolist(), batch["b"].tolist(), batch["text"], strict=True):
+            if (x, y) != cell:
+                cell, held = (x, y), {}
+            if b < 0:
+                held[a] = shingles(text)
+            else:
+                s, t = held[a], held[b]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= PERCENT * (len(s) + len(t) - both):
+                    keep_a.append(a)
+                    keep_b.append(b)
+        yield pd.DataFrame({"a": keep_a, "b": keep_b}, dtype="i8")
+
+
+def confirm(pairs: DataFrame, bodies: DataFrame, count: int) -> DataFrame:
+    """Those of ``pairs`` whose full sets are similar. Documents are dealt to blocks; each text goes once to each pair of
+    blocks that has pairs of it, so a crowd's texts are not copied for each of its pairs. ``count`` bounds the documents."""
+    blocks = F.lit(1 + count // BLOCK)
+    placed = pairs.select(F.pmod(F.xxhash64("a"), blocks).alias("x"), F.pmod(F.xxhash64("b"), blocks).alias("y"), "a", "b")
+    needed = placed.select("x", "y", F.col("a").alias("doc_id")).unionByName(placed.select("x", "y", F.col("b").alias("doc_id"))).distinct()
+    sent = needed.join(bodies, "doc_id").select("x", "y", F.col("doc_id").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(0).alias("last"), "text")
+    both = sent.unionByName(placed.select("x", "y", "a", "b", F.lit(1).alias("last"), F.lit(None).cast("string").alias("text")))
+    parts = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return materialise(both.repartition("x", "y").sortWithinPartitions("x", "y", "last").drop("last").mapInPandas(_confirmed, "a long, b long").repartition(parts, "a"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -190,29 +318,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     An empty table gives no rows.
     """
     rows = texts(docs)
-    described = materialise(rows.mapInPandas(_described, "doc_id long, n long, same binary, sig binary"))
-    classes = materialise(described.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.first("sig").alias("sig")))
-    pairs = candidates(classes.select("doc", "n", "sig", F.col("doc").alias("root")), count := described.count(), NEIGHBOURS)
-
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = materialise(wanted)
-    needed = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    bodies = materialise(rows.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), compression="zstd")
-
-    times = pairs.filter("hub").groupBy("a", "b").agg(F.count("*").alias("trees"))
-    best = times.groupBy("a").agg(F.min_by("b", F.struct(-F.col("trees"), "b")).alias("b"))
-    first = confirm(best, bodies)
-    roots = connected_components(first)
-    sought = classes.join(needed.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "sig", F.coalesce("root", "doc").alias("root"))
-    apart = materialise(candidates(sought, count, WIDE).groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("trees")))
-    # each document's likeliest neighbour first: what that links needs none of its other pairs
-    ends = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "trees"))
-    likely = ends.groupBy("a").agg(F.min_by("b", F.struct(-F.col("trees"), "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    linked = first.unionByName(confirm(likely, bodies))
-    roots = connected_components(linked)
-    root_a, root_b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = apart.join(root_a, "a", "left").join(root_b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(likely, ["a", "b"], "left_anti")
-    links = linked.unionByName(confirm(materialise(rest), bodies))
+    described = materialise(rows.mapInPandas(_describing(common_shingles(rows)), "doc_id long, n long, same binary, sig binary, prefix array<bigint>, bits array<bigint>, more array<bigint>"))
+    classes = materialise(described.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("more").alias("more")))
+    pairs = candidates(classes.select("doc", "n", "sig", F.col("doc").alias("root")), described.count(), NEIGHBOURS)
+
+    def bodies_of(pairs: DataFrame) -> tuple[DataFrame, int]:
+        wanted = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+        needed = F.broadcast(wanted) if (count := wanted.count()) <= BROADCAST_IDS else wanted
+        return materialise(rows.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), compression="zstd"), count
+
+    times = pairs.groupBy("hub", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("trees"))
+    best = materialise(times.groupBy("hub", "a").agg(F.min_by("b", F.struct(-F.col("trees"), "b")).alias("b")).select("a", "b").distinct())
+    links = confirm(best, *bodies_of(best))
+    roots = connected_components(links)
+
+    rooted = materialise(classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "prefix", "bits", "more", F.coalesce("root", "doc").alias("root")))
+    rest = materialise(similar_sets(rooted).join(best, ["a", "b"], "left_anti"))
+    links = links.unionByName(confirm(rest, *bodies_of(rest)))
     final = connected_components(links)
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("n_links"))
 

@@ -261,6 +261,21 @@ def test_near_duplicates(spark, corpus):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in twice} == got and len(twice) == len(got)
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """A crowd around the threshold, where most places of an order hold documents that aren't similar enough."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = []
+    for i in range(1200):
+        own = list(base)
+        for j in rng.choice(150, rng.integers(4, 7), replace=False):
+            own[j] = f"edit{i}-{j}"
+        rows.append((i + 1, " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows).repartition(4)).collect()}
+    want = brute_components(rows)
+    assert 1 < len({c for _, c, _ in want.values()}) and got == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (300, 100), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
