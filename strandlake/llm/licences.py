@@ -2,7 +2,8 @@
 
 Each sentence of a text, lower-cased and with everything but letters and digits as single spaces, is looked up among the
 known licence sentences. A licence is found where its rule, an ordered run of sentence identifiers, stands in the
-text's run of known identifiers; longer rules hide the shorter rules inside them.
+text's run of known identifiers; longer rules hide the shorter rules inside them. A known sentence may run over several
+of a text's sentences, as lines are wrapped and as it has breaks inside; it begins and ends at breaks.
 """
 
 from __future__ import annotations
@@ -37,6 +38,19 @@ SENTENCES = {
     "b3": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "r1": "all rights reserved",
 }
+# Further wordings of known sentences, from the licences' own texts. The SQL below doesn't know them.
+WORDINGS = {
+    "licensed under the apache license version 2 0 the license": "a1",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "a3",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "a3",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "m3",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "m4",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "c1",
+    "this work is licensed under cc by nc 4 0": "c1",
+    "this work is licensed under cc by 4 0": "c2",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "c3",
+    "this work is licensed under cc by sa 4 0": "c3",
+}
 # Rules, as ordered sentence identifiers.
 RULES = {
     "apache-2.0": (("a1",), ("a1", "a2"), ("a1", "a2", "a3"), ("a1", "a2", "a3", "a4")),
@@ -57,10 +71,17 @@ def license_scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have no sentences. A sentence that occurs twice is listed twice. Rows that repeat a doc_id are
     scanned each on its own; an empty table gives no rows. No row is shuffled, so no source or copy can be a hot key.
     """
-    known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s, k)])
+    wordings = {s: k for k, s in SENTENCES.items()} | WORDINGS
+    known = F.create_map(*[F.lit(x) for s, k in wordings.items() for x in (s, k)], *[F.lit(x) for k in SENTENCES for x in (f"={k}=", k)])
     sentences = F.filter(F.transform(F.split(ascii_lower(F.col("text")), BREAK, -1), lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
     ids = F.filter(F.transform("sentences", lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
-    found = texts(docs).select("doc_id", sentences.alias("sentences")).select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), ids.alias("ids"))
+    found = texts(docs).select("doc_id", sentences.alias("sentences")).select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", "|").alias("run"))
+    # runs of sentences that make a known one become its identifier, longest first
+    found = found.withColumn("flat", F.translate("run", "|", " ")).withColumn("run", F.concat(F.lit("|"), "run", F.lit("|")))
+    for sentence in sorted(wordings, key=len, reverse=True):
+        spread = r"(?<=\|)" + sentence.replace(" ", "[ |]") + r"(?=\|)"
+        found = found.withColumn("run", F.when(F.contains(F.col("flat"), F.lit(sentence)), F.regexp_replace("run", spread, f"={wordings[sentence]}=")).otherwise(F.col("run")))
+    found = found.withColumn("sentences", F.split("run", r"\|", -1)).select("doc_id", "n_sentences", ids.alias("ids"))
     run = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     hits = [F.when(_any(run, rules), F.lit(name)) for name, rules in sorted(RULES.items())]
     return found.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"), F.concat_ws(",", *hits).alias("licenses"))

@@ -133,6 +133,28 @@ def test_licences(spark):
     assert licences.license_scan(empty(docs)).count() == 0
 
 
+def test_standard_licence_texts(spark):
+    import textwrap
+
+    full = {
+        "apache-2.0": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "    http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+        "mit": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+        "gpl-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."),
+        "bsd-2-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    }
+    rows, want = [], {}
+    for name, paragraphs in full.items():
+        for width, lead in ((72, ""), (60, "# "), (5000, "")):
+            text = "Some file.\n\n" + "\n\n".join("\n".join(lead + x for x in textwrap.wrap(p, width)) for p in paragraphs) + "\n\nCode follows"
+            want[len(rows)] = name
+            rows.append((len(rows), text))
+    got = {r.doc_id: r for r in licences.license_scan(frame(spark, rows)).collect()}
+    assert {d: r.licenses for d, r in got.items()} == want
+    assert {got[i].sentence_ids for i in range(3)} == {"a1,a2,a3,a4"} and {got[i].sentence_ids for i in range(6, 9)} == {"g2,g3,g4"}
+    part = "not released\nunder the MIT License or such"
+    assert licences.license_scan(frame(spark, [(1, part)])).first().licenses == ""
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_exact(corpus, name):
     path = public_tokenizers.path(name)
