@@ -2,8 +2,8 @@
 
 Tokens are runs of up to 16 non-blank characters (an ideograph is a token of its own). Of all windows of K tokens those
 are anchors whose least inner run of S tokens stands first or last in the window. Whether a window is an anchor depends
-on its own tokens alone, so an edit moves only the anchors that touch it. The fingerprint holds the ``SKETCH`` anchors
-of least hash, in text order.
+on its own tokens alone, so an edit moves only the anchors that touch it. The fingerprint holds every distinct anchor,
+in the order of first places in the text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from .common import range_bucket, range_splits, read_table, texts
 TOKEN = r"\p{IsIdeographic}|[^\s\p{IsIdeographic}]{1,16}"
 K = 5
 S = 2
-SKETCH = 128
 _MASK = (1 << 48) - 1
 
 
@@ -25,10 +24,11 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fingerprint(text: Column, k: int = K, s: int = S, sketch: int = SKETCH) -> Column:
+def fingerprint(text: Column, k: int = K, s: int = S, sketch: int | None = None) -> Column:
     """Anchors as 12 hexadecimal digits each, space-joined; empty for a text without tokens.
 
-    A text of fewer than k tokens has one anchor, of all of them. Equal texts have equal fingerprints.
+    A text of fewer than k tokens has one anchor, of all of them. Equal texts have equal fingerprints. With ``sketch``,
+    only so many anchors of least hash stay.
     """
     span = k - s
 
@@ -37,7 +37,8 @@ def fingerprint(text: Column, k: int = K, s: int = S, sketch: int = SKETCH) -> C
             last = F.element_at(F.slice(F.sort_array(distinct), sketch, 1), 1)
             return F.when(F.size(distinct) <= sketch, distinct).otherwise(_let(last, lambda most: F.filter(distinct, lambda a: a <= most)))
 
-        return F.array_join(F.transform(_let(F.array_distinct(anchors), chosen), lambda a: F.lpad(F.lower(F.hex(a)), 12, "0")), " ")
+        held = F.array_distinct(anchors) if sketch is None else _let(F.array_distinct(anchors), chosen)
+        return F.array_join(F.transform(held, lambda a: F.lpad(F.lower(F.hex(a)), 12, "0")), " ")
 
     def anchors(th: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(1), F.size(th) - (s - 1)), lambda i: F.xxhash64(F.slice(th, i, s)))
@@ -55,12 +56,14 @@ def fingerprint(text: Column, k: int = K, s: int = S, sketch: int = SKETCH) -> C
     return _let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda th: digits(anchors(th)))
 
 
-def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """Estimated Jaccard similarity of the anchors behind two fingerprints: 1 for equal ones, 0 if just one is empty."""
-    x, y = F.split(a, " "), F.split(b, " ")
-    lowest = F.slice(F.sort_array(F.array_union(x, y)), 1, sketch)
-    shared = F.size(F.array_intersect(lowest, F.array_intersect(x, y)))
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(shared / F.size(lowest))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the anchors of two fingerprints: 1 for equal ones, 0 if just one is empty."""
+
+    def of(x: Column) -> Column:
+        shared = F.size(F.array_intersect(x["a"], x["b"]))
+        return shared / (F.size(x["a"]) + F.size(x["b"]) - shared)
+
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(_let(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), of))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

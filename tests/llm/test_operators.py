@@ -126,6 +126,16 @@ def test_closed_syncmers_are_context_free(spark):
     assert got[1] <= got[2] and len(got[1] - got[3]) <= syncmers.K and 100 < len(got[1]) < 300
 
 
+def test_long_texts_keep_all_anchors(spark):
+    rng = np.random.default_rng(11)
+    one, two, passage = ([f"{p}{x}" for x in rng.integers(0, 10**9, n)] for p, n in (("a", 4000), ("b", 4000), ("c", 100)))
+    rows = [(2, " ".join([*one[:2000], *passage, *one[2000:]])), (1, " ".join([*passage, *two]))]
+    got = {r.doc_id: r for r in syncmers.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    x, y = got[2].fingerprint.split(), got[1].fingerprint.split()
+    both = len({*x} & {*y})
+    assert len(x) > 1500 < len(y) and both >= 30 and got[2].near_next == both / (len(x) + len(y) - both)
+
+
 def test_licences(spark):
     docs = frame(spark, [(1, "Intro.\nReleased under the MIT License.\n"), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, "Licensed under the Apache License, Version 2.0. Unrelated! RELEASED under the MIT license"), (5, "Permission is hereby granted."), (6, "licensed under the apache license")])
     got = {r.doc_id: r.licenses for r in licences.license_scan(docs).collect()}
