@@ -1,7 +1,8 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans. The field then labels the tokens that hold a digit or an @: neighbouring ones form a
-chain, and each token is also tied to the last one like it in the document, however far back (skip edges). Base spans
+chain, and each token is also tied to the last one like it in the document, however far back (skip edges), and to the
+nearest like one that a base span touches (ties), so that labels reach any number of repeats in one step. Base spans
 are evidence; loopy message passing carries it along the edges, so a number that is a phone number in one place is found
 where it stands without its prefix. Spans are added only over tokens that are surely labelled and free of base spans.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,7 +154,8 @@ class SkipChainField:
             return self
         n, eye = len(labels), np.eye(len(LABELS))
         told = np.ones((n, 1))
-        for x, y in ((skip[:, 0], skip[:, 1]), (skip[:, 1], skip[:, 0])):
+        like = np.concatenate([skip, ties(labels, skip)])
+        for x, y in ((like[:, 0], like[:, 1]), (like[:, 1], like[:, 0])):
             told[y[(labels[y] == 0) & (labels[x] > 0)]] = 0
         moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (self.node, self.chain, self.skip)]
         for t in range(1, steps + 1):
@@ -212,6 +215,32 @@ def _joined(docs):
     return (np.concatenate(feats) if feats else np.zeros((0, SLOTS), "i4"), np.concatenate(labels) if labels else np.zeros(0, "i4"), *(np.concatenate(x).reshape(-1, 2) if x else np.zeros((0, 2), "i4") for x in (chain, skip)))
 
 
+def ties(labels: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Edges that join each token without a label to the nearest like one with a label, where no skip edge does."""
+    group: dict[int, int] = {}
+    told: dict[int, list[int]] = {}
+    members: list[tuple[int, int]] = []
+    for x, y in skip.tolist():  # in the order of y
+        head = group[y] = group.get(x, x)
+        for i in (x, y) if x == head and x not in told else (y,):
+            if i == head:
+                told[head] = []
+            if labels[i]:
+                told[head].append(i)
+            else:
+                members.append((head, i))
+    near = {(x, y) for x, y in skip.tolist()}
+    out = []
+    for head, i in members:
+        at = bisect_left(told[head], i)
+        ends = told[head][max(0, at - 1) : at + 1]
+        if ends:
+            e = min(ends, key=lambda e: abs(e - i))
+            if (min(e, i), max(e, i)) not in near:
+                out.append((min(e, i), max(e, i)))
+    return np.array(out, "i4").reshape(-1, 2)
+
+
 def added_spans(found: list[tuple], field: SkipChainField) -> list[list[tuple[int, int, int]]]:
     """Spans the field adds to each document of ``found`` (spans, and what tokens_of gives)."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in found]
@@ -219,7 +248,7 @@ def added_spans(found: list[tuple], field: SkipChainField) -> list[list[tuple[in
     if not any(len(y) for _, y, _, _ in graphs):
         return out
     feats, labels, chain, skip = _joined(graphs)
-    p = field.beliefs(feats, labels, chain, skip)
+    p = field.beliefs(feats, labels, chain, np.concatenate([skip, ties(labels, skip)]))
     at = 0
     for d, (_, (tokens, _, y, _, _)) in enumerate(found):
         for i, (start, end) in enumerate(tokens):

@@ -369,6 +369,14 @@ def test_skip_edges_carry_labels(spark):
     assert not any(r.n_added for i, r in got.items() if i >= 1000)
 
 
+def test_labels_reach_all_repeats(spark):
+    numbers = [f"({i:03d}) 555-{i * 37 % 10000:04d}" for i in range(100, 160)]
+    rows = [(i, f"call +1 {x} today. " + f"filler words and more. Again, {x} is it. " * (50 if i == 7 else 1)) for i, x in enumerate(numbers)]
+    rows += [(1000 + i, f"order 55{i} of 20{i:02d}, token = \"04dbe{i}bab91ab85687d33\" end.") for i in range(60)]
+    got = {r.doc_id: r.n_added for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got[7] >= 50 and got[8] == 1 and not any(got[1000 + i] for i in range(60))
+
+
 def test_null_ids_and_order(spark):
     rows = [(None, "some text here to read"), (None, None), (3, "some text here to read")]
     docs = frame(spark, rows)
