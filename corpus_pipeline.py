@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import materialise, read_table
 from strandlake.llm.decontaminate import drop_contaminated
-from strandlake.llm.line_dedup import line_dedup
+from strandlake.llm.line_dedup import with_kept_text
 from strandlake.llm.near_dedup import keep_one_of_each
 from strandlake.llm.pack import pack_documents
 from strandlake.llm.quality import keep_quality
@@ -24,9 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the text. A document stays even if nothing of it does: near dedup and packing
     have defined results for empty texts."""
-    kept = line_dedup(docs).select(F.col("doc_id").alias("_id"), "kept_text")
-    joined = docs.join(kept.dropDuplicates(["_id"]), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    new = {"text": F.col("_kept_text"), "n_chars": F.char_length("_kept_text").cast("long")}
+    joined = with_kept_text(docs)
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 

@@ -23,27 +23,35 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     doc_id, n_lines, n_dropped, kept_text. Only 128-bit hashes of keys are shuffled, with counts pre-aggregated, so a
     line that a third of all documents hold is one small row from each task.
 
-    A null or empty text is one empty line, which stays. Each row counts as a document; rows that repeat a doc_id with
-    the same text count once each and lose the same lines, by position. A null doc_id counts as a document, is never
-    the largest, and loses no lines. An empty table gives no rows.
+    A null or empty text is one empty line, which stays. Rows that repeat a doc_id are one document, but each row loses
+    the lines of its own text. A null doc_id counts as a document for each row, is never the largest, and loses no
+    lines. An empty table gives no rows.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("lines"))
-    keyed = F.transform("lines", lambda x, i: F.struct(_key(x).alias("key"), i.alias("pos")))
+    return with_kept_text(docs, min_chars, min_docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_n_lines", "_n_dropped", "_kept_text").toDF("doc_id", "n_lines", "n_dropped", "kept_text")
+
+
+def with_kept_text(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of ``docs`` with their own columns, _n_lines, _n_dropped and _kept_text."""
+    doc, text = F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text"), F.lit(""))
+    same = F.unhex(F.md5(text)).alias("same")
+    keyed = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(_key(x).alias("key"), i.alias("pos")))
     long_ones = F.transform(F.filter(keyed, lambda s: F.char_length(s["key"]) >= min_chars), lambda s: F.struct(F.unhex(F.md5(s["key"])).alias("key"), s["pos"].alias("pos")))
-    held = base.select("doc_id", long_ones.alias("held"))
-    counts = held.select("doc_id", F.explode(F.array_distinct(F.transform("held", lambda s: s["key"]))).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    held = docs.select(doc, same, long_ones.alias("held"))
+    in_docs = held.select("doc", F.explode(F.array_distinct(F.transform("held", lambda s: s["key"]))).alias("key")).groupBy("key", "doc").agg(F.count("*").alias("n"))
+    counts = in_docs.groupBy("key").agg(F.sum(F.when(F.col("doc").isNull(), F.col("n")).otherwise(1)).alias("n"), F.max("doc").alias("keeper"))
     common = materialise(counts.filter(F.col("n") >= min_docs).select("key", "keeper"))
+    # rows of one doc_id and one text lose the same lines
     dropped = (
-        held.select("doc_id", F.explode("held").alias("s")).select("doc_id", "s.key", "s.pos")
-        .join(common, "key").filter("doc_id <> keeper")
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("gone"))
+        held.select("doc", "same", F.explode("held").alias("s")).select("doc", "same", "s.key", "s.pos")
+        .join(common, "key").filter("doc <> keeper")
+        .groupBy(F.col("doc").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_set("pos").alias("_gone"))
     )
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
-    joined = base.join(dropped, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "lines", kept.alias("kept"))
+    joined = docs.withColumns({"_lines": F.split(text, "\n", -1), "_md5": same}).join(dropped, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_md5") == F.col("_same")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_gone", F.array().cast("array<int>")))
+    joined = joined.select(*[F.col(c) for c in docs.columns], "_lines", kept.alias("_kept"))
     return joined.select(
-        "doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
-        F.array_join(F.transform("kept", lambda p: F.element_at("lines", p + 1)), "\n").alias("kept_text"),
+        *docs.columns, F.size("_lines").cast("long").alias("_n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("_n_dropped"),
+        F.array_join(F.transform("_kept", lambda p: F.element_at("_lines", p + 1)), "\n").alias("_kept_text"),
     )
 
 

@@ -377,6 +377,17 @@ def test_labels_reach_all_repeats(spark):
     assert got[7] >= 50 and got[8] == 1 and not any(got[1000 + i] for i in range(60))
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    line = "a line of more than twenty characters"
+    rows = [(None, "one"), (None, f"two\n{line}"), (5, f"x\n{line}\ny"), (5, "x\nown line here\ny"), (6, f"{line}\n6")]
+    out = corpus_pipeline.lines(spark, frame(spark, rows), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "one"), (0, f"two\n{line}"), (5, "x\nown line here\ny"), (5, "x\ny"), (6, f"{line}\n6")]
+    twice = line_dedup.line_dedup(frame(spark, [(5, line), (5, line), (6, line)]))
+    assert [r.n_dropped for r in twice.collect()] == [0, 0, 0]
+
+
 def test_null_ids_and_order(spark):
     rows = [(None, "some text here to read"), (None, None), (3, "some text here to read")]
     docs = frame(spark, rows)
