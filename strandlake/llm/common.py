@@ -5,48 +5,61 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-ARROW_ROWS = 1000
 #: The white space that the contracts strip or split at: space, \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
+#: The folders written inside each open ``scratch``.
+_HELD: list[list[str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_arrow_batches(spark: SparkSession) -> None:
-    """Whole texts cross to Python: at most ARROW_ROWS of them at once, so that long ones fit in memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone (other columns, whatever their names, go); a null text reads as empty."""
-    small_arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose doc_id isn't in ``doc_ids`` (one column); null doc_ids stay."""
+    gone = fresh(docs, "gone")
+    return docs.join(doc_ids.toDF(gone), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. All-ASCII values take the byte-wise built-in; others map the 26 letters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors see.
-
-    It lies under ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one machine) is a
-    temporary folder taken.
-    """
+    """A fresh folder that the driver and all executors see, under ``spark.checkpoint.dir`` of the session. Where that is
+    unset, a temporary folder is taken if the session runs on this machine alone, and else an error raised."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'strandlake-checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/strandlake/{uuid.uuid4().hex}"
 
 
@@ -54,10 +67,41 @@ def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    if _HELD:
+        _HELD[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes what ``materialise`` wrote inside. The function that it gives takes the result, and leaves the folders that
+    the result still reads: they go to the scratch around this one, if any, and else stay for the caller to read."""
+    held: list[str] = []
+    kept: list[str] = []
+    _HELD.append(held)
+
+    def result(out: DataFrame) -> DataFrame:
+        files = out.inputFiles()
+        kept.extend(p for p in held if any(os.path.basename(p) in f for f in files))
+        return out
+
+    try:
+        yield result
+    finally:
+        _HELD.pop()
+        for path in held:
+            if path not in kept:
+                remove(spark, path)
+        if _HELD:
+            _HELD[-1].extend(kept)
+
+
 def range_splits(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most ``parts`` - 1 ascending split points of an integer key (bounded driver state)."""
     if parts < 2:

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, read_table
+from .common import ascii_lower, materialise, read_table, without
 
 #: What stands between words, once A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -144,9 +144,12 @@ def decontamination_report(docs: DataFrame, items: DataFrame, window: int = WIND
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose document isn't contaminated (null doc_ids stay)."""
-    bad = decontamination_report(docs, items).filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    """The rows of ``docs``, with their own columns, whose document isn't contaminated.
+
+    Null doc_ids stay, since no single document is to blame. Rows that repeat a doc_id go or stay together. Null and empty
+    texts are clean. Empty tables drop nothing; other columns may have any name.
+    """
+    return without(docs, decontamination_report(docs, items).filter("contaminated AND doc_id IS NOT NULL").select("doc_id"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, materialise, read_table
+from .common import BLANKS, ascii_lower, fresh, materialise, own_columns, read_table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -27,16 +27,20 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     the lines of its own text. A null doc_id counts as a document for each row, is never the largest, and loses no
     lines. An empty table gives no rows.
     """
-    return with_kept_text(docs, min_chars, min_docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_n_lines", "_n_dropped", "_kept_text").toDF("doc_id", "n_lines", "n_dropped", "kept_text")
+    rows, (n_lines, n_dropped, kept) = with_kept_text(docs.select("doc_id", "text"), min_chars, min_docs)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), F.col(kept).alias("kept_text"))
 
 
-def with_kept_text(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The rows of ``docs`` with their own columns, _n_lines, _n_dropped and _kept_text."""
+def with_kept_text(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, list[str]]:
+    """The rows of ``docs`` with their own columns, whatever their names, and three more, whose names are returned: lines,
+    dropped lines, kept text."""
+    names = [fresh(docs, c) for c in ("n_lines", "n_dropped", "kept_text", "lines", "md5", "kept", "doc", "same", "gone")]
+    n_lines, n_dropped, kept_text, lines, md5, kept, of_doc, of_same, gone = names
     doc, text = F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text"), F.lit(""))
-    same = F.unhex(F.md5(text)).alias("same")
+    same = F.unhex(F.md5(text))
     keyed = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(_key(x).alias("key"), i.alias("pos")))
     long_ones = F.transform(F.filter(keyed, lambda s: F.char_length(s["key"]) >= min_chars), lambda s: F.struct(F.unhex(F.md5(s["key"])).alias("key"), s["pos"].alias("pos")))
-    held = docs.select(doc, same, long_ones.alias("held"))
+    held = docs.select(doc, same.alias("same"), long_ones.alias("held"))
     in_docs = held.select("doc", F.explode(F.array_distinct(F.transform("held", lambda s: s["key"]))).alias("key")).groupBy("key", "doc").agg(F.count("*").alias("n"))
     counts = in_docs.groupBy("key").agg(F.sum(F.when(F.col("doc").isNull(), F.col("n")).otherwise(1)).alias("n"), F.max("doc").alias("keeper"))
     common = materialise(counts.filter(F.col("n") >= min_docs).select("key", "keeper"))
@@ -44,15 +48,16 @@ def with_kept_text(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     dropped = (
         held.select("doc", "same", F.explode("held").alias("s")).select("doc", "same", "s.key", "s.pos")
         .join(common, "key").filter("doc <> keeper")
-        .groupBy(F.col("doc").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_set("pos").alias("_gone"))
+        .groupBy(F.col("doc").alias(of_doc), F.col("same").alias(of_same)).agg(F.collect_set("pos").alias(gone))
     )
-    joined = docs.withColumns({"_lines": F.split(text, "\n", -1), "_md5": same}).join(dropped, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_md5") == F.col("_same")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_gone", F.array().cast("array<int>")))
-    joined = joined.select(*[F.col(c) for c in docs.columns], "_lines", kept.alias("_kept"))
-    return joined.select(
-        *docs.columns, F.size("_lines").cast("long").alias("_n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("_n_dropped"),
-        F.array_join(F.transform("_kept", lambda p: F.element_at("_lines", p + 1)), "\n").alias("_kept_text"),
+    joined = docs.withColumns({lines: F.split(text, "\n", -1), md5: same}).join(dropped, (F.col("doc_id").cast("long") == F.col(of_doc)) & (F.col(md5) == F.col(of_same)), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(gone, F.array().cast("array<int>")))
+    joined = joined.select(*own_columns(docs), lines, stay.alias(kept))
+    out = joined.select(
+        *own_columns(docs), F.size(lines).cast("long").alias(n_lines), (F.size(lines) - F.size(kept)).cast("long").alias(n_dropped),
+        F.array_join(F.transform(kept, lambda p: F.element_at(lines, p + 1)), "\n").alias(kept_text),
     )
+    return out, [n_lines, n_dropped, kept_text]
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

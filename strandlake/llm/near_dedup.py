@@ -1,15 +1,15 @@
-"""MinHash near-duplicates: an LSH forest links most of each group, an exact set join finds the rest.
+"""MinHash near-duplicates: an LSH forest finds the candidates, full shingle sets decide.
 
 Texts with equal shingle sets are joined to one representative first. Each representative's MinHash signature is sorted
-in TREES orders (rotations of the signature). Where signatures agree in their first DEPTH values they form a region;
-inside it, neighbours in the order are those of longest common prefix, so a crowded region is read at the depth at
-which its members differ, and a sparse one at DEPTH. Each document's likeliest neighbour and the likeliest of its regions'
-least members are confirmed on the full shingle sets. Most of a large group is one component after that.
-
-The rest is exact. Each set is put in one order, rare shingles first, and two sets of a similarity of PERCENT share one
-of their first shingles (n - ceil(0.8 n) + 1 of n), at places that leave enough behind them for the overlap. All pairs
-of documents in different components that do so are found by a join on these shingles; a pair is left unconfirmed
-only where other links have put both in one component already.
+in TREES orders. Where signatures agree in an order's first DEPTH values they form a region; further values order the
+region, so that neighbours in it are those of longest common prefix and a crowded region is read at the depth at which
+its members differ. Each document's likeliest neighbour, and the likeliest head of the runs that its regions are cut
+into, are confirmed on the full sets. Most of a large group is one component after that.
+
+What neighbours leave is searched exactly: in every region that still holds documents of two components, all pairs
+across components are compared, first by sketches that never overstate how far two sets differ, then on full sets. No
+partner or candidate is capped; a pair is left uncompared only where both documents are in one component already. A pair
+at the threshold shares no region with a chance of (1 - 0.8^DEPTH)^TREES, about 1 in 8 million, and less above it.
 """
 
 from __future__ import annotations
@@ -22,39 +22,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, texts
+from .common import fresh, materialise, own_columns, read_table, scratch, texts, without
 from .components import connected_components
 
-TREES = 24
-DEPTH = 3
-#: Signature values in a sort key.
-DEEPEST = 12
-#: Neighbours in an order that may be linked ahead of the exact join.
-NEIGHBOURS = 3
+TREES = 40
+DEPTH = 5
+#: Values after the first DEPTH that order a region.
+FURTHER = 4
+#: Members of a region that one of them heads.
+RUN = 256
 PERCENT = 80
-#: Documents whose shingles are counted to put the rare ones first, about, and the slots of the counts.
-SAMPLE = 4000
-SLOTS = 1 << 20
-#: Counts below this in the sample are noise.
-COMMON = 4
-#: Groups of a shingle up to this many rows are compared offset by offset, others row by row.
+#: Rows of a region that meet in one task: twice as many, of two blocks.
+BLOCK_ROWS = 2048
+#: Groups up to this many rows are compared offset by offset, others row by row.
 SMALL = 64
-#: Words of 64 parity bits of a set: two sets differ in at least as many members as bits.
-PARITY = 8
-#: Words of a larger set, which has both, and the members from which it is one.
-LONG_PARITY = 64
-LONG = 500
+#: 64-bit words of sketches that are compared at a time.
+WORDS = 2_000_000
 #: Documents of a block when pairs are confirmed, about.
 BLOCK = 256
-#: Sort keys of a range partition, about (40 MB).
+#: Rows of an order in a range partition, about (15 MB).
 RANGE_ROWS = 500_000
-#: doc_ids that may be broadcast (8 bytes each); beyond, Spark joins by shuffle.
-BROADCAST_IDS = 4_000_000
+#: doc_ids that may be broadcast (8 bytes each, some 40 as a hash relation); beyond, Spark joins by shuffle.
+BROADCAST_IDS = 500_000
 
 _VALUES = TREES * DEPTH
 _RNG = np.random.default_rng(8)
-_A = _RNG.integers(1, 2**63, _VALUES, "u8") * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, _VALUES, "u8")
+_A = _RNG.integers(1, 2**31, _VALUES, "u4") * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 2**32, _VALUES, "u4")
+_ORDERS = (np.arange(TREES)[:, None] * DEPTH + np.arange(DEPTH + FURTHER)) % _VALUES
 _LEFT, _RIGHT, _ALONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -81,218 +76,280 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(x ^ (x >> np.uint64(32)))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    low = np.full(_VALUES, 2**64 - 1, "u8")
-    for i in range(0, len(found), 4096):
-        np.minimum(low, (found[i : i + 4096, None] * _A + _B).min(0), out=low)
-    return ((low ^ (low >> np.uint64(17)) ^ (low >> np.uint64(40))) & np.uint64(0xFFFF)).astype(">u2")
+def orders(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each order, a set's region and its place in it: hash of the first DEPTH signature values, and the next FURTHER."""
+    low, x = np.full(_VALUES, 2**32 - 1, "u4"), (found >> np.uint64(32)).astype("u4")
+    for i in range(0, len(x), 1024):
+        np.minimum(low, (x[i : i + 1024, None] * _A + _B).min(0), out=low)
+    values = ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("u8")[_ORDERS]
+    region = np.arange(1, TREES + 1).astype("u8") * _ALONE
+    for d in range(DEPTH):
+        region = (region ^ values[:, d]) * _LEFT
+        region ^= region >> np.uint64(29)
+    place = np.zeros(TREES, "u8")
+    for d in range(DEPTH, DEPTH + FURTHER):
+        place = place << np.uint64(16) | values[:, d]
+    return region.view("i8"), place.view("i8")
 
 
-def _slots(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(7)) % np.uint64(SLOTS)
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of how many members fall on each of 4 to 8 bits a member: two sets differ in at least as many members as
+    sketches in bits. Of two lengths, the longer is folded to the shorter."""
+    bits = 64 << max(0, (len(found) - 1) // 16).bit_length()
+    return np.packbits((np.bincount((found >> np.uint64(11)).astype("i8") & (bits - 1), minlength=bits) & 1).astype("u1")).tobytes()
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(SLOTS, "i8")
-    for batch in batches:
-        for text in batch["text"]:
-            total[np.unique(_slots(shingles(text)))] += 1
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"slot": at, "n": total[at]})
-
-
-def common_shingles(rows: DataFrame) -> np.ndarray:
-    """How common the shingles of each slot are, 0 to 255, in a sample. Any values give right results; these put shingles
-    that many documents share last, so that few documents meet at one."""
-    share = max(1, rows.count() // SAMPLE)
-    counted = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").mapInPandas(_counted, "slot long, n long")
-    found = counted.groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).toPandas()
-    out = np.zeros(SLOTS, "u1")
-    out[found["slot"].to_numpy("i8")] = np.minimum(found["n"].to_numpy("i8"), 255)
-    return out
-
-
-def _describing(common: np.ndarray):
-    def prefix(found: np.ndarray) -> np.ndarray:
-        size = len(found) - (PERCENT * len(found) + 99) // 100 + 1
-        return found[np.argsort(common[_slots(found)], kind="stable")[:size]].view("i8")
+def describe():
+    """Of each text: the size of its set, a 128-bit hash of it, its region and place in each order, its sketch."""
 
-    def parity(found: np.ndarray, words: int) -> np.ndarray:
-        bits = np.bincount((found >> np.uint64(33)).astype("i8") % (64 * words), minlength=64 * words) & 1
-        return np.packbits(bits.astype("u1")).view("i8")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n long, s1 long, s2 long, region array<bigint>, place array<bigint>, bits binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for text in batch:
                 found = shingles(text)
-                out.append((len(found), *((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), signature(found).tobytes(), prefix(found), parity(found, PARITY), parity(found, LONG_PARITY) if len(found) >= LONG else None) if len(found) else (None,) * 5)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [x[0] for x in out], "same": [x[1] for x in out], "sig": [x[2] for x in out], "prefix": [x[3] for x in out], "bits": [x[4] for x in out], "more": [x[5] for x in out]})
-
-    return run
-
-
-def _rotated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if not len(batch):
-            continue
-        sig = np.frombuffer(b"".join(batch["sig"]), ">u2").reshape(len(batch), _VALUES)
-        for tree in range(TREES):
-            order = (np.arange(DEEPEST) + tree * DEPTH) % _VALUES
-            keys = np.ascontiguousarray(sig[:, order]).tobytes()
-            step = 2 * DEEPEST
-            yield pd.DataFrame({"key": [bytes([tree]) + keys[i : i + step] for i in range(0, len(keys), step)], "doc": batch["doc"], "n": batch["n"], "root": batch["root"]})
-
-
-def _sorted_candidates(part_of: bool, width: int):
-    """Over rows in the order of key and doc: each row beside those of its ``width`` neighbours that have another root, and
-    its region's least doc so far. The first and last rows of a partition also go out as they are (b null), to be read once more across partitions."""
-    head = 1 + 2 * DEPTH
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: list[tuple[bytes, int, int, int]] = []
-        region, least, edge = None, None, []
-        count = 0
-        for batch in batches:
-            a, b, hub = [], [], []
-            for key, doc, n, root in zip(batch["key"], batch["doc"].tolist(), batch["n"].tolist(), batch["root"].tolist(), strict=True):
-                here = key[:head]
-                if here != region:
-                    region, least, last = here, (doc, n, root), []
+                if len(found):
+                    out.append((len(found), *np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), "<i8").tolist(), *orders(found), sketch(found)))
                 else:
-                    low, high = sorted((n, least[1]))
-                    if least[2] != root and 100 * low >= PERCENT * high:
-                        a.append(doc)
-                        b.append(least[0])
-                        hub.append(True)
-                    if doc < least[0]:
-                        least = (doc, n, root)
-                for _, other, m, its in last:
-                    if its != root and 100 * min(n, m) >= PERCENT * max(n, m):
-                        a.append(doc)
-                        b.append(other)
-                        hub.append(False)
-                last = [*last, (key, doc, n, root)][-width:]
-                if part_of:
-                    if count < width:
-                        edge.append((key, doc, n, root))
-                    count += 1
-            if a:
-                yield pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "hub": hub, "key": None, "n": 0, "root": 0})
-        if edge or last:
-            ends = {*edge, *last}
-            if part_of and ends:
-                yield pd.DataFrame({"a": [e[1] for e in ends], "b": pd.array([None] * len(ends), "Int64"), "hub": False, "key": [e[0] for e in ends], "n": [e[2] for e in ends], "root": [e[3] for e in ends]})
+                    out.append((0, None, None, None, None, None))
+            n, s1, s2, region, place, bits = zip(*out, strict=True) if out else [()] * 6
+            yield pd.DataFrame({"n": np.array(n, "i8"), "s1": pd.array(s1, "Int64"), "s2": pd.array(s2, "Int64"), "region": pd.Series(region, dtype=object), "place": pd.Series(place, dtype=object), "bits": pd.Series(bits, dtype=object)})
 
     return run
 
 
-_PAIR = "a long, b long, hub boolean, key binary, n long, root long"
-
-
-def candidates(reps: DataFrame, count: int, width: int) -> DataFrame:
-    """Pairs (a, b, hub) of documents of ``reps`` (doc, n, sig, root) with different roots that one of the orders puts
-    within ``width`` places of each other. ``count`` bounds the number of representatives."""
-    parts = 1 + TREES * count // RANGE_ROWS
-    rows = reps.mapInPandas(_rotated, "key binary, doc long, n long, root long")
-    first = materialise(rows.repartitionByRange(parts, "key", "doc").sortWithinPartitions("key", "doc").mapInPandas(_sorted_candidates(True, width), _PAIR))
-    # a few rows from each end of each partition: these are read in one task
-    ends = first.filter("b IS NULL").select("key", F.col("a").alias("doc"), "n", "root").distinct().repartition(1).sortWithinPartitions("key", "doc")
-    across = ends.mapInPandas(_sorted_candidates(False, width), _PAIR)
-    return first.filter("b IS NOT NULL").select("a", "b", "hub").unionByName(materialise(across.select("a", "b", "hub")))
-
-
-def _sharing(rows: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of documents with different roots that share a key where their sets can still be similar. Rows (key, root,
-    doc, n, pos) are in the order of key and root."""
-    first = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
-    size = np.diff(np.r_[first, len(rows[0])])
-    mixed = rows[1][first] != rows[1][first + size - 1]
+def _able(n, m):
+    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
-    def able(k, i, j):
-        _, root, doc, n, pos = k
-        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        fits = (root[i] != root[j]) & (100 * low >= PERCENT * high) & ((100 + PERCENT) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= PERCENT * (n[i] + n[j]))
-        return np.broadcast_to(doc[i], fits.shape)[fits], np.broadcast_to(doc[j], fits.shape)[fits]
-
-    small = tuple(x[np.repeat(mixed & (size <= SMALL), size)] for x in rows)
-    i, step = np.arange(len(small[0])), 1
-    while len(i := i[i + step < len(small[0])]) and len(i := i[small[0][i] == small[0][i + step]]):
-        yield able(small, i, i + step)
-        step += 1
-    for g in np.flatnonzero(mixed & (size > SMALL)):
-        group = tuple(x[first[g] : first[g] + size[g]] for x in rows)
-        runs = np.flatnonzero(np.r_[True, group[1][1:] != group[1][:-1]])
-        widths = np.diff(np.r_[runs, size[g]])
-        # the largest root's members come last: they are compared with all others, but not with each other
-        order = np.concatenate([np.flatnonzero(group[1] != group[1][runs[widths.argmax()]]), np.flatnonzero(group[1] == group[1][runs[widths.argmax()]])])
-        group = tuple(x[order] for x in group)
-        for at in range(size[g] - widths.max()):
-            yield able(group, np.array([at]), np.arange(at + 1, size[g]))
-
-
-def _sets_sharing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def found(rows):
-        a, b, count = [], [], 0
-        for x, y in _sharing(rows):
-            a.append(np.maximum(x, y))
-            b.append(np.minimum(x, y))
-            count += len(x)
-            if count >= 100_000 or len(a) >= 10_000:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-                a, b, count = [], [], 0
-        if count:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over rows in order: pairs (a, b) of neighbours (kind 1) and of rows with their run's head (kind 2) in one region, and
+    the rows (a) that share a region (kind 0; also the first and last row, whose neighbours another task may have)."""
+    last = None  # the row before, not yet out: region, doc, n, whether it joins its predecessor
+    first, seen, start, head = True, 0, 0, (0, 0)
     for batch in batches:
         if not len(batch):
             continue
-        rows = tuple(batch[c].to_numpy("i8") for c in ("key", "root", "doc", "n", "pos"))
-        held.append(rows)
-        if rows[0][-1] == held[0][0][-1]:  # the last key goes on
+        rows = [batch[c].to_numpy("i8") for c in ("region", "doc", "n")]
+        old = 0 if last is None else 1
+        region, doc, n = rows if last is None else (np.r_[x, y] for x, y in zip(last, rows, strict=False))
+        joined = np.r_[bool(old and last[3]), region[1:] == region[:-1]]
+        at = np.arange(len(doc)) + seen - old
+        begun = np.where(joined, -1, at)
+        begun[0] = start if old else at[0]
+        begun = np.maximum.accumulate(begun)
+        lead = begun + (at - begun) // RUN * RUN
+        here = np.maximum(lead - at[0], 0)
+        head_doc, head_n = np.where(lead < at[0], head[0], doc[here]), np.where(lead < at[0], head[1], n[here])
+        i = 1 + np.flatnonzero(joined[1:])
+        i = i[_able(n[i], n[i - 1])]
+        j = old + np.flatnonzero((at - lead > 1)[old:])
+        j = j[_able(n[j], head_n[j])]
+        out = joined[:-1] | joined[1:]
+        if first and len(out):
+            out[0], first = True, False
+        k = np.flatnonzero(out)
+        none = np.zeros(len(i) + len(j), "i8")
+        yield pd.DataFrame({
+            "kind": np.repeat(np.arange(3, dtype="i4"), [len(k), len(i), len(j)]), "region": np.r_[region[k], none],
+            "a": np.r_[doc[k], np.maximum(doc[i], doc[i - 1]), np.maximum(doc[j], head_doc[j])], "b": np.r_[np.zeros(len(k), "i8"), np.minimum(doc[i], doc[i - 1]), np.minimum(doc[j], head_doc[j])],
+        })
+        seen += len(batch)
+        start, head = int(begun[-1]), (int(head_doc[-1]), int(head_n[-1]))
+        last = (region[-1:], doc[-1:], n[-1:], bool(joined[-1]))
+    if last is not None:
+        yield pd.DataFrame({"kind": np.zeros(1, "i4"), "region": last[0], "a": last[1], "b": np.zeros(1, "i8")})
+
+
+class _Sketches:
+    """Sketches of many sets, by length, so that pairs of rows are compared in bulk."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.words = np.array([len(x) // 8 for x in raw], "i8")
+        self.place, parts = {}, {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            rows = np.frombuffer(b"".join(raw[i] for i in own.tolist()), "u8").reshape(-1, w)
+            parts.setdefault(w, []).append((own, rows))
+            if w > 1:
+                parts.setdefault(w // 2, []).append((own, rows[:, : w // 2] ^ rows[:, w // 2 :]))
+        self.rows = {w: np.concatenate([r for _, r in p]) for w, p in parts.items()}
+        for w, p in parts.items():
+            self.place[w] = np.zeros(len(raw), "i8")
+            self.place[w][np.concatenate([o for o, _ in p])] = np.arange(len(self.rows[w]))
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At least how many members pairs of rows, of sizes that allow for a similarity of PERCENT, differ in."""
+        out, level = np.zeros(len(i), "i8"), np.minimum(self.words[i], self.words[j])
+        for w in np.unique(level).tolist():
+            of, place, rows = np.flatnonzero(level == w), self.place[w], self.rows[w]
+            for cut in range(0, len(of), step := max(1, WORDS // w)):
+                k = of[cut : cut + step]
+                out[k] = np.bitwise_count(rows[place[i[k]]] ^ rows[place[j[k]]]).sum(1, dtype="i8")
+        return out
+
+
+def _maybe(sketches: _Sketches, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows, of fitting sizes, may have a similarity of PERCENT."""
+    return (100 + PERCENT) * sketches.differ(i, j) <= (100 - PERCENT) * (n[i] + n[j])
+
+
+def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            count = len(batch)
+            sketches, n = _Sketches([*batch["bits_a"], *batch["bits_b"]]), np.r_[batch["n_a"].to_numpy("i8"), batch["n_b"].to_numpy("i8")]
+            yield batch.loc[_maybe(sketches, n, np.arange(count), np.arange(count) + count), ["a", "b"]]
+
+
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches allow for a similarity of PERCENT."""
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    return materialise(pairs.mapInPandas(_likely, "a long, b long"))
+
+
+def _pairs(key: np.ndarray, root: np.ndarray, side: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key whose roots and sides (-1: a component's bulk, which comes last in its key) allow for
+    comparison and whose sizes for a similarity of PERCENT."""
+
+    def able(i, j):
+        i, j = np.broadcast_arrays(i, j)
+        fits = (root[i] != root[j]) & ((key[i] % 2 == 0) | (side[i] != side[j])) & _able(n[i], n[j])
+        return i[fits], j[fits]
+
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    rows = np.flatnonzero(np.repeat(size <= SMALL, size))
+    stop, step = np.repeat(first + size, size), 1
+    while len(rows := rows[rows + step < stop[rows]]):
+        yield able(rows, rows + step)
+        step += 1
+    for g in np.flatnonzero(size > SMALL).tolist():
+        end = int(first[g] + size[g])
+        for at in range(int(first[g]), end):
+            if side[at] >= 0:
+                yield able(np.array([at]), np.arange(at + 1, end))
+
+
+def _bulk(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    i, j, count = [], [], 0
+    for x, y in found:
+        i.append(x)
+        j.append(y)
+        count += len(x)
+        if count >= most:
+            yield np.concatenate(i), np.concatenate(j)
+            i, j, count = [], [], 0
+    if count:
+        yield np.concatenate(i), np.concatenate(j)
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut between groups (region, x, y): a group is bounded, however large its region."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
             continue
-        whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-        cut = int(np.searchsorted(whole[0], whole[0][-1]))
-        yield from found(tuple(x[:cut] for x in whole))
-        held = [tuple(x[cut:] for x in whole)]
+        group = list(zip(batch["region"], batch["x"], batch["y"], strict=True))
+        cut = len(group)
+        while cut and group[cut - 1] == group[-1]:
+            cut -= 1
+        if held and (cut or (held[0]["region"].iat[-1], held[0]["x"].iat[-1], held[0]["y"].iat[-1]) != group[0]):
+            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
+            held = []
+        elif cut:
+            yield batch.iloc[:cut].reset_index(drop=True)
+        held.append(batch.iloc[cut:])
     if held:
-        yield from found(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
-
-
-def similar_sets(sets: DataFrame) -> DataFrame:
-    """All pairs (a, b) of documents of ``sets`` (doc, n, prefix, bits, more, root) with different roots whose sets may have a
-    similarity of PERCENT, a > b: they meet at a key, and their parity bits do not differ too often for it."""
-    rows = sets.select(F.posexplode("prefix").alias("pos", "key"), "root", "doc", "n").select("key", "root", "doc", "n", "pos")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "root").mapInPandas(_sets_sharing, "a long, b long")
-    pairs = pairs.distinct()
-    for bits, words in (("bits", PARITY), ("more", LONG_PARITY)):
-        of = sets.filter(F.col(bits).isNotNull())
-        for x in "ab":
-            pairs = pairs.join(of.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col(bits).alias(f"bits_{x}")), x, "left")
-        differ = [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(words)]
-        fits = (100 + PERCENT) * sum(differ[1:], differ[0]) <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
-        pairs = materialise(pairs.filter(F.coalesce(fits, F.lit(True))).select("a", "b"))
-    return pairs
+        yield pd.concat(held, ignore_index=True)
+
+
+def _keyed(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """key (even where rows of one side are compared too), root, side, n."""
+    region, x, y = (rows[c].to_numpy("i8") for c in ("region", "x", "y"))
+    fresh = np.r_[True, (region[1:] != region[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+    return (np.cumsum(fresh) * 2 + (x != 0), *(rows[c].to_numpy("i8") for c in ("root", "side", "n")))
+
+
+def _open_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that may be similar to one of another component in their region."""
+    for rows in _whole_groups(batches):
+        key, root, side, n = _keyed(rows)
+        sketches, found = _Sketches(rows["bits"].tolist()), np.zeros(len(rows), bool)
+        for i, j in _bulk(_pairs(key, root, side, n)):
+            good = _maybe(sketches, n, i, j)
+            found[i[good]] = found[j[good]] = True
+        yield rows.loc[found, ["region", "doc"]]
+
+
+def _exact_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links on full sets (bits) that join all similar rows of each group to one component."""
+    for rows in _whole_groups(batches):
+        key, root, side, n = _keyed(rows)
+        sets = [np.frombuffer(x, "u8") for x in rows["bits"]]
+        sketches, doc, links = _Sketches([sketch(s) for s in sets]), rows["doc"].to_numpy("i8"), []
+        upper: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := upper.get(x, x)) != x:
+                upper[x] = upper.get(y, y)
+                x = y
+            return x
+
+        for i, j in _bulk(_pairs(key, root, side, n)):
+            good = _maybe(sketches, n, i, j)
+            for s, t in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                x, y = top(int(root[s])), top(int(root[t]))
+                if x != y and similar(sets[s], sets[t]):
+                    upper[max(x, y)] = min(x, y)
+                    links.append((max(doc[s], doc[t]), min(doc[s], doc[t])))
+        yield pd.DataFrame(links, columns=["a", "b"], dtype="i8")
+
+
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * both >= PERCENT * (len(s) + len(t) - both)
+
+
+def across(rows: DataFrame, bodies: DataFrame, compare, schema: str) -> DataFrame:
+    """Compare all pairs of rows (region, doc, n, root) that have one region and different roots. ``bodies`` (doc, bits) has
+    what is compared. A region's largest component and the rest are each dealt to blocks of about BLOCK_ROWS; a task sees
+    two blocks, of which one at least is of the rest, so no two rows of the largest component meet."""
+    of_root = rows.groupBy("region", "root").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = of_root.groupBy("region").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max("c").alias("main"), F.max_by("root", F.struct("c", "root")).alias("main_root"), F.min("least").alias("least"), F.max("most").alias("most"))
+    fits = (F.col("all") > 2) | (100 * F.col("least") >= PERCENT * F.col("most"))
+    blocks = [F.ceil(x / BLOCK_ROWS).cast("int").alias(y) for x, y in ((F.col("main"), "mains"), (F.col("all") - F.col("main"), "rests"))]
+    mixed = sizes.filter((F.col("roots") > 1) & fits).select("region", "main_root", *blocks)
+    bulk = F.col("root") == F.col("main_root")
+    placed = rows.join(mixed, "region").withColumn("block", F.pmod(F.xxhash64("doc"), F.when(bulk, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+
+    def cell(x, y):
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+    def upto(n):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    with_mains = F.transform(upto("mains"), lambda m: cell(m, F.col("block")))
+    with_rests = F.transform(F.filter(upto("rests"), lambda r: r != F.col("block")), lambda r: cell(-1 - F.least(r, F.col("block")), F.greatest(r, F.col("block"))))
+    cells = F.when(bulk, F.transform(upto("rests"), lambda r: cell(F.col("block"), r))).otherwise(F.concat(with_mains, with_rests))
+    dealt = placed.select("region", "doc", "n", "root", F.when(bulk, -1).otherwise(F.col("block")).alias("side"), F.explode(cells).alias("cell"))
+    full = dealt.join(bodies, "doc").select("region", "cell.x", "cell.y", "doc", "n", "root", "side", "bits")
+    return full.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", F.desc("side")).mapInPandas(compare, schema)
 
 
 def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cell, held = None, {}
     for batch in batches:
-        keep_a, keep_b = [], []
-        for x, y, a, b, text in zip(batch["x"].tolist(), batch["y"].tolist(), batch["a"].tolist(), batch["b"].tolist(), batch["text"], strict=True):
+        links = []
+        for x, y, after, a, b, text in zip(*(batch[c].tolist() for c in ("x", "y", "after", "a", "b", "text")), strict=True):
             if (x, y) != cell:
                 cell, held = (x, y), {}
-            if b < 0:
+            if not after:
                 held[a] = shingles(text)
-            else:
-                s, t = held[a], held[b]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= PERCENT * (len(s) + len(t) - both):
-                    keep_a.append(a)
-                    keep_b.append(b)
-        yield pd.DataFrame({"a": keep_a, "b": keep_b}, dtype="i8")
+            elif similar(held[a], held[b]):
+                links.append((a, b))
+        yield pd.DataFrame(links, columns=["a", "b"], dtype="i8")
 
 
 def confirm(pairs: DataFrame, bodies: DataFrame, count: int) -> DataFrame:
@@ -301,58 +358,103 @@ def confirm(pairs: DataFrame, bodies: DataFrame, count: int) -> DataFrame:
     blocks = F.lit(1 + count // BLOCK)
     placed = pairs.select(F.pmod(F.xxhash64("a"), blocks).alias("x"), F.pmod(F.xxhash64("b"), blocks).alias("y"), "a", "b")
     needed = placed.select("x", "y", F.col("a").alias("doc_id")).unionByName(placed.select("x", "y", F.col("b").alias("doc_id"))).distinct()
-    sent = needed.join(bodies, "doc_id").select("x", "y", F.col("doc_id").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(0).alias("last"), "text")
-    both = sent.unionByName(placed.select("x", "y", "a", "b", F.lit(1).alias("last"), F.lit(None).cast("string").alias("text")))
-    parts = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    return materialise(both.repartition("x", "y").sortWithinPartitions("x", "y", "last").drop("last").mapInPandas(_confirmed, "a long, b long").repartition(parts, "a"))
+    sent = needed.join(bodies, "doc_id").select("x", "y", F.lit(0).alias("after"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), "text")
+    both = sent.unionByName(placed.select("x", "y", F.lit(1).alias("after"), "a", "b", F.lit(None).cast("string").alias("text")))
+    return materialise(both.repartition("x", "y").sortWithinPartitions("x", "y", "after").mapInPandas(_confirmed, "a long, b long"))
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"doc": batch["doc_id"], "bits": [shingles(t).tobytes() for t in batch["text"]]})
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with one row, of the greatest text, for a doc_id that several rows have."""
+    several = materialise(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if not several.limit(1).count():
+        return rows
+    return without(rows, several).unionByName(rows.join(several, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Near-duplicate groups of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, n_links.
+    """Near-duplicate groups of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked whose sets of two-word shingles have a Jaccard similarity of PERCENT or more; a component's
     id is its least doc_id, which is the one kept. Of texts with equal sets one stands for all.
 
     A null or blank text has the empty set and is linked with nothing; a text of one word has the set of that word.
-    Rows that repeat a doc_id are one row (with the greater set). Rows without doc_id are linked with nothing and kept.
-    An empty table gives no rows.
+    Rows that repeat a doc_id are one document, of the greatest text. Rows without doc_id are linked with nothing, kept, and
+    have no component. An empty table gives no rows.
     """
-    rows = texts(docs)
-    described = materialise(rows.mapInPandas(_describing(common_shingles(rows)), "doc_id long, n long, same binary, sig binary, prefix array<bigint>, bits array<bigint>, more array<bigint>"))
-    classes = materialise(described.filter("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("more").alias("more")))
-    pairs = candidates(classes.select("doc", "n", "sig", F.col("doc").alias("root")), described.count(), NEIGHBOURS)
-
-    def bodies_of(pairs: DataFrame) -> tuple[DataFrame, int]:
-        wanted = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-        needed = F.broadcast(wanted) if (count := wanted.count()) <= BROADCAST_IDS else wanted
-        return materialise(rows.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), compression="zstd"), count
-
-    times = pairs.groupBy("hub", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("trees"))
-    best = materialise(times.groupBy("hub", "a").agg(F.min_by("b", F.struct(-F.col("trees"), "b")).alias("b")).select("a", "b").distinct())
-    links = confirm(best, *bodies_of(best))
+    with scratch(docs.sparkSession) as result:
+        return result(_near_duplicates(one_text_each(texts(docs))))
+
+
+def _near_duplicates(rows: DataFrame) -> DataFrame:
+    described = materialise(rows.select("doc_id", describe()("text").alias("d")).select("doc_id", "d.*"))
+    firsts = [F.first(c).alias(c) for c in ("n", "region", "place", "bits")]
+    classes = materialise(described.filter("s1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), *firsts))
+    nodes, count = classes.select("doc", "n"), classes.count()
+
+    def bodies_of(docs: DataFrame) -> tuple[DataFrame, int]:
+        wanted = materialise(docs.toDF("doc_id").distinct())
+        few = wanted.count()
+        return rows.join(F.broadcast(wanted) if few <= BROADCAST_IDS else wanted, "doc_id", "left_semi"), few
+
+    # neighbours in the orders
+    ordered = classes.select("doc", "n", F.explode(F.arrays_zip("region", "place")).alias("o")).select("o.region", "o.place", "doc", "n")
+    ordered = ordered.repartitionByRange(1 + TREES * count // RANGE_ROWS, "region", "place", "doc").sortWithinPartitions("region", "place", "doc")
+    found = materialise(ordered.select("region", "doc", "n").mapInPandas(_neighbours, "kind int, region long, a long, b long"))
+    times = found.filter("kind > 0").groupBy("kind", "a", "b").agg(F.count("*").alias("trees"))
+    both = times.select("kind", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "trees").select("kind", "p.a", "p.b", "trees")
+    best = both.groupBy("kind", "a").agg(F.min_by("b", F.struct(-F.col("trees"), "b")).alias("b"))
+    best = materialise(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = likely(best, classes)
+    links = confirm(pairs, *bodies_of(pairs.select(F.explode(F.array("a", "b")))))
+
+    # all that regions still hold across components
     roots = connected_components(links)
-
-    rooted = materialise(classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "prefix", "bits", "more", F.coalesce("root", "doc").alias("root")))
-    rest = materialise(similar_sets(rooted).join(best, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirm(rest, *bodies_of(rest)))
+    rooted = nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("root", "doc").alias("root"))
+    shared = materialise(found.filter("kind = 0").select("region", F.col("a").alias("doc")).join(rooted, "doc"))
+    open_rows = materialise(across(shared, classes.select("doc", "bits"), _open_rows, "region long, doc long").distinct())
+    wanted, few = bodies_of(open_rows.select("doc"))
+    if few:
+        sets = materialise(wanted.mapInPandas(_sets, "doc long, bits binary"))
+        links = links.unionByName(materialise(across(open_rows.join(shared, ["region", "doc"]), sets, _exact_links, "a long, b long")))
     final = connected_components(links)
-    degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("n_links"))
 
-    labels = classes.select("same", "doc").join(final, F.col("doc") == F.col("node"), "left").join(degree, "doc", "left").select("same", F.coalesce("root", "doc").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = described.select("doc_id", "n", "same").join(labels, "same", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    known = out.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
-    unknown = out.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return known.unionByName(unknown).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labels = classes.select("s1", "s2", "doc").join(final, F.col("doc") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "doc").alias("root"))
+    out = described.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(labels, ["s1", "s2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their own columns, of one document of each near-duplicate group."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, with their own columns, of one document of each near-duplicate group.
+
+    A kept document that several rows have keeps one of them: of the greatest text, then of the greatest other columns.
+    Rows without doc_id and rows of blank texts stay. An empty table stays empty; other columns may have any name.
+    """
+    with scratch(docs.sparkSession) as result:
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+        several = materialise(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+        gone = materialise(near_duplicates(docs).filter("NOT kept").select("doc_id"))
+        kept = without(docs, gone)
+        if several.limit(1).count():
+            name, row = fresh(docs, "several"), fresh(docs, "row")
+            again = without_others(kept, several, name)
+            key = F.struct(F.col("text"), *[F.to_json(F.struct(c)) for c in own_columns(docs)])
+            one = again.groupBy(F.col("doc_id").alias(name)).agg(F.max_by(F.struct(*own_columns(docs)), key).alias(row))
+            kept = without(kept, several).unionByName(one.select(f"{row}.*"))
+        return result(kept)
+
+
+def without_others(docs: DataFrame, doc_ids: DataFrame, name: str) -> DataFrame:
+    return docs.join(doc_ids.toDF(name), F.col("doc_id").cast("long") == F.col(name), "left_semi")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 #: The same rows, for DuckDB, by comparing all pairs that share a shingle.

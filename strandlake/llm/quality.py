@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_arrow_batches, texts
+from .common import read_table, texts
 
 #: Labelled rows to learn from, at most: those of least hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -133,7 +133,7 @@ class AdditiveModel:
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"label": batch["label"], "x": [features(t) for t in batch["text"]]})
+        yield pd.DataFrame({"label": batch["label"], "h": batch["h"], "x": [features(t) for t in batch["text"]]})
 
 
 def fold(doc_id: Column) -> Column:
@@ -145,24 +145,32 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Add
     least hash of doc_id, which bounds what the driver holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isNotNull() & (fold(F.col("doc_id")) != 0))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("label", "text").mapInPandas(_featured, "label int, x array<double>").limit(2 * max_rows).toPandas()
+    held = texts(docs).join(F.broadcast(chosen), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("h"), "text")
+    # rows that repeat a labelled doc_id are each learned from, unless that makes too many: those of least hash stay
+    rows = held.mapInPandas(_featured, "label int, h long, x array<double>").orderBy("h", "label").limit(max_rows).toPandas()
     # the order in which rows arrive must not matter
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES))
     order = np.lexsort([*x.T, rows["label"].to_numpy()])
     return AdditiveModel().fit(x[order], rows["label"].to_numpy("f8")[order])
 
 
-def score(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out (fold 0), score, predicted of each row of ``docs`` (doc_id, text)."""
+def scorer(model: AdditiveModel):
+    """The model's score of a text column; a null text is empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            if len(batch):
-                x = np.array([features(t) for t in batch["text"]])
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": model.score(x)})
+            x = np.array([features(t or "") for t in batch]).reshape(len(batch), len(FEATURES))
+            yield pd.Series(model.score(x))
+
+    return run
 
-    rows = texts(docs).withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+def score(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out (fold 0), score, predicted of each row of ``docs`` (doc_id, text)."""
+    held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
+    scored = texts(docs).select("doc_id", held_out, scorer(model)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,19 +184,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that the classifier predicts 1."""
-    model = train(docs if corpus is None else corpus, labels)
-    small_arrow_batches(docs.sparkSession)
-    names = docs.columns
-    types = docs.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.array([features(t or "") for t in batch["text"]])
-                yield batch[model.score(x) >= THRESHOLD]
+    """The rows of ``docs``, with their own columns, that the classifier predicts 1.
 
-    return docs.select(*names).mapInPandas(run, types)
+    It learns from the labelled rows of ``corpus``, or of ``docs``. Null and empty texts are scored like any other; rows
+    that repeat a doc_id each on their own; null doc_ids are never learned from. An empty table stays empty; other
+    columns, whatever their names, are not looked at.
+    """
+    return docs.filter(scorer(train(docs if corpus is None else corpus, labels))("text") >= THRESHOLD)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
