@@ -26,12 +26,27 @@ MAX_QUEUES = 1024
 
 
 class Mixture:
-    """Where the windows' ends stand in every queue."""
+    """Where the windows' ends stand in every queue. ``shares``: the queues' target proportions, or None for their own."""
 
-    def __init__(self, totals: list[int], length: int = LENGTH) -> None:
+    #: Numbers of a table that is held at a time.
+    cells = 1_000_000
+
+    def __init__(self, totals: list[int], length: int = LENGTH, shares: list[float] | None = None) -> None:
         self.totals = np.array(totals, "i8")
         self.length = length
         self.all = int(self.totals.sum())
+        self.shares = np.array(totals if shares is None else shares, "f8")
+        if (self.shares[self.totals > 0] <= 0).any():
+            raise ValueError("a source's share must be positive")
+        self.shares = np.where(self.totals > 0, self.shares / max(self.shares[self.totals > 0].sum(), 1e-300), 1.0)
+        # queues in the order in which they run out: until when, and the tokens served by then
+        over = self.totals / self.shares
+        turn = np.argsort(over, kind="stable")
+        self.over = over[turn]
+        self.gone = np.r_[0, np.cumsum(self.totals[turn])].astype("f8")
+        live = np.where(self.totals > 0, self.shares, 0.0)[turn]
+        self.rate = np.r_[live[::-1].cumsum()[::-1], 0.0]
+        self.by = self.gone[:-1] + self.over * self.rate[:-1]
         self.full, rest = divmod(self.all, length)
         ends = [self.full * length]
         for bit in reversed(range(rest.bit_length())):  # the rest needs no padding: sequences of powers of two
@@ -44,47 +59,72 @@ class Mixture:
         """Tokens before each sequence."""
         return np.where(sequence <= self.full, sequence * self.length, self.tail[np.clip(sequence - self.full, 0, len(self.tail) - 1)])
 
+    def time(self, tokens: np.ndarray) -> np.ndarray:
+        """The virtual time at which about so many tokens have been served."""
+        k = np.minimum(np.searchsorted(self.by, tokens, "left"), len(self.over) - 1)
+        return np.where(self.rate[k] > 0, (tokens - self.gone[k]) / np.where(self.rate[k] > 0, self.rate[k], 1), self.over[k])
+
+    def rank(self, time: np.ndarray) -> np.ndarray:
+        """About how many tokens have been served by a virtual time: half a token in each queue more or less."""
+        k = np.searchsorted(self.over, time, "left")
+        return self.gone[k] + time * self.rate[k]
+
     def served(self, tokens: np.ndarray) -> np.ndarray:
         """A row for each number of tokens: how many of them each queue gave, those due first, ties by queue."""
-        w = self.totals[None, :]
-        a = np.clip(np.floor(tokens[:, None] / max(1, self.all) * w + 0.5).astype("i8"), 0, w)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            while True:
-                last = np.where(a > 0, (2 * a - 1) / (2 * w), -np.inf)
-                due = np.where(a < w, (2 * a + 1) / (2 * w), np.inf)
-                out = last.shape[1] - 1 - last[:, ::-1].argmax(1)
-                into = due.argmin(1)
-                row = np.arange(len(a))
-                x, y = last[row, out], due[row, into]
-                short = tokens - a.sum(1)
-                swap = (short == 0) & ((x > y) | ((x == y) & (out > into)))
-                if not (short.any() or swap.any()):
-                    return a
-                np.add.at(a, (row[(short > 0) | swap], into[(short > 0) | swap]), 1)
-                np.add.at(a, (row[(short < 0) | swap], out[(short < 0) | swap]), -1)
+        w, share = self.totals[None, :], self.shares[None, :]
+        a = np.clip(np.floor(self.time(tokens)[:, None] * share + 0.5).astype("i8"), 0, w)
+        while True:
+            last = np.where(a > 0, (2 * a - 1) / (2 * share), -np.inf)
+            due = np.where(a < w, (2 * a + 1) / (2 * share), np.inf)
+            out = last.shape[1] - 1 - last[:, ::-1].argmax(1)
+            into = due.argmin(1)
+            row = np.arange(len(a))
+            x, y = last[row, out], due[row, into]
+            short = tokens - a.sum(1)
+            swap = (short == 0) & ((x > y) | ((x == y) & (out > into)))
+            if not (short.any() or swap.any()):
+                return a
+            np.add.at(a, (row[(short > 0) | swap], into[(short > 0) | swap]), 1)
+            np.add.at(a, (row[(short < 0) | swap], out[(short < 0) | swap]), -1)
+
+    def _touched(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs, and for each the sequences that may hold tokens of it, by the ranks of tokens half a sequence apart or less: no
+        more sequences than a few times its tokens, however many lie between its first and last."""
+        stride = np.maximum(1, (self.shares * self.length / 2).astype("i8"))[queue]
+        count = np.where(size > 0, (size - 1) // stride + 2, 0)
+        run = np.repeat(np.arange(len(queue)), count)
+        place = (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)) * stride[run]
+        place = start[run] + np.minimum(place, size[run] - 1)
+        rank = self.rank((place + 0.5) / self.shares[queue][run])
+        guess = np.where(rank >= self.tail[0], self.full + np.searchsorted(self.tail[1:], rank, "right"), rank // self.length).astype("i8")
+        new = np.r_[True, (run[1:] != run[:-1]) | (guess[1:] != guess[:-1])] if len(run) else np.zeros(0, bool)
+        run, guess = run[new], guess[new]
+        slack = 2 + len(self.totals) // self.length
+        near = (guess[:, None] + np.arange(-slack, slack + 1)).ravel()
+        by_tail = np.flatnonzero(guess >= self.full - slack)  # short sequences: any of them
+        ends = np.arange(self.full, self.count)
+        run = np.r_[np.repeat(run, 2 * slack + 1), np.repeat(run[by_tail], len(ends))]
+        near = np.r_[near, np.tile(ends, len(by_tail))]
+        own = (near >= 0) & (near < self.count)
+        pairs = np.unique(run[own] * (self.count + 1) + near[own])
+        return pairs // (self.count + 1), pairs % (self.count + 1)
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Cut runs [start, start + size) of queues at the windows: run, first position in the run, length, sequence, offset."""
-        share = self.totals[queue] / max(1, self.all) * self.length
-        slack = len(self.totals) + 2
-        low = np.clip(np.floor((start - slack) / share).astype("i8") - 1, 0, self.count)
-        high = np.clip(np.ceil((start + size + slack) / share).astype("i8") + 1 + len(self.tail), 0, self.count)
-        wanted = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high, strict=True)]))
-        table = self.served(self.end(wanted))
-        run, first, length, sequence, offset = [], [], [], [], []
-        for r in range(len(queue)):
-            j = queue[r]
-            i0, i1 = np.searchsorted(wanted, [low[r], high[r]])
-            marks = table[i0 : i1 + 1, j]
-            begin, stop = np.maximum(marks[:-1], start[r]), np.minimum(marks[1:], start[r] + size[r])
+        runs, sequences = self._touched(queue, start, size)
+        found = []
+        for at in range(0, len(runs), step := max(1, self.cells // max(1, len(self.totals)))):
+            run, sequence = runs[at : at + step], sequences[at : at + step]
+            marks = np.unique(np.concatenate([sequence, sequence + 1]))
+            table = self.served(self.end(marks))
+            low, high = table[np.searchsorted(marks, sequence)], table[np.searchsorted(marks, sequence + 1)]
+            row, j = np.arange(len(run)), queue[run]
+            begin, stop = np.maximum(low[row, j], start[run]), np.minimum(high[row, j], start[run] + size[run])
+            given = (high - low).cumsum(1)
+            offset = given[row, j] - (high[row, j] - low[row, j]) + begin - low[row, j]
             k = np.flatnonzero(stop > begin)
-            before = (table[i0 + k + 1, :j] - table[i0 + k, :j]).sum(1)
-            run.append(np.full(len(k), r))
-            first.append(begin[k] - start[r])
-            length.append((stop - begin)[k])
-            sequence.append(wanted[i0 + k])
-            offset.append(before + begin[k] - marks[k])
-        return tuple(np.concatenate(x) if x else np.zeros(0, "i8") for x in (run, first, length, sequence, offset))
+            found.append((run[k], (begin - start[run])[k], (stop - begin)[k], sequence[k], offset[k]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, "i8"),) * 5
 
 
 def _encoded(path: str, end_id: int):
@@ -118,31 +158,37 @@ def _wide(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, f"<u{ids[0]}", offset=1).astype("<u4")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, targets: dict[str | None, float] | None = None) -> DataFrame:
     """Pack every document's ids, with ``end_id`` after each, into sequences of ``length``.
 
     ``docs`` needs doc_id, text and source; ``tokenizer`` is the path of a tokenizers file. Returns a row for each
     piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids with ``with_ids``). Each id lies in
     one piece; all sequences are full, but that the rest is cut into sequences of powers of two.
 
+    Every window holds the sources in the proportions of ``targets`` (source: weight; a source without one has the weight 1),
+    as long as they last, or else in those of the corpus.
+
     Null and empty texts are the end id alone. A null source is a source like any other. Rows that repeat a doc_id are
     packed each on its own. An empty table gives no rows. Queues go by the order of the rows in the table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("queue"))
     if rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
+        if targets:
+            raise ValueError(f"targets are for at most {MAX_QUEUES} sources")
         rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
     encoded = materialise(rows.mapInPandas(_encoded(tokenizer, end_id), "doc_id long, queue string, part int, within long, n long, ids binary"), compression="zstd")
     parts = encoded.groupBy("queue", "part").agg(F.sum("n").alias("total"))
     totals = {r["queue"]: r["total"] for r in parts.groupBy("queue").agg(F.sum("total").alias("total")).collect()}  # MAX_QUEUES rows at most
     names = sorted(totals)
-    mixture, number = Mixture([totals[q] for q in names], length), {q: i for i, q in enumerate(names)}
+    weights = {"" if s is None else f"s{s}": w for s, w in (targets or {}).items()}
+    mixture, number = Mixture([totals[q] for q in names], length, [weights.get(q, 1.0) for q in names] if targets else None), {q: i for i, q in enumerate(names)}
     upto = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("queue", "part", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))  # a row for each queue and input split
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        from .bpe import small_batches
+
+        for batch in (whole.iloc[c] for whole in batches for c in small_batches(whole["n"].tolist(), 500_000)):
             queue = batch["queue"].map(number).to_numpy("i8")
             run, first, size, sequence, offset = mixture.pieces(queue, (batch["base"] + batch["within"]).to_numpy("i8"), batch["n"].to_numpy("i8"))
             raw, parts_of, crc, at = batch["ids"].tolist(), [], [], -1
