@@ -4,14 +4,14 @@ Every window of L words that a benchmark item and a document share holds the sam
 the documents' winnowed grams joined to the items' find each shared window. A hit is then extended to the whole
 windows around it, which are compared word by word.
 
-The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK_WORDS`` words, each small enough to be
-broadcast, so documents are never shuffled and a passage that a third of all documents hold costs no hot key. A Bloom
-filter of the block's fingerprints spares most grams of a document the look at their windows.
+Documents are read once, whatever the benchmark's size. A Bloom filter of the benchmark's fingerprints, of bounded size,
+spares most grams of a document the look at their windows. Fingerprints and windows are broadcast up to a checked number
+of rows, so that a passage that a third of all documents hold costs no hot key; beyond it they are joined by shuffle,
+where adaptive execution splits such keys.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +23,11 @@ from .common import ascii_lower, materialise, read_table, without
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 GRAM = 5
-#: Words of benchmark in a broadcast block: some 10 MB of window strings.
-BLOCK_WORDS = 100_000
+#: Bits of the Bloom filter, at most (4 MB): 32 a fingerprint while they last.
+BLOOM_BITS = 1 << 25
+#: Fingerprints (16 bytes each) and windows (some 100 bytes each) that may be broadcast.
+BROADCAST_MARKS = 500_000
+BROADCAST_WINDOWS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -75,8 +78,8 @@ def _points(words: Column, size: Column, length: int, bits: Column | None = None
 
 
 def _bloom(marks: DataFrame, count: int) -> tuple[Column, int]:
-    """A bit array of 32 bits or more for each of ``count`` marks, as a literal. Its size is bounded by the block's."""
-    n_bits = 1 << max(10, (32 * count).bit_length())
+    """A bit array of 32 bits or more for each of ``count`` marks, BLOOM_BITS at most, as a literal."""
+    n_bits = min(BLOOM_BITS, 1 << max(10, (32 * count).bit_length()))
     at = F.col("h").bitwiseAND(F.lit(n_bits - 1))
     set_bits = {r["word"]: r["bits"] for r in marks.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect()}
     return F.from_json(F.lit(str([set_bits.get(i, 0) for i in range(n_bits // 64)])), "array<bigint>"), n_bits
@@ -86,49 +89,49 @@ def _joined(words: Column, i, length) -> Column:
     return F.array_join(F.slice(words, i, length), " ")
 
 
-def decontamination_report(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _near(df: DataFrame, rows: int, most: int) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
+
+
+def decontamination_report(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast: tuple[int, int] = (BROADCAST_MARKS, BROADCAST_WINDOWS)) -> DataFrame:
     """Contamination of each document by benchmark items.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are ignored. A window is ``window``
     consecutive words of an item; an item of fewer, but not none, is one window. Returns doc_id, n_words, n_hit (words
     inside an occurrence of any window), n_items, items_sha256 (of the item_ids, sorted as strings and comma-joined),
-    contaminated (n_hit > 0 and 20 * n_hit >= n_words) and item_ids.
+    contaminated (n_hit > 0 and 20 * n_hit >= n_words) and item_ids. ``broadcast``: fingerprints and windows that may be
+    broadcast.
 
     Null and empty texts have no words: such documents have zeros and are clean, such items have no windows. Rows that
     repeat a doc_id give one row that holds their hits together and the greatest n_words. Empty tables give no rows or
     all-clean rows. A null item_id's windows count as hits but name no item.
     """
     items = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).select("item_id", "w", F.size("w").alias("n")).filter("n > 0")
-    # n values under the window length: at most `window` - 1 short lengths, and the full one
-    found = items.groupBy(F.least("n", F.lit(window)).alias("len")).agg(F.sum("n").alias("total")).collect()
-    lengths = sorted(r["len"] for r in found)
-    blocks = max(1, math.ceil(sum(r["total"] for r in found) / block_words))
-    if not lengths:
-        lengths = [window]
+    # at most `window` - 1 short lengths, and the full one
+    lengths = sorted(r["len"] for r in items.select(F.least("n", F.lit(window)).alias("len")).distinct().collect()) or [window]
+    marks = materialise(reduce(DataFrame.unionByName, [items.filter(F.col("n") >= x if x == window else F.col("n") == x).select(F.explode(_points(F.col("w"), F.col("n"), x)).alias("p")).select("p.len", "p.h") for x in lengths]).distinct())
+    windows = materialise(
+        items.withColumn("len", F.least("n", F.lit(window)))
+        .select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("len") + 1), lambda i: _joined(F.col("w"), i, F.col("len")))).alias("gram"))
+        .groupBy("gram").agg(F.collect_set("item_id").alias("ids"))
+    )
+    n_marks = marks.count()
+    bits, n_bits = _bloom(marks, n_marks)
 
+    # a row for each document and for each fingerprint of it that may be the benchmark's; documents' own rows have keys of
+    # their own, which match nothing
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    marker = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("held")))
-    parts = []
-    for block in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        marks = reduce(DataFrame.unionByName, [own.filter(F.col("n") >= x if x == window else F.col("n") == x).select(F.explode(_points(F.col("w"), F.col("n"), x)).alias("p")).select("p.len", "p.h") for x in lengths]).distinct()
-        marks = materialise(marks)
-        bits, n_bits = _bloom(marks, marks.count())
-        points = base.select("doc_id", "n", F.explode(F.concat(marker, *[_points(F.col("w"), F.col("n"), x, bits, n_bits) for x in lengths])).alias("p")).select("doc_id", "n", "p.*")
-        windows = (
-            own.withColumn("len", F.least("n", F.lit(window)))
-            .select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("len") + 1), lambda i: _joined(F.col("w"), i, F.col("len")))).alias("gram"))
-            .groupBy("gram").agg(F.collect_set("item_id").alias("ids"))
-        )
-        marked = points.join(F.broadcast(marks.withColumn("marked", F.lit(True))), ["len", "h"], "left").filter("marked OR len = 0")
-        starts = marked.select(
-            "doc_id", "n", "len", "first",
-            F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("held") - F.col("len")), lambda j: F.struct(j.alias("j"), _joined(F.col("held"), j + 1, F.col("len")).alias("gram")))).alias("s"),
-        ).select("doc_id", "n", "len", (F.col("first") + F.col("s.j")).alias("start"), F.col("s.gram").alias("gram"))
-        parts.append(starts.join(F.broadcast(windows), "gram", "left").filter("ids IS NOT NULL OR len = 0").select("doc_id", "n", "len", "start", "ids"))
+    own = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("first"), F.xxhash64("doc_id").alias("h"), F.lit(None).cast("array<string>").alias("held")))
+    points = base.select("doc_id", "n", F.explode(F.concat(own, *[_points(F.col("w"), F.col("n"), x, bits, n_bits) for x in lengths])).alias("p")).select("doc_id", "n", "p.*")
+    marked = points.join(_near(marks.withColumn("marked", F.lit(True)), n_marks, broadcast[0]), ["len", "h"], "left").filter("marked OR len = 0")
+    starts = marked.select(
+        "doc_id", "n", "len", "first", "h",
+        F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("held") - F.col("len")), lambda j: F.struct(j.alias("j"), _joined(F.col("held"), j + 1, F.col("len")).alias("gram")))).alias("s"),
+    ).select("doc_id", "n", "len", (F.col("first") + F.col("s.j")).alias("start"), F.coalesce(F.col("s.gram"), F.concat(F.lit("."), "h")).alias("gram"))
+    found = starts.join(_near(windows, windows.count(), broadcast[1]), "gram", "left").filter("ids IS NOT NULL OR len = 0").select("doc_id", "n", "len", "start", "ids")
 
     hit = F.when(F.col("ids").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("end")))
-    grouped = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("n").cast("long").alias("n_words"), F.collect_set(hit).alias("spans"), F.collect_set("ids").alias("ids"))
+    grouped = found.groupBy("doc_id").agg(F.max("n").cast("long").alias("n_words"), F.collect_set(hit).alias("spans"), F.collect_set("ids").alias("ids"))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
