@@ -1,10 +1,13 @@
-"""Token counts without ids: pieces are counted once for each distinct pre-token.
+"""Token counts without ids: pieces are counted once for each distinct pre-token of the corpus.
 
 The sentencepiece model has no piece with its space mark after another character and none with a line feed, so no merge
 crosses the start of a run of spaces or a line feed. A text therefore has as many pieces as its pre-tokens (a run of
-spaces with what follows up to the next, or a line feed) have, however they stand. Each task counts the pre-tokens of
-each document, counts the pieces of those it hasn't met, joins the two and sums; nothing is shuffled, and a word that
-all documents hold costs one look-up.
+spaces with what follows up to the next, or a line feed) have, however they stand.
+
+Documents are read in blocks. A block is written as the list of its distinct pre-tokens and each document's frequencies
+by place in that list. The pieces of the corpus's distinct pre-tokens are counted, joined to the blocks' lists, and
+summed with the frequencies. A pre-token that all documents hold is one row of each block; the few that a large share of
+the blocks hold are joined by broadcast, so no key is hot.
 """
 
 from __future__ import annotations
@@ -13,16 +16,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, texts
+from .common import materialise, read_table, scratch, texts
 
 LIMIT = 4096
 SPACE = "▁"
-#: Distinct pre-tokens kept in a worker before it starts afresh.
-CACHE = 250_000
+#: Code points of a block, about.
+BLOCK_CHARS = 8_000_000
+#: Pre-tokens that are joined by broadcast, at most: those with more than one in so many of the blocks' rows.
+HOT = 10_000
 _PRE = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 _LOADED: dict[str, PieceCounter] = {}
 
@@ -33,9 +39,8 @@ class PieceCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
-        # the argument above holds for this model, and for no other that isn't so
+        # the argument above holds for this model, and for no other that isn't so: there, a text is one pre-token
         self.separable = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces) and self.model.encode(" \n", out_type=str)[0] == SPACE * 2
-        self.known: dict[str, int] = {}
 
     @classmethod
     def of(cls, path: str) -> PieceCounter:
@@ -43,32 +48,67 @@ class PieceCounter:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def _pieces(self, pre: list[str]) -> list[int]:
+    def frequencies(self, text: str) -> Counter:
+        if not text:
+            return Counter()
+        return Counter(_PRE.findall(SPACE + text.replace(" ", SPACE))) if self.separable else Counter([text])
+
+    def pieces(self, pre: list[str]) -> list[int]:
+        if not self.separable:
+            return [len(x) for x in self.model.encode(pre, num_threads=1)]
         # encode() puts a space mark before the text: it stands for the pre-token's own, or else goes with a line feed
         asked = [p[1:] if p[0] == SPACE else "\n" + p for p in pre]
         return [max(0, len(ids) - 2 * (p[0] != SPACE)) if a else 1 for p, a, ids in zip(pre, asked, self.model.encode(asked, num_threads=1), strict=True)]
 
-    def count(self, batch: list[str]) -> list[int]:
-        if not self.separable:
-            return [len(x) for x in self.model.encode(batch, num_threads=1)]
-        frequencies = [Counter(_PRE.findall(SPACE + t.replace(" ", SPACE))) if t else Counter() for t in batch]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = list(set().union(*frequencies).difference(self.known))
-        self.known.update(zip(fresh, self._pieces(fresh), strict=True))
-        known = self.known
-        return [sum(known[p] * n for p, n in f.items()) for f in frequencies]
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers in the fewest of 1, 2 or 4 bytes each, after a byte that tells which."""
+    width = 1 if not len(values) or values.max() < 256 else 2 if values.max() < 65536 else 4
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype("i8")
+
+
+_BLOCK = "block long, doc_ids array<bigint>, n_bytes array<bigint>, places array<binary>, times array<binary>, words array<string>"
 
 
-def _counting(path: str):
+def _blocks(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         from .bpe import small_batches
 
-        counter = PieceCounter.of(path)
+        counter, part, number = PieceCounter.of(path), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for cut in small_batches(batch["text"].str.len().tolist(), BLOCK_CHARS):
+                rows, known, places, times = batch.iloc[cut], {}, [], []
+                for text in rows["text"]:
+                    found = counter.frequencies(text)
+                    place = np.fromiter((known.setdefault(p, len(known)) for p in found), "i8", len(found))
+                    order = np.argsort(place)
+                    places.append(_packed(np.diff(place[order], prepend=0)))
+                    times.append(_packed(np.fromiter(found.values(), "i8", len(found))[order]))
+                yield pd.DataFrame({"block": [part << 32 | number], "doc_ids": [[None if pd.isna(d) else int(d) for d in rows["doc_id"]]], "n_bytes": [rows["n_bytes"].tolist()], "places": [places], "times": [times], "words": [list(known)]})
+                number += 1
+
+    return run
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for docs, sizes, places, times, pieces in zip(batch["doc_ids"], batch["n_bytes"], batch["places"], batch["times"], batch["pieces"], strict=True):
+            each = np.array(pieces if pieces is not None else [], "i8")
+            total = [int((each[np.cumsum(_unpacked(p))] * _unpacked(t)).sum()) if len(p) > 1 else 0 for p, t in zip(places, times, strict=True)]
+            yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs], "Int64"), "n_bytes": sizes, "n_tokens": total})
+
+
+def _piece_counts(path: str):
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            for cut in small_batches(batch["text"].str.len().tolist()):
-                rows = batch.iloc[cut]
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": counter.count(rows["text"].tolist())})
+            yield pd.Series(PieceCounter.of(path).pieces(batch.tolist()), dtype="i8")
 
     return run
 
@@ -79,9 +119,20 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     Null and empty texts have no tokens. Rows that repeat a doc_id are counted each on its own; an empty table gives no
     rows. Texts hold as many tokens as the library gives for them whole.
     """
-    rows = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    counted = rows.mapInPandas(_counting(model), "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    with scratch(docs.sparkSession) as result:
+        rows = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
+        blocks = materialise(rows.mapInPandas(_blocks(model), _BLOCK), compression="zstd")
+        words = blocks.select("block", F.posexplode("words").alias("place", "word"))
+        distinct = words.groupBy("word").agg(F.count("*").alias("blocks"))
+        pieces = materialise(distinct.select("word", "blocks", _piece_counts(model)("word").alias("n")))
+        share = F.lit((pieces.agg(F.sum("blocks")).first()[0] or 0) // HOT)
+        hot = pieces.filter(F.col("blocks") > share).select("word", F.col("n").alias("n_hot"))  # at most HOT rows
+        rest = pieces.filter(F.col("blocks") <= share).select("word", "n")
+        tried = words.join(F.broadcast(hot), "word", "left")
+        counted = tried.filter("n_hot IS NOT NULL").select("block", "place", F.col("n_hot").alias("n")).unionByName(tried.filter("n_hot IS NULL").select("block", "place", "word").join(rest, "word").select("block", "place", "n"))
+        lists = counted.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("pieces"))
+        summed = blocks.drop("words").join(lists, "block", "left").mapInPandas(_summed, "doc_id long, n_bytes long, n_tokens long")
+        return result(materialise(summed).withColumn("over_limit", F.col("n_tokens") > limit))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
