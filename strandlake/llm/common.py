@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -102,18 +103,37 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             _HELD[-1].extend(kept)
 
 
+#: Input bytes of a range, about, and ranges at most.
+RANGE_BYTES = 128 << 20
+MOST_RANGES = 20_000
+
+
+def range_count(df: DataFrame) -> int:
+    """Ranges to deal ``df`` to: by its estimated size, if known, and no fewer than the shuffle's partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = 0 if size >= 1 << 60 else size  # Spark's size of what it can't estimate
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, known // RANGE_BYTES))
+
+
 def range_splits(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most ``parts`` - 1 ascending split points of an integer key (bounded driver state)."""
     if parts < 2:
         return []
     at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(key, at, 10_000).alias("s")).first()["s"]
+    got = df.agg(F.percentile_approx(key, at, max(10_000, 4 * parts)).alias("s")).first()["s"]
     return sorted({int(x) for x in got}) if got else []
 
 
 def range_bucket(key: Column, splits: list[int]) -> Column:
-    """The number of split points below ``key``: monotone in it. A null key is in bucket 0."""
+    """The number of split points below ``key``: monotone in it. A null key is in bucket 0. A row is compared with some
+    square root of the points."""
     if not splits:
         return F.lit(0)
-    points = F.from_json(F.lit(str(splits)), "array<bigint>")
-    return F.size(F.filter(points, lambda x: x < key))
+    step = math.isqrt(len(splits) - 1) + 1
+
+    def below(points: Column) -> Column:
+        return F.coalesce(F.size(F.filter(points, lambda x: x < key)), F.lit(0))
+
+    all_of, each = (F.from_json(F.lit(str(x)), "array<bigint>") for x in (splits, splits[step - 1 :: step]))
+    coarse = below(each) * step
+    return coarse + below(F.slice(all_of, coarse + 1, F.lit(step)))
