@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, shared_dir, texts
+from .common import materialise, range_count, read_table, remove, scratch, shared_dir, texts
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A5D
@@ -144,8 +144,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     part (the files' order), file, n_docs, n_tokens, base (ids in the files before). ``folder`` is a URI that the driver
     and all executors reach (local, HDFS, S3: what Arrow's file systems open)."""
     ordered = texts(docs)
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = ordered.repartitionByRange(range_count(ordered), "doc_id").sortWithinPartitions("doc_id", "text")
     written = materialise(rows.mapInPandas(_writing(folder, tokenizer, end_id), "part int, file string, n_docs long, n_tokens long"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return written.withColumn("base", F.coalesce(F.sum("n_tokens").over(upto), F.lit(0)))
@@ -176,8 +175,12 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     their texts; null doc_ids come first. An empty table writes no file and gives no rows.
     """
     spark = docs.sparkSession
-    manifest = write_token_files(docs, tokenizer, f"{shared_dir(spark)}-tokens", end_id)
-    return read_token_files(manifest, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    folder = f"{shared_dir(spark)}-tokens"
+    with scratch(spark) as result:
+        manifest = write_token_files(docs, tokenizer, folder, end_id)
+        out = materialise(read_token_files(manifest, range_count(texts(docs))))
+        remove(spark, folder)  # all of it has been read
+        return result(out)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
