@@ -69,20 +69,26 @@ def brute_contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block_words", [100_000, 500])
-def test_decontamination(spark, docs, corpus, block_words):
+@pytest.mark.parametrize("broadcast", [(500_000, 100_000), (0, 0)])
+def test_decontamination(spark, docs, corpus, broadcast):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(500, "Hello, world second LINE"), (501, None), (502, "..."), (503, "one"), (504, "word " * 40), (505, "é ü ßx")]
     table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    got = {r.doc_id: tuple(r)[1:6] for r in decontaminate.decontamination_report(docs, table, block_words=block_words).collect()}
+    got = {r.doc_id: tuple(r)[1:6] for r in decontaminate.decontamination_report(docs, table, broadcast=broadcast).collect()}
     assert got == brute_contamination(corpus, items)
     kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, table).collect()}
     assert kept == {d for d, v in got.items() if not v[4]}
     assert decontaminate.decontamination_report(empty(docs), table).count() == 0
     assert not decontaminate.decontamination_report(docs, table.limit(0)).filter("n_hit > 0").count()
-    twice = decontaminate.decontamination_report(docs.unionByName(docs), table, block_words=block_words).collect()
+    twice = decontaminate.decontamination_report(docs.unionByName(docs), table, broadcast=broadcast).collect()
     assert {r.doc_id: tuple(r)[1:6] for r in twice} == got and len(twice) == len(got)
 
 
+def test_documents_are_read_once(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    plans = [decontaminate.decontamination_report(docs, x)._jdf.queryExecution().executedPlan().toString() for x in (items.limit(40), items)]
+    assert [p.count(f"{SF}/documents.parquet") for p in plans] == [1, 1]
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = quality.quality_scores(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").filter("held_out").toPandas()
@@ -102,6 +108,43 @@ def test_quality_edges(spark, docs):
     assert quality.keep_quality(docs, labels.limit(0)).columns == docs.columns
 
 
+def brute_anchors(text, k=5, s=2):
+    """(hash, place) of each closed syncmer, by its definition."""
+    import struct
+
+    import regex
+    import xxhash
+
+    def signed(h):
+        return h - 2**64 if h >= 2**63 else h
+
+    def folded(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=h)
+        return signed(h)
+
+    tokens = [signed(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed=42)) for t in regex.findall(r"\p{Ideographic}|[^ \t\n\x0b\f\r\p{Ideographic}]{1,16}", text)]
+    if len(tokens) < k:
+        return [(folded(tokens) & (2**48 - 1), 0)] if tokens else []
+    out = []
+    for i in range(len(tokens) - k + 1):
+        inner = [folded(tokens[j : j + s]) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((folded(tokens[i : i + k]) & (2**48 - 1), i))
+    return out
+
+
+def brute_fingerprint(text):
+    found = brute_anchors(text)
+    return [f"{h:012x}{i - j if n else 0}" for n, ((h, i), (_, j)) in enumerate(zip(found, found[:1] + found))]
+
+
+def brute_likeness(a, b):
+    x, y = set(a), set(b)
+    return 1.0 if a == b else len(x & y) / len(x | y)
+
+
 def test_syncmers(spark, docs, corpus):
     got = {r.doc_id: r for r in syncmers.fingerprint_pairs(docs).collect()}
     order = sorted(corpus, reverse=True)
@@ -109,8 +152,11 @@ def test_syncmers(spark, docs, corpus):
         t, u = t or "", u or ""
         half = len(t) // 2
         r = got[d]
-        assert r.n_chars == len(t) and r.edited_text == t[: len(t) - half] + u[:half]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        edited = t[: len(t) - half] + u[:half]
+        own, changed, after = (brute_fingerprint(x) for x in (t, edited, u))
+        assert r.n_chars == len(t) and r.edited_text == edited
+        assert (r.fingerprint, r.edited_fingerprint) == (" ".join(own), " ".join(changed))
+        assert (r.near_edited, r.near_next) == (brute_likeness(own, changed), brute_likeness(own, after))
     assert got[1].fingerprint == got[6].fingerprint and got[2].fingerprint == "" == got[4].fingerprint
     real = [r for d, r in got.items() if d >= 1000]
     assert np.mean([r.near_edited for r in real]) > np.mean([r.near_next for r in real]) + 0.2
@@ -118,12 +164,23 @@ def test_syncmers(spark, docs, corpus):
     assert syncmers.fingerprint_pairs(docs.filter("doc_id = 1")).first().near_next == 1
 
 
+def test_fingerprints_of_ties(spark):
+    """Rows of one doc_id go by text, descending; a null doc_id is last and followed by the first row."""
+    rows = [(5, "bbbb"), (5, "aaaa"), (5, "aaaa"), (4, "cccc"), (None, "zzzz")]
+    got = sorted((r.doc_id or 0, r.edited_text, r.near_next) for r in syncmers.fingerprint_pairs(frame(spark, rows)).collect())
+    assert got == [(0, "zzbb", 0.0), (4, "cczz", 0.0), (5, "aaaa", 1.0), (5, "aacc", 0.0), (5, "bbaa", 0.0)]
+
+
 def test_closed_syncmers_are_context_free(spark):
+    from pyspark.sql import functions as F
+
     words = [f"w{i * 7919 % 1013}" for i in range(400)]
     other = [f"v{i}" for i in range(50)]
     rows = [(1, " ".join(words)), (2, " ".join([*other, *words])), (3, " ".join([*words[:200], "edit", *words[200:]]))]
-    got = {r.doc_id: set(r.fp.split()) for r in spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", syncmers.fingerprint(__import__("pyspark.sql.functions").sql.functions.col("text"), sketch=100_000)).collect()}
+    fp = {r.doc_id: r.fp.split() for r in spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", syncmers.fingerprint(F.col("text"))).collect()}
+    got = {d: {x[:12] for x in f} for d, f in fp.items()}
     assert got[1] <= got[2] and len(got[1] - got[3]) <= syncmers.K and 100 < len(got[1]) < 300
+    assert all(int(x[12:]) <= syncmers.K - syncmers.S for f in fp.values() for x in f) and len(set(fp[1]) - set(fp[2])) <= 1
 
 
 def test_long_texts_keep_all_anchors(spark):
@@ -131,9 +188,8 @@ def test_long_texts_keep_all_anchors(spark):
     one, two, passage = ([f"{p}{x}" for x in rng.integers(0, 10**9, n)] for p, n in (("a", 4000), ("b", 4000), ("c", 100)))
     rows = [(2, " ".join([*one[:2000], *passage, *one[2000:]])), (1, " ".join([*passage, *two]))]
     got = {r.doc_id: r for r in syncmers.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    x, y = got[2].fingerprint.split(), got[1].fingerprint.split()
-    both = len({*x} & {*y})
-    assert len(x) > 1500 < len(y) and both >= 30 and got[2].near_next == both / (len(x) + len(y) - both)
+    x, y = set(got[2].fingerprint.split()), set(got[1].fingerprint.split())
+    assert len(x) > 1500 < len(y) and len(x & y) >= 30 and got[2].near_next == len(x & y) / len(x | y)
 
 
 def test_licences(spark):
@@ -322,7 +378,9 @@ def test_token_counts(spark, docs, corpus):
     got = {r.doc_id: tuple(r)[1:] for r in token_counts.token_counts(docs, model).collect()}
     assert got == {d: (len((t or "").encode()), n := len(plain.encode(t or "")), n > 4096) for d, t in corpus}
     tricky = ["\n", " \n ", "a\n\n  b \n", "▁", "▁a ▁▁ b", "\r\n\r\r", "   ", "a" + " " * 40 + "b", "\t \t"]
-    assert token_counts.PieceCounter.of(model).count(tricky) == [len(plain.encode(t)) for t in tricky]
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame(spark, list(enumerate(tricky))), model).collect()} == {i: len(plain.encode(t)) for i, t in enumerate(tricky)}
+    twice = token_counts.token_counts(docs.unionByName(docs), model).collect()
+    assert sorted(map(tuple, twice)) == sorted([(d, *v) for d, v in got.items()] * 2)
     assert token_counts.token_counts(empty(docs), model).count() == 0
 
 
