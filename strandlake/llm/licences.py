@@ -1,19 +1,24 @@
 """License scans by sentence rules, with DataFrame functions only.
 
 Each sentence of a text, lower-cased and with everything but letters and digits as single spaces, is looked up among the
-known licence sentences. A licence is found where its rule, an ordered run of sentence identifiers, stands in the
-text's run of known identifiers; longer rules hide the shorter rules inside them. A known sentence may run over several
-of a text's sentences, as lines are wrapped and as it has breaks inside; it begins and ends at breaks.
+known licence sentences, and becomes their identifier. A licence is found where its rule, an ordered run of sentence
+identifiers, stands in the text's run of known identifiers. Longer rules are matched first, and what they matched is no
+longer there for shorter ones. A known sentence may run over several of a text's sentences, as lines are wrapped and as
+it has breaks inside; it begins and ends at breaks.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, read_table, texts
 
 BREAK = r"[.!?;:]+(?:[ \t\n\r\f\x0b]+|\z)|[\n\r]+"
+#: Known sentences and rules, at most: they are part of the plan.
+MOST = 2000
 
 # Known sentences, normalised, by identifier.
 SENTENCES = {
@@ -36,14 +41,29 @@ SENTENCES = {
     "b1": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "b2": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "b3": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "b4": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "g5": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "g6": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "g7": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "i1": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "p1": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "p2": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "u1": "this is free and unencumbered software released into the public domain",
     "r1": "all rights reserved",
+    "s1": "spdx license identifier apache 2 0",
+    "s2": "spdx license identifier mit",
+    "s3": "spdx license identifier bsd 3 clause",
+    "s4": "spdx license identifier gpl 3 0 or later",
 }
-# Further wordings of known sentences, from the licences' own texts. The SQL below doesn't know them.
+# Further wordings of known sentences, from the licences' own texts.
 WORDINGS = {
     "licensed under the apache license version 2 0 the license": "a1",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "a3",
     "you may obtain a copy of the license at https www apache org licenses license 2 0": "a3",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "m3",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is": "b4",
+    "spdx license identifier gpl 3 0 only": "s4",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "i1",
     "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "m4",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "c1",
     "this work is licensed under cc by nc 4 0": "c1",
@@ -53,45 +73,75 @@ WORDINGS = {
 }
 # Rules, as ordered sentence identifiers.
 RULES = {
-    "apache-2.0": (("a1",), ("a1", "a2"), ("a1", "a2", "a3"), ("a1", "a2", "a3", "a4")),
-    "mit": (("m1",), ("m2",), ("m3", "m4")),
-    "gpl-3.0": (("g1",), ("g2", "g3", "g4"), ("g2",)),
+    "apache-2.0": (("s1",), ("a1",), ("a1", "a2"), ("a1", "a2", "a3"), ("a1", "a2", "a3", "a4")),
+    "mit": (("s2",), ("m1",), ("m2",), ("m3", "m4")),
+    "gpl-3.0": (("s4",), ("g1",), ("g2", "g3", "g4"), ("g2",)),
     "cc-by-nc-4.0": (("c1",),),
     "cc-by-4.0": (("c2",), ("c4",)),
     "cc-by-sa-4.0": (("c3",),),
     "bsd-2-clause": (("b1", "b2", "b3"),),
+    "bsd-3-clause": (("s3",), ("b1", "b2", "b3", "b4")),
+    "gpl-2.0": (("g5", "g3", "g4"), ("g5",)),
+    "agpl-3.0": (("g6",),),
+    "lgpl-2.1": (("g7",),),
+    "isc": (("i1",),),
+    "mpl-2.0": (("p1",), ("p1", "p2")),
+    "unlicense": (("u1",),),
     "all-rights-reserved": (("r1",),),
 }
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def _plain(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip()
+
+
+def _spread(sentence: str) -> str:
+    """A known sentence in a run of sentences between bars, wherever it is broken."""
+    return r"\|" + sentence.replace(" ", r"(?: |\|\|)") + r"\|"
+
+
+def _tables(sentences: DataFrame | None, rules: DataFrame | None) -> tuple[list[tuple[str, str]], list[tuple[str, tuple[str, ...]]]]:
+    """(sentence, id), longest first, and (licence, ids), longest first."""
+    if sentences is None:
+        wordings = [(s, k) for k, s in SENTENCES.items()] + list(WORDINGS.items())
+    else:
+        wordings = [(_plain(r["sentence"]), r["id"]) for r in sentences.select("id", "sentence").limit(MOST + 1).collect()]
+    known = [(name, ids) for name, own in RULES.items() for ids in own] if rules is None else [(r["license"], tuple(r["ids"])) for r in rules.select("license", "ids").limit(MOST + 1).collect()]
+    if max(len(wordings), len(known)) > MOST:
+        raise ValueError(f"more than {MOST} sentences or rules")
+    if any(not re.fullmatch("[A-Za-z0-9.+-]+", x) for name, ids in known for x in (name, *ids)):
+        raise ValueError("licences and sentence identifiers are of letters, digits, '.', '+' and '-'")
+    return sorted({(s, k) for s, k in wordings if s}, key=lambda x: (-len(x[0]), x)), sorted({x for x in known if x[1]}, key=lambda x: (-len(x[1]), x))
+
+
+def license_scan(docs: DataFrame, sentences: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Licences named in each row of ``docs`` (doc_id, text): doc_id, n_sentences, n_known, sentence_ids (in text order,
     comma-joined), licenses (sorted, comma-joined).
 
+    ``sentences`` (id, sentence: in any case and punctuation; several may have one id) and ``rules`` (license, ids: an array
+    of sentence ids in order) replace the built-in tables; MOST rows of each at most. Of rules that begin at one sentence
+    the longest counts, and of equally long ones each does.
+
     Null and empty texts have no sentences. A sentence that occurs twice is listed twice. Rows that repeat a doc_id are
     scanned each on its own; an empty table gives no rows. No row is shuffled, so no source or copy can be a hot key.
     """
-    wordings = {s: k for k, s in SENTENCES.items()} | WORDINGS
-    known = F.create_map(*[F.lit(x) for s, k in wordings.items() for x in (s, k)], *[F.lit(x) for k in SENTENCES for x in (f"={k}=", k)])
-    sentences = F.filter(F.transform(F.split(ascii_lower(F.col("text")), BREAK, -1), lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
-    ids = F.filter(F.transform("sentences", lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
-    found = texts(docs).select("doc_id", sentences.alias("sentences")).select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", "|").alias("run"))
-    # runs of sentences that make a known one become its identifier, longest first
-    found = found.withColumn("flat", F.translate("run", "|", " ")).withColumn("run", F.concat(F.lit("|"), "run", F.lit("|")))
-    for sentence in sorted(wordings, key=len, reverse=True):
-        spread = r"(?<=\|)" + sentence.replace(" ", "[ |]") + r"(?=\|)"
-        found = found.withColumn("run", F.when(F.contains(F.col("flat"), F.lit(sentence)), F.regexp_replace("run", spread, f"={wordings[sentence]}=")).otherwise(F.col("run")))
-    found = found.withColumn("sentences", F.split("run", r"\|", -1)).select("doc_id", "n_sentences", ids.alias("ids"))
-    run = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    hits = [F.when(_any(run, rules), F.lit(name)) for name, rules in sorted(RULES.items())]
-    return found.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"), F.concat_ws(",", *hits).alias("licenses"))
-
-
-def _any(run, rules):
-    out = F.lit(False)
-    for rule in rules:
-        out = out | F.contains(run, F.lit("," + ",".join(rule) + ","))
-    return out
+    wordings, known = _tables(sentences, rules)
+    parts = F.filter(F.transform(F.split(ascii_lower(F.col("text")), BREAK, -1), lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    found = texts(docs).select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").cast("long").alias("n_sentences"), F.concat(F.lit("|"), F.array_join("parts", "||"), F.lit("|")).alias("run"))
+    found = found.withColumn("flat", F.regexp_replace("run", r"\|+", " "))
+    for sentence, key in wordings:
+        found = found.withColumn("run", F.when(F.contains(F.col("flat"), F.lit(sentence)), F.regexp_replace("run", _spread(sentence), f"|={key}=|")).otherwise(F.col("run")))
+    found = found.select("doc_id", "n_sentences", F.regexp_extract_all("run", F.lit(r"\|=([^=|]+)=\|")).alias("ids"))
+    found = found.select("doc_id", "n_sentences", "ids", F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">")).alias("left"))
+    hits = []
+    for size in sorted({len(ids) for _, ids in known}, reverse=True):
+        own = [(name, "<" + "><".join(ids) + ">") for name, ids in known if len(ids) == size]
+        hits += [F.when(F.contains(F.col("left"), F.lit(run)), F.lit(name)) for name, run in own]
+        found = found.withColumn("hits", F.concat(F.col("hits"), F.array_compact(F.array(*hits))) if "hits" in found.columns else F.array_compact(F.array(*hits)))
+        hits = []
+        for _, run in own:
+            found = found.withColumn("left", F.replace(F.col("left"), F.lit(run), F.lit(".")))
+    return found.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("licenses"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,19 +149,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    values = ", ".join(f"('{s}', '{k}')" for k, s in SENTENCES.items())
-    cases = ", ".join("CASE WHEN " + " OR ".join(f"contains(run, ',{','.join(r)},')" for r in rules) + f" THEN '{name}' END" for name, rules in sorted(RULES.items()))
+    wordings, known = _tables(None, None)
+    run, steps, left = "'|' || array_to_string(ss, '||') || '|'", [], "left_0"
+    for sentence, key in wordings:
+        run = f"regexp_replace({run}, '{_spread(sentence)}', '|={key}=|', 'g')"
+    hits = []
+    for n, size in enumerate(sorted({len(ids) for _, ids in known}, reverse=True)):
+        own = [(name, "<" + "><".join(ids) + ">") for name, ids in known if len(ids) == size]
+        hits += [f"CASE WHEN contains(left_{n}, '{x}') THEN '{name}' END" for name, x in own]
+        left = f"left_{n}"
+        for _, x in own:
+            left = f"replace({left}, '{x}', '.')"
+        steps.append(f"SELECT *, {left} AS left_{n + 1} FROM l{n}")
+    chain = ", ".join(f"l{n + 1} AS ({x})" for n, x in enumerate(steps))
     return rf"""
-WITH known(s, id) AS (VALUES {values}), raw AS (
+WITH raw AS (
   SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BREAK}') AS parts FROM documents
 ), n AS (
   SELECT doc_id, list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS ss FROM raw
-), l AS (
-  SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS ids, count(id) AS n_known FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM n) JOIN known USING (s) GROUP BY doc_id
 ), r AS (
-  SELECT n.doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, coalesce(n_known, 0) AS n_known, coalesce(ids, '') AS sentence_ids, ',' || coalesce(ids, '') || ',' AS run FROM n LEFT JOIN l USING (doc_id)
-)
-SELECT doc_id, n_sentences, n_known, sentence_ids, concat_ws(',', {cases}) AS licenses FROM r
+  SELECT doc_id, ss, regexp_extract_all({run}, '\|=([^=|]+)=\|', 1) AS ids FROM n
+), l0 AS (SELECT *, '<' || array_to_string(ids, '><') || '>' AS left_0 FROM r), {chain}
+SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ',') AS sentence_ids,
+       array_to_string(list_sort(list_distinct(list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL))), ',') AS licenses FROM l{len(steps)}
 """
 
 

@@ -208,6 +208,10 @@ def test_standard_licence_texts(spark):
         "gpl-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."),
         "bsd-2-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     }
+    full["bsd-3-clause"] = (*full["bsd-2-clause"], "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")
+    full["mpl-2.0"] = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",)
+    full["lgpl-2.1"] = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",)
+    full["isc"] = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)
     rows, want = [], {}
     for name, paragraphs in full.items():
         for width, lead in ((72, ""), (60, "# "), (5000, "")):
@@ -217,6 +221,13 @@ def test_standard_licence_texts(spark):
     got = {r.doc_id: r for r in licences.license_scan(frame(spark, rows)).collect()}
     assert {d: r.licenses for d, r in got.items()} == want
     assert {got[i].sentence_ids for i in range(3)} == {"a1,a2,a3,a4"} and {got[i].sentence_ids for i in range(6, 9)} == {"g2,g3,g4"}
+    long = "\n".join(rows[0][1] if i % 500 == 0 else f"line {i} of filler" for i in range(5000))
+    odd = {r.doc_id: (r.n_sentences, r.licenses) for r in licences.license_scan(frame(spark, [(1, ""), (2, long), (3, "All rights reserved."), (3, "x"), (None, "All rights reserved.")])).collect() if r.doc_id != 3}
+    assert odd[1] == (0, "") and odd[2][1] == "apache-2.0" and odd[None] == (1, "all-rights-reserved")
+    sentences = spark.createDataFrame([("x1", "You may: LOOK."), ("x2", "But not touch"), ("x3", "Ever")], "id string, sentence string")
+    rules = spark.createDataFrame([("look", ["x1"]), ("look-only", ["x1", "x2"]), ("never", ["x2", "x3"])], "license string, ids array<string>")
+    own = {r.doc_id: (r.sentence_ids, r.licenses) for r in licences.license_scan(frame(spark, [(1, "You may\nlook. But not touch. Ever."), (2, "You may: look."), (3, "You may look, but")]), sentences, rules).collect()}
+    assert own == {1: ("x1,x2,x3", "look-only,never"), 2: ("x1", "look"), 3: ("", "")}
     part = "not released\nunder the MIT License or such"
     assert licences.license_scan(frame(spark, [(1, part)])).first().licenses == ""
 
