@@ -1,8 +1,9 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans. The field then labels the tokens that hold a digit or an @: neighbouring ones form a
-chain, and each token is also tied to the last one like it in the document, however far back (skip edges), and to the
-nearest like one that a base span touches (ties), so that labels reach any number of repeats in one step. Base spans
+chain, and each token is also tied to the last one like it in the document, however far back (skip edges), to the
+nearest like one that a base span touches (ties), so that labels reach any number of repeats in one step, and to the last
+token of the same form that isn't like it (similar edges). Base spans
 are evidence; loopy message passing carries it along the edges, so a number that is a phone number in one place is found
 where it stands without its prefix. Spans are added only over tokens that are surely labelled and free of base spans.
 
@@ -26,13 +27,15 @@ from .common import read_table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Documents to learn from, at most, and tokens that such a document may have.
+#: Documents to learn from, at most, and tokens of all of them.
 TRAIN_DOCS = 2000
-TRAIN_TOKENS = 200
+TRAIN_TOKENS = 200_000
 SURE = 0.9
 WEIGHTS = 4096
 SLOTS = 6
-ROUNDS = 8
+#: Rounds of messages, at most, and the change at which they end.
+ROUNDS = 50
+STILL = 1e-4
 #: Tokens further apart than this, in code points, aren't neighbours.
 NEAR = 3
 
@@ -108,10 +111,11 @@ def _hash(*parts: str) -> int:
     return zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass")) % WEIGHTS
 
 
-def tokens_of(text: str, spans: list[tuple[int, int, int]]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens (start, end), features (SLOTS for each), labels by the base spans, chain edges, skip edges."""
-    tokens, feats, labels, chain, skip = [], [], [], [], []
+def tokens_of(text: str, spans: list[tuple[int, int, int]]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens (start, end), features (SLOTS for each), labels by the base spans, chain edges, skip edges, similar edges."""
+    tokens, feats, labels, chain, skip, similar = [], [], [], [], [], []
     last: dict[str, int] = {}
+    form: dict[str, tuple[int, str]] = {}
     cores = []
     for m in _TOKEN.finditer(text):
         raw = m[0]
@@ -136,83 +140,94 @@ def tokens_of(text: str, spans: list[tuple[int, int, int]]) -> tuple[list, np.nd
         if like in last and len(core) > 3:
             skip.append((last[like], i))
         last[like] = i
+        if len(core) > 3:
+            if exact in form and form[exact][1] != like:
+                similar.append((form[exact][0], i))
+            form[exact] = (i, like)
         tokens.append((start, end))
         labels.append(label)
-    return tokens, np.array(feats, "i4").reshape(-1, SLOTS), np.array(labels, "i4"), np.array(chain, "i4").reshape(-1, 2), np.array(skip, "i4").reshape(-1, 2)
+    return tokens, np.array(feats, "i4").reshape(-1, SLOTS), np.array(labels, "i4"), *(np.array(x, "i4").reshape(-1, 2) for x in (chain, skip, similar))
 
 
 class SkipChainField:
+    """Weights of the tokens' features, and of pairs of labels at the ends of each kind of edge: chain, skip, similar."""
+
     def __init__(self) -> None:
         n = len(LABELS)
-        self.node, self.chain, self.skip = np.zeros((WEIGHTS, n)), np.zeros((n, n)), np.eye(n)
+        self.node, self.edges = np.zeros((WEIGHTS, n)), [np.zeros((n, n)), np.eye(n), np.zeros((n, n))]
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], steps: int = 80) -> SkipChainField:
-        """Pseudo-likelihood by Adam. docs: features, labels, chain edges, skip edges. The patterns' silence on a token
+    def fit(self, docs: list[tuple[np.ndarray, ...]], steps: int = 80) -> SkipChainField:
+        """Pseudo-likelihood by Adam. docs: features, labels, chain, skip and similar edges. The patterns' silence on a token
         like one that they labelled says nothing: such tokens are left out."""
-        feats, labels, chain, skip = _joined(docs)
+        feats, labels, *kinds = _joined(docs)
         if not len(labels):
             return self
         n, eye = len(labels), np.eye(len(LABELS))
         told = np.ones((n, 1))
-        like = np.concatenate([skip, ties(labels, skip)])
+        like = np.concatenate([kinds[1], ties(labels, kinds[1])])
         for x, y in ((like[:, 0], like[:, 1]), (like[:, 1], like[:, 0])):
             told[y[(labels[y] == 0) & (labels[x] > 0)]] = 0
-        moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (self.node, self.chain, self.skip)]
+        weights = [self.node, *self.edges]
+        moments = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
         for t in range(1, steps + 1):
             s = self.node[feats].sum(1)
-            np.add.at(s, chain[:, 1], self.chain[labels[chain[:, 0]]])
-            np.add.at(s, chain[:, 0], self.chain.T[labels[chain[:, 1]]])
-            np.add.at(s, skip[:, 1], self.skip[labels[skip[:, 0]]])
-            np.add.at(s, skip[:, 0], self.skip[labels[skip[:, 1]]])
+            for w, e in zip(self.edges, kinds, strict=True):
+                np.add.at(s, e[:, 1], w[labels[e[:, 0]]])
+                np.add.at(s, e[:, 0], w.T[labels[e[:, 1]]])
             p = np.exp(s - s.max(1, keepdims=True))
             g = told * (eye[labels] - p / p.sum(1, keepdims=True))
-            node = np.zeros_like(self.node)
+            grads = [np.zeros_like(w) for w in weights]
             for k in range(SLOTS):
-                np.add.at(node, feats[:, k], g)
-            grads = [node, *(np.zeros_like(self.chain) for _ in range(2))]
-            for w, e in ((grads[1], chain), (grads[2], skip)):
+                np.add.at(grads[0], feats[:, k], g)
+            for w, e in zip(grads[1:], kinds, strict=True):
                 np.add.at(w, labels[e[:, 0]], g[e[:, 1]])
                 np.add.at(w.T, labels[e[:, 1]], g[e[:, 0]])
-            grads[2] = (grads[2] + grads[2].T) / 2
-            for w, d, m in zip((self.node, self.chain, self.skip), grads, moments, strict=True):
+            for i in (2, 3):  # alike both ways
+                grads[i] = (grads[i] + grads[i].T) / 2
+            for w, d, m in zip(weights, grads, moments, strict=True):
                 d = d / n - 1e-5 * w
                 m[0] = 0.9 * m[0] + 0.1 * d
                 m[1] = 0.99 * m[1] + 0.01 * d * d
                 w += 0.2 * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-9)
         return self
 
-    def beliefs(self, feats: np.ndarray, evidence: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Loopy sum-product over the graphs of a whole batch at once. evidence: a label, or 0 for none."""
+    def beliefs(self, feats: np.ndarray, evidence: np.ndarray, *kinds: np.ndarray) -> np.ndarray:
+        """Loopy sum-product over the graphs of a whole batch at once, until messages stand still. evidence: a label, or 0
+        for none."""
         own = self.node[feats].sum(1)
         known = evidence > 0
         own[known] = -30.0
         own[known, evidence[known]] = 0.0
-        a = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
-        b = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
-        w = np.concatenate([np.repeat(x[None], len(e), 0) for x, e in ((self.chain, chain), (self.chain.T, chain), (self.skip, skip), (self.skip.T, skip))])
-        m, half = np.zeros((len(a), len(LABELS))), (len(chain), len(skip))
-        back = np.concatenate([np.arange(half[0]) + half[0], np.arange(half[0]), np.arange(half[1]) + 2 * half[0] + half[1], np.arange(half[1]) + 2 * half[0]])
+        a = np.concatenate([e[:, 0] for e in kinds] + [e[:, 1] for e in kinds])
+        b = np.concatenate([e[:, 1] for e in kinds] + [e[:, 0] for e in kinds])
+        half, of = len(a) // 2, np.repeat(np.arange(len(kinds)), [len(e) for e in kinds])
+        w = np.stack(self.edges + [x.T for x in self.edges])[np.r_[of, of + len(kinds)]]
+        back, m = np.r_[np.arange(half) + half, np.arange(half)], np.zeros((len(a), len(LABELS)))
         for _ in range(ROUNDS if len(a) else 0):
             at = own.copy()
             np.add.at(at, b, m)
             s = (at[a] - m[back])[:, :, None] + w
             top = s.max(1)
             new = top + np.log(np.exp(s - top[:, None]).sum(1))
-            m = 0.5 * m + 0.5 * (new - new.max(1, keepdims=True))
+            new = 0.5 * m + 0.5 * (new - new.max(1, keepdims=True))
+            still = np.abs(new - m).max() < STILL
+            m = new
+            if still:
+                break
         np.add.at(own, b, m)
         p = np.exp(own - own.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
 def _joined(docs):
-    at, feats, labels, chain, skip = 0, [], [], [], []
-    for f, y, c, k in docs:
+    at, feats, labels, kinds = 0, [np.zeros((0, SLOTS), "i4")], [np.zeros(0, "i4")], [[np.zeros((0, 2), "i4")] for _ in range(3)]
+    for f, y, *edges in docs:
         feats.append(f)
         labels.append(y)
-        chain.append(c + at)
-        skip.append(k + at)
+        for own, e in zip(kinds, edges, strict=True):
+            own.append(e + at)
         at += len(y)
-    return (np.concatenate(feats) if feats else np.zeros((0, SLOTS), "i4"), np.concatenate(labels) if labels else np.zeros(0, "i4"), *(np.concatenate(x).reshape(-1, 2) if x else np.zeros((0, 2), "i4") for x in (chain, skip)))
+    return np.concatenate(feats), np.concatenate(labels), *(np.concatenate(x) for x in kinds)
 
 
 def ties(labels: np.ndarray, skip: np.ndarray) -> np.ndarray:
@@ -244,13 +259,12 @@ def ties(labels: np.ndarray, skip: np.ndarray) -> np.ndarray:
 def added_spans(found: list[tuple], field: SkipChainField) -> list[list[tuple[int, int, int]]]:
     """Spans the field adds to each document of ``found`` (spans, and what tokens_of gives)."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in found]
-    graphs = [(f, y, c, k) for _, (_, f, y, c, k) in found]
-    if not any(len(y) for _, y, _, _ in graphs):
+    if not any(len(y) for _, (_, _, y, *_) in found):
         return out
-    feats, labels, chain, skip = _joined(graphs)
-    p = field.beliefs(feats, labels, chain, np.concatenate([skip, ties(labels, skip)]))
+    feats, labels, chain, skip, similar = _joined([g[1:] for _, g in found])
+    p = field.beliefs(feats, labels, chain, np.concatenate([skip, ties(labels, skip)]), similar)
     at = 0
-    for d, (_, (tokens, _, y, _, _)) in enumerate(found):
+    for d, (_, (tokens, _, y, *_)) in enumerate(found):
         for i, (start, end) in enumerate(tokens):
             k = int(p[at + i].argmax())
             if k and not y[i] and p[at + i, k] >= SURE:
@@ -266,21 +280,28 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for text in batch["text"]:
-            _, f, y, c, k = tokens_of(text, base_spans(text))
-            if 0 < len(y) <= TRAIN_TOKENS:
-                rows.append((int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big"), f.ravel().tolist(), y.tolist(), c.ravel().tolist(), k.ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["h", "f", "y", "c", "k"])
+            _, *graph = tokens_of(text, base_spans(text))
+            if 0 < len(graph[1]) <= TRAIN_TOKENS:
+                rows.append((int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big"), len(graph[1]), *(x.astype("<i4").tobytes() for x in graph)))
+        yield pd.DataFrame(rows, columns=["h", "n", "f", "y", "c", "k", "s"])
 
 
-def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> SkipChainField:
-    """Learn from at most ``max_docs`` documents with 1 to TRAIN_TOKENS tokens that hold a digit or an @: of different
-    texts, those of least hash. A narrow band of hashes that holds some times as many is read first."""
+def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_tokens: int = TRAIN_TOKENS) -> SkipChainField:
+    """Learn from at most ``max_docs`` documents, of any length, that hold a digit or an @: of different texts, those of least
+    hash, as long as they have at most ``max_tokens`` such tokens together (one that would make it more is left out). A
+    narrow band of hashes that holds some times as many documents is read first."""
     rows = texts(docs).filter(F.col("text").rlike("[0-9@]"))
     total = rows.count()
     share = max(1, total // (4 * max_docs))
     rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    found = rows.mapInPandas(_sampled, "h long, f array<int>, y array<int>, c array<int>, k array<int>").dropDuplicates(["h"]).orderBy("h").limit(max_docs).collect()
-    return SkipChainField().fit([(np.array(r["f"], "i4").reshape(-1, SLOTS), np.array(r["y"], "i4"), np.array(r["c"], "i4").reshape(-1, 2), np.array(r["k"], "i4").reshape(-1, 2)) for r in found])
+    found = rows.mapInPandas(_sampled, "h long, n long, f binary, y binary, c binary, k binary, s binary").dropDuplicates(["h"])
+    upto, chosen = 0, []
+    for r in found.orderBy("h").limit(max_docs).toLocalIterator():
+        if upto + r["n"] <= max_tokens:
+            upto += r["n"]
+            graph = [np.frombuffer(bytes(r[c]), "<i4") for c in "fycks"]
+            chosen.append((graph[0].reshape(-1, SLOTS), graph[1], *(x.reshape(-1, 2) for x in graph[2:])))
+    return SkipChainField().fit(chosen)
 
 
 def find_pii(docs: DataFrame, field: SkipChainField | None = None) -> DataFrame:
