@@ -428,6 +428,70 @@ def test_pii(spark, docs, corpus):
     assert pii.find_pii(empty(docs)).count() == 0
 
 
+def test_beliefs_against_enumeration():
+    """On a graph without loops, messages give the marginals that summing over all labellings gives."""
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    field = pii.SkipChainField()
+    field.node = rng.normal(size=field.node.shape)
+    field.edges = [rng.normal(size=w.shape) for w in field.edges]
+    feats = rng.integers(0, pii.WEIGHTS, (5, pii.SLOTS))
+    evidence = np.array([0, 2, 0, 0, 0])
+    kinds = [np.array([[0, 1], [3, 4]]), np.array([[1, 3]]), np.array([[0, 2]])]
+    got = field.beliefs(feats, evidence, *kinds)
+    want = np.zeros((5, 5))
+    for labels in product(range(5), repeat=5):
+        if labels[1] == 2:
+            s = sum(field.node[feats[i], x].sum() for i, x in enumerate(labels) if i != 1)
+            s += sum(w[labels[x], labels[y]] for w, e in zip(field.edges, kinds) for x, y in e)
+            for i, x in enumerate(labels):
+                want[i, x] += np.exp(s)
+    assert np.abs(got - want / want.sum(1, keepdims=True)).max() < 1e-3
+
+
+def test_added_spans_against_the_field(spark, docs, corpus):
+    """The query's spans are those of each document's graph on its own under the same field."""
+    field = pii.train(docs)
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs, field).collect()}
+    for d, t in corpus:
+        base = pii.base_spans(t or "")
+        more = pii.added_spans([(base, pii.tokens_of(t or "", base))], field)[0]
+        assert not any(a < e and s < b for s, e, _ in more for a, b, _ in base)
+        assert got[d] == pii.written(sorted([*base, *more], key=lambda x: (x[0], x[2], x[1])))
+    twice = pii.find_pii(docs.unionByName(docs), field).collect()
+    assert sorted((r.doc_id, r.spans) for r in twice) == sorted([*got.items()] * 2)
+
+
+def test_long_documents_train(spark):
+    text = " ".join(f"call +1 ({i % 900 + 100}) 555-{i:04d} now" for i in range(400))
+    assert np.abs(pii.train(frame(spark, [(1, text)])).node).max() > 0
+
+
+def test_scores_are_sums_of_table_entries(spark, docs, corpus):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(1000, 1200)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    assert model.pairs and any(np.abs(t).max() > 0 for t in model.tables)
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for d, t in corpus:
+        x = quality.features(t or "")
+        f = model.base
+        for j, value in enumerate(x):
+            f += model.tables[j][sum(edge <= value for edge in model.edges[j])]
+        for a, b, table in model.pairs:
+            f += table[sum(e <= x[a] for e in model.wide[a]), sum(e <= x[b] for e in model.wide[b])]
+        assert abs(got[d].score - 1 / (1 + np.exp(-f))) < 1e-9 and got[d].predicted == (got[d].score >= 0.3)
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+    known = [(i, y) for i, y in ((i, int(i % 3 == 0)) for i in range(1000, 1200)) if zlib.crc32(str(i).encode()) % 5]
+    text = dict(corpus)
+    x, y = np.array([quality.features(text[i] or "") for i, _ in known]), np.array([y for _, y in known], "f8")
+    order = np.lexsort([*x.T, y])
+    again = quality.AdditiveModel().fit(x[order], y[order])
+    assert all(np.array_equal(p, q) for p, q in zip(model.tables, again.tables))
+    twice = quality.score(docs.unionByName(docs), model).collect()
+    assert sorted((r.doc_id, r.score) for r in twice) == sorted([(d, r.score) for d, r in got.items()] * 2)
+
+
 def test_skip_edges_carry_labels(spark):
     numbers = [f"({i:03d}) 555-{i * 37 % 10000:04d}" for i in range(100, 160)]
     rows = [(i, f"call +1 {x} today. " + "filler words and more. " * 20 + f"Again, {x} is it; code 8{i}7 no.") for i, x in enumerate(numbers)]
