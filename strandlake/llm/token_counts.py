@@ -5,9 +5,9 @@ crosses the start of a run of spaces or a line feed. A text therefore has as man
 spaces with what follows up to the next, or a line feed) have, however they stand.
 
 Documents are read in blocks. A block is written as the list of its distinct pre-tokens and each document's frequencies
-by place in that list. The pieces of the corpus's distinct pre-tokens are counted, joined to the blocks' lists, and
-summed with the frequencies. A pre-token that all documents hold is one row of each block; the few that a large share of
-the blocks hold are joined by broadcast, so no key is hot.
+by place in that list. The lists of all blocks are sorted by pre-token; the pieces of each distinct one are counted, once,
+and go back to the places that hold it, where they are joined to the frequencies and summed. A pre-token that all
+documents hold is one row of each block among its many thousands, so no key is hot, and no group is held in memory.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ LIMIT = 4096
 SPACE = "▁"
 #: Code points of a block, about.
 BLOCK_CHARS = 8_000_000
-#: Pre-tokens that are joined by broadcast, at most: those with more than one in so many of the blocks' rows.
-HOT = 10_000
+#: Rows of lists whose counts go out together.
+TOGETHER = 200_000
 _PRE = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 _LOADED: dict[str, PieceCounter] = {}
 
@@ -96,23 +96,49 @@ def _blocks(path: str):
     return run
 
 
-def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for docs, sizes, places, times, pieces in zip(batch["doc_ids"], batch["n_bytes"], batch["places"], batch["times"], batch["pieces"], strict=True):
-            each = np.array(pieces if pieces is not None else [], "i8")
-            total = [int((each[np.cumsum(_unpacked(p))] * _unpacked(t)).sum()) if len(p) > 1 else 0 for p, t in zip(places, times, strict=True)]
-            yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs], "Int64"), "n_bytes": sizes, "n_tokens": total})
+def _counted(path: str):
+    """Over (block, place, word) in the order of words: each block's places and their pieces, some words at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter, last, held = PieceCounter.of(path), (None, 0), []
 
+        def out():
+            block, place, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort([place, block])
+            block, place, n = block[order], place[order], n[order]
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True))
+            return pd.DataFrame({"block": block[first], "places": [_packed(np.diff(place[i:j], prepend=0)) for i, j in cuts], "pieces": [_packed(n[i:j]) for i, j in cuts]})
 
-def _piece_counts(path: str):
-    @F.pandas_udf("long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(PieceCounter.of(path).pieces(batch.tolist()), dtype="i8")
+            if not len(batch):
+                continue
+            words = batch["word"].to_numpy()
+            first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+            known = [last[1]] if words[0] == last[0] else []
+            each = np.array(known + counter.pieces(words[first[len(known) :]].tolist()), "i8")
+            last = (words[-1], int(each[-1]))
+            held.append((batch["block"].to_numpy("i8"), batch["place"].to_numpy("i8"), np.repeat(each, np.diff(np.r_[first, len(words)]))))
+            if sum(len(x) for x, _, _ in held) >= TOGETHER:
+                yield out()
+                held = []
+        if held:
+            yield out()
 
     return run
 
 
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for docs, sizes, freq_places, times, counts in zip(batch["doc_ids"], batch["n_bytes"], batch["places"], batch["times"], batch["counts"], strict=True):
+            found = [(np.cumsum(_unpacked(c["places"])), _unpacked(c["pieces"])) for c in (counts if counts is not None else [])]
+            each = np.zeros(sum(len(p) for p, _ in found), "i8")
+            for p, n in found:
+                each[p] = n
+            total = [int((each[np.cumsum(_unpacked(p))] * _unpacked(t)).sum()) if len(p) > 1 else 0 for p, t in zip(freq_places, times, strict=True)]
+            yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs], "Int64"), "n_bytes": sizes, "n_tokens": total})
+
+
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of ``docs`` (doc_id, text) under a sentencepiece model.
 
@@ -123,14 +149,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
         rows = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
         blocks = materialise(rows.mapInPandas(_blocks(model), _BLOCK), compression="zstd")
         words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-        distinct = words.groupBy("word").agg(F.count("*").alias("blocks"))
-        pieces = materialise(distinct.select("word", "blocks", _piece_counts(model)("word").alias("n")))
-        share = F.lit((pieces.agg(F.sum("blocks")).first()[0] or 0) // HOT)
-        hot = pieces.filter(F.col("blocks") > share).select("word", F.col("n").alias("n_hot"))  # at most HOT rows
-        rest = pieces.filter(F.col("blocks") <= share).select("word", "n")
-        tried = words.join(F.broadcast(hot), "word", "left")
-        counted = tried.filter("n_hot IS NOT NULL").select("block", "place", F.col("n_hot").alias("n")).unionByName(tried.filter("n_hot IS NULL").select("block", "place", "word").join(rest, "word").select("block", "place", "n"))
-        lists = counted.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("pieces"))
+        counted = words.repartition("word").sortWithinPartitions("word").mapInPandas(_counted(model), "block long, places binary, pieces binary")
+        lists = counted.groupBy("block").agg(F.collect_list(F.struct("places", "pieces")).alias("counts"))
         summed = blocks.drop("words").join(lists, "block", "left").mapInPandas(_summed, "doc_id long, n_bytes long, n_tokens long")
         return result(materialise(summed).withColumn("over_limit", F.col("n_tokens") > limit))
 
