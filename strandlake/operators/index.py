@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_right
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeding import K, TARGET, seed_arrays, seed_rows
+from ..functions.store import materialise
 from ..sources.corpus import MAX_LEN, MIN_LEN
 
 BUCKET_BITS = 25
+#: Postings of a file, about, and bytes of one in the published layout, by which reads are counted.
+PER_FILE = 20_000_000
+POST_BYTES = 5
 
 
-def postings(corpus: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
-    """(seed, bucket, residual, id, ord) rows of a corpus (id, seq)."""
-    return seed_rows(corpus).select("seed", F.shiftright("seed", 31 - bits).cast("int").alias("bucket"), F.col("seed").bitwiseAND(F.lit(255)).cast("int").alias("residual"), "id", "ord")
+def postings(corpus: DataFrame, bits: int = BUCKET_BITS, **options) -> DataFrame:
+    """(seed, bucket, residual, id, ord) rows of a corpus (id, seq); ``options`` are those of seeding (w: a fixed window)."""
+    return seed_rows(corpus, **options).select("seed", F.shiftright("seed", 31 - bits).cast("int").alias("bucket"), F.col("seed").bitwiseAND(F.lit(255)).cast("int").alias("residual"), "id", "ord")
 
 
 def build_counters(corpus: DataFrame) -> DataFrame:
@@ -44,16 +51,60 @@ def posting_plan(posted: DataFrame, per_file: int) -> DataFrame:
     return placed.groupBy("file_no").agg(F.min("bucket").alias("from_bucket"), (F.max("bucket") + 1).alias("to_bucket"), F.min("off_lo").alias("post_from"), F.max("off_hi").alias("post_to"))
 
 
-def write_index(corpus: DataFrame, path: str, files: int, bits: int = BUCKET_BITS) -> None:
-    """Postings ordered by bucket, so that scans prune by row group; entries and metadata beside them."""
-    posted = postings(corpus, bits)
-    posted.repartitionByRange(files, "bucket", "seed").sortWithinPartitions("bucket", "seed", "id").write.parquet(f"{path}/postings")
+def write_index(corpus: DataFrame, path: str, per_file: int = PER_FILE, bits: int = BUCKET_BITS) -> None:
+    """Write the index of ``corpus`` (id, seq, and acc for accessions): postings and bucket offsets in files that are cut on
+    bucket boundaries after about ``per_file`` postings and ordered by bucket, the entries, and the metadata with the
+    files' bucket ranges."""
+    posted = materialise(postings(corpus, bits))
+    offsets = materialise(bucket_offsets(posted).withColumn("file_no", F.floor(F.col("off_lo") / per_file).cast("long")))
+    placed = posted.join(offsets.select("bucket", "file_no"), "bucket")
+    files = posting_plan(posted, per_file)
+    for name, rows, order in (("postings", placed, ("bucket", "seed", "id")), ("offsets", offsets, ("bucket",))):
+        rows.repartitionByRange(*order).sortWithinPartitions("file_no", *order).write.partitionBy("file_no").parquet(f"{path}/{name}")
     corpus.write.parquet(f"{path}/entries")
-    spark = corpus.sparkSession
-    spark.createDataFrame([(K, TARGET, bits, 31 - bits)], "k int, targetSeeds int, bucketBits int, shift int").write.json(f"{path}/meta")
+    counts = posted.agg(F.count("*").alias("nPost"), F.count_distinct("id").alias("nSeq"))
+    listed = files.agg(F.array_sort(F.collect_list(F.struct(F.col("from_bucket").alias("fromBucket"), F.col("to_bucket").alias("toBucket"), F.col("post_from").alias("postFrom"), F.col("post_to").alias("postTo"), F.col("file_no").alias("fileNo")))).alias("files"))
+    fixed = [F.lit(v).alias(k) for k, v in (("k", K), ("targetSeeds", TARGET), ("bucketBits", bits), ("shift", 31 - bits), ("postBytes", POST_BYTES))]
+    counts.join(F.broadcast(listed)).select("nSeq", "nPost", *fixed, "files").write.json(f"{path}/meta")  # one row each
 
 
 def assert_index_compatible(meta: DataFrame) -> None:
     found = meta.select("k", "targetSeeds").first()
     if (found["k"], found["targetSeeds"]) != (K, TARGET):
         raise ValueError(f"index and seeding differ: {found.asDict()}")
+
+
+class Index:
+    """A written index. What a search reads of it goes by the buckets of its seeds, not by the index's size."""
+
+    #: Buckets of a search that are named in its scans; more are joined.
+    named = 10_000
+    #: Of those, as many are pushed down one by one; more by their files and range.
+    pushed = 64
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        meta = spark.read.json(f"{path}/meta")
+        assert_index_compatible(meta)
+        self.meta = meta.first().asDict(recursive=True)
+        self.entries = spark.read.parquet(f"{path}/entries")
+        self._postings, self._offsets = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "offsets"))
+
+    def seeds(self, chains: DataFrame) -> DataFrame:
+        return postings(chains, self.meta["bucketBits"])
+
+    def file_for(self, bucket: int) -> int | None:
+        """The number of the file whose range holds a bucket."""
+        ends = [f["toBucket"] for f in self.meta["files"]]
+        at = bisect_right(ends, bucket)
+        return self.meta["files"][at]["fileNo"] if at < len(ends) and bucket >= self.meta["files"][at]["fromBucket"] else None
+
+    def near(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The postings (bucket, residual, seed, id) and offsets of the buckets of ``wanted`` (bucket)."""
+        buckets = wanted.select("bucket").distinct()
+        found = sorted(r["bucket"] for r in buckets.limit(self.named + 1).collect())
+        tables = self._postings, self._offsets
+        if len(found) > self.named:
+            return tuple(t.join(buckets, "bucket", "left_semi") for t in tables)
+        files = sorted({f for b in found if (f := self.file_for(b)) is not None})
+        each = reduce(Column.__or__, [F.col("bucket") == b for b in found], F.lit(False)) if len(found) <= self.pushed else F.col("bucket").isin(found)
+        return tuple(t.filter(F.col("file_no").isin(files) & each) for t in tables)

@@ -2,43 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import frames
 from ..functions.align import align_udf
+from ..functions.transfer import moved_row, ungapped_blocks
 
 
 def align(pairs: DataFrame) -> DataFrame:
-    """Adds the alignment's columns to pairs with q_seq and t_seq; pairs that don't align go."""
+    """Adds the alignment's columns to pairs with q_seq and t_seq; pairs that don't align go. Pairs are few bytes and much
+    work, so they are dealt out evenly."""
+    pairs = pairs.repartition(max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return pairs.withColumn("aln", align_udf("q_seq", "t_seq")).filter("aln.score IS NOT NULL").select(*pairs.columns, "aln.*")
 
 
 def residue_map(hsps: DataFrame) -> DataFrame:
-    """(hsp_id, hit_idx, query_idx) of hsps (hsp_id, qseq, hseq, q_from, h_from), long form, by running counts."""
-    cells = hsps.select("hsp_id", "q_from", "h_from", F.posexplode(F.arrays_zip(F.split("qseq", "").alias("q"), F.split("hseq", "").alias("h"))).alias("p", "c"))
-    before = Window.partitionBy("hsp_id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    both = cells.select("hsp_id", F.col("c.q").alias("q"), F.col("c.h").alias("h"), *[(F.col(f"{x}_from") - 1 + F.coalesce(F.sum(F.when(F.col(f"c.{x}") != "-", 1).otherwise(0)).over(before), F.lit(0))).cast("long").alias(y) for x, y in (("q", "query_idx"), ("h", "hit_idx"))])
-    return both.filter("q <> '-' AND h <> '-'").select("hsp_id", "hit_idx", "query_idx")
-
-
-@F.pandas_udf(StringType())
-def _transfer(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    for row, qseq, hseq, q_from, h_from, q_len, h_len in rows:
-        yield pd.Series([frames.transfer_row(r, n, frames.residue_map(a, b, i, j, n, m)) for r, a, b, i, j, n, m in zip(row, qseq, hseq, q_from, h_from, q_len, h_len, strict=True)], dtype=object)
+    """(hsp_id, hit_idx, query_idx) of hsps (hsp_id, qseq, hseq, q_from, h_from), long form, from the ungapped blocks."""
+    blocks = ungapped_blocks(F.col("qseq"), F.col("hseq"), F.col("q_from"), F.col("h_from"))
+    each = hsps.select("hsp_id", F.explode(blocks).alias("b")).select("hsp_id", "b", F.explode(F.sequence(F.lit(0), F.col("b.n") - 1)).alias("k"))
+    return each.select("hsp_id", (F.col("b.h") + F.col("k")).cast("long").alias("hit_idx"), (F.col("b.q") + F.col("k")).cast("long").alias("query_idx"))
 
 
 def transfer_rows(rows: DataFrame) -> DataFrame:
     """Rows (…, seq, qseq, hseq, q_from, h_from, q_len, h_len) in query columns, as ``moved``; rows that hold nothing there go."""
-    return rows.withColumn("moved", _transfer("seq", "qseq", "hseq", "q_from", "h_from", "q_len", "h_len")).filter("moved IS NOT NULL")
+    blocks = ungapped_blocks(*(F.col(c) for c in ("qseq", "hseq", "q_from", "h_from", "q_len", "h_len")))
+    return rows.withColumn("moved", moved_row(F.col("seq"), blocks, F.col("q_len"))).filter("moved IS NOT NULL")
 
 
 def greedy_dedup(rows: DataFrame, max_depth: int = 0) -> DataFrame:
-    """Verdicts (query_id, row_ord, verdict) of rows (query_id, query, row_ord, member, seq): an order-dependent fold."""
+    """Verdicts (query_id, row_ord, verdict) of rows (query_id, query, row_ord, member, seq): an order-dependent fold. With
+    ``max_depth``, rows after that many (with the query's own) are capped. A query's rows are held by one task, as they
+    are in the a3m file that they make up."""
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("row_ord")
@@ -47,12 +43,14 @@ def greedy_dedup(rows: DataFrame, max_depth: int = 0) -> DataFrame:
     return rows.groupBy("query_id").applyInPandas(fold, "query_id long, row_ord int, verdict string")
 
 
-def merge_stats(verdicts: DataFrame) -> DataFrame:
-    return verdicts.groupBy("query_id").agg(F.count_if(F.col("verdict") == "kept").alias("added"), F.count("*").alias("total"), F.count_if(F.col("verdict") == "dup_id").alias("dup_id"), F.count_if(F.col("verdict") == "dup_seq").alias("dup_seq"))
+def merge_stats(verdicts: DataFrame, *by: str) -> DataFrame:
+    """What dedup kept and dropped of each query, or of each ``by`` column's value of it."""
+    return verdicts.groupBy("query_id", *by).agg(F.count_if(F.col("verdict") == "kept").alias("added"), F.count("*").alias("total"), F.count_if(F.col("verdict") == "dup_id").alias("dup_id"), F.count_if(F.col("verdict") == "dup_seq").alias("dup_seq"))
 
 
 def diverse_hits(hits: DataFrame, max_pair_identity: float = 0.9, max_hits: int = 0) -> DataFrame:
-    """(query_id, hit_ord, chosen, dup_of) of hits (query_id, hit_ord, acc, qseq, hseq, q_from, q_len)."""
+    """(query_id, hit_ord, chosen, dup_of) of hits (query_id, hit_ord, acc, qseq, hseq, q_from, q_len). A task holds the hits of
+    one query: the top ones of a search."""
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("hit_ord")
@@ -69,5 +67,13 @@ def pick_donor(hits: DataFrame, with_msa: DataFrame) -> DataFrame:
     return hits.join(with_msa.select("acc").distinct(), "acc", "left_semi").withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
 
 
-def chain_lengths(seqs: Column) -> Column:
-    return F.transform(seqs, lambda s: F.length(s))
+def pick_donors(hits: DataFrame, with_msa: DataFrame, most: int = 1, max_pair_identity: float = 0.9) -> DataFrame:
+    """For each query up to ``most`` hits that have alignments of their own, as ``donor_ord`` from 0: the best by score, and
+    after it those that are diverse from the ones before. A hit without an alignment hides no other."""
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "rank")
+    placed = hits.join(with_msa.select("acc").distinct(), "acc", "left_semi").withColumn("hit_ord", F.row_number().over(order))
+    if most == 1:
+        return placed.filter("hit_ord = 1").withColumn("donor_ord", F.col("hit_ord") - 1).drop("hit_ord")
+    diverse = diverse_hits(placed.select(F.col("query").alias("query_id"), "hit_ord", "acc", "qseq", "hseq", "q_from", F.length("q_seq").alias("q_len")), max_pair_identity, most)
+    chosen = placed.join(diverse.filter("chosen").select(F.col("query_id").alias("query"), "hit_ord"), ["query", "hit_ord"])
+    return chosen.withColumn("donor_ord", F.row_number().over(Window.partitionBy("query").orderBy("hit_ord")) - 1).drop("hit_ord")

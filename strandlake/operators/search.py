@@ -5,23 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import materialise
+from .index import POST_BYTES, Index
+
 TOP_K = 20
 MAX_POSTINGS = 20_000
+SEED_CAP = 2000
+
+
+def hits(query_seeds: DataFrame, posted: DataFrame, cap: int = MAX_POSTINGS, offsets: DataFrame | None = None) -> DataFrame:
+    """(query, ord, id) of every posting of a query's seed whose bucket holds at most ``cap`` postings. Only the queries'
+    buckets are looked at; their sizes come from ``offsets``, or are counted. The cap drops hot keys before the join, so
+    no seed is a skewed key."""
+    near = posted.select("bucket", "residual", "id").join(query_seeds.select("bucket").distinct(), "bucket", "left_semi")
+    sizes = near.groupBy("bucket").agg(F.count("*").alias("bucket_size")) if offsets is None else offsets.select("bucket", (F.col("off_hi") - F.col("off_lo")).alias("bucket_size"))
+    wanted = query_seeds.select(F.col("id").alias("query"), "ord", "bucket", "residual").join(sizes.filter(F.col("bucket_size") <= cap), "bucket", "left_semi")
+    return wanted.join(near, ["bucket", "residual"]).select("query", "ord", "id")
 
 
-def hits(query_seeds: DataFrame, posted: DataFrame, cap: int = MAX_POSTINGS) -> DataFrame:
-    """(query, ord, id) of every posting of a query's seed whose bucket holds at most ``cap`` postings. The cap drops hot
-    keys before the join, so no seed is a skewed key."""
-    sizes = posted.groupBy("bucket").agg(F.count("*").alias("bucket_size")).filter(F.col("bucket_size") <= cap).select("bucket")
-    wanted = query_seeds.select(F.col("id").alias("query"), "ord", "bucket", "residual").join(sizes, "bucket", "left_semi")
-    return wanted.join(posted.select("bucket", "residual", "id"), ["bucket", "residual"]).select("query", "ord", "id")
+def search_index(index: Index, chains: DataFrame, k: int = TOP_K, cap: int = MAX_POSTINGS) -> DataFrame:
+    """(query, rank, id, acc, shared): the top entries of a written index for chains (id, seq)."""
+    wanted = materialise(index.seeds(chains))
+    posted, offsets = index.near(wanted)
+    return with_accessions(top_candidates(shared_counts(hits(wanted, posted, cap, offsets)), k), index.entries)
 
 
-def hits_by_seed(query_seeds: DataFrame, posted: DataFrame, cap: int = 2000) -> DataFrame:
+def hits_by_seed(query_seeds: DataFrame, posted: DataFrame, cap: int = SEED_CAP) -> DataFrame:
     """As ``hits``, on whole seeds: those with more than ``cap`` postings are passed over."""
-    sizes = posted.groupBy("seed").agg(F.count("*").alias("c")).filter(F.col("c") <= cap).select("seed")
+    near = posted.select("seed", "id").join(query_seeds.select("seed").distinct(), "seed", "left_semi")
+    sizes = near.groupBy("seed").agg(F.count("*").alias("c")).filter(F.col("c") <= cap).select("seed")
     wanted = query_seeds.select(F.col("id").alias("query"), "ord", "seed").join(sizes, "seed", "left_semi")
-    return wanted.join(posted.select("seed", "id"), "seed").select("query", "ord", "id")
+    return wanted.join(near, "seed").select("query", "ord", "id")
 
 
 def shared_counts(found: DataFrame) -> DataFrame:
@@ -40,11 +54,14 @@ def with_accessions(top: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def lookup_stats(query_seeds: DataFrame, posted: DataFrame, cap: int = MAX_POSTINGS) -> DataFrame:
-    """For each query with seeds: n_seeds, seeds_found, seeds_skipped, candidates."""
-    sizes = posted.groupBy("bucket").agg(F.count("*").alias("bucket_size"))
-    present = posted.select("bucket", "residual").distinct().withColumn("present", F.lit(True))
+    """For each query with seeds: n_seeds, seeds_found, seeds_skipped, bytes_read (two offsets of four bytes for each seed, and
+    the postings of buckets that aren't skipped), candidates."""
+    near = posted.select("bucket", "residual", "id").join(query_seeds.select("bucket").distinct(), "bucket", "left_semi")
+    sizes = near.groupBy("bucket").agg(F.count("*").alias("bucket_size"))
+    present = near.select("bucket", "residual").distinct().withColumn("present", F.lit(True))
     per_seed = query_seeds.select(F.col("id").alias("query"), "bucket", "residual").join(sizes, "bucket", "left").join(present, ["bucket", "residual"], "left")
     hot = F.coalesce(F.col("bucket_size") > cap, F.lit(False))
-    stats = per_seed.groupBy("query").agg(F.count("*").alias("n_seeds"), F.count_if(~hot & F.col("present")).alias("seeds_found"), F.count_if(hot).alias("seeds_skipped"))
+    read = F.lit(8) + F.when(hot, 0).otherwise(POST_BYTES * F.coalesce("bucket_size", F.lit(0)))
+    stats = per_seed.groupBy("query").agg(F.count("*").alias("n_seeds"), F.count_if(~hot & F.col("present")).alias("seeds_found"), F.count_if(hot).alias("seeds_skipped"), F.sum(read).alias("bytes_read"))
     candidates = hits(query_seeds, posted, cap).select("query", "id").distinct().groupBy("query").agg(F.count("*").alias("candidates"))
     return stats.join(candidates, "query", "left").fillna(0, ["candidates"])

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import headers
 from ..functions.ranges import numbered
 from ..functions.seeding import seed_rows, window_for
+from ..functions.store import materialise, shared_dir
 from ..operators import evaluation, index, msa, pairing, search
 from ..sources import corpus as src
+from .engine import aligned_hits
+from .engine import build_msa as run_build_msa
+from .engine import donor_stats as run_donor_stats
 
 TOP = 5
-BITS, CAP, SEED_CAP = 16, 60, 5
+#: The queries of searches: every entry whose id this divides, against all entries.
+EVERY = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +36,15 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), src.letters(F.col("text")).alias("seq"), F.concat_ws("_", "conv_id", "turn").alias("acc"), F.col("role").alias("descr"), F.col("role").alias("organism"), F.col("turn").cast("string").alias("taxid")).filter(F.length("seq") >= src.MIN_LEN)
 
 
-def _posted(spark, d, bits=index.BUCKET_BITS):
-    return index.postings(whole_corpus(spark, d), bits)
+def _posted(spark, d):
+    """Postings of all documents, and those of the queries among them."""
+    p = materialise(index.postings(whole_corpus(spark, d)))
+    return p, p.filter(F.col("id") % EVERY == 0)
 
 
-def _counts(spark, d, bits=index.BUCKET_BITS, cap=search.MAX_POSTINGS):
-    p = _posted(spark, d, bits)
-    return search.shared_counts(search.hits(p, p, cap).filter("query <> id"))
+def _counts(spark, d):
+    p, wanted = _posted(spark, d)
+    return search.shared_counts(search.hits(wanted, p).filter("query <> id"))
 
 
 def minimizers(spark, d):
@@ -58,15 +65,15 @@ def build_counters(spark, d):
 
 
 def bucket_histogram(spark, d):
-    return index.bucket_histogram(_posted(spark, d))
+    return index.bucket_histogram(_posted(spark, d)[0])
 
 
 def bucket_offsets(spark, d):
-    return index.bucket_offsets(_posted(spark, d))
+    return index.bucket_offsets(_posted(spark, d)[0])
 
 
 def posting_plan(spark, d):
-    return index.posting_plan(_posted(spark, d), 1000)
+    return index.posting_plan(_posted(spark, d)[0], 1000)
 
 
 def dense_ids(spark, d):
@@ -82,12 +89,22 @@ def topk_candidates(spark, d):
 
 
 def hot_bucket_skip(spark, d):
-    return search.top_candidates(_counts(spark, d, BITS, CAP), TOP)
+    """As topk_candidates by the published limits, the entry itself among the candidates."""
+    p, wanted = _posted(spark, d)
+    return search.top_candidates(search.shared_counts(search.hits(wanted, p)))
 
 
 def lookup_stats(spark, d):
-    p = _posted(spark, d, BITS)
-    return search.lookup_stats(p, p, CAP)
+    p, wanted = _posted(spark, d)
+    return search.lookup_stats(wanted, p)
+
+
+def index_search(spark, d):
+    """Benchmark items against a written index of all documents."""
+    path = shared_dir(spark)
+    index.write_index(whole_corpus(spark, d), path, per_file=100_000)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), src.letters(F.col("text")).alias("seq"))
+    return search.search_index(index.Index(spark, path), items)
 
 
 def resolved_candidates(spark, d):
@@ -122,8 +139,21 @@ def row_identity(spark, d):
 
 
 def query_chains(spark, d):
-    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", src.letters(F.col("text")).alias("s")))), lambda x: x["s"]), ":").alias("text"))
-    return src.parse_query_input(t.select(F.col("conv_id").alias("query_id"), "text"))
+    """Conversations as query texts: FASTA with unnamed records and empty ones, or sequences between colons; some hold digits."""
+    seq = F.when(F.col("turn") % 4 == 3, "").otherwise(F.regexp_replace("text", "[^A-Za-z0-9]", ""))
+    name = F.when(F.col("role") == "user", F.concat(F.lit("user "), "turn")).otherwise("")
+    t = table(spark, d, "conversations").select("conv_id", F.struct("turn", seq.alias("s"), name.alias("n")).alias("c"))
+    joined = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    fasta = F.array_join(F.transform("cs", lambda c: F.concat(F.lit(">"), c["n"], F.lit("\n"), c["s"])), "\n")
+    text = F.when(F.col("conv_id") % 2 == 0, fasta).otherwise(F.array_join(F.transform("cs", lambda c: c["s"]), ":"))
+    return src.parse_query_input(joined.select(F.col("conv_id").alias("query_id"), text.alias("text")))
+
+
+def shard_union(spark, d):
+    """Documents in a shard for each language, one shard after the other."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())  # a few
+    return src.concat_shards([docs.filter(F.col("lang") == x).select("doc_id") for x in langs], "doc_id").select("doc_id", "dense_id")
 
 
 def residue_map(spark, d):
@@ -137,17 +167,18 @@ def residue_map(spark, d):
 
 
 def _chains(spark, d):
-    """Halves of every document's letters as rows of two chains, in the columns of their language's first document."""
+    """Halves of every document's letters as rows of two chains, in the columns of their language's first document; letters
+    beyond these columns are insertions, so whole texts stay."""
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("query_id"), src.letters(F.col("text")).alias("s"), F.regexp_extract("source", "[0-9]+", 0).alias("taxid"))
     rows = numbered(docs, "query_id", "doc_id", "row_ord").withColumn("row_ord", F.col("row_ord").cast("int"))
     half = F.floor(F.length("s") / 2).cast("int")
     rows = rows.select("query_id", "row_ord", F.concat(F.lit("D"), "doc_id", F.lit(" TaxID="), "taxid").alias("name"), "taxid", F.posexplode(F.array(F.left("s", half), F.right("s", F.length("s") - half))).alias("chain", "s"))
     first = rows.filter("row_ord = 0").select("query_id", "chain", F.col("s").alias("q"))
     n = F.length("q")
-    framed = rows.join(first, ["query_id", "chain"]).withColumn("seq", F.rpad(F.left("s", n), n, "-"))
+    framed = rows.join(first, ["query_id", "chain"]).withColumn("seq", F.concat(F.rpad(F.left("s", n), n, "-"), F.lower(F.substring(F.col("s"), n + 1, F.length("s")))))
     framed = framed.filter((F.col("row_ord") > 0) & (F.length("s") > 0)).withColumn("identity", headers.identity_to_query(F.col("q"), F.col("seq"))).select("query_id", "chain", "row_ord", "name", "seq", "taxid", "identity")
     lengths = first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chain", F.length("q").alias("n")))), lambda x: x["n"]).alias("lens"))
-    return framed, lengths
+    return framed, lengths, first
 
 
 def best_per_taxon(spark, d):
@@ -155,7 +186,7 @@ def best_per_taxon(spark, d):
 
 
 def _paired(spark, d):
-    rows, lengths = _chains(spark, d)
+    rows, lengths, _ = _chains(spark, d)
     best = pairing.best_per_taxon(rows)
     return rows, lengths, best, pairing.paired_block(best, lengths.select("query_id", F.size("lens").alias("n_chains")))
 
@@ -169,6 +200,13 @@ def unpaired_block(spark, d):
     return pairing.unpaired_block(rows, best, paired, lengths)
 
 
+def paired_a3m(spark, d):
+    """The assembled paired alignment: header, the joined query, the paired rows, the rest."""
+    _, lengths, first = _chains(spark, d)
+    rows, _, best, paired = _paired(spark, d)
+    return src.format_paired_a3m(pairing.paired_header(lengths), first.select("query_id", "chain", F.col("q").alias("seq")), paired, pairing.unpaired_block(rows, best, paired, lengths))
+
+
 def paired_header(spark, d):
     return pairing.paired_header(_chains(spark, d)[1])
 
@@ -183,7 +221,7 @@ def depth_histogram(spark, d):
 
 def select_entries(spark, d):
     clusters = table(spark, d, "part").select(F.col("p_brand").alias("rep"), F.col("p_partkey").cast("string").alias("entry"))
-    return evaluation.select_entries(_depths(spark, d), clusters.filter("entry NOT LIKE '%7'"), 60, 20)
+    return evaluation.select_entries(_depths(spark, d), clusters, 60, 20)
 
 
 def upper_median(spark, d):
@@ -191,8 +229,23 @@ def upper_median(spark, d):
 
 
 def coverage_pct(spark, d):
-    best = _counts(spark, d).groupBy("query").agg(F.max("shared").alias("shared"))
-    return evaluation.coverage_pct(best, "shared", (9, 6, 3))
+    """Conversations by the best identity of their turns to the first."""
+    best = row_identity(spark, d).groupBy("msa_id").agg(F.max(100 * F.col("identity")).alias("identity"))
+    return evaluation.coverage_pct(best)
+
+
+def coverage_study(spark, d):
+    """How many user turns have an alike assistant turn."""
+    t = turns(spark, d)
+    return evaluation.coverage_study(*(t.filter(F.col("descr") == role).select("id", "seq") for role in ("user", "assistant")))
+
+
+def recall_study(spark, d):
+    """Ten conversations are a family, and its entry their first turn."""
+    t = turns(spark, d).withColumn("family", F.floor(F.col("id") / 10_000))
+    first = t.groupBy("family").agg(F.min("id").alias("entry"))
+    members = t.join(first, "family").select(F.col("entry").alias("family"), F.col("id").alias("member"), "seq").filter("family <> member")
+    return evaluation.recall_study(members, t.select("id", "seq"))
 
 
 def recall_by_band(spark, d):
@@ -206,10 +259,7 @@ def recall_by_band(spark, d):
 
 def _aligned(spark, d):
     t = turns(spark, d)
-    p = index.postings(t)
-    top = search.top_candidates(search.shared_counts(search.hits(p, p).filter("query <> id")), TOP)
-    pairs = top.join(t.select(F.col("id").alias("query"), F.col("seq").alias("q_seq")), "query").join(t.select("id", F.col("acc"), F.col("seq").alias("t_seq")), "id")
-    return msa.align(pairs)
+    return aligned_hits(t.select("id", "seq"), t, TOP, exclude_self=True)
 
 
 def sw_align(spark, d):
@@ -233,6 +283,19 @@ def transfer_rows(spark, d):
     return moved.select("query", "id", "moved", headers.match_states(F.col("moved")).alias("n_match"), "q_len")
 
 
+def transfer_synthetic(spark, d):
+    """Turns with an insertion after every fifth letter, moved through alignments with gaps at every 7th and 11th column."""
+    t = turns(spark, d)
+
+    def gapped(step):
+        return F.array_join(F.transform(F.split("seq", ""), lambda c, i: F.when(i % step == step - 1, "-").otherwise(c)), "")
+
+    row = F.array_join(F.transform(F.split("seq", ""), lambda c, i: F.when(i % 5 == 4, F.concat(c, F.lit("x"))).otherwise(c)), "")
+    n = F.length("seq")
+    hsps = t.select("id", row.alias("seq"), gapped(7).alias("qseq"), gapped(11).alias("hseq"), F.lit(3).alias("q_from"), F.lit(1).alias("h_from"), n.alias("q_len"), n.alias("h_len"))
+    return msa.transfer_rows(hsps).select("id", "moved")
+
+
 def _folded(spark, d):
     rows = _rows(spark, d)
     return msa.greedy_dedup(rows.select(F.col("msa_id").alias("query_id"), F.lit("").alias("query"), "row_ord", headers.member_id_of(F.col("name")).alias("member"), "seq"))
@@ -246,17 +309,34 @@ def merge_stats(spark, d):
     return msa.merge_stats(_folded(spark, d))
 
 
+def _turn_msas(spark, d):
+    """An alignment for every turn: itself, three mutants of it, of which one is shorter and one has an insertion."""
+    t = turns(spark, d)
+    rows = [(0, F.lit("query"), F.col("seq"))]
+    for k, rate in enumerate((0.05, 0.2, 0.4), 1):
+        changed = headers.mutated("seq", "id", rate, k)
+        seq = {1: changed, 2: F.concat(F.repeat(F.lit("-"), F.lit(10)), F.substring(changed, 11, 1 << 30)), 3: F.concat(F.left(changed, F.lit(20)), F.lit("acd"), F.substring(changed, 21, 1 << 30))}[k]
+        rows.append((k, F.concat(F.lit("UniRef_"), "acc", F.lit(f"_{k} Tax=Org TaxID="), F.col("turn")), seq))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("row_ord"), name.alias("name"), seq.alias("seq")) for i, name, seq in rows]))
+    named = t.withColumn("turn", F.col("taxid")).select(F.col("acc").alias("msa_id"), each.alias("r")).select("msa_id", "r.*")
+    return src.format_a3m(named).withColumnRenamed("msa_id", "acc")
+
+
 def build_msa(spark, d):
-    from .engine import build_msa as run
+    t = turns(spark, d)
+    return run_build_msa(t.select("id", "seq"), t, _turn_msas(spark, d), TOP, donors=2, exclude_self=True)
+
 
+def donor_stats(spark, d):
     t = turns(spark, d)
-    texts = src.format_a3m(t.select(F.col("acc").alias("msa_id"), F.lit(0).alias("row_ord"), F.lit("query").alias("name"), "seq")).withColumnRenamed("msa_id", "acc")
-    return run(t.select("id", "seq"), t, texts, TOP)
+    return run_donor_stats(t.select("id", "seq"), t, _turn_msas(spark, d), TOP, donors=2, exclude_self=True)
 
 
 def json_output(spark, d):
-    named = src.format_a3m(_rows(spark, d)).select("msa_id", F.to_json(F.struct(F.concat(F.lit("chain_"), "msa_id").alias("name"), F.col("text").alias("a3m"))).alias("body"))
-    return named
+    """Conversations' turns as chains, named by role: of chains with one name the last counts."""
+    rows = _rows(spark, d).withColumn("role", F.regexp_extract("name", r"^(\S+)", 1))
+    text = F.concat(F.lit(">"), "name", F.lit("\n"), "seq", F.lit("\n"))
+    return src.json_response(rows.select(F.col("msa_id").alias("query_id"), F.col("row_ord").alias("chain_ord"), F.col("role").alias("name"), text.alias("text")))
 
 
 def _packed(spark, d):
@@ -273,8 +353,8 @@ def packed_scan(spark, d):
 
 
 def exact_seed_hits(spark, d):
-    p = _posted(spark, d)
-    return search.shared_counts(search.hits_by_seed(p, p, SEED_CAP).filter("query <> id")).select("query", "id", "shared")
+    p, wanted = _posted(spark, d)
+    return search.shared_counts(search.hits_by_seed(wanted, p).filter("query <> id")).select("query", "id", "shared")
 
 
 def point_mutations(spark, d):
@@ -308,9 +388,9 @@ def hit_warnings(spark, d):
 
 
 QUERIES = [
-    corpus_filter, build_counters, seed_windows, minimizers, bucket_histogram, bucket_offsets, posting_plan, dense_ids, shared_counts, topk_candidates, hot_bucket_skip, lookup_stats, resolved_candidates,
-    a3m_text, a3m_round_trip, row_metadata, row_identity, query_chains, residue_map, best_per_taxon, paired_block, unpaired_block, paired_header, depth_histogram, select_entries, upper_median, coverage_pct,
-    recall_by_band, sw_align, donor_pick, diverse_hits, transfer_rows, greedy_dedup, merge_stats, build_msa, json_output,
+    corpus_filter, build_counters, seed_windows, minimizers, bucket_histogram, bucket_offsets, posting_plan, dense_ids, shared_counts, topk_candidates, hot_bucket_skip, lookup_stats, resolved_candidates, index_search, shard_union,
+    a3m_text, a3m_round_trip, row_metadata, row_identity, query_chains, residue_map, best_per_taxon, paired_block, unpaired_block, paired_header, paired_a3m, depth_histogram, select_entries, upper_median, coverage_pct,
+    recall_by_band, sw_align, donor_pick, diverse_hits, transfer_rows, transfer_synthetic, greedy_dedup, merge_stats, build_msa, donor_stats, json_output, coverage_study, recall_study,
     sampled_queries, packed_scan, exact_seed_hits, point_mutations, mutant_recall, quota_sample, depth_summary, match_state_check, hit_warnings,
 ]
 
@@ -323,30 +403,32 @@ _DOCS = "SELECT doc_id AS id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))
 _TURN_ROWS = "SELECT conv_id AS msa_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS row_ord, role || ' Tax=Org ' || role || ' TaxID=' || turn AS name, regexp_replace(text, '[^A-Za-z-]', '', 'g') AS seq FROM conversations"
 
 
-def _seed_cte(corpus: str) -> str:
+def _seed_cte(corpus: str, to: str = "s") -> str:
     powers = ", ".join(str(pow(31, 9 - j, 1 << 32)) for j in range(10))
+    t = f"{to}_"
     return f"""
-c0 AS ({corpus}), c AS (SELECT id, seq, length(seq) AS n, greatest(4, least(128, length(seq) // 12)) AS w FROM c0),
-k0 AS (SELECT id, n, w, unnest(range(9, n)) AS i, unnest(list_transform(range(9, n), lambda i: seq[i - 8:i + 1])) AS km FROM c),
-k1 AS (SELECT id, w, i, CAST(list_sum(list_transform(range(1, 11), lambda j: (strpos('ACDEFGHIKLMNPQRSTVWY', km[j]) - 1) * ([{powers}])[j])) % 4294967296 AS HUGEINT) AS x FROM k0 WHERE NOT regexp_matches(km, '[^ACDEFGHIKLMNPQRSTVWY]') AND (i // w) * w >= 9),
-k2 AS (SELECT id, w, i, xor(x, 2654435769) AS x FROM k1), k3 AS (SELECT id, w, i, (xor(x, x >> 16) * 2246822507) % 4294967296 AS x FROM k2),
-k4 AS (SELECT id, w, i, (xor(x, x >> 13) * 3266489909) % 4294967296 AS x FROM k3), k5 AS (SELECT id, i // w AS b, CAST(xor(x, x >> 16) & 2147483647 AS BIGINT) AS h FROM k4),
-b AS (SELECT id, b, min(h) AS seed FROM k5 GROUP BY id, b), f AS (SELECT id, seed, min(b) AS b FROM b GROUP BY id, seed),
-s AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS INTEGER) AS ord, seed FROM f)"""
+{t}c0 AS ({corpus}), {t}c AS (SELECT id, seq, length(seq) AS n, greatest(4, least(128, length(seq) // 12)) AS w FROM {t}c0),
+{t}k0 AS (SELECT id, n, w, unnest(range(9, n)) AS i, unnest(list_transform(range(9, n), lambda i: seq[i - 8:i + 1])) AS km FROM {t}c),
+{t}k1 AS (SELECT id, w, i, CAST(list_sum(list_transform(range(1, 11), lambda j: (strpos('ACDEFGHIKLMNPQRSTVWY', km[j]) - 1) * ([{powers}])[j])) % 4294967296 AS HUGEINT) AS x FROM {t}k0 WHERE NOT regexp_matches(km, '[^ACDEFGHIKLMNPQRSTVWY]') AND (i // w) * w >= 9),
+{t}k2 AS (SELECT id, w, i, xor(x, 2654435769) AS x FROM {t}k1), {t}k3 AS (SELECT id, w, i, (xor(x, x >> 16) * 2246822507) % 4294967296 AS x FROM {t}k2),
+{t}k4 AS (SELECT id, w, i, (xor(x, x >> 13) * 3266489909) % 4294967296 AS x FROM {t}k3), {t}k5 AS (SELECT id, i // w AS b, CAST(xor(x, x >> 16) & 2147483647 AS BIGINT) AS h FROM {t}k4),
+{t}b AS (SELECT id, b, min(h) AS seed FROM {t}k5 GROUP BY id, b), {t}f AS (SELECT id, seed, min(b) AS b FROM {t}b GROUP BY id, seed),
+{to} AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS INTEGER) AS ord, seed FROM {t}f)"""
 
 
 _SEEDS = _seed_cte(f"SELECT * FROM ({_DOCS}) WHERE length(seq) >= 40")
-_PAIRS = "p AS (SELECT x.id AS query, y.id AS id, count(*) AS shared, min(x.ord) AS first_ord FROM s x JOIN s y ON x.seed = y.seed AND x.id <> y.id GROUP BY 1, 2)"
+_PAIRS = f"p AS (SELECT x.id AS query, y.id AS id, count(*) AS shared, min(x.ord) AS first_ord FROM s x JOIN s y ON x.seed = y.seed AND x.id <> y.id WHERE x.id % {EVERY} = 0 GROUP BY 1, 2)"
 _TOP = f"t AS (SELECT query, rank, id, shared FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY shared DESC, first_ord, id) AS INTEGER) AS rank FROM p) WHERE rank <= {TOP})"
 _BUCKETS = "h AS (SELECT CAST(seed >> 6 AS INTEGER) AS bucket, count(*) AS n_postings FROM s GROUP BY 1), o AS (SELECT bucket, CAST(sum(n_postings) OVER (ORDER BY bucket) - n_postings AS BIGINT) AS off_lo, CAST(sum(n_postings) OVER (ORDER BY bucket) AS BIGINT) AS off_hi FROM h)"
-_HOT = f"bk AS (SELECT *, seed >> {31 - BITS} AS bucket, seed & 255 AS residual FROM s), sz AS (SELECT bucket, count(*) AS c FROM bk GROUP BY 1)"
+_HOT = f"bk AS (SELECT *, seed >> 6 AS bucket, seed & 255 AS residual FROM s), sz AS (SELECT bucket, count(*) AS c FROM bk GROUP BY 1), hp AS (SELECT x.id AS query, x.ord, y.id AS id FROM bk x JOIN sz ON sz.bucket = x.bucket AND c <= 20000 JOIN bk y ON x.bucket = y.bucket AND x.residual = y.residual WHERE x.id % {EVERY} = 0)"
+_TOP_20 = "t AS (SELECT query, rank, id, shared FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY shared DESC, first_ord, id) AS INTEGER) AS rank FROM p) WHERE rank <= 20)"
 _IDENT = "SELECT msa_id, row_ord, CASE WHEN len(l) = 0 THEN 0 ELSE len(list_filter(l, lambda z: z[1] = z[2])) / len(l) END AS identity FROM (SELECT r.msa_id, r.row_ord, list_filter(list_transform(range(1, least(length(q.seq), length(r.seq)) + 1), lambda i: [upper(q.seq)[i], upper(r.seq)[i]]), lambda z: z[2] <> '-') AS l FROM rows_ r JOIN rows_ q ON q.msa_id = r.msa_id AND q.row_ord = 0 WHERE r.row_ord > 0)"
 _CHAINS = """
 d AS (SELECT doc_id, lang AS query_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s, regexp_extract(source, '[0-9]+') AS taxid FROM documents),
 r0 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS INTEGER) AS row_ord FROM d),
 r1 AS (SELECT query_id, row_ord, 'D' || doc_id || ' TaxID=' || taxid AS name, taxid, 0 AS chain, left(s, length(s) // 2) AS s FROM r0 UNION ALL SELECT query_id, row_ord, 'D' || doc_id || ' TaxID=' || taxid, taxid, 1, substr(s, length(s) // 2 + 1) FROM r0),
 fq AS (SELECT query_id, chain, s AS q, length(s) AS ql FROM r1 WHERE row_ord = 0),
-r2 AS (SELECT r1.*, q, rpad(left(r1.s, ql), CAST(ql AS INTEGER), '-') AS seq, left(r1.s, ql) AS cells FROM r1 JOIN fq USING (query_id, chain) WHERE row_ord > 0 AND length(r1.s) > 0),
+r2 AS (SELECT r1.*, q, rpad(left(r1.s, ql), CAST(ql AS INTEGER), '-') || lower(substr(r1.s, ql + 1)) AS seq, left(r1.s, ql) AS cells FROM r1 JOIN fq USING (query_id, chain) WHERE row_ord > 0 AND length(r1.s) > 0),
 r3 AS (SELECT query_id, chain, row_ord, name, seq, taxid, CASE WHEN length(cells) = 0 THEN 0 ELSE len(list_filter(range(1, length(cells) + 1), lambda i: cells[i] = q[i])) / length(cells) END AS identity FROM r2),
 be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chain, taxid ORDER BY identity DESC, row_ord) AS n, min(row_ord) OVER (PARTITION BY query_id, chain, taxid) AS seen FROM r3) WHERE n = 1),
 pa AS (SELECT a.query_id, CAST(row_number() OVER (PARTITION BY a.query_id ORDER BY least(a.identity, b.identity) DESC, a.seen) AS INTEGER) AS paired_ord, a.taxid, regexp_extract(a.name, '^\\S+') || chr(9) || regexp_extract(b.name, '^\\S+') AS name, a.seq || b.seq AS seq FROM be a JOIN be b ON a.query_id = b.query_id AND a.taxid = b.taxid AND a.chain = 0 AND b.chain = 1)"""
@@ -357,12 +439,22 @@ _PACKED = f"SELECT * FROM (SELECT id, regexp_replace(seq, '[BJOUZ]', '', 'g') AS
 _H = "((((id % 65536) * 40503 + (i - 1) * 2654435761 + 97) % 4294967296))"
 _MIX = f"(((xor({_H}, {_H} >> 15)) * 1103515245) % 4294967296)"
 _MUTANTS = f"SELECT id, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN strpos('ACDEFGHIKLMNPQRSTVWY', seq[i]) > 0 AND {_MIX} % 10000 < 500 THEN substr('ACDEFGHIKLMNPQRSTVWY', (strpos('ACDEFGHIKLMNPQRSTVWY', seq[i]) + ({_MIX} >> 16) % 19) % 20 + 1, 1) ELSE seq[i] END), '') AS seq FROM ({_GAPS})"
-_SELECTED = f"WITH {_DEPTHS}, de AS (SELECT * FROM dp WHERE depth >= 20), mb AS (SELECT CAST(p_partkey AS VARCHAR) AS acc, p_brand AS rep FROM part WHERE CAST(p_partkey AS VARCHAR) NOT LIKE '%7'), pl AS (SELECT acc, depth, rep FROM de LEFT JOIN mb USING (acc)), pk AS (SELECT acc, depth FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY depth DESC, acc) AS n FROM pl WHERE rep IS NOT NULL) WHERE n = 1), al AS (SELECT acc, depth FROM pl WHERE rep IS NULL), st AS (SELECT depth, sum(count(*)) OVER (ORDER BY depth DESC) AS upto FROM al GROUP BY depth), un AS (SELECT * FROM pk UNION ALL SELECT acc, depth FROM al WHERE depth IN (SELECT depth FROM st WHERE upto <= (SELECT greatest(0, 60 - count(*)) FROM pk))) SELECT acc, depth, CAST(row_number() OVER (ORDER BY depth DESC, acc) AS INTEGER) AS rank FROM un QUALIFY rank <= 60"
+_SELECTED = f"WITH {_DEPTHS}, de AS (SELECT * FROM dp WHERE depth >= 20), mb AS (SELECT CAST(p_partkey AS VARCHAR) AS acc, p_brand AS rep FROM part), pl AS (SELECT acc, depth, rep FROM de LEFT JOIN mb USING (acc)), pk AS (SELECT acc, depth FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY depth DESC, acc) AS n FROM pl WHERE rep IS NOT NULL) WHERE n = 1), al AS (SELECT acc, depth FROM pl WHERE rep IS NULL), st AS (SELECT depth, sum(count(*)) OVER (ORDER BY depth DESC) AS upto FROM al GROUP BY depth), un AS (SELECT * FROM pk UNION ALL SELECT acc, depth FROM al WHERE depth IN (SELECT depth FROM st WHERE upto <= (SELECT greatest(0, 60 - count(*)) FROM pk))) SELECT acc, depth, CAST(row_number() OVER (ORDER BY depth DESC, acc) AS INTEGER) AS rank FROM un QUALIFY rank <= 60"
 _BAND = "CAST(CASE WHEN identity < 30 THEN 0 WHEN identity < 50 THEN 1 WHEN identity < 70 THEN 2 WHEN identity < 80 THEN 3 WHEN identity < 90 THEN 4 WHEN identity < 95 THEN 5 ELSE 6 END AS INTEGER)"
 
+_UNPAIRED = "us AS (SELECT be.query_id, be.chain, be.name FROM be JOIN pa USING (query_id, taxid)), ln AS (SELECT query_id, max(ql) FILTER (WHERE chain = 0) AS l0, max(ql) FILTER (WHERE chain = 1) AS l1 FROM fq GROUP BY 1), un AS (SELECT r3.query_id, r3.chain, r3.row_ord, r3.name, CASE WHEN chain = 0 THEN seq || repeat('-', l1) ELSE repeat('-', l0) || seq END AS seq FROM r3 JOIN ln USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM us WHERE us.query_id = r3.query_id AND us.chain = r3.chain AND us.name = r3.name))"
+_FOLD = """RECURSIVE r AS (SELECT msa_id, row_ord, split_part(name, ' ', 1) AS member, seq FROM (%s)), f AS (
+  SELECT msa_id, -1 AS row_ord, CAST([] AS VARCHAR[]) AS ids, [''] AS seqs, '' AS verdict FROM r WHERE row_ord = 0
+  UNION ALL
+  SELECT r.msa_id, r.row_ord, CASE WHEN NOT list_contains(ids, member) AND NOT list_contains(seqs, seq) THEN list_append(ids, member) ELSE ids END,
+         CASE WHEN NOT list_contains(ids, member) AND NOT list_contains(seqs, seq) THEN list_append(seqs, seq) ELSE seqs END,
+         CASE WHEN list_contains(ids, member) THEN 'dup_id' WHEN list_contains(seqs, seq) THEN 'dup_seq' ELSE 'kept' END
+  FROM f JOIN r ON r.msa_id = f.msa_id AND r.row_ord = f.row_ord + 1
+), v AS (SELECT msa_id AS query_id, row_ord, verdict FROM f WHERE row_ord >= 0)""" % _TURN_ROWS
+
 ORACLE = {
     "corpus_filter": f"SELECT id, CAST(length(seq) AS INTEGER) AS n FROM ({_DOCS}) WHERE length(seq) BETWEEN 40 AND 2000",
-    "build_counters": f"WITH {_seed_cte(_DOCS)}, q AS (SELECT c.id, n, count(seed) AS k FROM c LEFT JOIN s USING (id) GROUP BY 1, 2) SELECT count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k > 0) AS n_seq, CAST(coalesce(sum(k) FILTER (WHERE n BETWEEN 40 AND 2000), 0) AS BIGINT) AS n_post, count(*) FILTER (WHERE n < 40) AS too_short, count(*) FILTER (WHERE n > 2000) AS too_long, count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k = 0) AS bad_chars FROM q",
+    "build_counters": f"WITH {_seed_cte(_DOCS)}, q AS (SELECT s_c.id, n, count(seed) AS k FROM s_c LEFT JOIN s USING (id) GROUP BY 1, 2) SELECT count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k > 0) AS n_seq, CAST(coalesce(sum(k) FILTER (WHERE n BETWEEN 40 AND 2000), 0) AS BIGINT) AS n_post, count(*) FILTER (WHERE n < 40) AS too_short, count(*) FILTER (WHERE n > 2000) AS too_long, count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k = 0) AS bad_chars FROM q",
     "seed_windows": f"SELECT id, CAST(length(seq) AS INTEGER) AS n, CAST(greatest(4, least(128, length(seq) // 12)) AS BIGINT) AS w FROM ({_DOCS}) WHERE length(seq) >= 40",
     "minimizers": f"WITH {_SEEDS} SELECT id, ord, seed FROM s",
     "bucket_histogram": f"WITH {_SEEDS}, {_BUCKETS} SELECT bucket, n_postings FROM h",
@@ -371,31 +463,48 @@ ORACLE = {
     "dense_ids": "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS dense_id FROM documents",
     "shared_counts": f"WITH {_SEEDS}, {_PAIRS} SELECT query, id, shared FROM p",
     "topk_candidates": f"WITH {_SEEDS}, {_PAIRS}, {_TOP} SELECT * FROM t",
-    "hot_bucket_skip": f"WITH {_SEEDS}, {_HOT}, p AS (SELECT x.id AS query, y.id AS id, count(*) AS shared, min(x.ord) AS first_ord FROM bk x JOIN sz ON sz.bucket = x.bucket AND c <= {CAP} JOIN bk y ON x.bucket = y.bucket AND x.residual = y.residual AND x.id <> y.id GROUP BY 1, 2), {_TOP} SELECT * FROM t",
-    "lookup_stats": f"WITH {_SEEDS}, {_HOT}, st AS (SELECT id AS query, count(*) AS n_seeds, count(*) FILTER (WHERE c <= {CAP}) AS seeds_found, count(*) FILTER (WHERE c > {CAP}) AS seeds_skipped FROM bk JOIN sz USING (bucket) GROUP BY 1), cd AS (SELECT x.id AS query, count(DISTINCT y.id) AS candidates FROM bk x JOIN sz ON sz.bucket = x.bucket AND c <= {CAP} JOIN bk y ON x.bucket = y.bucket AND x.residual = y.residual GROUP BY 1) SELECT query, n_seeds, seeds_found, seeds_skipped, coalesce(candidates, 0) AS candidates FROM st LEFT JOIN cd USING (query)",
+    "hot_bucket_skip": f"WITH {_SEEDS}, {_HOT}, p AS (SELECT query, id, count(*) AS shared, min(ord) AS first_ord FROM hp GROUP BY 1, 2), {_TOP_20} SELECT * FROM t",
+    "lookup_stats": f"WITH {_SEEDS}, {_HOT}, st AS (SELECT id AS query, count(*) AS n_seeds, count(*) FILTER (WHERE c <= 20000) AS seeds_found, count(*) FILTER (WHERE c > 20000) AS seeds_skipped, CAST(sum(8 + CASE WHEN c <= 20000 THEN 5 * c ELSE 0 END) AS BIGINT) AS bytes_read FROM bk JOIN sz USING (bucket) WHERE id % {EVERY} = 0 GROUP BY 1), cd AS (SELECT query, count(DISTINCT id) AS candidates FROM hp GROUP BY 1) SELECT query, n_seeds, seeds_found, seeds_skipped, bytes_read, coalesce(candidates, 0) AS candidates FROM st LEFT JOIN cd USING (query)",
+    "index_search": f"WITH {_SEEDS}, {_seed_cte("SELECT item_id AS id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark", "i")}, sz AS (SELECT seed >> 6 AS bucket FROM s GROUP BY 1 HAVING count(*) <= 20000), p AS (SELECT x.id AS query, y.id AS id, count(*) AS shared, min(x.ord) AS first_ord FROM i x JOIN sz ON sz.bucket = x.seed >> 6 JOIN s y ON x.seed >> 6 = y.seed >> 6 AND x.seed & 255 = y.seed & 255 GROUP BY 1, 2), {_TOP_20} SELECT query, rank, id, 'D' || id AS acc, shared FROM t",
+    "shard_union": "SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) - 1 AS dense_id FROM documents",
     "resolved_candidates": f"WITH {_SEEDS}, {_PAIRS}, {_TOP} SELECT query, rank, id, 'D' || id AS acc, shared FROM t WHERE id IN (SELECT doc_id FROM labels)",
     "a3m_text": f"SELECT msa_id, string_agg('>' || name || chr(10) || seq, chr(10) ORDER BY row_ord) || chr(10) AS text FROM ({_TURN_ROWS}) GROUP BY msa_id",
     "a3m_round_trip": _TURN_ROWS,
     "row_metadata": f"SELECT msa_id, row_ord, regexp_extract(name, 'TaxID=([0-9]+)', 1) AS taxid, regexp_extract(name, 'Tax=([^=]*?) TaxID', 1) AS organism, split_part(name, ' ', 1) AS member, CAST(length(regexp_replace(seq, '[a-z]', '', 'g')) AS INTEGER) AS n_match FROM ({_TURN_ROWS})",
     "row_identity": f"WITH rows_ AS ({_TURN_ROWS}) {_IDENT}",
-    "query_chains": "WITH x AS (SELECT conv_id, turn, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) SELECT conv_id AS query_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS INTEGER) AS chain_ord, 'chain_' || i AS name, seq, TRUE AS valid FROM x WHERE seq <> ''",
+    "query_chains": """WITH x AS (SELECT conv_id, turn, role, upper(CASE WHEN turn % 4 = 3 THEN '' ELSE regexp_replace(text, '[^A-Za-z0-9]', '', 'g') END) AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS INTEGER) AS chain_ord FROM x WHERE seq <> ''),
+z AS (SELECT conv_id AS query_id, chain_ord, CASE WHEN conv_id % 2 = 1 THEN 'chain_' || i WHEN role = 'user' THEN 'user ' || turn ELSE 'chain_' || (chain_ord + 1) END AS name, seq, NOT regexp_matches(seq, '[0-9]') AS valid FROM y)
+SELECT *, CASE WHEN NOT valid THEN '"' || name || '" contains non-amino-acid characters' END AS error FROM z""",
     "residue_map": f"WITH g AS ({_GAPS}), p AS (SELECT id, unnest(range(0, length(seq))) AS p FROM g) SELECT id AS hsp_id, p - (p // 11) AS hit_idx, 2 + p - (p // 7) AS query_idx FROM p WHERE p % 7 <> 6 AND p % 11 <> 10",
     "best_per_taxon": f"WITH {_CHAINS} SELECT query_id, chain, taxid, row_ord, identity FROM be",
     "paired_block": f"WITH {_CHAINS} SELECT * FROM pa",
-    "unpaired_block": f"WITH {_CHAINS}, us AS (SELECT be.query_id, be.chain, be.name FROM be JOIN pa USING (query_id, taxid)), ln AS (SELECT query_id, max(ql) FILTER (WHERE chain = 0) AS l0, max(ql) FILTER (WHERE chain = 1) AS l1 FROM fq GROUP BY 1) SELECT r3.query_id, r3.chain, r3.row_ord, r3.name, CASE WHEN chain = 0 THEN seq || repeat('-', l1) ELSE repeat('-', l0) || seq END AS seq FROM r3 JOIN ln USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM us WHERE us.query_id = r3.query_id AND us.chain = r3.chain AND us.name = r3.name)",
+    "unpaired_block": f"WITH {_CHAINS}, {_UNPAIRED} SELECT * FROM un",
+    "paired_a3m": f"WITH {_CHAINS}, {_UNPAIRED}, ro AS (SELECT query_id, -2 AS chain, 0 AS ord, '101' AS name, string_agg(q, '' ORDER BY chain) AS seq FROM fq GROUP BY 1 UNION ALL SELECT query_id, -1, paired_ord, name, seq FROM pa UNION ALL SELECT query_id, chain, row_ord, name, seq FROM un), he AS (SELECT query_id, '#' || string_agg(CAST(ql AS VARCHAR), ',' ORDER BY chain) || chr(9) || string_agg('1', ',') AS header FROM fq GROUP BY 1) SELECT ro.query_id AS msa_id, any_value(header) || chr(10) || string_agg('>' || name || chr(10) || seq, chr(10) ORDER BY chain, ord) || chr(10) AS text FROM ro JOIN he ON he.query_id = ro.query_id GROUP BY 1",
     "paired_header": f"WITH {_CHAINS} SELECT query_id, '#' || string_agg(CAST(ql AS VARCHAR), ',' ORDER BY chain) || chr(9) || string_agg('1', ',') AS header FROM fq GROUP BY 1",
     "depth_histogram": f"WITH {_DEPTHS} SELECT CAST(least(depth, 1048576) AS BIGINT) AS depth_bin, count(*) AS n FROM dp GROUP BY 1",
     "select_entries": _SELECTED,
     "depth_summary": f"SELECT count(*) AS n, max(depth) AS most, max(depth) FILTER (WHERE rank = n // 2 + 1) AS median, min(depth) AS least FROM (SELECT *, count(*) OVER () AS n FROM ({_SELECTED}))",
     "sampled_queries": f"SELECT * FROM ({_PACKED}) ORDER BY md5('1:' || id), id LIMIT 50",
     "packed_scan": f"SELECT id, CAST(length(seq) AS INTEGER) AS n FROM ({_PACKED})",
-    "exact_seed_hits": f"WITH {_SEEDS}, sz AS (SELECT seed FROM s GROUP BY 1 HAVING count(*) <= {SEED_CAP}) SELECT x.id AS query, y.id AS id, count(*) AS shared FROM s x JOIN sz USING (seed) JOIN s y ON x.seed = y.seed AND x.id <> y.id GROUP BY 1, 2",
+    "exact_seed_hits": f"WITH {_SEEDS}, sz AS (SELECT seed FROM s GROUP BY 1 HAVING count(*) <= 2000) SELECT x.id AS query, y.id AS id, count(*) AS shared FROM s x JOIN sz USING (seed) JOIN s y ON x.seed = y.seed AND x.id <> y.id WHERE x.id % {EVERY} = 0 GROUP BY 1, 2",
+    "greedy_dedup": f"WITH {_FOLD} SELECT * FROM v",
+    "merge_stats": f"WITH {_FOLD} SELECT query_id, count(*) FILTER (WHERE verdict = 'kept') AS added, count(*) AS total, count(*) FILTER (WHERE verdict = 'dup_id') AS dup_id, count(*) FILTER (WHERE verdict = 'dup_seq') AS dup_seq FROM v GROUP BY 1",
+    "json_output": f"WITH r AS ({_TURN_ROWS}), n AS (SELECT msa_id, split_part(name, ' ', 1) AS name, min(row_ord) AS first, arg_max('>' || name || chr(10) || seq || chr(10), row_ord) AS text FROM r GROUP BY 1, 2) SELECT msa_id AS query_id, '{{' || string_agg(to_json(name) || ':' || to_json(text), ',' ORDER BY first) || '}}' AS body FROM n GROUP BY 1",
+    "mutant_recall": f"WITH {_seed_cte(_MUTANTS, 'm')}, {_seed_cte(_GAPS)}, sz AS (SELECT seed FROM s GROUP BY 1 HAVING count(*) <= 2000), fo AS (SELECT DISTINCT m.id FROM m JOIN sz USING (seed) JOIN s ON s.seed = m.seed AND s.id = m.id) SELECT count(*) AS n, count(fo.id) AS hits FROM ({_GAPS}) t LEFT JOIN fo ON fo.id = t.id",
+    "transfer_synthetic": f"""WITH g AS ({_GAPS}), c AS (SELECT id, length(seq) AS n, unnest(range(0, length(seq))) AS col FROM g),
+hm AS (SELECT id, n, col - col // 11 AS h, CASE WHEN col % 7 <> 6 AND 2 + col - col // 7 < n THEN 2 + col - col // 7 END AS q FROM c WHERE col % 11 <> 10),
+ro AS (SELECT g.id, length(seq) AS n, unnest(range(0, length(seq))) AS h, unnest(string_split(seq, '')) AS ch FROM g),
+pl AS (SELECT ro.id, ro.n, ro.h, ch, q, coalesce(min(q) OVER (PARTITION BY ro.id ORDER BY ro.h ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), ro.n) AS nq FROM ro LEFT JOIN hm ON hm.id = ro.id AND hm.h = ro.h),
+pc AS (SELECT id, q AS spot, 1 AS part, h, 0 AS k, ch FROM pl WHERE q IS NOT NULL UNION ALL SELECT id, nq, 0, h, 0, lower(ch) FROM pl WHERE q IS NULL UNION ALL SELECT id, nq, 0, h, 1, 'x' FROM pl WHERE h % 5 = 4
+  UNION ALL SELECT c.id, c.col, 1, 0, 0, '-' FROM c WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.id = c.id AND pl.q = c.col))
+SELECT id, string_agg(ch, '' ORDER BY spot, part, h, k) AS moved FROM pc GROUP BY 1""",
     "point_mutations": _MUTANTS,
     "quota_sample": f"WITH rows_ AS ({_TURN_ROWS}), it AS (SELECT msa_id AS family, row_ord AS member, 100 * identity AS identity FROM ({_IDENT})), b AS (SELECT *, {_BAND} AS band, md5('1:' || family || ':' || member) AS h FROM it), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY family, band ORDER BY h) <= 2) SELECT family, member, band FROM f QUALIFY row_number() OVER (PARTITION BY family ORDER BY h) <= 3",
     "match_state_check": f"WITH r AS ({_TURN_ROWS}), m AS (SELECT msa_id, row_ord, length(regexp_replace(seq, '[a-z]', '', 'g')) AS k FROM r) SELECT x.msa_id, count(*) AS n, count(*) FILTER (WHERE x.k <> q.k) AS bad FROM m x JOIN m q ON q.msa_id = x.msa_id AND q.row_ord = 0 GROUP BY 1",
     "upper_median": "SELECT l_returnflag AS flag, count(*) AS n, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY 1",
-    "coverage_pct": f"WITH {_SEEDS}, {_PAIRS}, m AS (SELECT query, max(shared) AS shared FROM p GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE shared >= 9) AS at_9, count(*) FILTER (WHERE shared >= 6) AS at_6, count(*) FILTER (WHERE shared >= 3) AS at_3 FROM m",
-    "recall_by_band": f"WITH rows_ AS ({_TURN_ROWS}), {_seed_cte("SELECT msa_id * 1000 + row_ord AS id, upper(replace(seq, '-', '')) AS seq FROM rows_")}, {_PAIRS}, fo AS (SELECT query, count(*) AS candidates, bool_or(id = (query // 1000) * 1000) AS found FROM p GROUP BY 1), it AS ({_IDENT}), j AS (SELECT msa_id AS family, 100 * identity AS identity, coalesce(found, FALSE) AS found, coalesce(candidates, 0) AS candidates FROM it LEFT JOIN fo ON fo.query = msa_id * 1000 + row_ord) SELECT CAST(CASE WHEN identity < 30 THEN 0 WHEN identity < 50 THEN 1 WHEN identity < 70 THEN 2 WHEN identity < 80 THEN 3 WHEN identity < 90 THEN 4 WHEN identity < 95 THEN 5 ELSE 6 END AS INTEGER) AS band, count(*) AS n, count(DISTINCT family) AS families, count(*) FILTER (WHERE found) AS hits, CAST(sum(candidates) AS BIGINT) AS candidates FROM j GROUP BY 1",
+    "coverage_pct": f"WITH rows_ AS ({_TURN_ROWS}), m AS (SELECT msa_id, max(100 * identity) AS identity FROM ({_IDENT}) GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE identity >= 90) AS at_90, count(*) FILTER (WHERE identity >= 70) AS at_70, count(*) FILTER (WHERE identity >= 50) AS at_50 FROM m",
+    "recall_by_band": f"WITH rows_ AS ({_TURN_ROWS}), {_seed_cte("SELECT msa_id * 1000 + row_ord AS id, upper(replace(seq, '-', '')) AS seq FROM rows_")}, p AS (SELECT x.id AS query, y.id AS id FROM s x JOIN s y ON x.seed = y.seed AND x.id <> y.id GROUP BY 1, 2), fo AS (SELECT query, count(*) AS candidates, bool_or(id = (query // 1000) * 1000) AS found FROM p GROUP BY 1), it AS ({_IDENT}), j AS (SELECT msa_id AS family, 100 * identity AS identity, coalesce(found, FALSE) AS found, coalesce(candidates, 0) AS candidates FROM it LEFT JOIN fo ON fo.query = msa_id * 1000 + row_ord) SELECT CAST(CASE WHEN identity < 30 THEN 0 WHEN identity < 50 THEN 1 WHEN identity < 70 THEN 2 WHEN identity < 80 THEN 3 WHEN identity < 90 THEN 4 WHEN identity < 95 THEN 5 ELSE 6 END AS INTEGER) AS band, count(*) AS n, count(DISTINCT family) AS families, count(*) FILTER (WHERE found) AS hits, CAST(sum(candidates) AS BIGINT) AS candidates FROM j GROUP BY 1",
 }
 
 

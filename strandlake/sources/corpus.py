@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,6 @@ def letters(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
 
 
-def documents_corpus(spark: SparkSession, sf_dir: str, truncate: bool = True) -> DataFrame:
-    """(id, seq, taxid, acc): letters of documents as residues. Truncated to MAX_LEN, or filtered by it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), letters(F.col("text")).alias("seq"), F.regexp_extract("source", "[0-9]+", 0).alias("taxid"), F.concat(F.lit("D"), F.col("doc_id")).alias("acc"))
-    return length_filter(docs.withColumn("seq", F.substring("seq", 1, MAX_LEN)) if truncate else docs)
-
-
 def length_filter(corpus: DataFrame, low: int = MIN_LEN, high: int = MAX_LEN) -> DataFrame:
     return corpus.filter(F.length("seq").between(low, high))
 
@@ -71,15 +67,41 @@ def format_a3m(rows: DataFrame, wrap: int = 0) -> DataFrame:
 
 
 def parse_query_input(queries: DataFrame) -> DataFrame:
-    """(query_id, chain_ord, name, seq, valid) of (query_id, text): FASTA, or bare sequences with : between chains."""
+    """(query_id, chain_ord, name, seq, valid, error) of (query_id, text): FASTA, or bare sequences with : between chains.
+    Unnamed FASTA records are numbered by the chains kept so far, bare chains by their place. ``error`` names a chain
+    with other characters than residue letters."""
     t = F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    is_fasta = F.startswith(t, F.lit(">"))
     fasta = F.transform(F.split(t, "\n>"), lambda r, i: F.struct(
         F.trim(F.element_at(F.split(F.regexp_replace(r, "^>", ""), "\n"), 1)).alias("name"),
         F.upper(F.regexp_replace(F.array_join(F.slice(F.split(r, "\n"), 2, 10**9), ""), r"[\s*]", "")).alias("seq"), i.alias("i")))
     bare = F.transform(F.split(F.upper(F.regexp_replace(t, r"[\s*]", "")), ":"), lambda p, i: F.struct(F.lit("").alias("name"), p.alias("seq"), i.alias("i")))
-    chains = F.filter(F.when(F.startswith(t, F.lit(">")), fasta).otherwise(bare), lambda c: c["seq"] != "")
-    return queries.select("query_id", F.posexplode(chains).alias("chain_ord", "c")).select(
-        "query_id", "chain_ord", F.coalesce(F.nullif("c.name", F.lit("")), F.concat(F.lit("chain_"), F.col("c.i") + 1)).alias("name"), "c.seq", F.col("c.seq").rlike("^[A-Z]+$").alias("valid"))
+    chains = F.filter(F.when(is_fasta, fasta).otherwise(bare), lambda c: c["seq"] != "")
+    rows = queries.select("query_id", is_fasta.alias("fasta"), F.posexplode(chains).alias("chain_ord", "c"))
+    place = F.when(F.col("fasta"), F.col("chain_ord")).otherwise(F.col("c.i")) + 1
+    named = rows.select("query_id", "chain_ord", F.coalesce(F.nullif("c.name", F.lit("")), F.concat(F.lit("chain_"), place)).alias("name"), "c.seq", F.col("c.seq").rlike("^[A-Z]+$").alias("valid"))
+    return named.withColumn("error", F.when(~F.col("valid"), F.concat(F.lit('"'), "name", F.lit('" contains non-amino-acid characters'))))
+
+
+def checked_chains(chains: DataFrame) -> DataFrame:
+    """Parsed chains, all of which must be valid: the first that isn't fails the query with its ``error``."""
+    return chains.withColumn("seq", F.when(F.col("valid"), F.col("seq")).otherwise(F.raise_error(F.col("error")))).drop("valid", "error")
+
+
+def concat_shards(shards: list[DataFrame], order: str) -> DataFrame:
+    """All rows of the shards, one after the other, with dense ids over all of them."""
+    return dense_ids(reduce(DataFrame.unionByName, [s.withColumn("shard", F.lit(i)) for i, s in enumerate(shards)]), "shard", order)
+
+
+def fetch_cached(msas: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
+    """(acc, text) of the accessions in ``wanted`` (acc): from the store at ``path``, to which ``msas`` adds what it lacks."""
+    spark = wanted.sparkSession
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    here = store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store)
+    need = wanted.select("acc").distinct()
+    missing = need.join(spark.read.parquet(path).select("acc"), "acc", "left_anti") if here else need
+    msas.select("acc", "text").join(missing, "acc", "left_semi").write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(need, "acc", "left_semi")
 
 
 def dense_ids(corpus: DataFrame, shard: str, order: str) -> DataFrame:
@@ -106,9 +128,22 @@ def write_entry_list(ranked: DataFrame, path: str) -> None:
     ranked.repartition(1).sortWithinPartitions("rank").select("acc").write.text(path)
 
 
-def format_paired_a3m(headers: DataFrame, paired: DataFrame, unpaired: DataFrame, wrap: int = 0) -> DataFrame:
-    """(msa_id, text): the header line (query_id, header), the paired rows in order, then each chain's unpaired ones."""
-    first = paired.select(F.col("query_id").alias("msa_id"), F.struct(F.lit(-1).alias("chain"), F.col("paired_ord").cast("int").alias("ord")).alias("row_ord"), "name", "seq")
-    rest = unpaired.select(F.col("query_id").alias("msa_id"), F.struct(F.col("chain").cast("int").alias("chain"), F.col("row_ord").cast("int").alias("ord")).alias("row_ord"), "name", "seq")
-    bodies = format_a3m(first.unionByName(rest), wrap)
-    return headers.select(F.col("query_id").alias("msa_id"), "header").join(bodies, "msa_id", "left").select("msa_id", F.concat("header", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+def format_paired_a3m(headers: DataFrame, queries: DataFrame, paired: DataFrame, unpaired: DataFrame, wrap: int = 0) -> DataFrame:
+    """(msa_id, text): the header line (query_id, header), row 101 with the chains' own sequences (query_id, chain, seq) one
+    after the other, the paired rows in order, then each chain's unpaired ones."""
+
+    def rows(df: DataFrame, chain: Column, order: Column) -> DataFrame:
+        return df.select(F.col("query_id").alias("msa_id"), F.struct(chain.cast("int").alias("chain"), order.cast("int").alias("ord")).alias("row_ord"), "name", "seq")
+
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chain", "seq"))), lambda c: c["seq"]), "")
+    first = queries.groupBy("query_id").agg(F.lit("101").alias("name"), joined.alias("seq"))
+    bodies = format_a3m(rows(first, F.lit(-2), F.lit(0)).unionByName(rows(paired, F.lit(-1), F.col("paired_ord"))).unionByName(rows(unpaired, F.col("chain"), F.col("row_ord"))), wrap)
+    return headers.select(F.col("query_id").alias("msa_id"), "header").join(bodies, "msa_id").select("msa_id", F.concat("header", F.lit("\n"), "text").alias("text"))
+
+
+def json_response(chains: DataFrame) -> DataFrame:
+    """(query_id, body): the JSON object of chain names and their alignments (query_id, chain_ord, name, text). Of chains with
+    one name the last one's alignment counts, at the place of the first."""
+    named = chains.groupBy("query_id", "name").agg(F.min("chain_ord").alias("first"), F.max_by("text", "chain_ord").alias("text"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("first", "name", "text"))), lambda e: F.struct(e["name"], e["text"]))
+    return named.groupBy("query_id").agg(F.to_json(F.map_from_entries(entries)).alias("body"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandlake.functions import frames, headers, ranges, seeding
 from strandlake.functions.align import local_alignments
 from strandlake.functions.seeding import seed_arrays, seeds
-from strandlake.operators import evaluation, index, pairing, search
+from strandlake.operators import evaluation, index, msa, pairing, search
+from strandlake.plans import engine
 from strandlake.sources import corpus as src
 from strandlake.streaming.chains import stream_hits
 
@@ -56,20 +57,78 @@ def test_alignment(query, target, want):
     assert qseq.replace("-", "") == query[q_from - 1 : q_to] and hseq.replace("-", "") == target[h_from - 1 : h_to]
 
 
+def test_alignment_by_any_stride():
+    r = random.Random(8)
+    pairs = [("".join(r.choices("ACDEFGHIKL", k=r.randint(0, 60))), "".join(r.choices("ACDEFGHIKL", k=r.randint(0, 60)))) for _ in range(40)] + [(HBA, HBB), (HBA[:30] * 2, HBA)]
+    one = local_alignments(*zip(*pairs), stride=10_000)
+    assert all(local_alignments(*zip(*pairs), stride=s) == one for s in (1, 2, 7, 50))
+    assert [local_alignments([q], [t])[0] for q, t in pairs] == one
+
+
+def test_long_alignments_in_bounded_memory():
+    import tracemalloc
+
+    r = random.Random(5)
+    long = "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=3000))
+    tracemalloc.start()
+    got = local_alignments([long], [long[:1500] + "W" * 5 + long[1500:]])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[4:6] == (3000, 3005) and got[8] > 99 and most < 12e6  # all ways at once take 18 MB
+
+
 def test_alignment_edges():
     assert local_alignments(["", "A", "W"], ["A", "", "A"]) == [None, None, None] and local_alignments([], []) == []
 
 
-def test_transfer():
+def brute_transfer(row, qseq, hseq, q_from, h_from, q_len, h_len):
+    """The row letter by letter: where each of its columns lands, and what waits in between."""
+    q, h, lands = q_from - 1, h_from - 1, {}
+    for a, b in zip(qseq, hseq):
+        if a != "-" != b and h < h_len and q < q_len:
+            lands[h] = q
+        q, h = q + (a != "-"), h + (b != "-")
+    spots = [["", "-"] for _ in range(q_len)] + [["", ""]]
+    column, wait, some = 0, "", False
+    for c in row:
+        if c.islower() and c.isascii():
+            wait += c
+        elif column in lands and column < h_len:
+            spots[lands[column]] = [wait, c]
+            some, wait, column = some or c != "-", "", column + 1
+        else:
+            wait, column = wait + (c.lower() if c not in "-." else ""), column + 1
+    spots[-1][0] = wait
+    return "".join(a + b for a, b in spots) if some else None
+
+
+def moved(spark, cases):
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, seq string, qseq string, hseq string, q_from int, h_from int, q_len int, h_len int")
+    got = {r.i: r.moved for r in msa.transfer_rows(rows).select("i", "moved").collect()}
+    return [got.get(i) for i in range(len(cases))]
+
+
+def test_transfer(spark):
     rows = [HBA, HBA[:70].lower() + HBA[70:], "-" * 10 + HBA[10:], HBA[:5] + "xyz" + HBA[5:]]
-    own = frames.residue_map(HBA, HBA, 1, 1, 142, 142)
-    assert [frames.transfer_row(r, 142, own) for r in rows if sum(not c.islower() for c in r) == 142] == [r for r in rows if sum(not c.islower() for c in r) == 142]
-    short = frames.residue_map(HBA[20:], HBA[20:], 1, 21, 122, 142)
-    moved = frames.transfer_row(HBA, 122, short)
-    assert moved == HBA[:20].lower() + HBA[20:] and frames.transfer_row("-" * 142, 122, short) is None
-    assert frames.transfer_row(HBA[:20] + "-" * 122, 122, short) is None
-    middle = frames.residue_map(HBA, HBA, 11, 1, 162, 142)
-    assert frames.transfer_row(HBA, 162, middle) == "-" * 10 + HBA + "-" * 10
+    same = [r for r in rows if sum(not c.islower() for c in r) == 142]
+    assert moved(spark, [(r, HBA, HBA, 1, 1, 142, 142) for r in same]) == same  # the identity is a no-op
+    short = (HBA[20:], HBA[20:], 1, 21, 122, 142)
+    got = moved(spark, [(HBA, *short), ("-" * 142, *short), (HBA[:20] + "-" * 122, *short), (HBA, HBA, HBA, 11, 1, 162, 142)])
+    assert got == [HBA[:20].lower() + HBA[20:], None, None, "-" * 10 + HBA + "-" * 10]
+
+
+def test_transfer_against_letters(spark):
+    r = random.Random(4)
+    cases = []
+    for _ in range(400):
+        n = r.randint(1, 12)
+        cols = [r.choice(["both"] * 4 + ["q", "h", "none"]) for _ in range(n)]
+        qseq, hseq = ("".join(r.choice("ACDE") if c in ("both", x) else "-" for c in cols) for x in "qh")
+        q_from, h_from = r.randint(1, 4), r.randint(1, 4)
+        q_len, h_len = (max(0, f + sum(c != "-" for c in s) + r.randint(-2, 3)) for f, s in ((q_from, qseq), (h_from, hseq)))
+        row = "".join(r.choice(["", "", "x", "yz"]) + r.choice("ACDEFGHIK--.") for _ in range(max(0, h_len + r.choice([0, 0, 0, -3, 2])))) + r.choice(["", "w"])
+        cases.append((row, qseq, hseq, q_from, h_from, q_len, h_len))
+    assert moved(spark, cases) == [brute_transfer(*c) for c in cases]
 
 
 def test_folds():
@@ -100,20 +159,124 @@ def test_readers(spark, tmp_path):
     text = [(1, "ACDEF"), (2, "ACDEF:GHIKL"), (3, ">one\nACD\nefg*\n>\nKL"), (4, "ACDE123"), (5, " ")]
     got = src.parse_query_input(spark.createDataFrame(text, "query_id long, text string")).orderBy("query_id", "chain_ord").collect()
     assert [(r.query_id, r.name, r.seq, r.valid) for r in got] == [(1, "chain_1", "ACDEF", True), (2, "chain_1", "ACDEF", True), (2, "chain_2", "GHIKL", True), (3, "one", "ACDEFG", True), (3, "chain_2", "KL", True), (4, "chain_1", "ACDE123", False)]
+    assert [r.error for r in got if r.error] == ['"chain_1" contains non-amino-acid characters']
+    odd = src.parse_query_input(spark.createDataFrame([(1, ">\n>\nKL"), (2, "A::B"), (3, ">x\n\n>y\nA\n>\nC")], "query_id long, text string")).orderBy("query_id", "chain_ord")
+    assert [(r.name, r.seq) for r in odd.collect()] == [("chain_1", "KL"), ("chain_1", "A"), ("chain_3", "B"), ("y", "A"), ("chain_2", "C")]
+    assert src.checked_chains(odd).count() == 5
+    with pytest.raises(Exception, match="chain_1.* contains non-amino-acid"):
+        src.checked_chains(src.parse_query_input(spark.createDataFrame([(4, "ACDE123")], "query_id long, text string"))).collect()
 
 
 def test_index_round_trip(spark, tmp_path):
-    corpus = spark.createDataFrame([(0, HBA, "A"), (1, HBB, "B"), (2, HBA[:100], None)], "id long, seq string, acc string")
-    index.write_index(corpus, str(tmp_path / "ix"), 2)
-    index.assert_index_compatible(spark.read.json(str(tmp_path / "ix/meta")))
+    r = random.Random(9)
+    other = [(i, "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=120)), f"R{i}") for i in range(10, 400)]
+    corpus = spark.createDataFrame([(0, HBA, "A"), (1, HBB, "B"), (2, HBA[:100], None), *other], "id long, seq string, acc string")
+    index.write_index(corpus, str(tmp_path / "ix"), per_file=500)
     with pytest.raises(ValueError):
         index.assert_index_compatible(spark.sql("SELECT 9 AS k, 12 AS targetSeeds"))
-    posted = spark.read.parquet(str(tmp_path / "ix/postings"))
-    wanted = index.postings(spark.createDataFrame([(7, HBA)], "id long, seq string"))
-    top = search.top_candidates(search.shared_counts(search.hits(wanted, posted)))
-    first = search.with_accessions(top, spark.read.parquet(str(tmp_path / "ix/entries"))).orderBy("rank").first()
-    assert (first.id, first.acc, first.shared) == (0, "A", 12)
-    assert search.hits(wanted, posted, 0).count() == 0
+    found = index.Index(spark, str(tmp_path / "ix"))
+    posted = index.postings(corpus).collect()
+    assert found.meta["nPost"] == len(posted) and found.meta["nSeq"] == corpus.count() and (found.meta["shift"], found.meta["postBytes"]) == (6, 5)
+    files = found.meta["files"]
+    assert len(files) > 5 and files[0]["postFrom"] == 0 and files[-1]["postTo"] == len(posted)
+    assert all(a["postTo"] == b["postFrom"] and a["toBucket"] <= b["fromBucket"] for a, b in zip(files, files[1:]))
+    for p in posted:
+        f = files[[x["fileNo"] for x in files].index(found.file_for(p.bucket))]
+        assert f["fromBucket"] <= p.bucket < f["toBucket"]
+    assert found.file_for(files[0]["fromBucket"] - 1) is None and found.file_for(1 << 25) is None
+    chains = spark.createDataFrame([(7, HBA)], "id long, seq string")
+    top = search.search_index(found, chains).orderBy("rank").collect()
+    assert (top[0].id, top[0].acc, top[0].shared) == (0, "A", 12) and 2 not in [t.id for t in top]  # no accession
+    wanted = found.seeds(chains)
+    near, offsets = found.near(wanted)
+    buckets = {r.bucket for r in wanted.collect()}
+    assert {r.bucket for r in near.collect()} == buckets == {r.bucket for r in offsets.collect()}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "PartitionFilters" in x)
+    assert "file_no" in scan.split("PartitionFilters")[1].split("]")[0] and "bucket" in scan.split("PushedFilters")[1]
+    read = [x for x in near.inputFiles()]
+    assert len({x.split("file_no=")[1].split("/")[0] for x in read}) >= len(files) > len({found.file_for(b) for b in buckets})
+    found.named = 3  # more buckets than are named: a join
+    assert {r.bucket for r in found.near(wanted)[0].collect()} == buckets
+    whole = index.postings(corpus)
+    assert search.hits(wanted, whole, 0).count() == 0 and search.hits(wanted, whole).count() == search.hits(wanted, near, offsets=offsets).count()
+
+
+def test_shards_and_cache(spark, tmp_path):
+    shards = [spark.createDataFrame([(i,) for i in x], "id long") for x in ((5, 3), (1,), (9, 7))]
+    assert [(r.dense_id, r.id) for r in src.concat_shards(shards, "id").orderBy("dense_id").collect()] == [(0, 3), (1, 5), (2, 1), (3, 7), (4, 9)]
+    msas = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "acc string, text string")
+    path = str(tmp_path / "store")
+    for names, stored in ((["a", "x"], 1), (["a", "b"], 2)):
+        wanted = spark.createDataFrame([(x,) for x in names], "acc string")
+        assert {r.acc for r in src.fetch_cached(msas, wanted, path).collect()} == set(names) - {"x"}
+        assert spark.read.parquet(path).count() == stored
+
+
+def test_studies_against_brute_force(spark):
+    r = random.Random(6)
+
+    def changed(seq, rate):
+        return "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") if r.random() < rate else c for c in seq)
+
+    entries = [(i, "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=150))) for i in range(8)]
+    members = [(i, 100 * i + k, changed(s, 0.04 * k)) for i, s in entries for k in range(12 if i else 5)]
+    corpus = spark.createDataFrame(entries, "id long, seq string")
+    queries = [(m, s) for _, m, s in members] + [(9999, "W" * 80)]
+    seeds_at = {(x, w): {q.id: set(q.s) for q in spark.createDataFrame(y, "id long, seq string").select("id", seeds("seq", w=w).alias("s")).collect()} for x, y in (("c", entries), ("q", queries)) for w in (32, 8)}
+
+    def best(q, seq, w):
+        shared = {i: len(s & seeds_at["q", w][q]) for i, s in seeds_at["c", w].items()}
+        top = sorted((i for i in shared if shared[i]), key=lambda i: -shared[i])[:10]
+        return [a[8] for i in top if (a := local_alignments([seq], [dict(entries)[i]])[0])]
+
+    got = evaluation.coverage_study(spark.createDataFrame(queries, "id long, seq string"), corpus).first()
+    want = sorted(max(best(q, s, 32), default=0.0) for q, s in queries)
+    assert (got.n, got.at_90, got.at_70, got.at_50) == (len(want), *(sum(x >= t for x in want) for t in (90, 70, 50))) and got.median == pytest.approx(want[len(want) // 2])
+    rows = evaluation.recall_study(spark.createDataFrame(members, "family long, member long, seq string"), corpus, per_band=99, per_family=99).collect()
+    tally = {}
+    for f, m, s in members:
+        own = local_alignments([s], [dict(entries)[f]])[0]
+        if f and own and own[9] >= 0.5:
+            band = next(i for i, (a, b) in enumerate(zip(evaluation.BINS, evaluation.BINS[1:])) if a <= own[8] < b)
+            n, fams, hits = tally.setdefault(band, [0, set(), 0])
+            tally[band] = [n + 1, fams | {f}, hits + any(x >= own[8] - 2 for x in best(m, s, 8))]
+    assert {r.band: (r.n, r.families, r.hits) for r in rows} == {b: (n, len(f), h) for b, (n, f, h) in tally.items()} and len(tally) > 2
+
+
+def test_borrowed_alignments(spark):
+    """Several donors, a depth limit, statistics, no entry for itself; every row has the query's columns."""
+    far = "".join(random.Random(1).choices("ACDEFGHIKLMNPQRSTVWY", k=60))
+    variant = HBA[:60] + far + HBA[60:]
+    corpus = spark.createDataFrame([(1, "A", HBA, "d", "o", "9"), (2, "B", HBA[:130], "d", "o", "9"), (3, "C", variant, "d", "", None), (4, "D", HBA, None, None, None)], "id long, acc string, seq string, descr string, organism string, taxid string")
+    msas = spark.createDataFrame([("B", f">query\n{HBA[:130]}\n>m1 TaxID=1\n{HBA[:40]}abc{HBA[40:130]}\n>m2 TaxID=2\n{'-' * 60}{HBA[60:130]}\n"), ("C", f">query\n{variant}\n>m1 TaxID=1\n{variant}\n>m3 TaxID=3\n{'-' * 100}{variant[100:]}\n")], "acc string, text string")
+    chains = spark.createDataFrame([(1, HBA)], "id long, seq string")
+    options = {"donors": 2, "exclude_self": True, "max_pair_identity": 1.01}
+    rows = engine.build_msa(chains, corpus, msas, **options).orderBy("row_ord").collect()
+    assert rows[0].seq == HBA and {r.donor for r in rows[1:]} == {"B", "C"} and len(rows) == 6  # the second m1 goes
+    assert all(r.n_match == len(HBA) for r in rows) and [r.name.split(" ")[0] for r in rows[1:]] == ["B", "m1", "m2", "C", "m3"]
+    assert rows[2].seq == HBA[:40] + "abc" + HBA[40:130] + "-" * 12
+    assert engine.build_msa(chains, corpus, msas, max_depth=3, **options).count() == 3
+    stats = [(s.acc, s.added, s.total, s.dup_id, s.dup_seq) for s in engine.donor_stats(chains, corpus, msas, **options).orderBy("donor_ord").collect()]
+    assert stats == [("B", 3, 3, 0, 0), ("C", 2, 3, 1, 0)]
+    alike = engine.build_msa(chains, corpus, msas, donors=2, exclude_self=True)
+    assert {r.donor for r in alike.collect()} == {None, "B"} and engine.build_msa(chains, corpus, msas.filter("acc = 'C'")).filter("donor = 'C'").count() > 0
+
+
+def test_json_keeps_the_last_of_a_name(spark):
+    rows = [("q", 0, "x", ">x\nA\n"), ("q", 1, "y", ">y\nC\n"), ("q", 2, "x", ">x\nD\n")]
+    got = src.json_response(spark.createDataFrame(rows, "query_id string, chain_ord int, name string, text string")).first().body
+    assert got == '{"x":">x\\nD\\n","y":">y\\nC\\n"}'
+
+
+def test_sources_of_the_studies(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "sp.fasta").write_text(">sp|P1|X d\n" + HBA[:70] + "\n" + HBA[70:] + "\n>tr|P2|Y\nACD\n>junk\n" + HBA + "\n")
+    assert [(r.acc, r.seq) for r in src.read_swissprot(spark, str(tmp_path / "sp.fasta")).collect()] == [("P1", HBA)]
+    with gzip.open(tmp_path / "c.tsv.gz", "wt") as f:
+        f.write("r1\te1\t0\t9\nr1\tr1\t0\t9\n")
+    assert sorted((r.rep, r.entry) for r in src.read_clusters(spark, str(tmp_path / "c.tsv.gz")).collect()) == [("r1", "e1"), ("r1", "r1")]
 
 
 def test_streamed_chains(spark, tmp_path):
@@ -170,7 +333,11 @@ def test_study_helpers(spark, tmp_path):
     assert few.count() == 3
     heads, paired = spark.createDataFrame([("q", "#2,2\t1,1")], "query_id string, header string"), spark.createDataFrame([("q", 2, "n", "CC"), ("q", 1, "m", "AA")], "query_id string, paired_ord int, name string, seq string")
     rest = spark.createDataFrame([("q", 1, 3, "z", "--DD"), ("q", 0, 5, "y", "DD--")], "query_id string, chain int, row_ord int, name string, seq string")
-    assert src.format_paired_a3m(heads, paired, rest).first().text == "#2,2\t1,1\n>m\nAA\n>n\nCC\n>y\nDD--\n>z\n--DD\n"
+    own = spark.createDataFrame([("q", 1, "KL"), ("q", 0, "HI")], "query_id string, chain int, seq string")
+    assert src.format_paired_a3m(heads, own, paired, rest).first().text == "#2,2\t1,1\n>101\nHIKL\n>m\nAA\n>n\nCC\n>y\nDD--\n>z\n--DD\n"
+    assert src.format_paired_a3m(heads, own, paired.limit(0), rest.limit(0)).first().text == "#2,2\t1,1\n>101\nHIKL\n"
+    few = pairing.paired_block(pairing.best_per_taxon(spark.createDataFrame([("q", c, i, f"n{i}", "AA", str(i), 0.1 * i) for c in (0, 1) for i in range(5)], "query_id string, chain int, row_ord int, name string, seq string, taxid string, identity double")), spark.createDataFrame([("q", 2)], "query_id string, n_chains int"), max_paired=2)
+    assert sorted((r.paired_ord, r.taxid) for r in few.collect()) == [(1, "4"), (2, "3")]
     wanted, posted = index.postings(df.filter("id = 3")), index.postings(df)
     assert search.hits_by_seed(wanted, posted, 60).count() == 720 and search.hits_by_seed(wanted, posted, 59).count() == 0
     headers.register(spark)
