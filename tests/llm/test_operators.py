@@ -360,19 +360,72 @@ def test_near_duplicates(spark, corpus):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in twice} == got and len(twice) == len(got)
 
 
-def test_near_duplicates_in_a_crowd(spark):
-    """A crowd around the threshold, where most places of an order hold documents that aren't similar enough."""
-    rng = np.random.default_rng(5)
-    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
-    rows = []
-    for i in range(1200):
+def crowd(count, words, low, high, seed):
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 5000, words)]
+    out = []
+    for i in range(count):
         own = list(base)
-        for j in rng.choice(150, rng.integers(4, 7), replace=False):
+        for j in rng.choice(words, rng.integers(low, high + 1), replace=False):
             own[j] = f"edit{i}-{j}"
-        rows.append((i + 1, " ".join(own)))
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows).repartition(4)).collect()}
-    want = brute_components(rows)
-    assert 1 < len({c for _, c, _ in want.values()}) and got == want
+        out.append((i + 1, " ".join(own)))
+    return out
+
+
+def roots_of_crowd(rows):
+    """Components by all pairs; only shingles of several documents can be shared, so a matrix of those gives the links."""
+    sets = [set(zip(t.split(), t.split()[1:])) for _, t in rows]
+    held = defaultdict(int)
+    for s in sets:
+        for g in s:
+            held[g] += 1
+    place = {g: i for i, g in enumerate(g for g, n in held.items() if n > 1)}
+    m = np.zeros((len(rows), len(place)), "f4")
+    for r, s in enumerate(sets):
+        m[r, [place[g] for g in s if g in place]] = 1
+    size = np.array([len(s) for s in sets])
+    both = m @ m.T
+    linked = 100 * both >= 80 * (size[:, None] + size[None] - both)
+    root = np.arange(len(rows))
+    while True:
+        new = np.where(linked, root[None], len(rows)).min(1)
+        new = new[new]
+        if (new == root).all():
+            return {rows[i][0]: rows[r][0] for i, r in enumerate(root)}, int(linked.sum() - len(rows)) // 2, float((both / (size[:, None] + size[None] - both)).mean())
+        root = new
+
+
+@pytest.mark.parametrize("count, words, low, high, seed", [(1200, 150, 4, 6, 5), (3000, 150, 4, 7, 6), (400, 3000, 60, 150, 7)])
+def test_near_duplicates_in_a_crowd(spark, count, words, low, high, seed):
+    """Crowds around the threshold, where most places of an order hold documents that aren't similar enough: no document is
+    in a wrong component."""
+    rows = crowd(count, words, low, high, seed)
+    want, links, mean = roots_of_crowd(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows).repartition(4)).collect()}
+    assert 0.7 < mean < 0.85 and links > 0 and 1 < len(set(want.values())) < count
+    assert sum(got[d] != c for d, c in want.items()) == 0
+
+
+def test_regions_are_shared_as_often_as_said():
+    """Pairs at the threshold share a region of each order about 0.8^DEPTH of the time."""
+    rng = np.random.default_rng(1)
+    shared = []
+    for _ in range(300):
+        both, one, two = (rng.integers(0, 2**64, n, "u8") for n in (320, 40, 40))
+        x, y = (near_dedup.orders(np.unique(np.r_[both, z]))[0] for z in (one, two))
+        shared.append((x == y).mean())
+    assert abs(np.mean(shared) - 0.8**near_dedup.DEPTH) < 0.02 and np.std(shared) < 1.3 * (0.328 * 0.672 / near_dedup.TREES) ** 0.5
+
+
+def test_sketches_never_overstate():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**64, n, "u8")) for n in (1, 2, 5, 16, 17, 300, 700)]
+    sets += [np.unique(np.r_[s[: int(len(s) * 0.9)], rng.integers(0, 2**64, len(s) // 10, "u8")]) for s in sets]
+    sketches = near_dedup._Sketches([near_dedup.sketch(s) for s in sets])
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    fits = near_dedup._able(np.array([len(s) for s in sets])[i], np.array([len(s) for s in sets])[j])
+    i, j = i[fits], j[fits]
+    assert (sketches.differ(i, j) <= [len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)]).all()
 
 
 def test_components(spark):
@@ -535,6 +588,76 @@ def test_null_ids_and_order(spark):
     assert licences.license_scan(docs).count() == 3
 
 
+CLASHES = ("gone", "several", "row", "kept", "lines", "md5", "doc", "same", "n_lines", "kept_text", "n_dropped", "score", "label", "w", "n", "queue", "start", "root", "bits", "a.b", "text_", "GONE_")
+
+
+def test_stages_on_odd_tables(spark):
+    """Null and repeated doc_ids, null and empty texts, columns of any name: each stage's defined result."""
+    import corpus_pipeline
+
+    line = "a line of more than twenty characters"
+    rows = [(None, "same words here and there"), (None, "same words here and there"), (1, "same words here and there"), (1, "same words here and there"), (2, None), (3, ""), (4, f"{line}\nfour"), (4, f"{line}\nother four"), (5, f"{line}\nfive"), (6, line)]
+    base = spark.createDataFrame([(d, t, "en", None, len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for i, name in enumerate(CLASHES):
+        base = base.withColumn(name, __import__("pyspark.sql.functions").sql.functions.lit(i))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def out(name, docs=base):
+        got = stages[name](spark, docs, SF)
+        if name != "pack":
+            assert got.columns == base.columns and all(tuple(r)[5:] == tuple(range(len(CLASHES))) for r in got.collect())
+            return sorted(((r.doc_id or 0, r.text or "") for r in got.collect()))
+        return sorted({r.doc_id or 0 for r in got.collect()})
+
+    every = sorted((d or 0, t or "") for d, t in rows)
+    assert out("lines") == sorted([x for x in every if x[0] < 4] + [(4, "four"), (4, "other four"), (5, "five"), (6, line)])
+    same = "same words here and there"
+    assert out("near_duplicates") == sorted([(0, same)] * 2 + [(1, same), (2, ""), (3, ""), (4, f"{line}\nother four"), (5, f"{line}\nfive")])  # 6 of 7 shingles: 6 goes
+    assert out("pack") == [0, 1, 2, 3, 4, 5, 6]
+    items = spark.createDataFrame([(1, same)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.drop_contaminated(base, items).collect()) == [x for x in every if x[0] != 1]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 7)], "doc_id long, quality int, toxic int")
+    assert sorted((r.doc_id or 0, r.text or "") for r in quality.keep_quality(base, labels).collect()) == every
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, base.limit(0), SF).count() == 0, name
+
+
+def test_token_files_of_ties(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    rows = [(1, "b"), (1, "a"), (None, "x y"), (1, "a"), (2, "")]
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_files(frame(spark, rows), path).orderBy("start").collect()]
+    at, want = 0, []
+    for d, t in [(None, "x y"), (1, "a"), (1, "a"), (1, "b"), (2, "")]:
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+
+
+def test_target_proportions(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, "some words of a text " * 40, f"s{i % 2}" if i % 10 else None) for i in range(200)], "doc_id long, text string, source string")
+    rows = pack.pack_documents(docs, path, targets={"s0": 3.0, "s1": 1.0, None: 0.5}).toPandas()
+    of = {r.doc_id: r.source for r in docs.collect()}
+    first = rows[rows["sequence_id"] == 0].groupby(rows["doc_id"].map(of).fillna("none"))["length"].sum()
+    assert abs(first["s0"] - 2048 * 3 / 4.5) <= 2 and abs(first["s1"] - 2048 / 4.5) <= 2 and abs(first["none"] - 2048 * 0.5 / 4.5) <= 2
+    assert rows["length"].sum() == rows.drop_duplicates("doc_id")["doc_tokens"].sum()
+    with pytest.raises(ValueError):
+        pack.Mixture([5, 5], 4, [1.0, 0.0])
+
+
+def test_rare_source_in_bounded_memory():
+    import tracemalloc
+
+    mixture = pack.Mixture([5000, 10**12, 10**12 // 3, *[10**9] * 20])
+    tracemalloc.start()
+    run, first, size, sequence, offset = mixture.pieces(np.zeros(10, "i8"), np.arange(10) * 500, np.full(10, 500))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size.sum() == 5000 and (offset + size <= 2048).all() and most < 100e6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
