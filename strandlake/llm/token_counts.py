@@ -26,7 +26,7 @@ from .common import materialise, read_table, scratch, texts
 LIMIT = 4096
 SPACE = "▁"
 #: Code points of a block, about.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
 #: Rows of lists whose counts go out together.
 TOGETHER = 200_000
 _PRE = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -78,20 +78,26 @@ def _blocks(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        from .bpe import small_batches
-
         counter, part, number = PieceCounter.of(path), TaskContext.get().partitionId(), 0
+        known, docs, chars = {}, [], 0
+
+        def block() -> pd.DataFrame:
+            doc_ids, n_bytes, places, times = zip(*docs, strict=True)
+            return pd.DataFrame({"block": [part << 32 | number], "doc_ids": [doc_ids], "n_bytes": [n_bytes], "places": [places], "times": [times], "words": [list(known)]})
+
         for batch in batches:
-            for cut in small_batches(batch["text"].str.len().tolist(), BLOCK_CHARS):
-                rows, known, places, times = batch.iloc[cut], {}, [], []
-                for text in rows["text"]:
-                    found = counter.frequencies(text)
-                    place = np.fromiter((known.setdefault(p, len(known)) for p in found), "i8", len(found))
-                    order = np.argsort(place)
-                    places.append(_packed(np.diff(place[order], prepend=0)))
-                    times.append(_packed(np.fromiter(found.values(), "i8", len(found))[order]))
-                yield pd.DataFrame({"block": [part << 32 | number], "doc_ids": [[None if pd.isna(d) else int(d) for d in rows["doc_id"]]], "n_bytes": [rows["n_bytes"].tolist()], "places": [places], "times": [times], "words": [list(known)]})
-                number += 1
+            for doc, n, text in zip(batch["doc_id"].tolist(), batch["n_bytes"].tolist(), batch["text"], strict=True):
+                if docs and chars + len(text) > BLOCK_CHARS:
+                    yield block()
+                    known, docs, chars, number = {}, [], 0, number + 1
+                found = counter.frequencies(text)
+                place = np.fromiter((known.setdefault(p, len(known)) for p in found), "i8", len(found))
+                order = np.argsort(place)
+                packed = _packed(np.diff(place[order], prepend=0)), _packed(np.fromiter(found.values(), "i8", len(found))[order])
+                docs.append((None if pd.isna(doc) else int(doc), n, *packed))
+                chars += len(text)
+        if docs:
+            yield block()
 
     return run
 
