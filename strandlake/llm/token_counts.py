@@ -5,9 +5,11 @@ crosses the start of a run of spaces or a line feed. A text therefore has as man
 spaces with what follows up to the next, or a line feed) have, however they stand.
 
 Documents are read in blocks. A block is written as the list of its distinct pre-tokens and each document's frequencies
-by place in that list. The lists of all blocks are sorted by pre-token; the pieces of each distinct one are counted, once,
-and go back to the places that hold it, where they are joined to the frequencies and summed. A pre-token that all
-documents hold is one row of each block among its many thousands, so no key is hot, and no group is held in memory.
+by place in that list. The list goes by a hash's bucket, then by pre-token, and a bucket's part of it is shuffled as one
+text; what tells its pre-tokens' places is where the part starts. Where all parts of a bucket meet, they are split and
+sorted by pre-token; the pieces of each distinct one are counted, once, and go back to the places that hold it, where
+they are joined to the frequencies and summed. A pre-token that all documents hold is one row of each block among its
+many thousands, so no key is hot, and no group is held in memory.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, scratch, texts
+from .common import materialise, range_count, read_table, scratch, texts
 
 LIMIT = 4096
 SPACE = "▁"
 #: Code points of a block, about.
 BLOCK_CHARS = 16_000_000
+#: Buckets of pre-tokens for each range that the input is dealt to.
+BUCKETS = 4
 #: Rows of lists whose counts go out together.
 TOGETHER = 200_000
 _PRE = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -71,10 +75,25 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype("i8")
 
 
-_BLOCK = "block long, doc_ids array<bigint>, n_bytes array<bigint>, places array<binary>, times array<binary>, words array<string>"
+_BLOCK = "block long, doc_ids array<bigint>, n_bytes array<bigint>, places array<binary>, times array<binary>, buckets array<int>, starts array<int>, words array<string>"
 
 
-def _blocks(path: str):
+def _listed(known: dict[str, int], buckets: int, together: bool) -> tuple[np.ndarray, list[int], list[int], list[str]]:
+    """The places of ``known``'s words in a block's list, and each part's bucket, first place and words, one a line. The
+    word that is a line feed is an empty line; where others may hold one, words don't go ``together`` in a part."""
+    import xxhash
+
+    words = sorted(known)
+    bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), "i4", len(words))
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(words), "i8")
+    place[np.fromiter((known[words[i]] for i in order.tolist()), "i8", len(words))] = np.arange(len(words))
+    first = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() if together else list(range(len(words)))
+    parts = ["\n".join("" if words[k] == "\n" else words[k] for k in order[i:j].tolist()) for i, j in zip(first, [*first[1:], len(words)], strict=True)]
+    return place, bucket[order[first]].tolist(), first, parts
+
+
+def _blocks(path: str, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -82,8 +101,13 @@ def _blocks(path: str):
         known, docs, chars = {}, [], 0
 
         def block() -> pd.DataFrame:
-            doc_ids, n_bytes, places, times = zip(*docs, strict=True)
-            return pd.DataFrame({"block": [part << 32 | number], "doc_ids": [doc_ids], "n_bytes": [n_bytes], "places": [places], "times": [times], "words": [list(known)]})
+            place, *lists = _listed(known, buckets, counter.separable)
+            rows = []
+            for doc, n, own, often in docs:
+                at = place[own]
+                order = np.argsort(at)
+                rows.append((doc, n, _packed(np.diff(at[order], prepend=0)), _packed(often[order])))
+            return pd.DataFrame([[part << 32 | number, *zip(*rows, strict=True), *lists]], columns=["block", "doc_ids", "n_bytes", "places", "times", "buckets", "starts", "words"])
 
         for batch in batches:
             for doc, n, text in zip(batch["doc_id"].tolist(), batch["n_bytes"].tolist(), batch["text"], strict=True):
@@ -91,10 +115,8 @@ def _blocks(path: str):
                     yield block()
                     known, docs, chars, number = {}, [], 0, number + 1
                 found = counter.frequencies(text)
-                place = np.fromiter((known.setdefault(p, len(known)) for p in found), "i8", len(found))
-                order = np.argsort(place)
-                packed = _packed(np.diff(place[order], prepend=0)), _packed(np.fromiter(found.values(), "i8", len(found))[order])
-                docs.append((None if pd.isna(doc) else int(doc), n, *packed))
+                own = np.fromiter((known.setdefault(p, len(known)) for p in found), "i4", len(found))
+                docs.append((None if pd.isna(doc) else int(doc), n, own, np.fromiter(found.values(), "i4", len(found))))
                 chars += len(text)
         if docs:
             yield block()
@@ -119,7 +141,7 @@ def _counted(path: str):
         for batch in batches:
             if not len(batch):
                 continue
-            words = batch["word"].to_numpy()
+            words = np.array([w or "\n" for w in batch["word"]], dtype=object)
             first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
             known = [last[1]] if words[0] == last[0] else []
             each = np.array(known + counter.pieces(words[first[len(known) :]].tolist()), "i8")
@@ -153,11 +175,13 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     """
     with scratch(docs.sparkSession) as result:
         rows = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-        blocks = materialise(rows.mapInPandas(_blocks(model), _BLOCK), compression="zstd")
-        words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-        counted = words.repartition("word").sortWithinPartitions("word").mapInPandas(_counted(model), "block long, places binary, pieces binary")
+        blocks = materialise(rows.mapInPandas(_blocks(model, BUCKETS * range_count(rows)), _BLOCK), compression="zstd")
+        parts = blocks.select("block", F.explode(F.arrays_zip("buckets", "starts", "words")).alias("part")).select("block", "part.*").repartition("buckets")
+        split = F.split("words", "\n") if PieceCounter.of(model).separable else F.array("words")
+        words = parts.select("block", "buckets", "starts", F.posexplode(split).alias("pos", "word")).select("block", "buckets", (F.col("starts") + F.col("pos")).alias("place"), "word")
+        counted = words.sortWithinPartitions("buckets", "word").mapInPandas(_counted(model), "block long, places binary, pieces binary")
         lists = counted.groupBy("block").agg(F.collect_list(F.struct("places", "pieces")).alias("counts"))
-        summed = blocks.drop("words").join(lists, "block", "left").mapInPandas(_summed, "doc_id long, n_bytes long, n_tokens long")
+        summed = blocks.drop("buckets", "starts", "words").join(lists, "block", "left").mapInPandas(_summed, "doc_id long, n_bytes long, n_tokens long")
         return result(materialise(summed).withColumn("over_limit", F.col("n_tokens") > limit))
 
 
