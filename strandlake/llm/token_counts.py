@@ -89,7 +89,8 @@ def _listed(known: dict[str, int], buckets: int, together: bool) -> tuple[np.nda
     place = np.empty(len(words), "i8")
     place[np.fromiter((known[words[i]] for i in order.tolist()), "i8", len(words))] = np.arange(len(words))
     first = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() if together else list(range(len(words)))
-    parts = ["\n".join("" if words[k] == "\n" else words[k] for k in order[i:j].tolist()) for i, j in zip(first, [*first[1:], len(words)], strict=True)]
+    ends = [*first, len(words)][1:]  # none for a block of empty texts
+    parts = ["\n".join("" if words[k] == "\n" else words[k] for k in order[i:j].tolist()) for i, j in zip(first, ends, strict=True)]
     return place, bucket[order[first]].tolist(), first, parts
 
 
