@@ -5,6 +5,9 @@ the q-th token of queue j is due at the virtual time (q + 1/2) / total_j, and to
 of each queue a window's end has seen is then a function of the window's number and the queue totals alone
 (``Mixture.served``), so any executor can place any document's ids without the windows before it: the deficits carried
 across windows and partitions are in the formula. Every window holds each source in proportion, within a token or so.
+
+A window can't hold a token of each of very many sources. Beyond MAX_QUEUES, sources share queues, and inside a shared
+queue chunks of at most a window's tokens are served in the same order, by the virtual times of their middles.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ LENGTH = 2048
 END_ID = 1
 #: Queues at most; with more sources than that, sources share queues by hash.
 MAX_QUEUES = 1024
+#: Rows of shared queues that are sorted together, about.
+SLICE_ROWS = 100_000
 
 
 class Mixture:
@@ -127,7 +132,9 @@ class Mixture:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, "i8"),) * 5
 
 
-def _encoded(path: str, end_id: int):
+def _encoded(path: str, end_id: int, most: int | None):
+    """Rows of at most ``most`` ids of a document: ``skip`` of its ``whole`` ids lie before."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -139,11 +146,16 @@ def _encoded(path: str, end_id: int):
             for cut in small_batches(batch["text"].str.len().tolist()):
                 rows = batch.iloc[cut]
                 ids = [x + end for x in encoder.encode(rows["text"].tolist())]
-                starts = []
-                for q, x in zip(rows["queue"], ids, strict=True):
-                    starts.append(seen.get(q, 0))
-                    seen[q] = starts[-1] + len(x) // 4
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "queue": rows["queue"], "part": part, "within": starts, "n": [len(x) // 4 for x in ids], "ids": [_narrow(x) for x in ids]})
+                row, skip, starts, chunks = [], [], [], []
+                for i, (q, x) in enumerate(zip(rows["queue"], ids, strict=True)):
+                    for at in range(0, len(x), 4 * most if most else len(x)):
+                        chunks.append(x[at : at + 4 * most] if most else x)
+                        row.append(i)
+                        skip.append(at // 4)
+                        starts.append(seen.get(q, 0))
+                        seen[q] = starts[-1] + len(chunks[-1]) // 4
+                of = rows.iloc[row].reset_index(drop=True)
+                yield pd.DataFrame({"doc_id": of["doc_id"], "queue": of["queue"], "part": part, "within": starts, "n": [len(x) // 4 for x in chunks], "skip": skip, "whole": [len(ids[i]) // 4 for i in row], "ids": [_narrow(x) for x in chunks]})
 
     return run
 
@@ -158,6 +170,25 @@ def _wide(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, f"<u{ids[0]}", offset=1).astype("<u4")
 
 
+def _in_shared_queues(encoded: DataFrame, parts: DataFrame) -> DataFrame:
+    """``encoded`` with shared queues in place of its own and each row's place there: by the virtual time of its middle, which
+    is the share of its source's tokens before that. Times are spread evenly, so slices of them are of like size, whatever
+    the queue; only rows without ids are sorted."""
+    mine = Window.partitionBy("queue")
+    of = parts.select("queue", "part", F.coalesce(F.sum("total").over(mine.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("total").over(mine).alias("own"))
+    slices = encoded.count() // SLICE_ROWS + 1
+    due = (F.col("base") + F.col("within") + F.col("n") / 2) / F.col("own")
+    shared = F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")
+    rows = encoded.select("queue", "part", "within", "n").join(of, ["queue", "part"]).select("queue", "part", "within", "n", due.alias("due"), shared.alias("shared"))
+    rows = rows.withColumn("slice", F.least(F.floor(F.col("due") * slices), F.lit(slices - 1)))
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("shared", "slice").agg(F.sum("n").alias("total"))
+    bases = sums.select("shared", "slice", F.coalesce(F.sum("total").over(upto.partitionBy("shared").orderBy("slice")), F.lit(0)).alias("base"))
+    near = F.coalesce(F.sum("n").over(upto.partitionBy("shared", "slice").orderBy("due", "queue", "part", "within")), F.lit(0))
+    placed = rows.withColumn("near", near).join(bases, ["shared", "slice"]).select("queue", "part", "within", "shared", (F.col("base") + F.col("near")).alias("place"))
+    return encoded.join(placed, ["queue", "part", "within"]).withColumn("queue", F.col("shared"))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, targets: dict[str | None, float] | None = None) -> DataFrame:
     """Pack every document's ids, with ``end_id`` after each, into sequences of ``length``.
 
@@ -169,28 +200,36 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     as long as they last, or else in those of the corpus.
 
     Null and empty texts are the end id alone. A null source is a source like any other. Rows that repeat a doc_id are
-    packed each on its own. An empty table gives no rows. Queues go by the order of the rows in the table.
+    packed each on its own. An empty table gives no rows. Queues go by the order of the rows in the table. With more than
+    MAX_QUEUES sources, which allow no targets, sources that share a queue keep their proportions in any stretch of it within
+    ``length`` tokens each.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("queue"))
-    if rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        if targets:
-            raise ValueError(f"targets are for at most {MAX_QUEUES} sources")
-        rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
-    encoded = materialise(rows.mapInPandas(_encoded(tokenizer, end_id), "doc_id long, queue string, part int, within long, n long, ids binary"), compression="zstd")
+    crowded = rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
+    if crowded and targets:
+        raise ValueError(f"targets are for at most {MAX_QUEUES} sources")
+    schema = "doc_id long, queue string, part int, within long, n long, skip long, whole long, ids binary"
+    encoded = materialise(rows.mapInPandas(_encoded(tokenizer, end_id, length if crowded else None), schema), compression="zstd")
     parts = encoded.groupBy("queue", "part").agg(F.sum("n").alias("total"))
-    totals = {r["queue"]: r["total"] for r in parts.groupBy("queue").agg(F.sum("total").alias("total")).collect()}  # MAX_QUEUES rows at most
+    if crowded:
+        placed = _in_shared_queues(encoded, parts)
+        queues = encoded.groupBy(F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string").alias("queue")).agg(F.sum("n").alias("total"))
+    else:
+        upto = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        bases = parts.select("queue", "part", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))  # a row for each queue and input split
+        placed = encoded.join(F.broadcast(bases) if parts.count() <= 1_000_000 else bases, ["queue", "part"]).withColumn("place", F.col("base") + F.col("within"))
+        queues = parts.groupBy("queue").agg(F.sum("total").alias("total"))
+    totals = {r["queue"]: r["total"] for r in queues.collect()}  # MAX_QUEUES rows at most
     names = sorted(totals)
     weights = {"" if s is None else f"s{s}": w for s, w in (targets or {}).items()}
     mixture, number = Mixture([totals[q] for q in names], length, [weights.get(q, 1.0) for q in names] if targets else None), {q: i for i, q in enumerate(names)}
-    upto = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("queue", "part", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))  # a row for each queue and input split
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from .bpe import small_batches
 
         for batch in (whole.iloc[c] for whole in batches for c in small_batches(whole["n"].tolist(), 500_000)):
             queue = batch["queue"].map(number).to_numpy("i8")
-            run, first, size, sequence, offset = mixture.pieces(queue, (batch["base"] + batch["within"]).to_numpy("i8"), batch["n"].to_numpy("i8"))
+            run, first, size, sequence, offset = mixture.pieces(queue, batch["place"].to_numpy("i8"), batch["n"].to_numpy("i8"))
             raw, parts_of, crc, at = batch["ids"].tolist(), [], [], -1
             for r, f, n in zip(run.tolist(), (4 * first).tolist(), (4 * (first + size)).tolist(), strict=True):
                 if r != at:
@@ -200,12 +239,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
                     parts_of.append(ids[f:n].cast("I").tolist())
             docs_of = batch["doc_id"]
             docs_of = docs_of.to_numpy("i8")[run] if docs_of.notna().all() else docs_of.astype("Int64").to_numpy(dtype=object)[run]
-            out = pd.DataFrame({"doc_id": docs_of, "start": first, "length": size, "ids_crc32": np.array(crc, "i8"), "doc_tokens": batch["n"].to_numpy()[run], "sequence_id": sequence, "offset": offset})
+            out = pd.DataFrame({"doc_id": docs_of, "start": batch["skip"].to_numpy("i8")[run] + first, "length": size, "ids_crc32": np.array(crc, "i8"), "doc_tokens": batch["whole"].to_numpy("i8")[run], "sequence_id": sequence, "offset": offset})
             yield out.assign(ids=parts_of) if with_ids else out
 
-    placed = encoded.join(F.broadcast(bases) if parts.count() <= 1_000_000 else bases, ["queue", "part"])
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return placed.mapInPandas(cut, schema)
+    return placed.select("doc_id", "queue", "place", "n", "skip", "whole", "ids").mapInPandas(cut, schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

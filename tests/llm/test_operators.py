@@ -647,6 +647,38 @@ def test_target_proportions(spark):
         pack.Mixture([5, 5], 4, [1.0, 0.0])
 
 
+def test_shared_queues_keep_their_sources(spark, monkeypatch):
+    monkeypatch.setattr(pack, "SLICE_ROWS", 40)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rows = [(i, " ".join(f"word{i + j}" for j in range(i * 7 % 90)) or None, f"s{i % 9 // 2}" if i % 13 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5, "doc_id")
+    ids = {d: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for d, t, _ in rows}
+    of, total, length = {d: q for d, _, q in rows}, defaultdict(int), 64
+    for d, x in ids.items():
+        total[of[d]] += len(x)
+    for most in (1, 3):
+        monkeypatch.setattr(pack, "MAX_QUEUES", most)
+        got = pack.pack_documents(docs, path, length=length, with_ids=True).toPandas().sort_values(["sequence_id", "offset"])
+        for d, own in got.groupby("doc_id"):
+            own = own.sort_values("start")
+            assert [x for p in own["ids"] for x in p] == ids[d] and (own["doc_tokens"] == len(ids[d])).all()
+            assert own["start"].tolist() == [0, *own["length"].cumsum()[:-1]]
+            assert own["ids_crc32"].tolist() == [zlib.crc32(np.array(p, "<u4").tobytes()) for p in own["ids"]]
+        whole = sum(total.values())
+        for s, own in got.groupby("sequence_id"):
+            assert own["offset"].tolist() == [0, *own["length"].cumsum()[:-1]]
+            assert own["length"].sum() == length if s < whole // length else own["length"].sum() <= length
+        served, all_of = defaultdict(int), 0
+        for d, n in zip(got["doc_id"], got["length"], strict=True):
+            served[of[d]] += n
+            all_of += n
+            assert all(abs(served[q] - w * all_of / whole) <= length * 4 for q, w in total.items())
+        assert all_of == whole and set(got["doc_id"]) == set(ids)
+    with pytest.raises(ValueError):
+        pack.pack_documents(docs, path, targets={"s0": 2.0})
+
+
 def test_rare_source_in_bounded_memory():
     import tracemalloc
 
