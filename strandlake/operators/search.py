@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.store import materialise
-from .index import POST_BYTES, Index
+from ..sources.corpus import MIN_LEN
+from .index import POST_BYTES, Index, postings
 
 TOP_K = 20
 MAX_POSTINGS = 20_000
@@ -50,7 +53,7 @@ def top_candidates(counts: DataFrame, k: int = TOP_K) -> DataFrame:
 
 def with_accessions(top: DataFrame, entries: DataFrame) -> DataFrame:
     """Candidates whose accession resolves; those that don't go after the cut at k, not before."""
-    return top.join(entries.select("id", "acc"), "id", "left").filter("acc IS NOT NULL").select("query", "rank", "id", "acc", "shared")
+    return top.join(entries.select("id", "acc").filter("acc IS NOT NULL"), "id").select("query", "rank", "id", "acc", "shared")
 
 
 def lookup_stats(query_seeds: DataFrame, posted: DataFrame, cap: int = MAX_POSTINGS) -> DataFrame:
@@ -65,3 +68,30 @@ def lookup_stats(query_seeds: DataFrame, posted: DataFrame, cap: int = MAX_POSTI
     stats = per_seed.groupBy("query").agg(F.count("*").alias("n_seeds"), F.count_if(~hot & F.col("present")).alias("seeds_found"), F.count_if(hot).alias("seeds_skipped"), F.sum(read).alias("bytes_read"))
     candidates = hits(query_seeds, posted, cap).select("query", "id").distinct().groupBy("query").agg(F.count("*").alias("candidates"))
     return stats.join(candidates, "query", "left").fillna(0, ["candidates"])
+
+
+@dataclass
+class StoredIndex:
+    """An index in parts: postings (seed, bucket, residual, id, ord, part), where a part is a bucket's upper ``part_bits`` and a partition
+    of the stored files, the buckets' sizes (bucket, n_postings), and entries (id, acc)."""
+
+    postings: DataFrame
+    sizes: DataFrame
+    entries: DataFrame
+    bucket_bits: int
+    part_bits: int
+
+    def search(self, chains: DataFrame, least: int = MIN_LEN, k: int = TOP_K, cap: int = MAX_POSTINGS) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(candidates, lookups, seeds) of chains (id, seq): the top entries (query, rank, id, acc, shared), and for each chain, also
+        without any, (query, n_residues, n_seeds, seeds_skipped, candidates). The seeds are cached for both; the caller releases
+        them. Only parts that hold buckets of the seeds are read, and the sizes of buckets are stored, not counted."""
+        seeds = postings(chains.filter(F.length("seq") >= least), self.bucket_bits).withColumn("part", F.shiftright("bucket", self.bucket_bits - self.part_bits)).persist()
+        parts = [r["part"] for r in seeds.select("part").distinct().collect()]  # at most 2^part_bits
+        known = self.sizes.join(seeds.select("bucket").distinct(), "bucket", "left_semi")
+        offsets = known.select("bucket", F.lit(0).alias("off_lo"), F.col("n_postings").alias("off_hi"))
+        counts = shared_counts(hits(seeds, self.postings.filter(F.col("part").isin(parts)), cap, offsets))
+        hot = known.filter(F.col("n_postings") > cap).select("bucket").withColumn("hot", F.lit(True))
+        of_seeds = seeds.join(hot, "bucket", "left").groupBy(F.col("id").alias("query")).agg(F.count("*").alias("n_seeds"), F.count_if("hot").alias("seeds_skipped"))
+        of_counts = counts.groupBy("query").agg(F.count("*").alias("candidates"))
+        each = chains.select(F.col("id").alias("query"), F.length("seq").alias("n_residues")).join(of_seeds, "query", "left").join(of_counts, "query", "left")
+        return with_accessions(top_candidates(counts, k), self.entries), each.fillna(0, ["n_seeds", "seeds_skipped", "candidates"]), seeds

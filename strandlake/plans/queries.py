@@ -403,7 +403,7 @@ _DOCS = "SELECT doc_id AS id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))
 _TURN_ROWS = "SELECT conv_id AS msa_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS row_ord, role || ' Tax=Org ' || role || ' TaxID=' || turn AS name, regexp_replace(text, '[^A-Za-z-]', '', 'g') AS seq FROM conversations"
 
 
-def _seed_cte(corpus: str, to: str = "s") -> str:
+def seed_sql(corpus: str, to: str = "s") -> str:
     powers = ", ".join(str(pow(31, 9 - j, 1 << 32)) for j in range(10))
     t = f"{to}_"
     return f"""
@@ -416,7 +416,7 @@ def _seed_cte(corpus: str, to: str = "s") -> str:
 {to} AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY b) - 1 AS INTEGER) AS ord, seed FROM {t}f)"""
 
 
-_SEEDS = _seed_cte(f"SELECT * FROM ({_DOCS}) WHERE length(seq) >= 40")
+CORPUS_SEEDS = seed_sql(f"SELECT * FROM ({_DOCS}) WHERE length(seq) >= 40")
 _PAIRS = f"p AS (SELECT x.id AS query, y.id AS id, count(*) AS shared, min(x.ord) AS first_ord FROM s x JOIN s y ON x.seed = y.seed AND x.id <> y.id WHERE x.id % {EVERY} = 0 GROUP BY 1, 2)"
 _TOP = f"t AS (SELECT query, rank, id, shared FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY shared DESC, first_ord, id) AS INTEGER) AS rank FROM p) WHERE rank <= {TOP})"
 _BUCKETS = "h AS (SELECT CAST(seed >> 6 AS INTEGER) AS bucket, count(*) AS n_postings FROM s GROUP BY 1), o AS (SELECT bucket, CAST(sum(n_postings) OVER (ORDER BY bucket) - n_postings AS BIGINT) AS off_lo, CAST(sum(n_postings) OVER (ORDER BY bucket) AS BIGINT) AS off_hi FROM h)"
@@ -454,20 +454,20 @@ _FOLD = """RECURSIVE r AS (SELECT msa_id, row_ord, split_part(name, ' ', 1) AS m
 
 ORACLE = {
     "corpus_filter": f"SELECT id, CAST(length(seq) AS INTEGER) AS n FROM ({_DOCS}) WHERE length(seq) BETWEEN 40 AND 2000",
-    "build_counters": f"WITH {_seed_cte(_DOCS)}, q AS (SELECT s_c.id, n, count(seed) AS k FROM s_c LEFT JOIN s USING (id) GROUP BY 1, 2) SELECT count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k > 0) AS n_seq, CAST(coalesce(sum(k) FILTER (WHERE n BETWEEN 40 AND 2000), 0) AS BIGINT) AS n_post, count(*) FILTER (WHERE n < 40) AS too_short, count(*) FILTER (WHERE n > 2000) AS too_long, count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k = 0) AS bad_chars FROM q",
+    "build_counters": f"WITH {seed_sql(_DOCS)}, q AS (SELECT s_c.id, n, count(seed) AS k FROM s_c LEFT JOIN s USING (id) GROUP BY 1, 2) SELECT count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k > 0) AS n_seq, CAST(coalesce(sum(k) FILTER (WHERE n BETWEEN 40 AND 2000), 0) AS BIGINT) AS n_post, count(*) FILTER (WHERE n < 40) AS too_short, count(*) FILTER (WHERE n > 2000) AS too_long, count(*) FILTER (WHERE n BETWEEN 40 AND 2000 AND k = 0) AS bad_chars FROM q",
     "seed_windows": f"SELECT id, CAST(length(seq) AS INTEGER) AS n, CAST(greatest(4, least(128, length(seq) // 12)) AS BIGINT) AS w FROM ({_DOCS}) WHERE length(seq) >= 40",
-    "minimizers": f"WITH {_SEEDS} SELECT id, ord, seed FROM s",
-    "bucket_histogram": f"WITH {_SEEDS}, {_BUCKETS} SELECT bucket, n_postings FROM h",
-    "bucket_offsets": f"WITH {_SEEDS}, {_BUCKETS} SELECT bucket, off_lo, off_hi FROM o",
-    "posting_plan": f"WITH {_SEEDS}, {_BUCKETS} SELECT off_lo // 1000 AS file_no, min(bucket) AS from_bucket, max(bucket) + 1 AS to_bucket, min(off_lo) AS post_from, max(off_hi) AS post_to FROM o GROUP BY 1",
+    "minimizers": f"WITH {CORPUS_SEEDS} SELECT id, ord, seed FROM s",
+    "bucket_histogram": f"WITH {CORPUS_SEEDS}, {_BUCKETS} SELECT bucket, n_postings FROM h",
+    "bucket_offsets": f"WITH {CORPUS_SEEDS}, {_BUCKETS} SELECT bucket, off_lo, off_hi FROM o",
+    "posting_plan": f"WITH {CORPUS_SEEDS}, {_BUCKETS} SELECT off_lo // 1000 AS file_no, min(bucket) AS from_bucket, max(bucket) + 1 AS to_bucket, min(off_lo) AS post_from, max(off_hi) AS post_to FROM o GROUP BY 1",
     "dense_ids": "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS dense_id FROM documents",
-    "shared_counts": f"WITH {_SEEDS}, {_PAIRS} SELECT query, id, shared FROM p",
-    "topk_candidates": f"WITH {_SEEDS}, {_PAIRS}, {_TOP} SELECT * FROM t",
-    "hot_bucket_skip": f"WITH {_SEEDS}, {_HOT}, p AS (SELECT query, id, count(*) AS shared, min(ord) AS first_ord FROM hp GROUP BY 1, 2), {_TOP_20} SELECT * FROM t",
-    "lookup_stats": f"WITH {_SEEDS}, {_HOT}, st AS (SELECT id AS query, count(*) AS n_seeds, count(*) FILTER (WHERE c <= 20000) AS seeds_found, count(*) FILTER (WHERE c > 20000) AS seeds_skipped, CAST(sum(8 + CASE WHEN c <= 20000 THEN 5 * c ELSE 0 END) AS BIGINT) AS bytes_read FROM bk JOIN sz USING (bucket) WHERE id % {EVERY} = 0 GROUP BY 1), cd AS (SELECT query, count(DISTINCT id) AS candidates FROM hp GROUP BY 1) SELECT query, n_seeds, seeds_found, seeds_skipped, bytes_read, coalesce(candidates, 0) AS candidates FROM st LEFT JOIN cd USING (query)",
-    "index_search": f"WITH {_SEEDS}, {_seed_cte("SELECT item_id AS id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark", "i")}, sz AS (SELECT seed >> 6 AS bucket FROM s GROUP BY 1 HAVING count(*) <= 20000), p AS (SELECT x.id AS query, y.id AS id, count(*) AS shared, min(x.ord) AS first_ord FROM i x JOIN sz ON sz.bucket = x.seed >> 6 JOIN s y ON x.seed >> 6 = y.seed >> 6 AND x.seed & 255 = y.seed & 255 GROUP BY 1, 2), {_TOP_20} SELECT query, rank, id, 'D' || id AS acc, shared FROM t",
+    "shared_counts": f"WITH {CORPUS_SEEDS}, {_PAIRS} SELECT query, id, shared FROM p",
+    "topk_candidates": f"WITH {CORPUS_SEEDS}, {_PAIRS}, {_TOP} SELECT * FROM t",
+    "hot_bucket_skip": f"WITH {CORPUS_SEEDS}, {_HOT}, p AS (SELECT query, id, count(*) AS shared, min(ord) AS first_ord FROM hp GROUP BY 1, 2), {_TOP_20} SELECT * FROM t",
+    "lookup_stats": f"WITH {CORPUS_SEEDS}, {_HOT}, st AS (SELECT id AS query, count(*) AS n_seeds, count(*) FILTER (WHERE c <= 20000) AS seeds_found, count(*) FILTER (WHERE c > 20000) AS seeds_skipped, CAST(sum(8 + CASE WHEN c <= 20000 THEN 5 * c ELSE 0 END) AS BIGINT) AS bytes_read FROM bk JOIN sz USING (bucket) WHERE id % {EVERY} = 0 GROUP BY 1), cd AS (SELECT query, count(DISTINCT id) AS candidates FROM hp GROUP BY 1) SELECT query, n_seeds, seeds_found, seeds_skipped, bytes_read, coalesce(candidates, 0) AS candidates FROM st LEFT JOIN cd USING (query)",
+    "index_search": f"WITH {CORPUS_SEEDS}, {seed_sql("SELECT item_id AS id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark", "i")}, sz AS (SELECT seed >> 6 AS bucket FROM s GROUP BY 1 HAVING count(*) <= 20000), p AS (SELECT x.id AS query, y.id AS id, count(*) AS shared, min(x.ord) AS first_ord FROM i x JOIN sz ON sz.bucket = x.seed >> 6 JOIN s y ON x.seed >> 6 = y.seed >> 6 AND x.seed & 255 = y.seed & 255 GROUP BY 1, 2), {_TOP_20} SELECT query, rank, id, 'D' || id AS acc, shared FROM t",
     "shard_union": "SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) - 1 AS dense_id FROM documents",
-    "resolved_candidates": f"WITH {_SEEDS}, {_PAIRS}, {_TOP} SELECT query, rank, id, 'D' || id AS acc, shared FROM t WHERE id IN (SELECT doc_id FROM labels)",
+    "resolved_candidates": f"WITH {CORPUS_SEEDS}, {_PAIRS}, {_TOP} SELECT query, rank, id, 'D' || id AS acc, shared FROM t WHERE id IN (SELECT doc_id FROM labels)",
     "a3m_text": f"SELECT msa_id, string_agg('>' || name || chr(10) || seq, chr(10) ORDER BY row_ord) || chr(10) AS text FROM ({_TURN_ROWS}) GROUP BY msa_id",
     "a3m_round_trip": _TURN_ROWS,
     "row_metadata": f"SELECT msa_id, row_ord, regexp_extract(name, 'TaxID=([0-9]+)', 1) AS taxid, regexp_extract(name, 'Tax=([^=]*?) TaxID', 1) AS organism, split_part(name, ' ', 1) AS member, CAST(length(regexp_replace(seq, '[a-z]', '', 'g')) AS INTEGER) AS n_match FROM ({_TURN_ROWS})",
@@ -487,11 +487,11 @@ SELECT *, CASE WHEN NOT valid THEN '"' || name || '" contains non-amino-acid cha
     "depth_summary": f"SELECT count(*) AS n, max(depth) AS most, max(depth) FILTER (WHERE rank = n // 2 + 1) AS median, min(depth) AS least FROM (SELECT *, count(*) OVER () AS n FROM ({_SELECTED}))",
     "sampled_queries": f"SELECT * FROM ({_PACKED}) ORDER BY md5('1:' || id), id LIMIT 50",
     "packed_scan": f"SELECT id, CAST(length(seq) AS INTEGER) AS n FROM ({_PACKED})",
-    "exact_seed_hits": f"WITH {_SEEDS}, sz AS (SELECT seed FROM s GROUP BY 1 HAVING count(*) <= 2000) SELECT x.id AS query, y.id AS id, count(*) AS shared FROM s x JOIN sz USING (seed) JOIN s y ON x.seed = y.seed AND x.id <> y.id WHERE x.id % {EVERY} = 0 GROUP BY 1, 2",
+    "exact_seed_hits": f"WITH {CORPUS_SEEDS}, sz AS (SELECT seed FROM s GROUP BY 1 HAVING count(*) <= 2000) SELECT x.id AS query, y.id AS id, count(*) AS shared FROM s x JOIN sz USING (seed) JOIN s y ON x.seed = y.seed AND x.id <> y.id WHERE x.id % {EVERY} = 0 GROUP BY 1, 2",
     "greedy_dedup": f"WITH {_FOLD} SELECT * FROM v",
     "merge_stats": f"WITH {_FOLD} SELECT query_id, count(*) FILTER (WHERE verdict = 'kept') AS added, count(*) AS total, count(*) FILTER (WHERE verdict = 'dup_id') AS dup_id, count(*) FILTER (WHERE verdict = 'dup_seq') AS dup_seq FROM v GROUP BY 1",
     "json_output": f"WITH r AS ({_TURN_ROWS}), n AS (SELECT msa_id, split_part(name, ' ', 1) AS name, min(row_ord) AS first, arg_max('>' || name || chr(10) || seq || chr(10), row_ord) AS text FROM r GROUP BY 1, 2) SELECT msa_id AS query_id, '{{' || string_agg(to_json(name) || ':' || to_json(text), ',' ORDER BY first) || '}}' AS body FROM n GROUP BY 1",
-    "mutant_recall": f"WITH {_seed_cte(_MUTANTS, 'm')}, {_seed_cte(_GAPS)}, sz AS (SELECT seed FROM s GROUP BY 1 HAVING count(*) <= 2000), fo AS (SELECT DISTINCT m.id FROM m JOIN sz USING (seed) JOIN s ON s.seed = m.seed AND s.id = m.id) SELECT count(*) AS n, count(fo.id) AS hits FROM ({_GAPS}) t LEFT JOIN fo ON fo.id = t.id",
+    "mutant_recall": f"WITH {seed_sql(_MUTANTS, 'm')}, {seed_sql(_GAPS)}, sz AS (SELECT seed FROM s GROUP BY 1 HAVING count(*) <= 2000), fo AS (SELECT DISTINCT m.id FROM m JOIN sz USING (seed) JOIN s ON s.seed = m.seed AND s.id = m.id) SELECT count(*) AS n, count(fo.id) AS hits FROM ({_GAPS}) t LEFT JOIN fo ON fo.id = t.id",
     "transfer_synthetic": f"""WITH g AS ({_GAPS}), c AS (SELECT id, length(seq) AS n, unnest(range(0, length(seq))) AS col FROM g),
 hm AS (SELECT id, n, col - col // 11 AS h, CASE WHEN col % 7 <> 6 AND 2 + col - col // 7 < n THEN 2 + col - col // 7 END AS q FROM c WHERE col % 11 <> 10),
 ro AS (SELECT g.id, length(seq) AS n, unnest(range(0, length(seq))) AS h, unnest(string_split(seq, '')) AS ch FROM g),
@@ -504,7 +504,7 @@ SELECT id, string_agg(ch, '' ORDER BY spot, part, h, k) AS moved FROM pc GROUP B
     "match_state_check": f"WITH r AS ({_TURN_ROWS}), m AS (SELECT msa_id, row_ord, length(regexp_replace(seq, '[a-z]', '', 'g')) AS k FROM r) SELECT x.msa_id, count(*) AS n, count(*) FILTER (WHERE x.k <> q.k) AS bad FROM m x JOIN m q ON q.msa_id = x.msa_id AND q.row_ord = 0 GROUP BY 1",
     "upper_median": "SELECT l_returnflag AS flag, count(*) AS n, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY 1",
     "coverage_pct": f"WITH rows_ AS ({_TURN_ROWS}), m AS (SELECT msa_id, max(100 * identity) AS identity FROM ({_IDENT}) GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE identity >= 90) AS at_90, count(*) FILTER (WHERE identity >= 70) AS at_70, count(*) FILTER (WHERE identity >= 50) AS at_50 FROM m",
-    "recall_by_band": f"WITH rows_ AS ({_TURN_ROWS}), {_seed_cte("SELECT msa_id * 1000 + row_ord AS id, upper(replace(seq, '-', '')) AS seq FROM rows_")}, p AS (SELECT x.id AS query, y.id AS id FROM s x JOIN s y ON x.seed = y.seed AND x.id <> y.id GROUP BY 1, 2), fo AS (SELECT query, count(*) AS candidates, bool_or(id = (query // 1000) * 1000) AS found FROM p GROUP BY 1), it AS ({_IDENT}), j AS (SELECT msa_id AS family, 100 * identity AS identity, coalesce(found, FALSE) AS found, coalesce(candidates, 0) AS candidates FROM it LEFT JOIN fo ON fo.query = msa_id * 1000 + row_ord) SELECT CAST(CASE WHEN identity < 30 THEN 0 WHEN identity < 50 THEN 1 WHEN identity < 70 THEN 2 WHEN identity < 80 THEN 3 WHEN identity < 90 THEN 4 WHEN identity < 95 THEN 5 ELSE 6 END AS INTEGER) AS band, count(*) AS n, count(DISTINCT family) AS families, count(*) FILTER (WHERE found) AS hits, CAST(sum(candidates) AS BIGINT) AS candidates FROM j GROUP BY 1",
+    "recall_by_band": f"WITH rows_ AS ({_TURN_ROWS}), {seed_sql("SELECT msa_id * 1000 + row_ord AS id, upper(replace(seq, '-', '')) AS seq FROM rows_")}, p AS (SELECT x.id AS query, y.id AS id FROM s x JOIN s y ON x.seed = y.seed AND x.id <> y.id GROUP BY 1, 2), fo AS (SELECT query, count(*) AS candidates, bool_or(id = (query // 1000) * 1000) AS found FROM p GROUP BY 1), it AS ({_IDENT}), j AS (SELECT msa_id AS family, 100 * identity AS identity, coalesce(found, FALSE) AS found, coalesce(candidates, 0) AS candidates FROM it LEFT JOIN fo ON fo.query = msa_id * 1000 + row_ord) SELECT CAST(CASE WHEN identity < 30 THEN 0 WHEN identity < 50 THEN 1 WHEN identity < 70 THEN 2 WHEN identity < 80 THEN 3 WHEN identity < 90 THEN 4 WHEN identity < 95 THEN 5 ELSE 6 END AS INTEGER) AS band, count(*) AS n, count(DISTINCT family) AS families, count(*) FILTER (WHERE found) AS hits, CAST(sum(candidates) AS BIGINT) AS candidates FROM j GROUP BY 1",
 }
 
 

@@ -286,6 +286,9 @@ def test_streamed_chains(spark, tmp_path):
     run = stream_hits(stream, posted).writeStream.format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert spark.table("streamed").count() == 12
+    again = stream_hits(stream, posted.unionByName(posted.filter("ord < 3")), cap=1).writeStream.format("memory").queryName("capped").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    again.awaitTermination(60)
+    assert sorted(r["ord"] for r in spark.table("capped").collect()) == list(range(3, 12))  # the others' buckets are too large
 
 
 def test_selection_and_medians(spark):
