@@ -7,15 +7,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frames
-from ..functions.align import align_udf
+from ..functions.align import align_udf, score_udf
+from ..functions.store import materialise
 from ..functions.transfer import moved_row, ungapped_blocks
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs are few bytes and much work, so they are dealt out evenly."""
+    return pairs.repartition(max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def align(pairs: DataFrame) -> DataFrame:
-    """Adds the alignment's columns to pairs with q_seq and t_seq; pairs that don't align go. Pairs are few bytes and much
-    work, so they are dealt out evenly."""
-    pairs = pairs.repartition(max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return pairs.withColumn("aln", align_udf("q_seq", "t_seq")).filter("aln.score IS NOT NULL").select(*pairs.columns, "aln.*")
+    """Adds the alignment's columns to pairs with q_seq and t_seq; pairs that don't align go."""
+    kept = [c for c in pairs.columns if c != "score"]
+    return _dealt(pairs).withColumn("aln", align_udf("q_seq", "t_seq")).filter("aln.score IS NOT NULL").select(*kept, "aln.*")
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """Adds the score of each pair's best local alignment, without its path; pairs that don't align go. A first pass over all
+    candidates: ``align`` is for those that are used."""
+    return _dealt(pairs).withColumn("score", score_udf("q_seq", "t_seq")).filter("score > 0")
 
 
 def residue_map(hsps: DataFrame) -> DataFrame:
@@ -68,12 +79,26 @@ def pick_donor(hits: DataFrame, with_msa: DataFrame) -> DataFrame:
 
 
 def pick_donors(hits: DataFrame, with_msa: DataFrame, most: int = 1, max_pair_identity: float = 0.9) -> DataFrame:
-    """For each query up to ``most`` hits that have alignments of their own, as ``donor_ord`` from 0: the best by score, and
-    after it those that are diverse from the ones before. A hit without an alignment hides no other."""
+    """For each query up to ``most`` of its scored hits that have alignments of their own, aligned, as ``donor_ord`` from 0: the best by
+    score, and after it those that are diverse from the ones before. A hit without an alignment hides no other.
+
+    Paths are followed for hits that are looked at: the best one, or the best 2 * ``most``, and further ones of the queries only
+    that found fewer than ``most`` diverse ones among these."""
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "rank")
     placed = hits.join(with_msa.select("acc").distinct(), "acc", "left_semi").withColumn("hit_ord", F.row_number().over(order))
     if most == 1:
-        return placed.filter("hit_ord = 1").withColumn("donor_ord", F.col("hit_ord") - 1).drop("hit_ord")
-    diverse = diverse_hits(placed.select(F.col("query").alias("query_id"), "hit_ord", "acc", "qseq", "hseq", "q_from", F.length("q_seq").alias("q_len")), max_pair_identity, most)
-    chosen = placed.join(diverse.filter("chosen").select(F.col("query_id").alias("query"), "hit_ord"), ["query", "hit_ord"])
+        return align(placed.filter("hit_ord = 1")).withColumn("donor_ord", F.col("hit_ord") - 1).drop("hit_ord")
+    placed = materialise(placed)
+
+    def chosen_of(aligned: DataFrame) -> DataFrame:
+        diverse = diverse_hits(aligned.select(F.col("query").alias("query_id"), "hit_ord", "acc", "qseq", "hseq", "q_from", F.length("q_seq").alias("q_len")), max_pair_identity, most)
+        return aligned.join(diverse.filter("chosen").select(F.col("query_id").alias("query"), "hit_ord"), ["query", "hit_ord"])
+
+    near = materialise(align(placed.filter(F.col("hit_ord") <= 2 * most)))
+    found = materialise(chosen_of(near))
+    enough = found.groupBy("query").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("query")
+    again = placed.filter(F.col("hit_ord") > 2 * most).join(enough, "query", "left_anti")
+    open_ones = again.select("query").distinct()
+    whole = near.join(open_ones, "query", "left_semi").unionByName(align(again))
+    chosen = found.join(open_ones, "query", "left_anti").unionByName(chosen_of(whole))
     return chosen.withColumn("donor_ord", F.row_number().over(Window.partitionBy("query").orderBy("hit_ord")) - 1).drop("hit_ord")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.headers import donor_label, match_states, member_id_of
+from ..functions.store import materialise
 from ..operators import index, msa, search
 from ..sources.corpus import parse_a3m
 
@@ -24,13 +25,25 @@ def merged_rows(chains: DataFrame, donors: DataFrame, msas: DataFrame, max_depth
     return ordered.join(judged.select(F.col("query_id").alias("query"), F.col("row_ord").alias("place"), "verdict"), ["query", "place"])
 
 
-def aligned_hits(chains: DataFrame, corpus: DataFrame, top_k: int = search.TOP_K, exclude_self: bool = False) -> DataFrame:
-    """The top candidates of chains (id, seq) in corpus (id, acc, seq, descr, organism, taxid), aligned."""
+def candidate_pairs(chains: DataFrame, corpus: DataFrame, top_k: int = search.TOP_K, exclude_self: bool = False) -> DataFrame:
+    """The top candidates of chains (id, seq) in corpus (id, acc, seq, descr, organism, taxid), with both sequences."""
     posted, wanted = index.postings(corpus), index.postings(chains)
     found = search.hits(wanted, posted)
     top = search.top_candidates(search.shared_counts(found.filter("query <> id") if exclude_self else found), top_k)
     named = search.with_accessions(top, corpus)
-    return msa.align(named.join(chains.select(F.col("id").alias("query"), F.col("seq").alias("q_seq")), "query").join(corpus.select("id", F.col("seq").alias("t_seq"), "descr", "organism", "taxid"), "id"))
+    return named.join(chains.select(F.col("id").alias("query"), F.col("seq").alias("q_seq")), "query").join(corpus.select("id", F.col("seq").alias("t_seq"), "descr", "organism", "taxid"), "id")
+
+
+def aligned_hits(chains: DataFrame, corpus: DataFrame, top_k: int = search.TOP_K, exclude_self: bool = False) -> DataFrame:
+    """``candidate_pairs``, aligned."""
+    return msa.align(candidate_pairs(chains, corpus, top_k, exclude_self))
+
+
+def _donors(chains: DataFrame, corpus: DataFrame, msas: DataFrame, top_k: int, donors: int, exclude_self: bool, max_pair_identity: float) -> DataFrame:
+    """The donors of each chain. Stored: what follows reads them more than once, and they are the dear part. Candidates without an
+    alignment are not scored."""
+    pairs = candidate_pairs(chains, corpus, top_k, exclude_self).join(msas.select("acc").distinct(), "acc", "left_semi")
+    return materialise(msa.pick_donors(msa.scored(pairs), msas, donors, max_pair_identity))
 
 
 def build_msa(chains: DataFrame, corpus: DataFrame, msas: DataFrame, top_k: int = search.TOP_K, donors: int = 1, max_depth: int = 0, exclude_self: bool = False, max_pair_identity: float = 0.9) -> DataFrame:
@@ -38,7 +51,7 @@ def build_msa(chains: DataFrame, corpus: DataFrame, msas: DataFrame, top_k: int
     candidate of ``corpus`` that ``msas`` (acc, text) has one of, and further diverse ones up to ``donors``. The chain is row 0; rows that repeat a
     member or a sequence go; with ``max_depth``, so do rows after that many. Alignments are read for donors only. With
     ``exclude_self``, an entry with the chain's own id is no candidate."""
-    chosen = msa.pick_donors(aligned_hits(chains, corpus, top_k, exclude_self), msas, donors, max_pair_identity)
+    chosen = _donors(chains, corpus, msas, top_k, donors, exclude_self, max_pair_identity)
     rows = merged_rows(chains, chosen, msas, max_depth).filter("verdict = 'kept'")
     own = chains.join(chosen.select(F.col("query").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query"), F.lit(None).cast("string").alias("donor"), F.lit(0).alias("row_ord"), F.concat(F.lit("chain_"), "id").alias("name"), F.upper("seq").alias("seq"))
     out = own.unionByName(rows.select("query", F.col("acc").alias("donor"), F.col("place").alias("row_ord"), "name", F.col("moved").alias("seq")))
@@ -47,6 +60,6 @@ def build_msa(chains: DataFrame, corpus: DataFrame, msas: DataFrame, top_k: int
 
 def donor_stats(chains: DataFrame, corpus: DataFrame, msas: DataFrame, top_k: int = search.TOP_K, donors: int = 1, max_depth: int = 0, exclude_self: bool = False, max_pair_identity: float = 0.9) -> DataFrame:
     """(query_id, donor_ord, acc, added, total, dup_id, dup_seq): what each donor's alignment was worth."""
-    chosen = msa.pick_donors(aligned_hits(chains, corpus, top_k, exclude_self), msas, donors, max_pair_identity)
+    chosen = _donors(chains, corpus, msas, top_k, donors, exclude_self, max_pair_identity)
     rows = merged_rows(chains, chosen, msas, max_depth)
     return msa.merge_stats(rows.withColumnRenamed("query", "query_id"), "donor_ord", "acc")

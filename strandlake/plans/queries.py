@@ -11,11 +11,12 @@ from ..functions.seeding import seed_rows, window_for
 from ..functions.store import materialise, shared_dir
 from ..operators import evaluation, index, msa, pairing, search
 from ..sources import corpus as src
-from .engine import aligned_hits
+from .engine import aligned_hits, candidate_pairs
 from .engine import build_msa as run_build_msa
 from .engine import donor_stats as run_donor_stats
 
-TOP = 5
+#: Candidates of a search, as published.
+TOP = search.TOP_K
 #: The queries of searches: every entry whose id this divides, against all entries.
 EVERY = 50
 
@@ -267,8 +268,10 @@ def sw_align(spark, d):
 
 
 def donor_pick(spark, d):
+    """Only the score decides, so no path is followed."""
     from_user = table(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws("_", "conv_id", "turn").alias("acc"))
-    return msa.pick_donor(_aligned(spark, d), from_user).select("query", "id", "acc", "score")
+    t = turns(spark, d)
+    return msa.pick_donor(msa.scored(candidate_pairs(t.select("id", "seq"), t, TOP, exclude_self=True)), from_user).select("query", "id", "acc", "score")
 
 
 def diverse_hits(spark, d):
