@@ -9,7 +9,7 @@ from ..functions import headers
 from ..functions.ranges import numbered
 from ..functions.seeding import seed_rows, window_for
 from ..functions.store import materialise, shared_dir
-from ..operators import evaluation, index, msa, pairing, search
+from ..operators import evaluation, exhaustive, index, msa, pairing, search
 from ..sources import corpus as src
 from .engine import aligned_hits, candidate_pairs
 from .engine import build_msa as run_build_msa
@@ -390,11 +390,21 @@ def hit_warnings(spark, d):
     return _aligned(spark, d).select("query", "id", *headers.hit_warnings(F.col("identity"), F.col("query_coverage")))
 
 
+def index_vs_exhaustive(spark, d):
+    """Every turn whose id EVERY divides, with 5 % of its residues replaced, against all turns: the index's best hit beside the best of all."""
+    t = turns(spark, d)
+    return exhaustive.index_against_exhaustive(t.filter(F.col("id") % EVERY == 0).select("id", headers.mutated("seq", "id", 0.05).alias("seq")), t)
+
+
+def exhaustive_recall(spark, d):
+    return exhaustive.recall_against_exhaustive(index_vs_exhaustive(spark, d))
+
+
 QUERIES = [
     corpus_filter, build_counters, seed_windows, minimizers, bucket_histogram, bucket_offsets, posting_plan, dense_ids, shared_counts, topk_candidates, hot_bucket_skip, lookup_stats, resolved_candidates, index_search, shard_union,
     a3m_text, a3m_round_trip, row_metadata, row_identity, query_chains, residue_map, best_per_taxon, paired_block, unpaired_block, paired_header, paired_a3m, depth_histogram, select_entries, upper_median, coverage_pct,
     recall_by_band, sw_align, donor_pick, diverse_hits, transfer_rows, transfer_synthetic, greedy_dedup, merge_stats, build_msa, donor_stats, json_output, coverage_study, recall_study,
-    sampled_queries, packed_scan, exact_seed_hits, point_mutations, mutant_recall, quota_sample, depth_summary, match_state_check, hit_warnings,
+    sampled_queries, packed_scan, exact_seed_hits, point_mutations, mutant_recall, quota_sample, depth_summary, match_state_check, hit_warnings, index_vs_exhaustive, exhaustive_recall,
 ]
 
 
