@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -16,8 +17,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The white space that the contracts strip or split at: space, \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
-#: The folders written inside each open ``scratch``.
-_HELD: list[list[str]] = []
+
+
+class _Held(threading.local):
+    """The folders written inside each open ``scratch`` of a driver thread: queries in other threads have their own."""
+
+    def __init__(self) -> None:
+        self.stack: list[list[str]] = []
+
+
+_HELD = _Held()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +77,8 @@ def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    if _HELD:
-        _HELD[-1].append(path)
+    if _HELD.stack:
+        _HELD.stack[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -85,7 +94,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     the result still reads: they go to the scratch around this one, if any, and else stay for the caller to read."""
     held: list[str] = []
     kept: list[str] = []
-    _HELD.append(held)
+    _HELD.stack.append(held)
 
     def result(out: DataFrame) -> DataFrame:
         files = out.inputFiles()
@@ -95,12 +104,12 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield result
     finally:
-        _HELD.pop()
+        _HELD.stack.pop()
         for path in held:
             if path not in kept:
                 remove(spark, path)
-        if _HELD:
-            _HELD[-1].extend(kept)
+        if _HELD.stack:
+            _HELD.stack[-1].extend(kept)
 
 
 #: Input bytes of a range, about, and ranges at most.

@@ -191,9 +191,10 @@ class SkipChainField:
                 w += 0.2 * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-9)
         return self
 
-    def beliefs(self, feats: np.ndarray, evidence: np.ndarray, *kinds: np.ndarray) -> np.ndarray:
-        """Loopy sum-product over the graphs of a whole batch at once, until messages stand still. evidence: a label, or 0
-        for none."""
+    def beliefs(self, feats: np.ndarray, evidence: np.ndarray, *kinds: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product over the graphs of a whole batch at once. evidence: a label, or 0 for none. owner: the number of
+        each token's document, or none if all are one document's; the messages of each stop when they stand still, so what a
+        document's tokens are taken for doesn't depend on the others."""
         own = self.node[feats].sum(1)
         known = evidence > 0
         own[known] = -30.0
@@ -202,18 +203,28 @@ class SkipChainField:
         b = np.concatenate([e[:, 1] for e in kinds] + [e[:, 0] for e in kinds])
         half, of = len(a) // 2, np.repeat(np.arange(len(kinds)), [len(e) for e in kinds])
         w = np.stack(self.edges + [x.T for x in self.edges])[np.r_[of, of + len(kinds)]]
-        back, m = np.r_[np.arange(half) + half, np.arange(half)], np.zeros((len(a), len(LABELS)))
-        for _ in range(ROUNDS if len(a) else 0):
+        done, live, m = np.zeros((len(a), len(LABELS))), np.arange(len(a)), np.zeros((len(a), len(LABELS)))
+        doc = np.zeros(len(a), "i8") if owner is None else owner[a]
+        x, y = a, b
+        for _ in range(ROUNDS):
+            if not len(live):
+                break
+            half = len(live) // 2
+            back = np.r_[np.arange(half) + half, np.arange(half)]
             at = own.copy()
-            np.add.at(at, b, m)
-            s = (at[a] - m[back])[:, :, None] + w
+            np.add.at(at, y, m)
+            s = (at[x] - m[back])[:, :, None] + w
             top = s.max(1)
             new = top + np.log(np.exp(s - top[:, None]).sum(1))
             new = 0.5 * m + 0.5 * (new - new.max(1, keepdims=True))
-            still = np.abs(new - m).max() < STILL
-            m = new
-            if still:
-                break
+            moved = np.zeros(int(doc.max()) + 1)
+            np.maximum.at(moved, doc, np.abs(new - m).max(1))
+            m, go = new, moved[doc] >= STILL
+            if not go.all():
+                done[live[~go]] = m[~go]
+                live, m, w, doc, x, y = live[go], m[go], w[go], doc[go], x[go], y[go]
+        done[live] = m
+        m = done
         np.add.at(own, b, m)
         p = np.exp(own - own.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
@@ -262,7 +273,8 @@ def added_spans(found: list[tuple], field: SkipChainField) -> list[list[tuple[in
     if not any(len(y) for _, (_, _, y, *_) in found):
         return out
     feats, labels, chain, skip, similar = _joined([g[1:] for _, g in found])
-    p = field.beliefs(feats, labels, chain, np.concatenate([skip, ties(labels, skip)]), similar)
+    owner = np.repeat(np.arange(len(found)), [len(y) for _, (_, _, y, *_) in found])
+    p = field.beliefs(feats, labels, chain, np.concatenate([skip, ties(labels, skip)]), similar, owner=owner)
     at = 0
     for d, (_, (tokens, _, y, *_)) in enumerate(found):
         for i, (start, end) in enumerate(tokens):

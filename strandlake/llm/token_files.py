@@ -177,12 +177,13 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}-tokens"
     with scratch(spark) as result:
-        manifest = write_token_files(docs, tokenizer, folder, end_id)
-        rows = read_token_files(manifest, range_count(texts(docs)))
-        # four numbers a document: files of about a million
-        out = materialise(rows.repartition(1 + (manifest.agg(F.sum("n_docs")).first()[0] or 0) // 1_000_000))
-        remove(spark, folder)  # all of it has been read
-        return result(out)
+        try:
+            manifest = write_token_files(docs, tokenizer, folder, end_id)
+            rows = read_token_files(manifest, range_count(texts(docs)))
+            # four numbers a document: files of about a million
+            return result(materialise(rows.repartition(1 + (manifest.agg(F.sum("n_docs")).first()[0] or 0) // 1_000_000)))
+        finally:
+            remove(spark, folder)  # all of it has been read, or nothing will be
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
