@@ -10,6 +10,7 @@ overlaps.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -138,6 +139,11 @@ def known_rules() -> list[tuple[str, list[str]]]:
     return [(name, list(ids)) for name, own in RULES.items() for ids in own] + [(name, [f"~{name}"]) for name in sorted({*SPDX, *NAMES, *TITLES})]
 
 
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A built-in table."""
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def _plain(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(ascii_lower(sentence), "[^a-z0-9]+", " "))
 
@@ -152,7 +158,8 @@ def _near(df: DataFrame, most: int) -> DataFrame:
 
 
 def _uncovered(matches: DataFrame, *key: str) -> DataFrame:
-    """The matches (key, at, to, size, ...) that overlap no match of greater ``size``: each counts at every place that it covers."""
+    """The distinct matches (key, at, to, size, ...) that overlap no match of greater ``size``: each counts at every place that it covers.
+    Where matches are dealt by the key already, they stay where they are."""
     own = [c for c in matches.columns]
     each = matches.withColumn("place", F.explode(F.sequence("at", "to"))).withColumn("most", F.max("size").over(Window.partitionBy(*key, "place")))
     return each.groupBy(*own).agg(F.max("most").alias("most")).filter(F.col("most") == F.col("size")).drop("most")
@@ -173,9 +180,9 @@ def license_scan(docs: DataFrame, sentences: DataFrame | None = None, rules: Dat
     frequent line is a hot key."""
     spark = docs.sparkSession
     if sentences is None:
-        sentences = spark.createDataFrame(known_sentences(), "id string, sentence string")
+        sentences = _table(spark, [{"id": k, "sentence": s} for k, s in known_sentences()], "id string, sentence string")
     if rules is None:
-        rules = spark.createDataFrame(known_rules(), "license string, ids array<string>")
+        rules = _table(spark, [{"license": name, "ids": ids} for name, ids in known_rules()], "license string, ids array<string>")
     plain = sentences.select("id", _plain(F.col("sentence")).alias("sentence")).filter("sentence <> '' AND id IS NOT NULL").groupBy("sentence").agg(F.min("id").alias("id"))
     n_words = F.size(F.split("sentence", " "))
     known = plain.withColumn("k", F.least(n_words, F.lit(KEY_WORDS)))
@@ -212,12 +219,11 @@ def license_scan(docs: DataFrame, sentences: DataFrame | None = None, rules: Dat
     to = F.col("at") + F.length(begun) - F.length(F.replace(begun, F.lit("|"), F.lit("")))
     found = materialise(joined.filter((F.col("k") == 0) | is_it).select("doc_id", "h", "n", "at", to.alias("to"), "size", "id"))
 
-    rows = found.filter("at = 0").groupBy("doc_id", "h").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
-    # rows that repeat a document find the same
-    matches = found.filter("at > 0").select("doc_id", "h", "at", "to", "size", "id").distinct()
+    # dealt by document once: what follows asks for no more than that. Rows that repeat a document find the same
+    matches = found.filter("at > 0").select("doc_id", "h", "at", "to", "size", "id").repartition("doc_id", "h")
     runs = materialise(_uncovered(matches, "doc_id", "h").groupBy("doc_id", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "to", "id"))), lambda x: x["id"]).alias("ids")))
-    ordered = rules.select("license", "ids").filter("license IS NOT NULL AND size(ids) > 0").distinct().withColumn("size", F.size("ids"))
-    sizes = sorted(r["size"] for r in ordered.select("size").distinct().collect())  # a few: the lengths of rules
+    ordered = rules.select("license", "ids").filter("license IS NOT NULL AND size(ids) > 0").withColumn("size", F.size("ids"))
+    sizes = sorted(ordered.agg(F.collect_set("size").alias("sizes")).first()["sizes"])  # a few: the lengths of rules
     none = F.array().cast("array<struct<at:int,to:int,size:int,run:array<string>>>")
 
     def spans(n: int) -> Column:
@@ -225,15 +231,16 @@ def license_scan(docs: DataFrame, sentences: DataFrame | None = None, rules: Dat
         each = F.transform(F.sequence(F.lit(1), F.size("ids") - n + 1), lambda i: F.struct(i.alias("at"), (i + n - 1).alias("to"), F.lit(n).alias("size"), F.slice("ids", i, n).alias("run")))
         return F.when(F.size("ids") >= n, each).otherwise(none)
 
-    taken = runs.select("doc_id", "h", F.explode(F.concat(none, *map(spans, sizes))).alias("r")).select("doc_id", "h", "r.*")
+    taken = runs.repartition("doc_id", "h").select("doc_id", "h", F.explode(F.concat(none, *map(spans, sizes))).alias("r")).select("doc_id", "h", "r.*")
     named = taken.join(_near(ordered.select(F.col("ids").alias("run"), "license"), broadcast), "run").select("doc_id", "h", "at", "to", "size", "license")
-    licenses = _uncovered(named, "doc_id", "h").select("doc_id", "h", "license").distinct()
 
-    no_ids = F.lit(None).cast("array<string>").alias("ids")
-    nothing, no_name = F.lit(None).cast("long"), F.lit(None).cast("string").alias("license")
-    union = rows.select("doc_id", "h", F.col("n").cast("long").alias("n"), "rows", no_ids, no_name).unionByName(runs.select("doc_id", "h", nothing.alias("n"), nothing.alias("rows"), "ids", no_name)).unionByName(licenses.select("doc_id", "h", nothing.alias("n"), nothing.alias("rows"), no_ids, "license"))
-    out = union.groupBy("doc_id", "h").agg(F.max("n").alias("n_sentences"), F.max("rows").alias("rows"), F.coalesce(F.first("ids", ignorenulls=True), F.array().cast("array<string>")).alias("ids"), F.array_sort(F.collect_set("license")).alias("names"))
-    each_row = F.when(F.col("rows") == 1, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("rows")).cast("array<int>"))
+    def part(df: DataFrame, **columns: str) -> DataFrame:
+        kinds = {"n": "long", "rows": "long", "ids": "array<string>", "license": "string"}
+        return df.select("doc_id", "h", *[F.expr(columns.get(c, "NULL")).cast(kind).alias(c) for c, kind in kinds.items()])
+
+    every = part(found.filter("at = 0"), n="n", rows="1").unionByName(part(runs, ids="ids")).unionByName(part(_uncovered(named, "doc_id", "h"), license="license"))
+    out = every.groupBy("doc_id", "h").agg(F.max("n").alias("n_sentences"), F.sum("rows").alias("rows"), F.coalesce(F.max("ids"), F.array().cast("array<string>")).alias("ids"), F.array_sort(F.collect_set("license")).alias("names"))
+    each_row = F.sequence(F.lit(1).cast("long"), F.col("rows"))
     return out.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join("names", ",").alias("licenses"), F.explode(each_row).alias("row")).drop("row")
 
 
