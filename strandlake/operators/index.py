@@ -77,15 +77,16 @@ def assert_index_compatible(meta: DataFrame) -> None:
 class Index:
     """A written index. What a search reads of it goes by the buckets of its seeds, not by the index's size."""
 
-    #: Buckets of a search that are named in its scans; more are joined.
-    named = 10_000
-    #: Of those, as many are pushed down one by one; more by their files and range.
+    #: Buckets of a search, at most, that are pushed down one by one; more are joined.
     pushed = 64
+    #: Buckets of a cell, by which buckets meet the files whose ranges hold them.
+    cell_bits = 10
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         meta = spark.read.json(f"{path}/meta")
         assert_index_compatible(meta)
         self.meta = meta.first().asDict(recursive=True)
+        self._files = meta.select(F.explode("files").alias("f")).select("f.*")
         self.entries = spark.read.parquet(f"{path}/entries")
         self._postings, self._offsets = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "offsets"))
 
@@ -98,13 +99,24 @@ class Index:
         at = bisect_right(ends, bucket)
         return self.meta["files"][at]["fileNo"] if at < len(ends) and bucket >= self.meta["files"][at]["fromBucket"] else None
 
+    def files_of(self, buckets: DataFrame) -> DataFrame:
+        """(bucket, file_no) of ``buckets`` (bucket): a range join, by equal cells. A file is in each cell that its range touches: 2^15 in
+        all and one more for each file, so that side may be broadcast."""
+        low, high = (F.shiftright(x, self.cell_bits) for x in (F.col("fromBucket"), F.col("toBucket") - 1))
+        cells = self._files.select("fromBucket", "toBucket", F.col("fileNo").alias("file_no"), F.explode(F.sequence(low, high)).alias("cell"))
+        placed = buckets.select("bucket", F.shiftright("bucket", self.cell_bits).cast("long").alias("cell"))
+        return placed.join(cells, "cell").filter((F.col("bucket") >= F.col("fromBucket")) & (F.col("bucket") < F.col("toBucket"))).select("bucket", "file_no")
+
     def near(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The postings (bucket, residual, seed, id) and offsets of the buckets of ``wanted`` (bucket)."""
+        """The postings (bucket, residual, seed, id) and offsets of the buckets of ``wanted`` (bucket), however many they are. Only the
+        files whose ranges hold one of them are read: their numbers, of which there are no more than files, are in the scan's
+        partition filter."""
         buckets = wanted.select("bucket").distinct()
-        found = sorted(r["bucket"] for r in buckets.limit(self.named + 1).collect())
-        tables = self._postings, self._offsets
-        if len(found) > self.named:
-            return tuple(t.join(buckets, "bucket", "left_semi") for t in tables)
-        files = sorted({f for b in found if (f := self.file_for(b)) is not None})
-        each = reduce(Column.__or__, [F.col("bucket") == b for b in found], F.lit(False)) if len(found) <= self.pushed else F.col("bucket").isin(found)
-        return tuple(t.filter(F.col("file_no").isin(files) & each) for t in tables)
+        placed = materialise(self.files_of(buckets))
+        files = sorted(r["file_no"] for r in placed.select("file_no").distinct().collect())
+        few = sorted(r["bucket"] for r in placed.select("bucket").limit(self.pushed + 1).collect())
+        tables = [t.filter(F.col("file_no").isin(files)) for t in (self._postings, self._offsets)]
+        if len(few) <= self.pushed:
+            each = reduce(Column.__or__, [F.col("bucket") == b for b in few], F.lit(False))
+            return tuple(t.filter(each) for t in tables)
+        return tuple(t.join(placed.select("bucket"), "bucket", "left_semi") for t in tables)

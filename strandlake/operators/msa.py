@@ -42,16 +42,61 @@ def transfer_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("moved", moved_row(F.col("seq"), blocks, F.col("q_len"))).filter("moved IS NOT NULL")
 
 
-def greedy_dedup(rows: DataFrame, max_depth: int = 0) -> DataFrame:
+#: Rows of a query that one task folds, at most; a query of more is decided in rounds.
+FOLDED = 200_000
+
+
+def greedy_dedup(rows: DataFrame, max_depth: int = 0, folded: int = FOLDED) -> DataFrame:
     """Verdicts (query_id, row_ord, verdict) of rows (query_id, query, row_ord, member, seq): an order-dependent fold. With
-    ``max_depth``, rows after that many (with the query's own) are capped. A query's rows are held by one task, as they
-    are in the a3m file that they make up."""
+    ``max_depth``, rows after that many (with the query's own) are capped. The rows of a query of up to ``folded`` rows are folded by
+    one task; those of larger ones are decided in rounds by many, to the same verdicts."""
+    large = materialise(rows.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") > folded).select("query_id"))
+    schema = "query_id long, row_ord int, verdict string"
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("row_ord")
         return pd.DataFrame({"query_id": g["query_id"], "row_ord": g["row_ord"], "verdict": frames.greedy_dedup(g["query"].iat[0], list(zip(g["member"], g["seq"], strict=True)), max_depth)})
 
-    return rows.groupBy("query_id").applyInPandas(fold, "query_id long, row_ord int, verdict string")
+    if not large.limit(1).count():
+        return rows.groupBy("query_id").applyInPandas(fold, schema)
+    small = rows.join(large, "query_id", "left_anti").groupBy("query_id").applyInPandas(fold, schema)
+    of_large = dedup_in_rounds(rows.join(large, "query_id", "left_semi"), max_depth)
+    return small.unionByName(of_large.select(F.col("query_id").cast("long").alias("query_id"), F.col("row_ord").cast("int").alias("row_ord"), "verdict"))
+
+
+def dedup_in_rounds(rows: DataFrame, max_depth: int = 0) -> DataFrame:
+    """The verdicts of ``greedy_dedup``, of queries of any size. A row that is the first undecided one of its member and of its sequence is
+    kept, since nothing before it can reject it; a row that shares a member or sequence with one that is kept is rejected. At least the
+    first undecided row is decided in every round. Members and sequences go as hashes of 128 bits, and firsts are combined before
+    they are shuffled, so one that most rows share is no hot key."""
+
+    def hashed(c: str):
+        return F.md5(F.col(c).cast("binary"))
+
+    every = materialise(rows.select("query_id", "row_ord", hashed("member").alias("m"), hashed("seq").alias("s"), (F.col("seq") == F.col("query")).alias("same")))
+
+    def first(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.groupBy("query_id", key).agg(F.min("row_ord").alias(name))
+
+    open_rows, kept = every.filter("NOT same").select("query_id", "row_ord", "m", "s"), None
+    while True:
+        now = materialise(open_rows.join(first(open_rows, "m", "first_m"), ["query_id", "m"]).filter("row_ord = first_m").join(first(open_rows, "s", "first_s"), ["query_id", "s"]).filter("row_ord = first_s").select("query_id", "row_ord", "m", "s"))
+        if not now.limit(1).count():
+            break
+        kept = now if kept is None else kept.unionByName(now)
+        open_rows = materialise(open_rows.join(now.select("query_id", "m"), ["query_id", "m"], "left_anti").join(now.select("query_id", "s"), ["query_id", "s"], "left_anti"))
+    if kept is None:  # every row is its query's own sequence
+        kept = every.filter("false").select("query_id", "row_ord", "m", "s")
+    of_member = kept.select("query_id", "m", F.col("row_ord").alias("kept_m"))
+    judged = every.join(of_member, ["query_id", "m"], "left").join(kept.select("query_id", "row_ord", F.lit(True).alias("stays")), ["query_id", "row_ord"], "left")
+    verdict = F.when(F.col("stays"), "kept").when(F.col("kept_m") < F.col("row_ord"), "dup_id").otherwise("dup_seq")
+    if max_depth:
+        # the query's own row counts as one; what comes after the last row that fits is capped
+        place = Window.partitionBy("query_id").orderBy("row_ord")
+        last = kept.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= max_depth - 1).groupBy("query_id").agg(F.max("row_ord").alias("last"), F.count("*").alias("n")).filter(F.col("n") == max_depth - 1)
+        judged = judged.join(last.select("query_id", "last"), "query_id", "left")
+        verdict = F.when((F.col("row_ord") > F.col("last")) | F.lit(max_depth == 1), "capped").otherwise(verdict)
+    return judged.select("query_id", "row_ord", verdict.alias("verdict"))
 
 
 def merge_stats(verdicts: DataFrame, *by: str) -> DataFrame:

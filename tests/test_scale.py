@@ -1,0 +1,98 @@
+"""Forms of operators for inputs of any size, against the plain ones."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.functions import frames
+from strandlake.functions.align import local_alignments
+from strandlake.operators import evaluation, index, msa
+
+AA = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def test_many_buckets_read_their_files_only(spark, tmp_path):
+    r = random.Random(3)
+    corpus = spark.createDataFrame([(i, "".join(r.choices(AA, k=200)), f"E{i}") for i in range(2000)], "id long, seq string, acc string")
+    index.write_index(corpus, str(tmp_path / "ix"), per_file=1000)
+    found = index.Index(spark, str(tmp_path / "ix"))
+    files = found.meta["files"]
+    low, high = files[len(files) // 3]["fromBucket"], files[len(files) // 2]["toBucket"]  # a sixth of the files
+    step = (high - low) // 100_000
+    some = spark.range(100_000).select((F.lit(low) + F.col("id") * step).cast("int").alias("bucket"))
+    held = found._offsets.filter((F.col("bucket") >= low) & (F.col("bucket") < high)).select("bucket")  # and buckets that hold something
+    wanted = some.unionByName(held)
+    near, offsets = found.near(wanted)
+    want = {f["fileNo"] for f in files if f["toBucket"] > low and f["fromBucket"] < high}
+    assert 1 < len(want) < len(files) / 2
+    for part in (near, offsets):
+        scan = next(x for x in part._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters: [file_no" in x)
+        read = re.search(r"PartitionFilters: \[file_no#\d+L? IN \(([\d,]+)\)", scan)[1]  # the folders that the scan lists
+        assert set(map(int, read.split(","))) == want
+    asked = {b.bucket for b in wanted.distinct().collect()}
+    whole = index.postings(corpus).filter(F.col("bucket").between(low, high - 1)).collect()
+    key = lambda x: (x.seed, x.bucket, x.residual, x.id)
+    assert sorted(map(key, near.collect())) == sorted(key(p) for p in whole if p.bucket in asked) and near.count() > 1000
+    pairs = {(x.bucket, x.file_no) for x in found.files_of(wanted.distinct()).collect()}
+    assert pairs == {(b, found.file_for(b)) for b in asked if found.file_for(b) is not None}
+
+
+@pytest.mark.parametrize("max_depth", [0, 1, 2, 7])
+def test_rounds_equal_the_fold(spark, max_depth):
+    r = random.Random(max_depth)
+    rows = []
+    for q in range(12):
+        n = 60 if q else 300
+        few = r.choice([3, 8, 30])
+        rows += [(q, "OWN", 3 * k, f"m{r.randint(0, few)}", r.choice(["OWN", *[f"S{r.randint(0, few)}"] * 4])) for k in range(n)]
+    # chains of conflicts: each row takes what the next one needs
+    rows += [(50, "Q", k, f"m{k // 2}", f"S{(k + 1) // 2}") for k in range(80)]
+    rows += [(51, "Q", k, "one", "S") for k in range(200)] + [(52, "Q", k, f"m{k}", "Q") for k in range(5)]
+    table = spark.createDataFrame(rows, "query_id long, query string, row_ord int, member string, seq string").repartition(5)
+    want = {}
+    for q in {x[0] for x in rows}:
+        own = sorted(x for x in rows if x[0] == q)
+        want |= {(q, x[2]): v for x, v in zip(sorted(own, key=lambda x: x[2]), frames.greedy_dedup(own[0][1], [(x[3], x[4]) for x in sorted(own, key=lambda x: x[2])], max_depth), strict=True)}
+    for folded in (0, 100, 10_000):
+        got = {(x.query_id, x.row_ord): x.verdict for x in msa.greedy_dedup(table, max_depth, folded).collect()}
+        assert got == want
+    assert {"kept", "dup_id", "dup_seq"} <= set(want.values()) or max_depth
+
+
+def test_scan_by_quota(spark):
+    """Against the scan of one member after the other, which stops at full quotas and at the limit."""
+    import hashlib
+
+    r = random.Random(4)
+    entries = {f: "".join(r.choices(AA, k=90)) for f in range(5)}
+    members = []
+    for f, s in entries.items():
+        for k in range((300, 40, 12, 90, 3)[f]):
+            rate = r.choice([0.02, 0.3]) if f != 3 else 0.03
+            members.append((f, 1000 * f + k, "".join(r.choice(AA) if r.random() < rate else c for c in s) if k % 5 else "".join(r.choices(AA, k=80))))
+    table = spark.createDataFrame([(f, m, q, entries[f]) for f, m, q in members], "family long, member long, q_seq string, t_seq string").repartition(4)
+    aligned = {m: x for (_, m, _), x in zip(members, local_alignments([q for *_, q in members], [entries[f] for f, *_ in members]), strict=True)}
+    for per_band, per_family, limit in ((5, 12, 0), (5, 12, 20), (200, 400, 0), (1, 50, 30)):
+        want, scans = set(), 0
+        for f in entries:
+            own = sorted((m for g, m, _ in members if g == f), key=lambda m: (hashlib.md5(f"1:{f}:{m}".encode()).hexdigest(), m))
+            bands, n = {}, 0
+            for scanned, m in enumerate(own):
+                if n >= per_family or (limit and scanned > limit):
+                    break
+                scans += 1
+                x = aligned[m]
+                if not x or x[9] < 0.5:
+                    continue
+                band = next(i for i, (a, b) in enumerate(zip(evaluation.BINS, evaluation.BINS[1:])) if a <= x[8] < b)
+                if bands.get(band, 0) < per_band:
+                    bands[band] = bands.get(band, 0) + 1
+                    n += 1
+                    want.add((f, m, band))
+        picked, count = evaluation.scan_by_quota(table, per_band, per_family, limit)
+        assert {(x.family, x.member, x.band) for x in picked.collect()} == want
+        assert scans <= count <= len(members)
+        if limit:
+            assert count <= sum(min(limit + 1, k) for k in (300, 40, 12, 90, 3)) < len(members)
