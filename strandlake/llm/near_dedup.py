@@ -2,9 +2,10 @@
 
 Texts with equal shingle sets are joined to one representative first. Each representative's MinHash signature is sorted
 in TREES orders. Where signatures agree in an order's first DEPTH values they form a region; further values order the
-region, so that neighbours in it are those of longest common prefix and a crowded region is read at the depth at which
-its members differ. Each document's likeliest neighbour, and the likeliest head of the runs that its regions are cut
-into, are confirmed on the full sets. Most of a large group is one component after that.
+region, so that the neighbours of a place are those of longest common prefix with it. A region of up to RUN documents is read as it is; a
+crowded one is cut where its members' next values differ, one value deeper at a time, until its pieces are that small. Of each
+document the neighbour, and the head of such a piece, with which its common prefixes are longest over all orders are
+confirmed on the full sets. Most of a large group is one component after that.
 
 What neighbours leave is searched exactly: in every region that still holds documents of two components, all pairs
 across components are compared, first by sketches that never overstate how far two sets differ, then on full sets. No
@@ -29,11 +30,12 @@ TREES = 40
 DEPTH = 5
 #: Values after the first DEPTH that order a region.
 FURTHER = 4
-#: Members of a region that one of them heads.
+#: Members of a piece of a region that one of them heads.
 RUN = 256
 PERCENT = 80
-#: Rows of a region that meet in one task: twice as many, of two blocks.
+#: Rows of a region that meet in one task, and members of their sets (8 bytes each): twice as many, of two blocks.
 BLOCK_ROWS = 2048
+BLOCK_MEMBERS = 4_000_000
 #: Groups up to this many rows are compared offset by offset, others row by row.
 SMALL = 64
 #: 64-bit words of sketches that are compared at a time.
@@ -122,29 +124,47 @@ def _able(n, m):
     return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
 
+def common_values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the FURTHER values, from the first on, two places in a region have in common."""
+    differ = (x ^ y).view("u8")
+    return sum((differ < np.uint64(1 << (16 * k))).astype("i8") for k in range(FURTHER))
+
+
+def pieces(joined: np.ndarray, common: np.ndarray, run: int = RUN) -> np.ndarray:
+    """The first row of each row's piece. ``joined``: whether a row has the region of the one before; ``common``: the values that
+    both have in common after the first DEPTH. Pieces of more than ``run`` rows are cut where fewer than 1, 2, ... values are in
+    common, and in the end, where all are, every ``run`` rows."""
+    at, new = np.arange(len(joined)), ~joined
+    for depth in range(1, FURTHER + 1):
+        begun = np.maximum.accumulate(np.where(new, at, 0))
+        size = np.bincount(begun, minlength=len(joined))[begun]
+        if not len(size) or size.max() <= run:
+            break
+        new |= (size > run) & (common < depth)
+    begun = np.maximum.accumulate(np.where(new, at, 0))
+    return begun + (at - begun) // run * run
+
+
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over rows in order: pairs (a, b) of neighbours (kind 1) and of rows with their run's head (kind 2) in one region, and
-    the rows (a) that share a region (kind 0; also the first and last row, whose neighbours another task may have)."""
-    last = None  # the row before, not yet out: region, doc, n, whether it joins its predecessor
-    first, seen, start, head = True, 0, 0, (0, 0)
+    """Over rows in order: pairs (a, b) of neighbours (kind 1) and of rows with their piece's head (kind 2) in one region, with the values of
+    their signatures that they have in common from the first on (depth), and the rows (a) that share a region (kind 0; also the
+    first and last row, whose neighbours another task may have)."""
+    last = None  # the row before, not yet out: region, place, doc, n, whether it joins its predecessor
+    first = True
     for batch in batches:
         if not len(batch):
             continue
-        rows = [batch[c].to_numpy("i8") for c in ("region", "doc", "n")]
-        old = 0 if last is None else 1
-        region, doc, n = rows if last is None else (np.r_[x, y] for x, y in zip(last, rows, strict=False))
-        joined = np.r_[bool(old and last[3]), region[1:] == region[:-1]]
-        at = np.arange(len(doc)) + seen - old
-        begun = np.where(joined, -1, at)
-        begun[0] = start if old else at[0]
-        begun = np.maximum.accumulate(begun)
-        lead = begun + (at - begun) // RUN * RUN
-        here = np.maximum(lead - at[0], 0)
-        head_doc, head_n = np.where(lead < at[0], head[0], doc[here]), np.where(lead < at[0], head[1], n[here])
-        i = 1 + np.flatnonzero(joined[1:])
+        rows = [batch[c].to_numpy("i8") for c in ("region", "place", "doc", "n")]
+        region, place, doc, n = rows if last is None else (np.r_[x, y] for x, y in zip(last, rows, strict=False))
+        joined = np.r_[bool(last is not None and last[4]), region[1:] == region[:-1]]
+        inside = np.r_[False, joined[1:]]  # pieces are of a batch, with the row before it
+        common = np.r_[0, common_values(place[1:], place[:-1])]
+        lead = pieces(inside, common)
+        i = 1 + np.flatnonzero(inside[1:])
         i = i[_able(n[i], n[i - 1])]
-        j = old + np.flatnonzero((at - lead > 1)[old:])
-        j = j[_able(n[j], head_n[j])]
+        j = np.flatnonzero(np.arange(len(doc)) - lead > 1)
+        j = j[_able(n[j], n[lead[j]])]
+        head = lead[j]
         out = joined[:-1] | joined[1:]
         if first and len(out):
             out[0], first = True, False
@@ -152,13 +172,12 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.zeros(len(i) + len(j), "i8")
         yield pd.DataFrame({
             "kind": np.repeat(np.arange(3, dtype="i4"), [len(k), len(i), len(j)]), "region": np.r_[region[k], none],
-            "a": np.r_[doc[k], np.maximum(doc[i], doc[i - 1]), np.maximum(doc[j], head_doc[j])], "b": np.r_[np.zeros(len(k), "i8"), np.minimum(doc[i], doc[i - 1]), np.minimum(doc[j], head_doc[j])],
+            "a": np.r_[doc[k], np.maximum(doc[i], doc[i - 1]), np.maximum(doc[j], doc[head])], "b": np.r_[np.zeros(len(k), "i8"), np.minimum(doc[i], doc[i - 1]), np.minimum(doc[j], doc[head])],
+            "depth": np.r_[np.zeros(len(k), "i8"), DEPTH + common[i], DEPTH + common_values(place[j], place[head])],
         })
-        seen += len(batch)
-        start, head = int(begun[-1]), (int(head_doc[-1]), int(head_n[-1]))
-        last = (region[-1:], doc[-1:], n[-1:], bool(joined[-1]))
+        last = (region[-1:], place[-1:], doc[-1:], n[-1:], bool(joined[-1]))
     if last is not None:
-        yield pd.DataFrame({"kind": np.zeros(1, "i4"), "region": last[0], "a": last[1], "b": np.zeros(1, "i8")})
+        yield pd.DataFrame({"kind": np.zeros(1, "i4"), "region": last[0], "a": last[2], "b": np.zeros(1, "i8"), "depth": np.zeros(1, "i8")})
 
 
 class _Sketches:
@@ -314,12 +333,16 @@ def similar(s: np.ndarray, t: np.ndarray) -> bool:
 
 def across(rows: DataFrame, bodies: DataFrame, compare, schema: str) -> DataFrame:
     """Compare all pairs of rows (region, doc, n, root) that have one region and different roots. ``bodies`` (doc, bits) has
-    what is compared. A region's largest component and the rest are each dealt to blocks of about BLOCK_ROWS; a task sees
-    two blocks, of which one at least is of the rest, so no two rows of the largest component meet."""
-    of_root = rows.groupBy("region", "root").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
-    sizes = of_root.groupBy("region").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max("c").alias("main"), F.max_by("root", F.struct("c", "root")).alias("main_root"), F.min("least").alias("least"), F.max("most").alias("most"))
+    what is compared. A region's largest component and the rest are each dealt to blocks of about BLOCK_ROWS, or BLOCK_MEMBERS if
+    their sets are large; a task sees two blocks, of which one at least is of the rest, so no two rows of the largest component meet."""
+    of_root = rows.groupBy("region", "root").agg(F.count("*").alias("c"), F.sum("n").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = of_root.groupBy("region").agg(
+        F.count("*").alias("roots"), F.sum("c").alias("all"), F.max("c").alias("main"), F.max_by("root", F.struct("c", "root")).alias("main_root"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.sum("members").alias("all_members"), F.max_by("members", F.struct("c", "root")).alias("main_members"),
+    )
     fits = (F.col("all") > 2) | (100 * F.col("least") >= PERCENT * F.col("most"))
-    blocks = [F.ceil(x / BLOCK_ROWS).cast("int").alias(y) for x, y in ((F.col("main"), "mains"), (F.col("all") - F.col("main"), "rests"))]
+    parts = ((F.col("main"), F.col("main_members"), "mains"), (F.col("all") - F.col("main"), F.col("all_members") - F.col("main_members"), "rests"))
+    blocks = [F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(members / BLOCK_MEMBERS)).cast("int").alias(name) for rows, members, name in parts]
     mixed = sizes.filter((F.col("roots") > 1) & fits).select("region", "main_root", *blocks)
     bulk = F.col("root") == F.col("main_root")
     placed = rows.join(mixed, "region").withColumn("block", F.pmod(F.xxhash64("doc"), F.when(bulk, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
@@ -404,10 +427,10 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
     # neighbours in the orders
     ordered = classes.select("doc", "n", F.explode(F.arrays_zip("region", "place")).alias("o")).select("o.region", "o.place", "doc", "n")
     ordered = ordered.repartitionByRange(1 + TREES * count // RANGE_ROWS, "region", "place", "doc").sortWithinPartitions("region", "place", "doc")
-    found = materialise(ordered.select("region", "doc", "n").mapInPandas(_neighbours, "kind int, region long, a long, b long"))
-    times = found.filter("kind > 0").groupBy("kind", "a", "b").agg(F.count("*").alias("trees"))
-    both = times.select("kind", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "trees").select("kind", "p.a", "p.b", "trees")
-    best = both.groupBy("kind", "a").agg(F.min_by("b", F.struct(-F.col("trees"), "b")).alias("b"))
+    found = materialise(ordered.mapInPandas(_neighbours, "kind int, region long, a long, b long, depth long"))
+    depths = found.filter("kind > 0").groupBy("kind", "a", "b").agg(F.sum("depth").alias("depth"))
+    both = depths.select("kind", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "depth").select("kind", "p.a", "p.b", "depth")
+    best = both.groupBy("kind", "a").agg(F.min_by("b", F.struct(-F.col("depth"), "b")).alias("b"))
     best = materialise(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     pairs = likely(best, classes)
     links = confirm(pairs, *bodies_of(pairs.select(F.explode(F.array("a", "b")))))
