@@ -2,10 +2,10 @@
 
 Texts with equal shingle sets are joined to one representative first. Each representative's MinHash signature is sorted
 in TREES orders. Where signatures agree in an order's first DEPTH values they form a region; further values order the
-region, so that the neighbours of a place are those of longest common prefix with it. A region of up to RUN documents is read as it is; a
-crowded one is cut where its members' next values differ, one value deeper at a time, until its pieces are that small. Of each
-document the neighbour, and the head of such a piece, with which its common prefixes are longest over all orders are
-confirmed on the full sets. Most of a large group is one component after that.
+region, so that the neighbours of a place are those of longest common prefix with it. Runs of RUN documents have a head; a region of
+more is crowded, and also cut where its members' next values differ, one value deeper at a time, until its pieces are that small. Of
+each document the neighbour, the head of a run and the head of a piece with which its common prefixes are longest over all
+orders are confirmed on the full sets. Most of a large group is one component after that.
 
 What neighbours leave is searched exactly: in every region that still holds documents of two components, all pairs
 across components are compared, first by sketches that never overstate how far two sets differ, then on full sets. No
@@ -146,35 +146,49 @@ def pieces(joined: np.ndarray, common: np.ndarray, run: int = RUN) -> np.ndarray
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over rows in order: pairs (a, b) of neighbours (kind 1) and of rows with their piece's head (kind 2) in one region, with the values of
-    their signatures that they have in common from the first on (depth), and the rows (a) that share a region (kind 0; also the
-    first and last row, whose neighbours another task may have)."""
+    """Over rows in order: pairs (a, b) of neighbours (kind 1), of rows with the head of their run of RUN rows (kind 2) and, where a region
+    is crowded, with their piece's head (kind 3), all in one region and with the values of their signatures that they have in common
+    from the first on (depth), and the rows (a) that share a region (kind 0; also the first and last row, whose neighbours another
+    task may have)."""
     last = None  # the row before, not yet out: region, place, doc, n, whether it joins its predecessor
-    first = True
+    first, seen, start, head = True, 0, 0, (0, 0, 0)
     for batch in batches:
         if not len(batch):
             continue
         rows = [batch[c].to_numpy("i8") for c in ("region", "place", "doc", "n")]
+        old = 0 if last is None else 1
         region, place, doc, n = rows if last is None else (np.r_[x, y] for x, y in zip(last, rows, strict=False))
-        joined = np.r_[bool(last is not None and last[4]), region[1:] == region[:-1]]
+        joined = np.r_[bool(old and last[4]), region[1:] == region[:-1]]
+        at = np.arange(len(doc)) + seen - old
+        begun = np.where(joined, -1, at)
+        begun[0] = start if old else at[0]
+        begun = np.maximum.accumulate(begun)
+        lead = begun + (at - begun) // RUN * RUN
+        here = np.maximum(lead - at[0], 0)
+        head_place, head_doc, head_n = (np.where(lead < at[0], x, y[here]) for x, y in zip(head, (place, doc, n), strict=True))
         inside = np.r_[False, joined[1:]]  # pieces are of a batch, with the row before it
         common = np.r_[0, common_values(place[1:], place[:-1])]
-        lead = pieces(inside, common)
+        piece = pieces(inside, common)
         i = 1 + np.flatnonzero(inside[1:])
         i = i[_able(n[i], n[i - 1])]
-        j = np.flatnonzero(np.arange(len(doc)) - lead > 1)
-        j = j[_able(n[j], n[lead[j]])]
-        head = lead[j]
+        j = old + np.flatnonzero((at - lead > 1)[old:])
+        j = j[_able(n[j], head_n[j])]
+        p = old + np.flatnonzero(((np.arange(len(doc)) - piece > 1) & (piece + at[0] != lead))[old:])
+        p = p[_able(n[p], n[piece[p]])]
         out = joined[:-1] | joined[1:]
         if first and len(out):
             out[0], first = True, False
         k = np.flatnonzero(out)
-        none = np.zeros(len(i) + len(j), "i8")
+        one = [doc[i], doc[j], doc[p]]
+        two = [doc[i - 1], head_doc[j], doc[piece[p]]]
+        none = np.zeros(len(i) + len(j) + len(p), "i8")
         yield pd.DataFrame({
-            "kind": np.repeat(np.arange(3, dtype="i4"), [len(k), len(i), len(j)]), "region": np.r_[region[k], none],
-            "a": np.r_[doc[k], np.maximum(doc[i], doc[i - 1]), np.maximum(doc[j], doc[head])], "b": np.r_[np.zeros(len(k), "i8"), np.minimum(doc[i], doc[i - 1]), np.minimum(doc[j], doc[head])],
-            "depth": np.r_[np.zeros(len(k), "i8"), DEPTH + common[i], DEPTH + common_values(place[j], place[head])],
+            "kind": np.repeat(np.arange(4, dtype="i4"), [len(k), len(i), len(j), len(p)]), "region": np.r_[region[k], none],
+            "a": np.r_[doc[k], np.maximum(np.concatenate(one), np.concatenate(two))], "b": np.r_[np.zeros(len(k), "i8"), np.minimum(np.concatenate(one), np.concatenate(two))],
+            "depth": np.r_[np.zeros(len(k), "i8"), DEPTH + np.concatenate([common[i], common_values(place[j], head_place[j]), common_values(place[p], place[piece[p]])])],
         })
+        seen += len(batch)
+        start, head = int(begun[-1]), (int(head_place[-1]), int(head_doc[-1]), int(head_n[-1]))
         last = (region[-1:], place[-1:], doc[-1:], n[-1:], bool(joined[-1]))
     if last is not None:
         yield pd.DataFrame({"kind": np.zeros(1, "i4"), "region": last[0], "a": last[2], "b": np.zeros(1, "i8"), "depth": np.zeros(1, "i8")})
