@@ -66,12 +66,22 @@ def mutated(seq: str, key: str, rate: float, seed: int = 1) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """The functions that SQL queries can call by name: those below, seeds(seq) and sw_align(query, target)."""
-    from .align import align_udf
-    from .seeding import seeds_udf
+    """The functions that SQL queries can call by name: those below; seeds(seq) and sw_align(query, target), also with options as
+    seeds_with(seq, k, target) and sw_align_with(query, target, gap_open, gap_extend); sw_score(query, target); and the table function
+    parse_a3m(text), for lateral joins."""
+    from .align import align_udf, align_with_udf, score_udf
+    from .seeding import seeds_udf, seeds_with_udf
 
     spark.udf.register("seeds", seeds_udf())
+    spark.udf.register("seeds_with", seeds_with_udf)
     spark.udf.register("sw_align", align_udf)
+    spark.udf.register("sw_align_with", align_with_udf)
+    spark.udf.register("sw_score", score_udf)
+    blanks = r"' \t\r\u000b\u000c'"
+    spark.sql(rf"""
+CREATE OR REPLACE TEMPORARY FUNCTION parse_a3m(text STRING) RETURNS TABLE (row_ord INT, name STRING, seq STRING) RETURN
+SELECT pos AS row_ord, btrim(element_at(split(col, '\n'), 1), {blanks}) AS name, array_join(transform(slice(split(col, '\n'), 2, 1000000000), x -> btrim(x, {blanks})), '') AS seq
+FROM (SELECT posexplode(slice(split(concat('\n', text), '\n>'), 2, 1000000000)))""")
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION organism_of(h STRING) RETURNS STRING RETURN nullif(trim(regexp_extract(h, '(?i)Tax=([^=]*?)\\s+TaxID=', 1)), '')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION paired_header(n ARRAY<INT>) RETURNS STRING RETURN concat('#', array_join(n, ','), '\t', array_join(array_repeat('1', size(n)), ','))")
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION taxid_of(h STRING) RETURNS STRING RETURN nullif(regexp_extract(h, '(?i)TaxID[=:](\\d+)', 1), '')")

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 # The index's k-mer length, seeds aimed at, window bounds, alphabet and hash constants.
 K = 10
@@ -124,6 +125,17 @@ def seeds_udf(k: int = K, target: int = TARGET, w: int | None = None):
     return run
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def seeds_with_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Seeds of each sequence with its own k and target. A null sequence has none."""
+    for seqs, ks, targets in batches:
+        out = pd.Series([np.zeros(0, "i8")] * len(seqs), dtype=object)
+        for (k, target), own in pd.DataFrame({"k": ks.to_numpy(), "t": targets.to_numpy()}).groupby(["k", "t"]).indices.items():
+            for i, found in zip(own, _chunk_seeds([(seqs.iat[i] or "").encode("latin-1", "replace") for i in own], int(k), int(target), None), strict=True):
+                out.iat[i] = found
+        yield out
+
+
 def seed_arrays(seq: str, **options) -> Column:
     return seeds_udf(**options)(F.col(seq))
 
