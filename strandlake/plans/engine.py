@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.headers import donor_label, match_states, member_id_of
 from ..functions.store import materialise
 from ..operators import index, msa, search
+from ..sources.alignments import fetch_cached
 from ..sources.corpus import parse_a3m
 
 
@@ -46,12 +47,14 @@ def _donors(chains: DataFrame, corpus: DataFrame, msas: DataFrame, top_k: int, d
     return materialise(msa.pick_donors(msa.scored(pairs), msas, donors, max_pair_identity))
 
 
-def build_msa(chains: DataFrame, corpus: DataFrame, msas: DataFrame, top_k: int = search.TOP_K, donors: int = 1, max_depth: int = 0, exclude_self: bool = False, max_pair_identity: float = 0.9) -> DataFrame:
+def build_msa(chains: DataFrame, corpus: DataFrame, msas: DataFrame, top_k: int = search.TOP_K, donors: int = 1, max_depth: int = 0, exclude_self: bool = False, max_pair_identity: float = 0.9, store: str | None = None) -> DataFrame:
     """(query, donor, row_ord, name, seq, n_match): each chain's (id, seq) alignment, borrowed from the best-scoring
     candidate of ``corpus`` that ``msas`` (acc, text) has one of, and further diverse ones up to ``donors``. The chain is row 0; rows that repeat a
     member or a sequence go; with ``max_depth``, so do rows after that many. Alignments are read for donors only. With
-    ``exclude_self``, an entry with the chain's own id is no candidate."""
+    ``exclude_self``, an entry with the chain's own id is no candidate. With ``store``, the donors' alignments are read through
+    the store of that path, so that the next build takes them from there."""
     chosen = _donors(chains, corpus, msas, top_k, donors, exclude_self, max_pair_identity)
+    msas = fetch_cached(msas, chosen, store) if store else msas
     rows = merged_rows(chains, chosen, msas, max_depth).filter("verdict = 'kept'")
     own = chains.join(chosen.select(F.col("query").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query"), F.lit(None).cast("string").alias("donor"), F.lit(0).alias("row_ord"), F.concat(F.lit("chain_"), "id").alias("name"), F.upper("seq").alias("seq"))
     out = own.unionByName(rows.select("query", F.col("acc").alias("donor"), F.col("place").alias("row_ord"), "name", F.col("moved").alias("seq")))

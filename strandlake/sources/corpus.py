@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import pure_residues
 from ..functions.ranges import numbered
+from .alignments import fetch_cached  # noqa: F401  one of the readers
 
 MIN_LEN, MAX_LEN = 40, 2000
 
@@ -93,17 +94,6 @@ def concat_shards(shards: list[DataFrame], order: str) -> DataFrame:
     return dense_ids(reduce(DataFrame.unionByName, [s.withColumn("shard", F.lit(i)) for i, s in enumerate(shards)]), "shard", order)
 
 
-def fetch_cached(msas: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
-    """(acc, text) of the accessions in ``wanted`` (acc): from the store at ``path``, to which ``msas`` adds what it lacks."""
-    spark = wanted.sparkSession
-    store = spark._jvm.org.apache.hadoop.fs.Path(path)
-    here = store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store)
-    need = wanted.select("acc").distinct()
-    missing = need.join(spark.read.parquet(path).select("acc"), "acc", "left_anti") if here else need
-    msas.select("acc", "text").join(missing, "acc", "left_semi").write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(need, "acc", "left_semi")
-
-
 def dense_ids(corpus: DataFrame, shard: str, order: str) -> DataFrame:
     """Dense 0-based ids: by shard, then order inside it; a window sees one range of one shard, and one the shard totals."""
     base = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
