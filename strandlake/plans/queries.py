@@ -10,7 +10,7 @@ from ..functions.ranges import numbered
 from ..functions.seeding import seed_rows, window_for
 from ..functions.store import materialise, shared_dir
 from ..operators import evaluation, exhaustive, index, msa, pairing, search
-from ..sources import alignments
+from ..sources import alignments, fasta
 from ..sources import corpus as src
 from .engine import aligned_hits, candidate_pairs
 from .engine import build_msa as run_build_msa
@@ -366,6 +366,20 @@ def packed_scan(spark, d):
     return _packed(spark, d).select("id", F.length("seq").alias("n"))
 
 
+def fasta_scan(spark, d):
+    """Documents written as FASTA, some 60 letters a line, and read back by byte ranges."""
+    path = shared_dir(spark)
+    lines = F.regexp_replace("seq", "(.{60})(?!$)", "$1\n")
+    whole_corpus(spark, d).select(F.concat(F.lit(">AFDB UA="), "acc", F.lit(" n\n"), lines)).write.text(path)
+    return fasta.scan_fasta(spark, path).select("acc", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("md5"))
+
+
+def stream_draws(spark, d):
+    """One document drawn for every 50, with replacement."""
+    docs = table(spark, d, "documents").select("doc_id")
+    return src.draw_rows(docs, "doc_id", docs.count() // EVERY, fasta.SAMPLE_SEED)
+
+
 def exact_seed_hits(spark, d):
     p, wanted = _posted(spark, d)
     return search.shared_counts(search.hits_by_seed(wanted, p).filter("query <> id")).select("query", "id", "shared")
@@ -415,7 +429,7 @@ QUERIES = [
     corpus_filter, build_counters, seed_windows, minimizers, bucket_histogram, bucket_offsets, posting_plan, dense_ids, shared_counts, topk_candidates, hot_bucket_skip, lookup_stats, resolved_candidates, index_search, shard_union,
     a3m_text, cached_msas, a3m_round_trip, row_metadata, row_identity, query_chains, residue_map, best_per_taxon, paired_block, unpaired_block, paired_header, paired_a3m, depth_histogram, select_entries, upper_median, coverage_pct,
     recall_by_band, sw_align, donor_pick, diverse_hits, transfer_rows, transfer_synthetic, greedy_dedup, merge_stats, build_msa, donor_stats, json_output, coverage_study, recall_study,
-    sampled_queries, packed_scan, exact_seed_hits, point_mutations, mutant_recall, quota_sample, depth_summary, match_state_check, hit_warnings, index_vs_exhaustive, exhaustive_recall,
+    sampled_queries, fasta_scan, stream_draws, packed_scan, exact_seed_hits, point_mutations, mutant_recall, quota_sample, depth_summary, match_state_check, hit_warnings, index_vs_exhaustive, exhaustive_recall,
 ]
 
 
@@ -511,6 +525,11 @@ SELECT *, CASE WHEN NOT valid THEN '"' || name || '" contains non-amino-acid cha
     "select_entries": _SELECTED,
     "depth_summary": f"SELECT count(*) AS n, max(depth) AS most, max(depth) FILTER (WHERE rank = n // 2 + 1) AS median, min(depth) AS least FROM (SELECT *, count(*) OVER () AS n FROM ({_SELECTED}))",
     "sampled_queries": f"SELECT * FROM ({_PACKED}) ORDER BY md5('1:' || id), id LIMIT 50",
+    "fasta_scan": f"SELECT 'D' || id AS acc, CAST(length(seq) AS INTEGER) AS n, md5(seq) AS md5 FROM ({_DOCS}) WHERE length(seq) >= 40",
+    "stream_draws": f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), st(draw, x) AS (SELECT CAST(-1 AS BIGINT), CAST(20260807 AS BIGINT) UNION ALL SELECT draw + 1, xor(b, (b << 5) & 4294967295)
+  FROM (SELECT draw, xor(a, a >> 17) AS b FROM (SELECT draw, xor(x, (x << 13) & 4294967295) AS a FROM st WHERE draw + 1 < (SELECT n // {EVERY} FROM n)))),
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents)
+SELECT draw, doc_id FROM st JOIN d ON place = CAST(floor(x / 4294967296.0 * (SELECT n FROM n)) AS BIGINT) WHERE draw >= 0""",
     "packed_scan": f"SELECT id, CAST(length(seq) AS INTEGER) AS n FROM ({_PACKED})",
     "exact_seed_hits": f"WITH {CORPUS_SEEDS}, sz AS (SELECT seed FROM s GROUP BY 1 HAVING count(*) <= 2000) SELECT x.id AS query, y.id AS id, count(*) AS shared FROM s x JOIN sz USING (seed) JOIN s y ON x.seed = y.seed AND x.id <> y.id WHERE x.id % {EVERY} = 0 GROUP BY 1, 2",
     "greedy_dedup": f"WITH {_FOLD} SELECT * FROM v",

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from ..functions.headers import pure_residues
 from ..functions.ranges import numbered
 from .alignments import fetch_cached  # noqa: F401  one of the readers
@@ -107,6 +108,15 @@ def sample_rows(corpus: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame
     return corpus.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
+def draw_rows(corpus: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """(draw, key): n draws with replacement from the rows of ``corpus`` in the order of ``key``, a number without ties, by the
+    random stream of ``seed``. Tasks draw their own parts of the stream. An empty corpus gives none."""
+    placed = numbered(corpus.select(key, F.lit(0).alias("all_rows")), "all_rows", key, "_place")
+    rows = placed.count()
+    drawn = corpus.sparkSession.range(n if rows else 0).select(F.col("id").alias("draw"), F.floor(uniform(F.col("id"), seed) * rows).alias("_drawn"))
+    return drawn.join(placed, F.col("_drawn") == F.col("_place")).select("draw", key)
+
+
 def packed_scan(corpus: DataFrame, low: int = 50, high: int = 1500, most: int = 0) -> DataFrame:
     """Sequences of low to high residues, all standard; the first ``most`` by id, or all."""
     kept = length_filter(corpus, low, high).filter(pure_residues("seq"))

@@ -18,7 +18,7 @@ def accs(spark, names):
 
 
 def got(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 def test_the_store_adds_what_it_lacks(spark, tmp_path):
