@@ -31,8 +31,8 @@ _MAPPED = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512)
 class _Ranked(dict):
     """Ids by pre-token for a vocabulary whose ids are the order of its merges: the same merges in tiktoken's core."""
 
-    #: Distinct pre-tokens kept in a worker before it starts afresh.
-    most = 100_000
+    #: Distinct pre-tokens kept in a worker before it starts afresh (some 80 MB).
+    most = 400_000
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         import tiktoken

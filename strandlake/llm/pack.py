@@ -209,17 +209,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     if crowded and targets:
         raise ValueError(f"targets are for at most {MAX_QUEUES} sources")
     schema = "doc_id long, queue string, part int, within long, n long, skip long, whole long, ids binary"
-    encoded = materialise(rows.mapInPandas(_encoded(tokenizer, end_id, length if crowded else None), schema), compression="zstd")
+    encoded = materialise(rows.mapInPandas(_encoded(tokenizer, end_id, length if crowded else None), schema))
     parts = encoded.groupBy("queue", "part").agg(F.sum("n").alias("total"))
     if crowded:
         placed = _in_shared_queues(encoded, parts)
-        queues = encoded.groupBy(F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string").alias("queue")).agg(F.sum("n").alias("total"))
+        queues = encoded.groupBy(F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string").alias("queue")).agg(F.sum("n").alias("total")).collect()
     else:
         upto = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         bases = parts.select("queue", "part", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))  # a row for each queue and input split
-        placed = encoded.join(F.broadcast(bases) if parts.count() <= 1_000_000 else bases, ["queue", "part"]).withColumn("place", F.col("base") + F.col("within"))
-        queues = parts.groupBy("queue").agg(F.sum("total").alias("total"))
-    totals = {r["queue"]: r["total"] for r in queues.collect()}  # MAX_QUEUES rows at most
+        queues = parts.groupBy("queue").agg(F.sum("total").alias("total"), F.count("*").alias("parts")).collect()
+        near = sum(r["parts"] for r in queues) <= 1_000_000
+        placed = encoded.join(F.broadcast(bases) if near else bases, ["queue", "part"]).withColumn("place", F.col("base") + F.col("within"))
+    totals = {r["queue"]: r["total"] for r in queues}  # MAX_QUEUES rows at most
     names = sorted(totals)
     weights = {"" if s is None else f"s{s}": w for s, w in (targets or {}).items()}
     mixture, number = Mixture([totals[q] for q in names], length, [weights.get(q, 1.0) for q in names] if targets else None), {q: i for i, q in enumerate(names)}
