@@ -20,7 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """``df``, computed once: later plans read it, and so do tasks that run again for a lost executor."""
-    path = shared_dir(df.sparkSession)
+    """``df``, computed once: later plans read it, and so do tasks that run again for a lost executor. Its table goes when the
+    application ends; one that is killed leaves it."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

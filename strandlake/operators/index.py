@@ -23,12 +23,24 @@ def postings(corpus: DataFrame, bits: int = BUCKET_BITS, **options) -> DataFrame
     return seed_rows(corpus, **options).select("seed", F.shiftright("seed", 31 - bits).cast("int").alias("bucket"), F.col("seed").bitwiseAND(F.lit(255)).cast("int").alias("residual"), "id", "ord")
 
 
-def build_counters(corpus: DataFrame) -> DataFrame:
-    """One row: n_seq, n_post, too_short, too_long, bad_chars of an unfiltered corpus (id, seq)."""
+def build_counters(corpus: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each value of ``by``: n_seq, n_post, too_short, too_long, bad_chars of an unfiltered corpus (id, seq)."""
     n = F.length("seq")
     inside = n.between(MIN_LEN, MAX_LEN)
-    rows = corpus.select("seq", seed_arrays("seq").alias("found")).select(n.alias("n"), F.when(inside, F.size("found")).alias("k"))
-    return rows.agg(F.count_if(F.col("k") > 0).alias("n_seq"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_post"), F.count_if(F.col("n") < MIN_LEN).alias("too_short"), F.count_if(F.col("n") > MAX_LEN).alias("too_long"), F.count_if(F.col("k") == 0).alias("bad_chars"))
+    rows = corpus.select(*by, "seq", seed_arrays("seq").alias("found")).select(*by, n.alias("n"), F.when(inside, F.size("found")).alias("k"))
+    return rows.groupBy(*by).agg(F.count_if(F.col("k") > 0).alias("n_seq"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_post"), F.count_if(F.col("n") < MIN_LEN).alias("too_short"), F.count_if(F.col("n") > MAX_LEN).alias("too_long"), F.count_if(F.col("k") == 0).alias("bad_chars"))
+
+
+def write_shard_counters(corpus: DataFrame, path: str) -> None:
+    """What each shard of an unfiltered corpus (shard, id, seq) holds and lost, as JSON records beside the shards. A write that is
+    repeated replaces them."""
+    per_seq = F.coalesce(F.try_divide("n_post", "n_seq"), F.lit(0.0))
+    named = [F.col(c).alias(name) for c, name in (("n_seq", "nSeq"), ("n_post", "nPost"), ("too_short", "tooShort"), ("too_long", "tooLong"), ("bad_chars", "badChars"))]
+    build_counters(corpus, "shard").select("shard", *named, F.lit(K).alias("k"), F.lit(TARGET).alias("targetSeeds"), per_seq.alias("seedsPerSeq")).write.mode("overwrite").json(path)
+
+
+def read_shard_counters(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("shard string, nSeq long, nPost long, tooShort long, tooLong long, badChars long, k int, targetSeeds int, seedsPerSeq double").json(path)
 
 
 def bucket_histogram(posted: DataFrame) -> DataFrame:

@@ -128,19 +128,40 @@ def write_entry_list(ranked: DataFrame, path: str) -> None:
     ranked.repartition(1).sortWithinPartitions("rank").select("acc").write.text(path)
 
 
-def format_paired_a3m(headers: DataFrame, queries: DataFrame, paired: DataFrame, unpaired: DataFrame, wrap: int = 0) -> DataFrame:
-    """(msa_id, text): the header line (query_id, header), row 101 with the chains' own sequences (query_id, chain, seq) one
-    after the other, the paired rows in order, then each chain's unpaired ones."""
+def _paired_rows(queries: DataFrame, paired: DataFrame, unpaired: DataFrame) -> DataFrame:
+    """(msa_id, row_ord, name, seq): row 101 with the chains' own sequences (query_id, chain, seq) one after the other, the
+    paired rows in order, then each chain's unpaired ones."""
 
     def rows(df: DataFrame, chain: Column, order: Column) -> DataFrame:
         return df.select(F.col("query_id").alias("msa_id"), F.struct(chain.cast("int").alias("chain"), order.cast("int").alias("ord")).alias("row_ord"), "name", "seq")
 
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chain", "seq"))), lambda c: c["seq"]), "")
     first = queries.groupBy("query_id").agg(F.lit("101").alias("name"), joined.alias("seq"))
-    bodies = format_a3m(rows(first, F.lit(-2), F.lit(0)).unionByName(rows(paired, F.lit(-1), F.col("paired_ord"))).unionByName(rows(unpaired, F.col("chain"), F.col("row_ord"))), wrap)
+    return rows(first, F.lit(-2), F.lit(0)).unionByName(rows(paired, F.lit(-1), F.col("paired_ord"))).unionByName(rows(unpaired, F.col("chain"), F.col("row_ord")))
+
+
+def format_paired_a3m(headers: DataFrame, queries: DataFrame, paired: DataFrame, unpaired: DataFrame, wrap: int = 0) -> DataFrame:
+    """(msa_id, text): the header line (query_id, header), then the rows of ``_paired_rows``. One text a query, for alignments that fit in
+    one value; ``write_paired_a3m`` is for those of any size."""
+    bodies = format_a3m(_paired_rows(queries, paired, unpaired), wrap)
     return headers.select(F.col("query_id").alias("msa_id"), "header").join(bodies, "msa_id").select("msa_id", F.concat("header", F.lit("\n"), "text").alias("text"))
 
 
+def write_paired_a3m(headers: DataFrame, queries: DataFrame, paired: DataFrame, unpaired: DataFrame, path: str, wrap: int = 0) -> None:
+    """The lines of ``format_paired_a3m`` under ``path``, a folder ``msa_id=...`` for each query, whose files in the order of their names are
+    its alignment. Rows are dealt by ranges of query and place, so a query with most of the rows is written by many tasks, and
+    nothing holds a whole alignment. A write that is repeated replaces the folder."""
+    seq = F.regexp_replace("seq", f"(.{{{wrap}}})(?!$)", "$1\n") if wrap else F.col("seq")
+    head = headers.select(F.col("query_id").alias("msa_id"), F.struct(F.lit(-3).alias("chain"), F.lit(0).alias("ord")).alias("row_ord"), F.col("header").alias("value"))
+    lines = head.unionByName(_paired_rows(queries, paired, unpaired).select("msa_id", "row_ord", F.concat(F.lit(">"), "name", F.lit("\n"), seq).alias("value")))
+    lines.repartitionByRange("msa_id", "row_ord").sortWithinPartitions("msa_id", "row_ord").select("msa_id", "value").write.mode("overwrite").partitionBy("msa_id").text(path)
+
+
+def read_paired_a3m(spark: SparkSession, path: str) -> DataFrame:
+    """(msa_id, line) of what ``write_paired_a3m`` wrote."""
+    return spark.read.schema("value string, msa_id string").text(path).select("msa_id", F.col("value").alias("line"))
+
+
 def json_response(chains: DataFrame) -> DataFrame:
     """(query_id, body): the JSON object of chain names and their alignments (query_id, chain_ord, name, text). Of chains with
     one name the last one's alignment counts, at the place of the first."""
