@@ -42,10 +42,11 @@ def search_new(spark: SparkSession, given: dict[str, Any]) -> dict[str, int]:
     def batch(rows: DataFrame, number: int) -> None:
         own = rows.sparkSession
         chains = rows.select(F.expr(conf["id"]).cast("long").alias("id"), letters(F.coalesce(F.expr(conf["text"]), F.lit(""))).alias("seq")).filter("id IS NOT NULL")
-        candidates, lookups, seeds = read_index(own, conf["index"]).search(chains, conf["least"], conf["top_k"], conf["max_postings"])
+        candidates, lookups, cached = read_index(own, conf["index"]).search(chains, conf["least"], conf["top_k"], conf["max_postings"])
         candidates.write.mode("overwrite").parquet(f"{out}/candidates/batch={number}")
         lookups.write.mode("overwrite").parquet(f"{out}/lookups/batch={number}")
-        seeds.unpersist()
+        for x in cached:
+            x.unpersist()
         n, k = (own.read.parquet(f"{out}/{x}/batch={number}").count() for x in ("lookups", "candidates"))
         log.info("batch %d: searched %d chains of %s, wrote %d candidates to %s", number, n, conf["chains"], k, out)
         counts.update(batches=counts["batches"] + 1, chains=counts["chains"] + n, candidates=counts["candidates"] + k)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import frames
 from strandlake.functions.align import local_alignments
-from strandlake.operators import evaluation, index, msa
+from strandlake.operators import evaluation, index, msa, search
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -96,3 +96,23 @@ def test_scan_by_quota(spark):
         assert scans <= count <= len(members)
         if limit:
             assert count <= sum(min(limit + 1, k) for k in (300, 40, 12, 90, 3)) < len(members)
+
+
+def test_hits_are_dealt_by_their_number(spark, monkeypatch):
+    """Fewer postings than a task's bytes can hold many hits: tasks go by hits, and results don't depend on that."""
+    r = random.Random(5)
+    texts = ["".join(r.choices(AA, k=120)) for _ in range(6)]
+    posted = index.postings(spark.createDataFrame([(i, texts[i % 6]) for i in range(300)], "id long, seq string")).localCheckpoint()
+    wanted = posted.filter("id % 5 = 0").localCheckpoint()
+    key = lambda df: sorted(map(tuple, df.select("query", "id", "shared", "first_ord").collect()))
+    for by_seed, found in ((False, search.hits(wanted, posted)), (True, search.hits_by_seed(wanted, posted))):
+        for others in (False, True):
+            want = key(search.shared_counts(found.filter("query <> id") if others else found))
+            assert key(search.counted(wanted, posted, by_seed=by_seed, others=others)) == want
+            monkeypatch.setattr(search, "TASK_HITS", 200)
+            dealt = search.counted(wanted, posted, by_seed=by_seed, others=others, parts=True)
+            assert key(dealt) == want and dealt.rdd.getNumPartitions() == -(-found.count() // 200) and dealt.select("part").distinct().count() > 1
+            leaders = search.leading(dealt, 3).localCheckpoint()
+            assert sorted(map(tuple, search.top_candidates(leaders, 3).collect())) == sorted(map(tuple, search.top_candidates(dealt, 3).collect()))
+            assert {(x.query, x.candidates) for x in search.candidates_of(leaders).collect()} == {(x.query, x["count"]) for x in dealt.groupBy("query").count().collect()}
+            monkeypatch.undo()
