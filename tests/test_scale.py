@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import frames
 from strandlake.functions.align import local_alignments
 from strandlake.operators import evaluation, index, msa, search
+from strandlake.plans import queries
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -116,3 +117,10 @@ def test_hits_are_dealt_by_their_number(spark, monkeypatch):
             assert sorted(map(tuple, search.top_candidates(leaders, 3).collect())) == sorted(map(tuple, search.top_candidates(dealt, 3).collect()))
             assert {(x.query, x.candidates) for x in search.candidates_of(leaders).collect()} == {(x.query, x["count"]) for x in dealt.groupBy("query").count().collect()}
             monkeypatch.undo()
+
+
+def test_alignments_are_searches_of_every_50th_entry(spark):
+    t = queries.turns(spark, "/root/testdata/sf0.001")
+    ids = {x.id for x in queries._searched(t).collect()}
+    assert ids == {x.id for x in t.select("id").collect() if x.id % 50 == 0} and 0 < len(ids) < t.count()
+    assert {x.query for x in queries.donor_pick(spark, "/root/testdata/sf0.001").collect()} <= ids
