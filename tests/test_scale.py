@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions import frames
+from strandlake.functions import frames, headers
 from strandlake.functions.align import local_alignments
-from strandlake.operators import evaluation, index, msa, search
+from strandlake.operators import evaluation, index, msa, pairing, search
 from strandlake.plans import queries
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
@@ -124,3 +124,15 @@ def test_alignments_are_searches_of_every_50th_entry(spark):
     ids = {x.id for x in queries._searched(t).collect()}
     assert ids == {x.id for x in t.select("id").collect() if x.id % 50 == 0} and 0 < len(ids) < t.count()
     assert {x.query for x in queries.donor_pick(spark, "/root/testdata/sf0.001").collect()} <= ids
+
+
+def test_identity_and_best_rows_work_on_whole_texts(spark):
+    cases = [("ABC", "ABC", 1.0), ("ABC", "A-D", 0.5), ("ABC", "aAxBy-z", 1.0), ("AB", "AAAA", 0.5), ("", "AB", 0.0), ("AB", "", 0.0), ("AB", "--", 0.0), ("ÄB", "ÄC", 0.5), ("A", None, None), (None, "A", None)]
+    df = spark.createDataFrame([(i, q, r) for i, (q, r, _) in enumerate(cases)], "i int, q string, r string").withColumn("v", headers.identity_to_query(F.col("q"), F.col("r")))
+    assert "transform" not in df._jdf.queryExecution().toString() and "ArrowEvalPython" in df._jdf.queryExecution().toString()
+    assert [x.v for x in df.orderBy("i").collect()] == [v for _, _, v in cases]
+    rows = spark.createDataFrame([("q", 0, i, f"n{i}", "A" * 100, "9", v) for i, v in enumerate((0.5, 0.7, 0.7, 0.1))], "query_id string, chain int, row_ord int, name string, seq string, taxid string, identity double")
+    best = pairing.best_per_taxon(rows)
+    shuffled = best._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
+    assert "max(" in shuffled and "seq" not in shuffled.split("\n")[0]  # no text goes through the aggregate
+    assert [(x.row_ord, x.name, x.seen) for x in best.collect()] == [(1, "n1", 0)]
