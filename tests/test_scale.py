@@ -136,3 +136,12 @@ def test_identity_and_best_rows_work_on_whole_texts(spark):
     shuffled = best._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
     assert "max(" in shuffled and "seq" not in shuffled.split("\n")[0]  # no text goes through the aggregate
     assert [(x.row_ord, x.name, x.seen) for x in best.collect()] == [(1, "n1", 0)]
+
+
+def test_alignments_and_moved_rows_are_worked_out_once(spark):
+    pairs = spark.createDataFrame([(1, "ACDEFGHIKL", "ACDEFGHIKL"), (2, "AAAA", "WWWW")], "id long, q_seq string, t_seq string")
+    rows = spark.createDataFrame([(1, "ACxD", "ACD", "A-D", 1, 1, 3, 2), (2, None, "A", "A", 1, 1, 1, 1), (3, "Äb-C", "ACA", "ACA", 1, 1, 4, 3)], "id long, seq string, qseq string, hseq string, q_from int, h_from int, q_len int, h_len int")
+    for df, ids in ((msa.align(pairs), [1]), (msa.scored(pairs), [1]), (msa.transfer_rows(rows), [1, 3])):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert sorted(x.id for x in df.collect()) == ids
+    assert {x.id: x.moved for x in msa.transfer_rows(rows).collect()} == {1: "A-Cxd", 3: "Äb-C-"}
