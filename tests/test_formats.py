@@ -46,6 +46,20 @@ def test_paired_alignments_in_pieces(spark, tmp_path):
     assert src.read_paired_a3m(spark, str(tmp_path / "out")).count() == sum(t.count("\n") for t in want.values())
 
 
+def test_paired_text_of_pieces(spark, monkeypatch):
+    """The text is joined from pieces of a few rows, collected by as many tasks as their bytes ask for; empty, wrapped and wide rows alike."""
+    heads = spark.createDataFrame([("a", "#3,3\t1,1"), ("b", "#1,1\t1,1")], "query_id string, header string")
+    own = spark.createDataFrame([("a", 1, "KLM"), ("a", 0, "HIA"), ("b", 0, "A"), ("b", 1, "C")], "query_id string, chain int, seq string")
+    paired = spark.createDataFrame([("a", k, f"p{k}", "ACDEFG"[: k % 7]) for k in range(25, 0, -1)], "query_id string, paired_ord int, name string, seq string")
+    rest = spark.createDataFrame([("a", k % 2, k, f"u{k}", "ACD---") for k in range(31, 0, -1)], "query_id string, chain int, row_ord int, name string, seq string")
+    body = [("101", "HIAKLM")] + [(f"p{k}", "ACDEFG"[: k % 7]) for k in range(1, 26)] + [(f"u{k}", "ACD---") for c in (0, 1) for k in range(1, 32) if k % 2 == c]
+    monkeypatch.setattr(src, "TASK_BYTES", 100)
+    for piece_rows in (1, 4, 512):
+        got = src.format_paired_a3m(heads, own, paired, rest, piece_rows=piece_rows)
+        assert {r.msa_id: r.text for r in got.collect()} == {"a": "#3,3\t1,1\n" + "".join(f">{n}\n{q}\n" for n, q in body), "b": "#1,1\t1,1\n>101\nAC\n"}
+        assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")  # no step after copies the text
+
+
 def test_shard_counters(spark, tmp_path):
     rows = [("a", 0, HBA), ("a", 1, HBB), ("a", 2, "A" * 39), ("b", 3, "X" * 50), ("b", 4, "A" * 2001), ("b", 5, None)]
     corpus = spark.createDataFrame(rows, "shard string, id long, seq string")
