@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.functions import frames, headers
+from strandlake.functions import align, frames, headers
 from strandlake.functions.align import local_alignments
 from strandlake.operators import evaluation, index, msa, pairing, search
 from strandlake.plans import queries
@@ -145,3 +145,21 @@ def test_alignments_and_moved_rows_are_worked_out_once(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
         assert sorted(x.id for x in df.collect()) == ids
     assert {x.id: x.moved for x in msa.transfer_rows(rows).collect()} == {1: "A-Cxd", 3: "Äb-C-"}
+
+
+def test_alignments_leave_ended_pairs_out(monkeypatch):
+    """Pairs of very different lengths in one batch cost about their own cells, with and without kept ways, and align as they do alone."""
+    r = random.Random(8)
+    queries = ["".join(r.choices(AA, k=r.randint(95, 100))) for _ in range(60)]
+    targets = [(q * 20)[r.randint(0, 50) :][: 40 * 2 ** r.randint(0, 5)] for q in queries]
+    cells, step = [], align._Sweep.step
+    monkeypatch.setattr(align._Sweep, "step", lambda *args: (cells.append(step(*args)), cells[-1])[1])
+    alone = [local_alignments([q], [t])[0] for q, t in zip(queries, targets, strict=True)]
+    own = sum(len(q) * len(t) for q, t in zip(queries, targets, strict=True))
+    for stride, sweeps in ((None, 1), (64, 2)):
+        cells.clear()
+        assert local_alignments(queries, targets, stride=stride) == alone
+        assert sum(c.size for c in cells) < 1.3 * sweeps * own
+    cells.clear()
+    assert align.local_scores(queries, targets).tolist() == [a[6] for a in alone] and sum(c.size for c in cells) < 1.3 * own
+    assert max(len(b) for b in align.batches(queries, ["A" * 50] * 60)) == 60
